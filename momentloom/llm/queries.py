@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import table
+from .jaccard import jaccard_components
 from .line_dedup import LOWER, UPPER, dedup_lines
 from .packing import pack, token_pieces
 
@@ -38,10 +39,31 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY r, doc_id
 """
 
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, threshold=85)
+
+
+OP4_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM w)),
+cnt AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM both_ JOIN cnt p ON x = p.doc_id JOIN cnt q ON y = q.doc_id WHERE 100 * i >= 85 * (p.n + q.n - i)),
+reach AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, l.y FROM reach r JOIN links l ON r.c = l.x)
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(c) AS component_id
+FROM documents d JOIN reach r ON d.doc_id = r.d LEFT JOIN cnt ON cnt.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
