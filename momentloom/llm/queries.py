@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .jaccard import jaccard_components
 from .line_dedup import LOWER, UPPER, dedup_lines
+from .media import read_media, store_media
 from .packing import pack, token_pieces
 
 
@@ -59,11 +60,26 @@ SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(c) AS component_
 FROM documents d JOIN reach r ON d.doc_id = r.d LEFT JOIN cnt ON cnt.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_media(store_media(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("thumbnail").cast("long").alias("payload_bytes"),
+        F.sha2("thumbnail", 256).alias("payload_sha256"),
+        "tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash").alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_media_columns": op5_media_columns,
 }
 
 SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
