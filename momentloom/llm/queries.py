@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
-from .common import table
+from .common import crc_mod, table
 from .jaccard import jaccard_components
 from .line_dedup import LOWER, UPPER, dedup_lines
 from .media import read_media, store_media
 from .packing import pack, token_pieces
+from .quality import quality_rules
+from .substring_dedup import dedup_substrings
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +77,29 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_toxicity(docs, fit_toxicity(docs, labels, hold_out=(5, 0)))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), run=3, min_words=12)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_media_columns": op5_media_columns,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
