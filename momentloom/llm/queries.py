@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .classifier import fit_quality, score_quality
 from .common import crc_mod, table
 from .jaccard import jaccard_components
 from .line_dedup import LOWER, UPPER, dedup_lines
@@ -91,6 +92,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), run=3, min_words=12)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_quality(docs, fit_quality(docs, labels, hold_out=(4, 2)))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
