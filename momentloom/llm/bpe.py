@@ -10,6 +10,7 @@ that no piece holds. Decoding maps ids back to their bytes.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -25,8 +26,9 @@ from .common import as_bytes, slices
 
 #: First character of the byte alphabet, and the one that separates pre-tokens.
 BYTE_BASE, SEPARATOR = 0x100, "Ȁ"
-#: Most texts' chunks that a worker remembers.
-CACHE = 400_000
+SPACE_BEFORE_SPACE = re.compile(r"(?:\s|^) ")
+#: Chunks of a generation that a worker remembers.
+CACHE = 120_000
 
 
 def _varint(n: int) -> bytes:
@@ -72,15 +74,20 @@ class ChunkCache:
 
     A pre-token never starts inside such a boundary's left side and ends on its right,
     so the chunks' ids, joined, are the text's ids. encode_missing gets the chunks
-    not seen yet and returns the packed ids of each.
+    not seen yet and returns the packed ids of each. Chunks are remembered in two
+    generations of about size each: what is in use moves on, the rest is forgotten.
     """
 
     def __init__(self, encode_missing: Callable[[list[str]], list[bytes]], size: int = CACHE):
-        self.encode_missing, self.size, self.known = encode_missing, size, {}
+        self.encode_missing, self.size = encode_missing, size
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         parts = text.split(" ")
+        if not SPACE_BEFORE_SPACE.search(text):
+            return [parts[0], *map(" ".__add__, parts[1:])]
         out = [parts[0]]
         for p in parts[1:]:
             if out[-1] and not out[-1][-1].isspace():
@@ -91,14 +98,16 @@ class ChunkCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        known = self.known
-        missing = list({c for chunks in cut for c in chunks if c not in known})
-        if len(known) + len(missing) > self.size and known:
-            known.clear()
-            missing = list({c for chunks in cut for c in chunks})
+        wanted = set().union(*cut)
+        if len(self.known) > self.size:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        absent = wanted.difference(known)
+        missing = list(absent.difference(before))
+        known.update((c, before[c]) for c in absent.intersection(before))
         if missing:
             known.update(zip(missing, self.encode_missing(missing), strict=True))
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
 
 class ByteBPE:
