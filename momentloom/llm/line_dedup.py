@@ -10,19 +10,18 @@ from .common import ASCII_SPACE
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at both ends, A-Z lower-cased (other letters kept)."""
-    trimmed = F.trim(line, F.lit(ASCII_SPACE))
-    low = F.lower(trimmed)
-    ascii_only = F.octet_length(trimmed) == F.char_length(trimmed)
-    return F.when(low == trimmed, trimmed).when(ascii_only, low).otherwise(F.translate(trimmed, UPPER, LOWER))
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines: without ASCII white space at both ends, A-Z lower-cased (other letters kept)."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.transform(F.split(low, "\n", -1), lambda line: F.trim(line, F.lit(ASCII_SPACE)))
 
 
 def dedup_lines(df: DataFrame, ids: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """One row per row of df: the id column, n_lines, n_dropped and kept (the text without dropped lines).
 
     Lines are what \\n separates; a null or empty text is one empty line. A key (see
-    line_key) of min_chars code points or more that min_docs rows hold loses all its
+    line_keys) of min_chars code points or more that min_docs rows hold loses all its
     lines in every row. Every row counts as a document, repeated rows too; null ids are
     ids like others. Keys are compared by two 64-bit hashes. Other columns of df are not
     read, so names can't clash.
@@ -34,15 +33,12 @@ def dedup_lines(df: DataFrame, ids: str = "doc_id", text: str = "text", min_docs
     base = df.select(F.col(ids).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     keyed = base.select("i", F.xxhash64("t").alias("h"), F.split("t", "\n", -1).alias("lines"))
 
-    def hashes(column: Column) -> Column:
-        key = line_key(column)
-        return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
-
-    # Lines are exploded before they are hashed: functions of rows are compiled, those inside transform() are not.
-    lines = keyed.select("i", "h", F.posexplode("lines").alias("pos", "line")).select("i", "h", "pos", hashes(F.col("line")).alias("k")).filter("k is not null")
-    per_doc = base.select(F.array_distinct(F.transform(F.array_distinct(F.split("t", "\n", -1)), hashes)).alias("ks"))
-    common = per_doc.select(F.explode("ks").alias("k")).filter("k is not null").groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
-    dropped = lines.select("i", "h", "pos", "k.a", "k.b").join(common, ["a", "b"], "left_semi").groupBy("i", "h").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    # Keys are exploded before they are hashed: functions of rows are compiled, those inside transform() are not.
+    a, b, counts = F.xxhash64("k").alias("a"), F.xxhash64(F.lit(1), "k").alias("b"), F.char_length("k") >= min_chars
+    once = base.select(F.explode(F.array_distinct(line_keys(F.col("t")))).alias("k")).filter(counts).select(a, b)
+    common = once.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
+    lines = base.select("i", F.xxhash64("t").alias("h"), F.posexplode(line_keys(F.col("t"))).alias("pos", "k")).filter(counts).select("i", "h", "pos", a, b)
+    dropped = lines.join(common, ["a", "b"], "left_semi").groupBy("i", "h").agg(F.collect_set("pos").alias("drop"))
     dropped = dropped.select(F.col("i").alias("i2"), F.col("h").alias("h2"), "drop")
     joined = keyed.join(dropped, F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left")
     return joined.select(
