@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .classifier import fit_quality, score_quality
 from .common import crc_mod, table
+from .ctw import score_texts
 from .jaccard import jaccard_components
 from .line_dedup import LOWER, UPPER, dedup_lines
 from .media import read_media, store_media
@@ -92,6 +93,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), run=3, min_words=12)
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), hold_out=(7, 2))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score_quality(docs, fit_quality(docs, labels, hold_out=(4, 2)))
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_context_tree": op9_context_tree,
     "op10_quality_classifier": op10_quality_classifier,
 }
 

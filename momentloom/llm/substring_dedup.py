@@ -51,7 +51,7 @@ def _runs(run: int, min_words: int):
     return work
 
 
-def _removed(run: int, names: list[str]):
+def _removed(run: int, names: list[str], carried: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 2 << 20):
             total, gone, gone_words, kept, spans = [], [], [], [], []
@@ -67,12 +67,12 @@ def _removed(run: int, names: list[str]):
                 spans.append([(a, e, "".join(parts[a:e]).strip()) for a, e in zip(first, ends, strict=True)])
             arrays = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(gone_words, pa.int64()), pa.array(kept, pa.string())]
             span = pa.array([[{"first": a, "end": e, "text": t} for a, e, t in x] for x in spans], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays, span], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays, span, *(b.column(3 + k) for k in range(carried))], names)
 
     return work
 
 
-def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 12) -> DataFrame:
+def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 12, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: the id column, n_sentences, n_removed, removed_words, kept and removed.
 
     Every run of `run` consecutive sentences with min_words words or more is hashed
@@ -81,13 +81,13 @@ def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run
     occurrence covers go. kept is the rest of the text, unchanged where nothing goes;
     removed lists the spans that go (first and end as sentence numbers, and the text).
     Null and empty texts have no sentences and are kept as empty; rows that agree in id and
-    text are one text, treated alike; null ids sort first. Other columns are not read.
+    text are one text, treated alike; null ids sort first. Columns named in keep come along, others are not read.
 
     Counts are combined before the shuffle, so a passage that a third of all rows hold
     costs a row for each task; the occurrences of repeated runs meet the counts in joins that
     adaptive execution can split. Runs are compared by 64-bit hashes.
     """
-    base = df.select(F.col(ids).alias("i"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    base = df.select(F.col(ids).alias("i"), F.col(text).cast("string").alias("t"), *(F.col(c).alias(f"x{k}") for k, c in enumerate(keep))).withColumn("h", F.xxhash64("t"))
     kind = df.schema[ids].dataType
     schema = T.StructType([T.StructField("i", kind), T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("run", T.LongType())])
     runs = base.select("i", "h", "t").mapInArrow(_runs(run, min_words), schema)
@@ -96,8 +96,8 @@ def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run
     first = repeated.groupBy("run").agg(F.min(F.struct("i", "h", "pos")).alias("f")).select("run", F.col("f.i").alias("fi"), F.col("f.h").alias("fh"), F.col("f.pos").alias("fp"))
     later = repeated.join(first, "run").filter(~(F.col("i").eqNullSafe(F.col("fi")) & (F.col("h") == F.col("fh")) & (F.col("pos") == F.col("fp"))))
     starts = later.groupBy("i", "h").agg(F.collect_set("pos").alias("starts")).select(F.col("i").alias("i2"), F.col("h").alias("h2"), "starts")
-    joined = base.join(starts, F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left").select("i", "t", "starts")
+    joined = base.join(starts, F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left").select("i", "t", "starts", *(f"x{k}" for k in range(len(keep))))
     span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
-    names = [ids, "n_sentences", "n_removed", "removed_words", "kept", "removed"]
-    out = T.StructType([T.StructField(ids, kind), *(T.StructField(x, T.LongType()) for x in names[1:4]), T.StructField("kept", T.StringType()), T.StructField("removed", T.ArrayType(span))])
-    return joined.mapInArrow(_removed(run, names), out)
+    names = [ids, "n_sentences", "n_removed", "removed_words", "kept", "removed", *keep]
+    out = T.StructType([T.StructField(ids, kind), *(T.StructField(x, T.LongType()) for x in names[1:4]), T.StructField("kept", T.StringType()), T.StructField("removed", T.ArrayType(span)), *(T.StructField(c, df.schema[c].dataType) for c in keep)])
+    return joined.mapInArrow(_removed(run, names, len(keep)), out)
