@@ -7,10 +7,11 @@ sets agree in a whole part: they meet in that part's tile. Pairs from the tiles
 bounded from above by the bit counts of hashed parity bitmaps, and what passes is
 decided by the intersection of the sorted arrays.
 
-Tiles of many members don't emit their pairs: each round compares every member with
-one leader, links are contracted to components, and only tiles that still hold several
-components go on, the leader gone. What is left after some rounds is compared pair by
-pair between components, so no link between different components is lost.
+Tiles don't emit their pairs. First every member is compared with its tile's leader, the
+member that lies in most tiles of all, and links are contracted to components. Only tiles
+that still hold several components go on: their members, in blocks of bounded size, are
+held against each other by bit counts, and only pairs of different components that may
+link leave the block, to be decided exactly. So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .common import ASCII_SPACE, as_bytes, materialise, slices
 from .components import components
 
 BITS = 1024
-#: Rounds with one leader a tile before the rest is compared pair by pair.
-ROUNDS = 3
+#: Members of a tile in a block, on average; larger tiles are compared block by block.
+BLOCK = 2000
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 _IS_SPACE = np.zeros(256, bool)
@@ -215,6 +216,63 @@ def _bounded(threshold: int):
     return run
 
 
+def _close_in_blocks(threshold: int):
+    """From rows sorted by (tile, bi, bj): pairs of different labels whose bitmaps allow enough common elements.
+
+    A group is a block (bi = bj) or two blocks of a tile; one group is in memory at a time.
+    """
+
+    def close(rows: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        own, node, n, label = (t[c].to_numpy() for c in ("own", "node", "n", "label"))
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(n), BITS // 64)
+        crossed = t["bi"][0].as_py() != t["bj"][0].as_py()
+        for k in range(len(n) - 1):
+            keep = label[k + 1 :] != label[k]
+            if crossed:
+                keep &= own[k + 1 :] != own[k]
+            total = n[k] + n[k + 1 :]
+            keep &= (100 * np.minimum(n[k], n[k + 1 :])) >= threshold * np.maximum(n[k], n[k + 1 :])
+            at = np.flatnonzero(keep)
+            if len(at):
+                differ = np.bitwise_count(bits[k + 1 + at] ^ bits[k]).sum(1).astype(np.int64)
+                at = at[(100 + threshold) * (total[at] - differ) >= 2 * threshold * total[at]]
+                if len(at):
+                    yield np.minimum(node[k], node[k + 1 + at]), np.maximum(node[k], node[k + 1 + at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[list[pa.RecordBatch]]:
+            rows: list[pa.RecordBatch] = []
+            last = None
+            for b in batches:
+                key = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+                start = 0
+                for k in range(b.num_rows + 1):
+                    if k < b.num_rows and key[k] == last:
+                        continue
+                    if k > start:
+                        rows.append(b.slice(start, k - start))
+                    start = k
+                    if k < b.num_rows:
+                        if rows:
+                            yield rows
+                        rows, last = [], key[k]
+            if rows:
+                yield rows
+
+        seen: set[tuple[int, int]] = set()  # pairs meet in many tiles; a partition sends one out once, as far as this bound goes
+        for rows in groups():
+            for x, y in close(rows):
+                new = [p for p in zip(x.tolist(), y.tolist(), strict=True) if p not in seen]
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.update(new)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["x", "y"])
+
+    return run
+
+
 def _verified(threshold: int):
     """Keeps the pairs whose sorted arrays intersect in enough elements."""
 
@@ -235,7 +293,7 @@ def _verified(threshold: int):
     return run
 
 
-def jaccard_components(df: DataFrame, ids: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80, rounds: int = ROUNDS) -> DataFrame:
+def jaccard_components(df: DataFrame, ids: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per row of df: the id column, n_shingles and component_id.
 
     Documents whose sets of width-word shingles reach the Jaccard similarity
@@ -246,7 +304,7 @@ def jaccard_components(df: DataFrame, ids: str = "doc_id", text: str = "text", w
 
     Equal sets are one node, so copies cost a profile each and nothing more. Written
     tables: the profiles (about 170 bytes a document), the tiles with several members, the
-    links. No set of texts is shuffled but those of candidates.
+    links. A block of a tile is compared in one task, at most a few thousand bitmaps. No set of texts is shuffled but those of candidates.
     """
     kind = df.schema[ids].dataType
     base = df.select(F.col(ids).alias("i"), F.col(text).cast("string").alias("t"))
@@ -257,34 +315,29 @@ def jaccard_components(df: DataFrame, ids: str = "doc_id", text: str = "text", w
     nodes = materialise(named.groupBy("h1", "h2", "n").agg(F.min("i").alias("rep"), F.first("bits").alias("bits")))
     rows = base.filter("i is not null").select("t").mapInArrow(_tile_rows(width, threshold), "tile long, node long")
     w = Window.partitionBy("tile").orderBy("node")
-    members = rows.select("tile", "node", F.first("node").over(w).alias("leader"), F.lag("node").over(w).alias("before"))
-    # One row for each member that is not the leader: what tiles of one member had is gone here.
-    members = materialise(members.filter("node != leader and node != before").select("tile", "leader", "node"))
-    pairs = members.select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct()
+    members = rows.select("tile", "node", F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("before"))
+    # One row for each member but the first: what tiles of one member had is gone here.
+    others = materialise(members.filter("node != first and node != before").select("tile", "first", "node"))
+    members = others.select("tile", "node").unionByName(others.select("tile", F.col("first").alias("node")).distinct())
+    degree = members.groupBy("node").agg(F.count("*").alias("d"))
+    leaders = materialise(members.join(degree, "node").groupBy("tile").agg(F.max(F.struct("d", "node"))["node"].alias("leader"), F.count("*").alias("size")))
+    held = members.join(leaders, "tile").filter("node != leader")
+    pairs = held.select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct()
     # Different sets under one 64-bit node value are candidates too.
     clash = nodes.groupBy("h1").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("h1").alias("x"), F.col("h1").alias("y"))
     links = materialise(_links(base, nodes, pairs.unionByName(clash), width, threshold))
+    named = nodes.select(F.col("h1").alias("node"), "n", "bits", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    named = materialise(named.select("node", "n", "bits", F.xxhash64(F.coalesce("label", "rep")).alias("label")))
+    # The leader has been compared with all: what is left of a tile is the rest, if it has several components.
+    rest = held.filter("size > 2").select("tile", "node", "size").join(named.select("node", "label"), "node")
+    several = rest.groupBy("tile").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l != m").select("tile")
+    rest = rest.join(several, "tile").withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rest = rest.select("tile", "node", "own", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other")).select("tile", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node")
+    rest = rest.join(named, "node").select("tile", "bi", "bj", "own", "node", "n", "label", "bits")
+    rest = rest.repartition("tile", "bi", "bj").sortWithinPartitions("tile", "bi", "bj")
+    pairs = rest.mapInArrow(_close_in_blocks(threshold), "x long, y long").distinct()
+    links = links.unionByName(materialise(_links(base, nodes, pairs, width, threshold)))
     labels = components(links)
-    remaining = members.select("tile", "node").unionByName(members.select("tile", F.col("leader").alias("node")).distinct())
-    gone = members.select("tile", F.col("leader").alias("node")).distinct()
-    for step in range(rounds + 1):
-        remaining = remaining.join(gone, ["tile", "node"], "left_anti")
-        label = nodes.select(F.col("h1").alias("node"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("label"))
-        at = remaining.join(label, "node")
-        several = at.groupBy("tile").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("node").alias("leader")).filter("l != m").select("tile", "leader")
-        remaining = materialise(at.join(several, "tile"))
-        if not remaining.limit(1).count():
-            break
-        if step < rounds:
-            head = remaining.filter("node = leader").select("tile", F.col("leader").alias("x"), F.col("label").alias("k"))
-            gone = head.select("tile", F.col("x").alias("node")).distinct()
-            pairs = remaining.filter("node != leader").join(head, "tile").filter("label != k").select("x", F.col("node").alias("y")).distinct()
-            remaining = remaining.select("tile", "node")
-        else:
-            other = remaining.select("tile", F.col("node").alias("x"), F.col("label").alias("k"))
-            pairs = remaining.join(other, "tile").filter("label != k and x < node").select("x", F.col("node").alias("y")).distinct()
-        links = links.unionByName(materialise(_links(base, nodes, pairs, width, threshold)))
-        labels = components(links)
     label = labels.select(F.col("node").alias("rep"), "label")
     classes = nodes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), "rep").join(label, "rep", "left")
     found = profiles.join(classes, (profiles["h1"] == classes["c1"]) & (profiles["h2"] == classes["c2"]) & (profiles["n"] == classes["cn"]) & profiles["i"].isNotNull(), "left")
