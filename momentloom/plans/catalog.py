@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import series_queries
+from . import candidate_queries, series_queries
 
-QUERIES = {**series_queries.QUERIES}
-SQL = {**series_queries.SQL}
+_MODULES = (candidate_queries, series_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
