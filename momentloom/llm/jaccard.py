@@ -33,6 +33,8 @@ from .components import components
 BITS = 1024
 #: Members of a tile in a block, on average; larger tiles are compared block by block.
 BLOCK = 2000
+#: Most bits of the filter that tells which texts are wanted (8 MB).
+FILTER_BITS = 1 << 26
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 _IS_SPACE = np.zeros(256, bool)
@@ -189,12 +191,30 @@ def _tile_rows(width: int, threshold: int):
     return run
 
 
-def _sets(width: int):
+def _wanted_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of 64-bit ids with two bits each, as 64-bit words: sixteen bits for each id, FILTER_BITS at most."""
+    n = ids.count()
+    size = 1 << min(FILTER_BITS.bit_length() - 1, max(12, (16 * n - 1).bit_length()))
+    place = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(k), column), F.lit(size)) for k in range(2))))
+    words = ids.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(size >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _sets(width: int, bits):
+    """Sets of the rows (t, p0, p1) whose two hashes are in the filter; the others pass without work."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", SLICE):
-            sets = shingle_sets(as_bytes(b.column(0)), width)
-            keys = [_set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "s"])
+        own = bits.value
+        mask = np.int64(len(own) * 64 - 1)
+        for batch in batches:
+            at = [batch.column(k).to_numpy() & mask for k in (1, 2)]
+            there = np.logical_and(*((own[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) for x in at))
+            for b in slices([batch.filter(pa.array(there))], "t", SLICE):
+                sets = shingle_sets(as_bytes(b.column(0)), width)
+                keys = [_set_key(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "s"])
 
     return run
 
@@ -356,7 +376,9 @@ def _links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, thre
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(x, T.LongType()) for x in ("h1_a", "h2_a", "h1_b", "h2_b"))])
     close = materialise(both.mapInArrow(_bounded(threshold), schema))
     wanted = close.select(F.col("a").alias("i")).unionByName(close.select(F.col("b").alias("i"))).distinct()
-    sets = base.join(wanted, "i", "left_semi").select("t").mapInArrow(_sets(width), "h1 long, h2 long, s binary")
+    # Texts are not shuffled to find the candidates': a filter of bounded size tells which may be wanted.
+    bits = base.sparkSession.sparkContext.broadcast(_wanted_bits(wanted, "i"))
+    sets = base.filter("i is not null").select("t", F.xxhash64(F.lit(0), "i").alias("p0"), F.xxhash64(F.lit(1), "i").alias("p1")).mapInArrow(_sets(width, bits), "h1 long, h2 long, s binary")
     sets = sets.groupBy("h1", "h2").agg(F.first("s").alias("s"))
     a = sets.select(F.col("h1").alias("h1_a"), F.col("h2").alias("h2_a"), F.col("s").alias("s_a"))
     b = sets.select(F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b"), F.col("s").alias("s_b"))
