@@ -109,6 +109,13 @@ def batches_of(df: DataFrame, key: list[str], order: list, size: int = 10) -> Da
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1) / size).cast("long"))
 
 
+def prompts(batched: DataFrame, key: list[str], order: str) -> DataFrame:
+    """One text for each batch: a header with the rounded length and the text of each window, in order."""
+    part = F.concat(F.lit("## "), F.col(order).cast("string"), F.lit(" ("), F.bround((F.col("end_ms") - F.col("start_ms")) / 1000.0, 0).cast("long").cast("string"), F.lit(" s)\n"), F.col("text"))
+    g = batched.groupBy(*key, "batch").agg(F.array_sort(F.collect_list(F.struct(order, part.alias("part")))).alias("parts"))  # as many as a batch holds
+    return g.select(*key, "batch", F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n").alias("prompt"))
+
+
 def top_slice(df: DataFrame, key: list[str], score: str, ties: list[str], k: Column) -> DataFrame:
     """The k rows of the highest score of each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(score), *ties))).filter(F.col("_r") <= k).drop("_r")

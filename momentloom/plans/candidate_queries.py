@@ -223,6 +223,12 @@ def llm_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.batches_of(_windows(spark, sf_dir).select("doc_id", "j0"), ["doc_id"], ["j0"])
 
 
+@query(f"""WITH RECURSIVE {WIN}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY j0) - 1) // 10 AS batch FROM win)
+SELECT doc_id, batch, string_agg('## ' || j0 || ' (' || round_even((end_ms - start_ms) / 1000.0::DOUBLE, 0)::BIGINT || ' s)' || chr(10) || text, chr(10) || chr(10) ORDER BY j0) AS prompt FROM b GROUP BY doc_id, batch""")
+def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.prompts(C.batches_of(_windows(spark, sf_dir), ["doc_id"], ["j0"]), ["doc_id"], "j0")
+
+
 REPLIES = """replies AS (SELECT doc_id, 'Sure: ' || CASE WHEN doc_id % 7 = 0 THEN 'no list' ELSE '[' || '{"id": ' || (doc_id % 5) || ', "score": "' || (doc_id % 150) || '", "title": "T' || doc_id || '"}, {"id": "x", "score": 5}, {"id": '
   || (doc_id % 3) || ', "score": "bad", "title": "U' || doc_id || '"}, {"id": 99, "score": 1}]' END || ' done' AS reply FROM documents)"""
 

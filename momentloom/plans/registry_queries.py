@@ -179,3 +179,10 @@ def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("volume", "state").orderBy(F.desc("created_s"), "job_id")
     band = F.when(F.col("state").startswith("done"), "done").when(F.col("state").isin("error", "cancelled"), "error").otherwise("active")
     return _jobs(spark, sf_dir).select("job_id", band.alias("band"), (~F.col("state").isin("done", "awaiting_approval") & (F.row_number().over(w) == 1)).alias("first_active"))
+
+
+@query("SELECT page_id, regexp_matches(url, '^https?://') AS valid, CASE WHEN page_id % 4 < 3 THEN ['local', 'openai', 'gemini'][(page_id % 4 + 1)::INT] END AS provider FROM pages")
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a request's address can be fetched, and its provider if it is one of the known ones."""
+    asked = F.get(F.array(*map(F.lit, ("local", "openai", "gemini", "other"))), (F.col("page_id") % 4).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.col("url").rlike("^https?://").alias("valid"), F.when(asked.isin("local", "openai", "gemini"), asked).alias("provider"))
