@@ -36,7 +36,7 @@ BLOCK = 2000
 #: Most bits of the filter that tells which texts are wanted (8 MB).
 FILTER_BITS = 1 << 26
 #: Bytes of text that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(ASCII_SPACE.encode())] = True
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -284,7 +284,7 @@ def _close_in_blocks(threshold: int):
         for rows in groups():
             for x, y in close(rows):
                 new = [p for p in zip(x.tolist(), y.tolist(), strict=True) if p not in seen]
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.update(new)
                 if new:
