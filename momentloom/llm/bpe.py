@@ -28,7 +28,7 @@ from .common import as_bytes, slices
 BYTE_BASE, SEPARATOR = 0x100, "Ȁ"
 SPACE_BEFORE_SPACE = re.compile(r"(?:\s|^) ")
 #: Chunks of a generation that a worker remembers.
-CACHE = 80_000
+CACHE = 120_000
 
 
 def _varint(n: int) -> bytes:
