@@ -104,7 +104,7 @@ class ChunkCache:
         known, before = self.known, self.before
         absent = wanted.difference(known)
         missing = list(absent.difference(before))
-        known.update((c, before[c]) for c in absent.intersection(before))
+        known.update((c, before[c]) for c in absent if c in before)
         if missing:
             known.update(zip(missing, self.encode_missing(missing), strict=True))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
