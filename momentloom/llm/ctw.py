@@ -2,38 +2,44 @@
 
 A text is its words in lower case, each coded byte by byte and closed by a space, and an
 end. A byte is eight binary decisions. Each decision has a context tree: the context is
-the bytes before it in the word, back to the word's start, and then the last byte over
-127 among the REACH bytes before the word (0 for none), DEPTH bytes in all at most. That
-last byte stands for the text's language, as far as bytes show it. A node estimates the decision by Krichevsky and Trofimov from its counts, and mixes its
-estimate with its children's by half and half; with all training counts known that
-gives each node a posterior weight, so that the probability of a byte is a fixed
-mixture of the estimates of all depths.
+the DEPTH bytes before it, across words; before a text's first byte stand spaces. A node
+estimates the decision by Krichevsky and Trofimov from its counts, and mixes its estimate
+with its children's by half and half; with all training counts known that gives each node
+a posterior weight, so that the probability of a byte is a fixed mixture of the estimates
+of all depths. All contexts that the training texts hold are in the tree.
+
+The tree is cut below its first ROOT bytes: a subtree lies in one group of subtrees, and
+what is above has at most 256 ** (ROOT - 1) contexts, however large the input.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, as_bytes, crc_mod, materialise, slices
+from .common import as_bytes, crc_mod, materialise, slices
 
-#: Longest context in bytes, and how far before a word a byte over 127 is looked for. START stands before a word, STOP after it; END is the text's end as a word.
-DEPTH, REACH = 7, 200
+#: Longest context in bytes. START stands before a text, STOP after a word; END is the text's end as a word.
+DEPTH = 7
 START = STOP = 0x20
 END = b"\n"
-#: Contexts of the model: the most frequent ones, by a count that doubles until so many are left.
-MOST_CONTEXTS = 12_288
+#: Subtrees begin at this depth; most groups that they are dealt to.
+ROOT, MOST_GROUPS = 3, 2048
 #: Bytes of text in a block of documents, the unit in which words get their scores; most partitions for blocks.
 BLOCK, MOST_PARTS = 16 << 20, 20_000
 #: Words that a task counts before it hands them on.
 WORDS = 400_000
+#: Grams that a task holds before it sums equal ones; a slice's bytes.
+GRAMS, SLICE = 3_000_000, 1 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -41,25 +47,9 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def marked_tokens(text: bytes) -> list[bytes]:
-    """Each token after one byte more: the last byte over 127 within REACH bytes before it, or 0."""
-    own = tokens(text)
-    raw = np.frombuffer(text, np.uint8)
-    high = raw > 127
-    if not high.any():
-        return [b"\0" + w for w in own]
-    space = _IS_SPACE[raw]
-    start = np.append(np.flatnonzero(~space & np.append(True, space[:-1])), len(raw))
-    last = np.maximum.accumulate(np.where(high, np.arange(len(raw)), -1 << 40))
-    before = last[start - 1]
-    before[start == 0] = -1 << 40
-    mark = np.where(start - before <= REACH, raw[np.maximum(before, 0)], 0)
-    return [_BYTE[m] + w for m, w in zip(mark.tolist(), own, strict=True)]
-
-
-_BYTE = [bytes([k]) for k in range(256)]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(ASCII_SPACE.encode())] = True
+def stream(text: bytes) -> bytes:
+    """The bytes to code: each token and STOP."""
+    return b" ".join(tokens(text)) + bytes([STOP])
 
 
 def contexts(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +96,7 @@ def _log_factorial(n: np.ndarray) -> np.ndarray:
 
 
 class ContextTree:
-    """Log10 probabilities of all bytes after each kept context."""
+    """Log10 probabilities of all bytes after each context: a small tree held whole, which tests compare with."""
 
     def __init__(self, keys: np.ndarray, table: np.ndarray):
         self.keys, self.table = keys, table
@@ -183,43 +173,230 @@ def weigh(keys: np.ndarray, bytes_: np.ndarray, counts: np.ndarray) -> ContextTr
     return ContextTree(kept, log.astype(np.float32))
 
 
-def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, byte, n) of a partition of (word, c), combined for each slice."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 20_000):
-            b = batch.slice(k, 20_000)
-            word, byte, keys = contexts(b.column(0).to_pylist())
-            weight = b.column(1).to_numpy()[word]
-            for d in range(DEPTH + 1):
-                there = keys[d] >= 0
-                order = np.lexsort((byte[there], keys[d][there]))
-                key, own, w = keys[d][there][order], byte[there][order], weight[there][order]
-                if len(key):
-                    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(own[new].astype(np.int16)), pa.array(np.add.reduceat(w, new))], ["context", "byte", "n"])
+def grams(streams: list[bytes]) -> np.ndarray:
+    """For each byte to code the DEPTH bytes before it, the nearest in the highest place, and the byte in the lowest: sorted, they are a tree."""
+    pad = bytes([START]) * DEPTH
+    raw = np.frombuffer(b"".join(pad + s for s in streams), np.uint8).astype(np.uint64)
+    size = np.fromiter((len(s) + DEPTH for s in streams), np.int64, len(streams))
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    out = raw[DEPTH:].copy()
+    for d in range(1, DEPTH + 1):
+        out |= raw[DEPTH - d : len(raw) - d] << np.uint64(64 - 8 * d)
+    own = np.arange(DEPTH, len(raw)) - np.repeat(np.cumsum(size) - size, size)[DEPTH:]
+    return out[own >= DEPTH]
 
 
-def _columns(count: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "c"])
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their n."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.add.reduceat(n[order], new) if len(keys) else n
+
+
+class BlockGrams:
+    """The distinct grams of a block and how often its training texts hold them."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, streams: list[bytes], held: list[bool]) -> None:
+        for h in (False, True):
+            keys = np.sort(grams([s for s, x in zip(streams, held, strict=True) if x == h]))
+            if len(keys):
+                new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                n = np.diff(np.append(new, len(keys)))
+                self.parts.append((keys[new], np.zeros_like(n) if h else n))
+        if sum(len(k) for k, _ in self.parts[1:]) > GRAMS:
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
+        return self.parts[0]
+
+
+def by_group(keys: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, places of its keys in order): a group holds whole subtrees."""
+    g = ((keys >> np.uint64(64 - 8 * ROOT)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)
+    order = np.argsort(g, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(g[order].astype(np.int64)) != 0)) if len(g) else []
+    for a, z in zip(first, [*first[1:], len(g)], strict=True):
+        yield int(g[order[a]]), order[a:z]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers in order as compressed bytes of their differences, the like places together."""
+    step = np.diff(x, prepend=x.dtype.type(0))
+    return len(x).to_bytes(8, "little") + pa.compress(step.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(b[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel(), dtype=kind)
+
+
+_SMALL = 1 << 12
+_HALVES, _FACTORIALS = _log_gamma_half(np.arange(_SMALL, dtype=float)), _log_factorial(np.arange(_SMALL, dtype=float))
+
+
+def _log_kt_counts(seen: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """_log_kt of whole numbers, most of them small."""
+    small = np.minimum(seen, _SMALL - 1).astype(np.int64)
+    one = np.minimum(ones, small).astype(np.int64)
+    out = _HALVES[small - one] + _HALVES[one] - _FACTORIALS[small]
+    large = np.flatnonzero(seen >= _SMALL)
+    out[large] = _log_kt(seen[large] - ones[large], ones[large])
+    return out
+
 
+@dataclass
+class Level:
+    """Binary nodes of all contexts of a depth: ids (context << 8 | node), counts, log weighted probability, posterior weight of the own estimate."""
 
-def fit_tree(counts: DataFrame, most_contexts: int = MOST_CONTEXTS) -> ContextTree:
-    """Weighs the tree of all counted words (word, c). The driver gets the counts of most_contexts contexts at most."""
-    pairs = materialise(counts.filter("c > 0").select("word", "c").mapInArrow(_context_counts, "context long, byte smallint, n long").groupBy("context", "byte").agg(F.sum("n").alias("n")))
-    totals = pairs.groupBy("context").agg(F.sum("n").alias("total"))
-    sizes = totals.groupBy(F.floor(F.log2("total")).alias("size")).count().orderBy(F.desc("size")).collect()  # 64 rows at most
-    left, floor = most_contexts, 64
-    for r in sizes:
-        left -= r["count"]
-        if left < 0:
-            break
-        floor = r["size"]
-    chosen = totals.filter(F.floor(F.log2("total")) >= floor).select("context")
-    rows = pairs.join(chosen, "context").toPandas()
-    return weigh(rows["context"].to_numpy(np.int64), rows["byte"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+    ids: np.ndarray
+    seen: np.ndarray
+    ones: np.ndarray
+    own: np.ndarray
+    stay: np.ndarray | float
+    up: np.ndarray | None = None
 
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """(ids, seen, ones, log probability of the children) of the parents."""
+        ids, self.up = np.unique((self.ids >> np.uint64(16) << np.uint64(8)) | (self.ids & np.uint64(255)), return_inverse=True)
+        return ids, *(np.bincount(self.up, x, len(ids)) for x in (self.seen, self.ones, self.own))
 
-def score_texts(df: DataFrame, ids: str = "doc_id", text: str = "text", hold_out: tuple[int, int] = (7, 2), most_contexts: int = MOST_CONTEXTS, block: int = BLOCK) -> DataFrame:
+    def mixed(self, above: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of a one so far, weight left) from those of the parents."""
+        before, left = (x[self.up] for x in above)
+        return before + left * self.stay * (self.ones + 0.5) / (self.seen + 1), left * (1 - self.stay)
+
+
+def inner(ids: np.ndarray, seen: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Level:
+    kt = _log_kt_counts(seen, ones)
+    return Level(ids, seen, ones, np.logaddexp(kt, below) - np.log(2), 1 / (1 + np.exp(np.clip(below - kt, -700, 700))))
+
+
+def grow(keys: np.ndarray, n: np.ndarray) -> tuple[list[Level], list[np.ndarray]]:
+    """Levels ROOT to DEPTH of the subtrees of distinct sorted grams, and for each of the eight bits its node at DEPTH."""
+    parts, at, start = [], [], 0
+    byte = keys & np.uint64(255)
+    for k in range(8):
+        prefix = keys >> np.uint64(8 - k)
+        first = np.append(True, prefix[1:] != prefix[:-1])
+        new = np.flatnonzero(first)
+        bit = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(float)
+        parts.append(((keys[new] & ~np.uint64(255)) | np.uint64(1 << k) | byte[new] >> np.uint64(8 - k), np.add.reduceat(n, new), np.add.reduceat(n * bit, new)))
+        at.append(np.cumsum(first) - 1 + start)
+        start += len(new)
+    ids, seen, ones = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    levels = [Level(ids, seen, ones, _log_kt_counts(seen, ones), 1.0)]
+    for _ in range(DEPTH - ROOT):
+        levels.append(inner(*levels[-1].sums()))
+    return levels[::-1], at
+
+
+def crown(ids: np.ndarray, seen: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, probability so far, weight left) at depth ROOT - 1 from the sums of the subtrees; at most 256 ** ROOT of each."""
+    levels = [inner(ids, seen, ones, below)]
+    for _ in range(ROOT - 1):
+        levels.append(inner(*levels[-1].sums()))
+    root = levels.pop()
+    state = root.stay * (root.ones + 0.5) / (root.seen + 1), 1 - root.stay
+    for level in levels[::-1]:
+        state = level.mixed(state)
+    return ids, *state
+
+
+def priced_grams(keys: np.ndarray, n: np.ndarray, top: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log10 probability of each gram's byte after its context."""
+    levels, at = grow(keys, n)
+    above = levels[0].sums()[0]
+    place = np.searchsorted(top[0], above)
+    state = top[1][place], top[2][place]
+    for level in levels:
+        state = level.mixed(state)
+    one = np.clip(state[0], 1e-12, 1 - 1e-12)
+    yes, no = np.log10(one), np.log10(1 - one)
+    out = np.zeros(len(keys))
+    for k in range(8):
+        out += np.where(keys >> np.uint64(7 - k) & np.uint64(1) == 1, yes[at[k]], no[at[k]])
+    return out
+
+
+def _subtrees(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """A group's grams over all blocks in one row with the places of each block's, and its sums for the tree above."""
+    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blobs = rows["keys"].to_pylist()
+    for k, c in zip(blobs, rows["n"].to_pylist(), strict=True):
+        keys, n = summed(np.concatenate([keys, unpacked(k, np.uint64)]), np.concatenate([n, unpacked(c, np.int64)]))
+    places = []
+    for k in blobs:
+        mask = np.zeros(len(keys), bool)
+        mask[np.searchsorted(keys, unpacked(k, np.uint64))] = True
+        places.append(pa.compress(np.packbits(mask).tobytes(), codec="zstd", asbytes=True))
+    ids, *sums = grow(keys, n.astype(float))[0][0].sums()
+    none = [None] * len(ids)
+    cols = [pa.array([None, *ids.tolist()], pa.int64()), *(pa.array([None, *x.tolist()], pa.float64()) for x in sums)]
+    cols += [pa.array([packed(keys), *none], pa.binary()), pa.array([packed(n), *none], pa.binary())]
+    cols += [pa.array([key[0].as_py(), *none], pa.int32()), pa.array([rows["b"].to_pylist(), *none], pa.list_(pa.int32())), pa.array([places, *none], pa.list_(pa.binary()))]
+    return pa.table(cols, names=["id", "seen", "ones", "below", "keys", "n", "g", "blocks", "places"])
+
+
+def _prices(top):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(b, g, p): the prices of a block's grams of a group, in the grams' order."""
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
+                keys = unpacked(row["keys"], np.uint64)
+                p = priced_grams(keys, unpacked(row["n"], np.int64).astype(float), top.value).astype(np.float32)
+                for b, m in zip(row["blocks"], row["places"], strict=True):
+                    mask = np.unpackbits(np.frombuffer(pa.decompress(m, decompressed_size=-(-len(keys) // 8), codec="zstd", asbytes=True), np.uint8), count=len(keys)).astype(bool)
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["g"]], pa.int32()), pa.array([p[mask].tobytes()], pa.binary())], ["b", "g", "p"])
+
+    return run
+
+
+def gram_prices(dealt: DataFrame, groups: int) -> DataFrame:
+    """(b, g, p) for dealt texts (t, held, b), a block's rows one after the other in a partition."""
+
+    def found(b: int, own: BlockGrams) -> pa.RecordBatch:
+        keys, n = own.done()
+        rows = [(g, packed(keys[at]), packed(n[at])) for g, at in by_group(keys, groups)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["g", "b", "keys", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, BlockGrams()
+        for x in slices(batches, "t", SLICE):
+            texts, held, block = as_bytes(x.column(0)), x.column(1).to_pylist(), x.column(2).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, z in zip(cut, cut[1:], strict=False):
+                if block[a] != last and last is not None:
+                    yield found(last, own)
+                    own = BlockGrams()
+                last = int(block[a])
+                own.add([stream(t) for t in texts[a:z]], held[a:z])
+        if last is not None:
+            yield found(last, own)
+
+    spark = dealt.sparkSession
+    parts = dealt.select("t", "held", "b").sortWithinPartitions("b").mapInArrow(counted, "g int, b int, keys binary, n binary")
+    trees = materialise(parts.groupBy("g").applyInArrow(_subtrees, "id long, seen double, ones double, below double, keys binary, n binary, g int, blocks array<int>, places array<binary>"))
+    sums = trees.filter("id is not null").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("seen", "ones", "below"))).orderBy("id").toPandas()  # 256 ** ROOT rows at most
+    ids = sums["id"].to_numpy(np.int64).astype(np.uint64)
+    top = crown(ids, *(sums[c].to_numpy(float) for c in ("seen", "ones", "below"))) if len(ids) else (ids, np.zeros(0), np.zeros(0))
+    return trees.filter("keys is not null").select("keys", "n", "g", "blocks", "places").mapInArrow(_prices(spark.sparkContext.broadcast(top)), "b int, g int, p binary")
+
+
+def _columns(count: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "c"])
+
+
+def score_texts(df: DataFrame, ids: str = "doc_id", text: str = "text", hold_out: tuple[int, int] = (7, 2), block: int = BLOCK) -> DataFrame:
     """One row per row of df: the id column, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     Learns from rows whose crc32(id) mod hold_out[0] is not hold_out[1]. base_score is
@@ -241,11 +418,11 @@ def score_texts(df: DataFrame, ids: str = "doc_id", text: str = "text", hold_out
     base = base.withColumn("held", crc_mod("i", hold_out[0]) == hold_out[1])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, c): marked words, c of them in training texts; combined as far as WORDS of them."""
+        """(word, c): words, c of them in training texts; combined as far as WORDS of them."""
         count: Counter = Counter()
         for x in slices(batches, "t"):
             for t, h in zip(as_bytes(x.column(0)), x.column(1).to_pylist(), strict=True):
-                own = marked_tokens(t)
+                own = tokens(t)
                 if h:
                     own = dict.fromkeys(own, 0)
                 count.update(own)
@@ -255,7 +432,7 @@ def score_texts(df: DataFrame, ids: str = "doc_id", text: str = "text", hold_out
         yield _columns(count)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(b, word): the distinct marked words of each block; a block's rows come one after the other."""
+        """(b, word): the distinct words of each block; a block's rows come one after the other."""
         last, seen = None, set()
         for x in slices(batches, "t"):
             for t, b in zip(as_bytes(x.column(1)), x.column(3).to_pylist(), strict=True):
@@ -263,50 +440,63 @@ def score_texts(df: DataFrame, ids: str = "doc_id", text: str = "text", hold_out
                     yield pa.RecordBatch.from_arrays([pa.array([last] * len(seen), pa.int32()), pa.array(list(seen), pa.binary())], ["b", "word"])
                     seen = set()
                 last = b
-                seen.update(marked_tokens(t))
+                seen.update(tokens(t))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([last] * len(seen), pa.int32()), pa.array(list(seen), pa.binary())], ["b", "word"])
 
     counts = base.select("t", "held").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    plain = F.substring("word", 2, 1 << 30)
-    of_word = Window.partitionBy("plain")  # 256 marks at most
-    # every: the word's count under all marks; once: the mark that stands for the word in V.
-    counts = counts.withColumn("plain", plain).select("word", "c", F.sum("c").over(of_word).alias("every"), (F.row_number().over(of_word.orderBy("word")) == 1).alias("once"))
     counts = materialise(counts)
-    train_tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("once") & (F.col("every") > 0))).first()
-    tree = spark.sparkContext.broadcast(fit_tree(counts, most_contexts))  # most_contexts * 256 numbers of four bytes
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 20_000):
-                b = batch.slice(k, 20_000)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.value.word_scores(b.column(0).to_pylist()))], ["word", "c", "p"])
-
-    priced = counts.select("word", "every").mapInArrow(scored, "word binary, c long, p double")
-    # One shuffle of the texts serves both: the words that a block asks for, and its scores.
+    train_tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    groups = max(32, min(2 * blocks, MOST_GROUPS))
+    # One shuffle of the texts serves both the words that a block asks for and its scores; the grams are counted before.
     parts = max(min(blocks, MOST_PARTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = base.select("i", "t", "held", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int").alias("b")).repartition(parts, "b")
     wanted = dealt.sortWithinPartitions("b").mapInArrow(asked, "b int, word binary")
     # Within a block a word's 64-bit hash stands for it: half the bytes of the word.
-    prices = wanted.join(priced, "word").select("b", F.xxhash64("word").alias("h"), "c", F.col("p").cast("float").alias("p"))
+    known = wanted.join(counts, "word").select("b", F.xxhash64("word").alias("h"), "c", F.lit(None).cast("int").alias("g"), F.lit(None).cast("binary").alias("p"))
+    prices = known.unionByName(gram_prices(dealt, groups).select("b", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), "g", "p"))
     most = np.log10(train_tokens + vocabulary + 1)
 
     def score(key, docs: pa.Table, price: pa.Table) -> pa.Table:
-        c = price["c"].to_numpy()
-        at = dict(zip(price["h"].to_pylist(), range(len(c)), strict=True))
+        of_word = pc.is_null(price["g"])
+        words, of_gram = price.select(["h", "c"]).filter(of_word), price.select(["g", "p"]).filter(pc.invert(of_word))
+        c = words["c"].to_numpy()
+        at = dict(zip(words["h"].to_pylist(), range(len(c)), strict=True))
+        own_grams = BlockGrams()
         place: dict[bytes, int] = {}
-        known, logs, p = (c > 0).astype(np.int64), np.log10(c + 1.0) - most, price["p"].to_numpy().astype(np.float64)
-        rows = []
-        for t in docs["t"].cast(pa.binary()).to_pylist():
-            own = marked_tokens(t)
-            for w in set(own).difference(place):
-                h = xxhash.xxh64_intdigest(w, 42)  # as Spark's xxhash64
-                place[w] = at[h - (h >> 63 << 64)]
-            x = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-            s = float(p[x].sum())
-            rows.append((len(own), int(known[x].sum()), float(logs[x].sum()), s, -s / np.log10(2) / sum(map(len, own))))
-        col = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([docs["i"], docs["held"], pa.array(col[0], pa.int64()), pa.array(col[1], pa.int64()), pa.array([train_tokens] * len(rows), pa.int64()), *(pa.array(x, pa.float64()) for x in col[2:])], names=schema.names)
+        seen, logs = (c > 0).astype(np.int64), np.log10(c + 1.0) - most
+        rows, scores = [], []
+        held = docs["held"].to_pylist()
+        texts = docs.select(["t"]).set_column(0, "t", docs["t"].cast(pa.binary())).combine_chunks().to_batches()
+        first = 0
+        for x in slices(texts, "t", SLICE):
+            own_grams.add([stream(t or b"") for t in x.column(0).to_pylist()], held[first : first + x.num_rows])
+            first += x.num_rows
+        keys, _ = own_grams.done()
+        p = np.full(len(keys), np.nan, np.float32)
+        by = dict(zip(of_gram["g"].to_pylist(), of_gram["p"].to_pylist(), strict=True))
+        for g, k in by_group(keys, groups):
+            p[k] = np.frombuffer(by.pop(g), np.float32)
+        for x in slices(texts, "t", SLICE):
+            streams = []
+            for t in x.column(0).to_pylist():
+                own = tokens(t or b"")
+                for w in set(own).difference(place):
+                    h = xxhash.xxh64_intdigest(w, 42)  # as Spark's xxhash64
+                    place[w] = at[h - (h >> 63 << 64)]
+                k = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+                rows.append((len(own), int(seen[k].sum()), float(logs[k].sum())))
+                streams.append(stream(t or b""))
+            gram = grams(streams)
+            order = np.argsort(gram)
+            price_of = np.empty(len(gram))
+            price_of[order] = p[np.searchsorted(keys, gram[order])]
+            size = np.fromiter(map(len, streams), np.int64, len(streams))
+            s = np.add.reduceat(price_of, np.cumsum(size) - size)
+            scores += zip(s.tolist(), (-s / np.log10(2) / size).tolist(), strict=True)
+        col = list(zip(*rows, strict=True)) or [()] * 3
+        out = list(zip(*scores, strict=True)) or [()] * 2
+        return pa.table([docs["i"], docs["held"], pa.array(col[0], pa.int64()), pa.array(col[1], pa.int64()), pa.array([train_tokens] * len(rows), pa.int64()), *(pa.array(x, pa.float64()) for x in (col[2], *out))], names=schema.names)
 
     schema = T.StructType([T.StructField(ids, kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score", "bits_per_byte"))])
     return dealt.groupBy("b").cogroup(prices.groupBy("b")).applyInArrow(score, schema)

@@ -297,6 +297,43 @@ def test_language_model_base_scores(spark, edges):
     assert ctw.score_texts(edges).count() == len(EDGES) and ctw.score_texts(edges.filter("false")).count() == 0
 
 
+def whole_tree_scores(rows, hold_out=(7, 2)):
+    """Scores under the tree of all contexts, held whole."""
+    count = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % hold_out[0] != hold_out[1]:
+            s = b" " * ctw.DEPTH + ctw.stream(t.encode())
+            count.update((s[k - d : k], s[k]) for k in range(ctw.DEPTH, len(s)) for d in range(ctw.DEPTH + 1))
+    key = lambda c: int.from_bytes(c[::-1], "little") | len(c) << 56 if c else 0
+    tree = ctw.weigh(np.array([key(c) for c, _ in count]), np.array([b for _, b in count]), np.array(list(count.values()), float))
+    at = {k: n for n, k in enumerate(tree.keys.tolist())}
+    out = {}
+    for i, t in rows:
+        s = b" " * ctw.DEPTH + ctw.stream(t.encode())
+        out[i] = sum(float(tree.table[next(at[key(s[k - d : k])] for d in range(ctw.DEPTH, -1, -1) if key(s[k - d : k]) in at), s[k]]) for k in range(ctw.DEPTH, len(s)))
+    return len(at), out
+
+
+def test_context_tree_keeps_every_context(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 40)))) for i in range(48)]
+    n, expected = whole_tree_scores(rows)
+    assert n > 12_288
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (16 << 20, 500):
+        got = ctw.score_texts(df, block=block).collect()
+        assert len(got) == len(rows) and {r.held_out for r in got} == {False, True}
+        for r in got:
+            assert abs(r.score - expected[r.doc_id]) < 1e-4 * abs(expected[r.doc_id])
+            assert abs(r.bits_per_byte * len(ctw.stream(dict(rows)[r.doc_id].encode())) * math.log10(2) + r.score) < 1e-6 * abs(r.score)
+
+
+def test_context_tree_sees_words_before(spark):
+    rows = [(i, "one two three four five six seven " * 5) for i in range(20)] + [(100, "one two three four five six seven"), (101, "seven five two six one four three")]
+    got = {r.doc_id: r for r in ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].n_tokens == got[101].n_tokens and got[100].score > got[101].score + 1
+
+
 def test_quality_classifier_on_held_out_rows(spark, edges):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
