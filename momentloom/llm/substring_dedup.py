@@ -33,31 +33,53 @@ def sentences(text: str, longest: int = LONGEST) -> tuple[str, list[str]]:
     return head, out
 
 
+#: So many characters of a word count as a word.
+WORD_CHARS = 8
+
+
+def sizes(words: list[list[str]]) -> list[int]:
+    """Words of each sentence; long words count by their characters."""
+    return [sum([len(w) // WORD_CHARS or 1 for w in x]) for x in words]
+
+
+def run_ends(size: list[int], run: int, least: int) -> list[int]:
+    """For each first sentence the end of the shortest run of at least run sentences that reaches the least size; shorter where none does."""
+    out, end, total = [], 0, 0
+    for k, own in enumerate(size):
+        while end < len(size) and (end - k < run or total < least):
+            total += size[end]
+            end += 1
+        if end - k < run or total < least:
+            break
+        out.append(end)
+        total -= own
+    return out
+
+
 def _runs(run: int, min_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 2 << 20):
             row, pos, key = [], [], []
             for r, text in enumerate(as_texts(b.column(2))):
                 words = [x.lower().split() for x in sentences(text)[1]]
-                size = [len(x) for x in words]
                 flat = [" ".join(x) for x in words]
-                for k in range(len(words) - run + 1):
-                    if sum(size[k : k + run]) >= min_words:
-                        row.append(r)
-                        pos.append(k)
-                        key.append(xxhash.xxh3_64_intdigest("\n".join(flat[k : k + run])))
+                for k, end in enumerate(run_ends(sizes(words), run, min_words)):
+                    row.append(r)
+                    pos.append(k)
+                    key.append(xxhash.xxh3_64_intdigest("\n".join(flat[k:end])))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), b.column(1).take(pa.array(row, pa.int64())), pa.array(pos, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64))], ["i", "h", "pos", "run"])
 
     return work
 
 
-def _removed(run: int, names: list[str], carried: int):
+def _removed(run: int, min_words: int, names: list[str], carried: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 2 << 20):
             total, gone, gone_words, kept, spans = [], [], [], [], []
             for text, starts in zip(as_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
                 head, parts = sentences(text)
-                covered = {k for s in starts or () for k in range(s, s + run)}
+                ends = run_ends(sizes([x.split() for x in parts]), run, min_words) if starts else ()
+                covered = {k for s in starts or () for k in range(s, ends[s])}
                 total.append(len(parts))
                 gone.append(len(covered))
                 gone_words.append(sum(len(parts[k].split()) for k in covered))
@@ -75,8 +97,8 @@ def _removed(run: int, names: list[str], carried: int):
 def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 12, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: the id column, n_sentences, n_removed, removed_words, kept and removed.
 
-    Every run of `run` consecutive sentences with min_words words or more is hashed
-    (words in lower case, white space aside). Of runs that occur more than once, in one
+    From every sentence the shortest run of at least `run` consecutive sentences with
+    min_words words or more is hashed (words in lower case, white space aside; long words count by characters). Of runs that occur more than once, in one
     text or in several, the first by (id, text hash, position) stays; sentences that another
     occurrence covers go. kept is the rest of the text, unchanged where nothing goes;
     removed lists the spans that go (first and end as sentence numbers, and the text).
@@ -100,4 +122,4 @@ def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run
     span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
     names = [ids, "n_sentences", "n_removed", "removed_words", "kept", "removed", *keep]
     out = T.StructType([T.StructField(ids, kind), *(T.StructField(x, T.LongType()) for x in names[1:4]), T.StructField("kept", T.StringType()), T.StructField("removed", T.ArrayType(span)), *(T.StructField(c, df.schema[c].dataType) for c in keep)])
-    return joined.mapInArrow(_removed(run, names, len(keep)), out)
+    return joined.mapInArrow(_removed(run, min_words, names, len(keep)), out)

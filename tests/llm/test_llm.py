@@ -232,6 +232,16 @@ def test_passages_against_brute_force(spark, edges):
     assert substring_dedup.dedup_substrings(edges).count() == len(EDGES) and substring_dedup.dedup_substrings(edges.filter("false")).count() == 0
 
 
+def test_passages_of_short_sentences(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    for most in (1, 2, 3):
+        passage = "".join(" ".join(word() for _ in range(rng.randint(1, most))) + rng.choice([". ", "!\n"]) for _ in range(60))
+        rows = [(i, f"{word()} {word()} own text. {passage}{word()} ends here.") for i in range(3)]
+        got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[i].n_removed for i in range(3)] == [0, 60, 60]
+
+
 def test_sentences_are_the_text():
     rng = random.Random(0)
     for _ in range(3000):
