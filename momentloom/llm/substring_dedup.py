@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +17,69 @@ from .common import as_texts, materialise, slices
 
 #: A sentence: up to closing punctuation before white space, or up to a line's end; what follows of white space belongs to it.
 SENTENCE = re.compile(r"\S(?:[^\n.!?]|[.!?](?!\s))*(?:[.!?](?=\s))?\s*")
-#: A sentence of more words is cut into pieces of so many.
+#: A sentence of more words is cut; a word of more than four times as many characters counts as several.
 LONGEST = 16
+#: A cut is where the hash of two words is least among so many words on either side.
+REACH = 3
+#: So many characters of a word count as a word.
+WORD_CHARS = 8
+UNIT = re.compile(r"\S+\s*")
+
+
+def cuts(hashes: list[int]) -> list[int]:
+    """Where to cut, decided by the hashes around: behind least ones, then behind the least in what is longer than 2 * REACH + 1.
+
+    Pieces have more than REACH units. Only far from any least one (repeated words) does counting decide.
+    """
+    n, least = len(hashes), REACH + 1
+    ends = [0]
+    for k in range(REACH, n - least):
+        h = hashes[k]
+        if h < min(hashes[k + 1 : k + least]) and h <= min(hashes[k - REACH : k]) and k + 1 - ends[-1] >= least:
+            ends.append(k + 1)
+    ends.append(n)
+    out = []
+    todo = list(zip(ends, ends[1:], strict=False))
+    while todo:
+        a, z = todo.pop()
+        if a:
+            out.append(a)
+        if z - a > 32 * least:
+            out += range(a + least, z - least, least)
+        elif z - a >= 2 * least:
+            own = hashes[a + REACH : z - least]
+            k = a + least + own.index(min(own))
+            todo += [(a, k), (k, z)]
+    return sorted(set(out))
+
+
+def _units(sentence: str, longest: int) -> list[str]:
+    """Words with the white space after them; long ones in pieces whose ends their characters decide."""
+    out = []
+    for w in UNIT.findall(sentence):
+        if len(w) <= 4 * longest:
+            out.append(w)
+        else:
+            at = [0, *cuts([zlib.crc32(w[max(0, k - REACH) : k + 1].lower().encode("utf-8", "replace")) for k in range(len(w))]), len(w)]
+            out += [w[a:z] for a, z in zip(at, at[1:], strict=False)]
+    return out
 
 
 def sentences(text: str, longest: int = LONGEST) -> tuple[str, list[str]]:
-    """(leading white space, sentences); together they are the text. Long sentences are cut by words."""
+    """(leading white space, sentences); together they are the text. Long sentences are cut where their words decide."""
     head = text[: len(text) - len(text.lstrip())]
     out = []
     for s in SENTENCE.findall(text[len(head) :]):
-        words = s.split(" ") if len(s) > 2 * longest else ()
-        if len(words) <= longest:
+        units = _units(s, longest) if len(s) > 2 * longest else ()
+        if len(units) <= longest:
             out.append(s)
         else:
-            out += [" ".join(words[k : k + longest]) + " " * (k + longest < len(words)) for k in range(0, len(words), longest)]
+            single = [zlib.crc32(u.strip().lower().encode("utf-8", "replace")) for u in units]
+            at = [0, *cuts([(x * 0x9E3779B1 ^ y * 0x85EBCA77) & 0xFFFFFFFF for x, y in zip(single, [0, *single], strict=False)]), len(units)]
+            out += ["".join(units[a:z]) for a, z in zip(at, at[1:], strict=False)]
     return head, out
 
 
-#: So many characters of a word count as a word.
-WORD_CHARS = 8
-
-
 def sizes(words: list[list[str]]) -> list[int]:
     """Words of each sentence; long words count by their characters."""
     return [sum([len(w) // WORD_CHARS or 1 for w in x]) for x in words]

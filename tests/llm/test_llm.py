@@ -242,6 +242,24 @@ def test_passages_of_short_sentences(spark):
         assert [got[i].n_removed for i in range(3)] == [0, 60, 60]
 
 
+def test_passages_without_spaces(spark):
+    rng = random.Random(6)
+    letters = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = letters(400)
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame([(i, letters(90 + i) + passage + letters(90)) for i in range(8)], "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and all(sum(len(x.text) for x in got[i].removed) > 300 for i in range(1, 8))
+
+
+@pytest.mark.parametrize("space", [" ", "\t"])
+def test_passages_at_all_offsets(spark, space):
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    passage = words(60)
+    rows = [(i, space.join(words(20 + i) + passage + words(25)) + ".") for i in range(17)]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and all(40 <= got[i].removed_words <= 60 for i in range(1, 17))
+
+
 def test_sentences_are_the_text():
     rng = random.Random(0)
     for _ in range(3000):
