@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,13 +20,15 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices
+from .common import as_bytes, remembered, slices
 
 #: First character of the byte alphabet, and the one that separates pre-tokens.
 BYTE_BASE, SEPARATOR = 0x100, "Ȁ"
+CHUNK_END = re.compile(r"(?<=\S)(?= )")
 SPACE_BEFORE_SPACE = re.compile(r"(?:\s|^) ")
 #: Chunks of a generation that a worker remembers.
 CACHE = 120_000
@@ -74,7 +77,7 @@ class ChunkCache:
 
     A pre-token never starts inside such a boundary's left side and ends on its right,
     so the chunks' ids, joined, are the text's ids. encode_missing gets the chunks
-    not seen yet and returns the packed ids of each. Chunks are remembered in two
+    not seen yet and returns the packed ids of each. Short chunks are remembered in two
     generations of about size each: what is in use moves on, the rest is forgotten.
     """
 
@@ -85,29 +88,17 @@ class ChunkCache:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
+        if SPACE_BEFORE_SPACE.search(text):
+            return CHUNK_END.split(text)
         parts = text.split(" ")
-        if not SPACE_BEFORE_SPACE.search(text):
-            return [parts[0], *map(" ".__add__, parts[1:])]
-        out = [parts[0]]
-        for p in parts[1:]:
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
+        return [parts[0], *map(" ".__add__, parts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        wanted = set().union(*cut)
         if len(self.known) > self.size:
             self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        absent = wanted.difference(known)
-        missing = list(absent.difference(before))
-        known.update((c, before[c]) for c in absent if c in before)
-        if missing:
-            known.update(zip(missing, self.encode_missing(missing), strict=True))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        found = remembered(set().union(*cut), self.known, self.before, self.encode_missing)
+        return [b"".join(map(found.__getitem__, chunks)) for chunks in cut]
 
 
 class ByteBPE:
@@ -162,6 +153,20 @@ def byte_bpe(path: str, pattern: str) -> ByteBPE:
     return _made[key]
 
 
+class RankEncoder:
+    """Packed ids of strings by a rank file, through tiktoken; its pattern matcher overflows on long runs of blanks, so long strings go through ByteBPE."""
+
+    LONG = 2000
+
+    def __init__(self, path: str):
+        self.path = path
+        self.by_rank = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+
+    def encode(self, strings: list[str]) -> list[bytes]:
+        encode = self.by_rank.encode_ordinary
+        return [array("I", encode(s)).tobytes() if len(s) <= self.LONG else byte_bpe(self.path, public_tokenizers.PATTERN).encode_chunks([s])[0] for s in strings]
+
+
 def bpe_encode(df: DataFrame, ids: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """One row per row of df: the id column and `ids`, the packed ids of the whole text.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names; a temporary one only where none is set and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="momentloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -89,6 +92,26 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20)
     release_memory()
 
 
+#: Longer strings are worked on but not remembered, so that a cache of so many entries has a bounded size.
+LONGEST_REMEMBERED = 64
+
+
+def remembered(wanted: Iterable[str], known: dict[str, bytes], before: dict[str, bytes], work: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+    """What work gives for each wanted string: from known or the older generation before, else worked out; short strings are then known."""
+    absent = set(wanted).difference(known)
+    known.update((w, before[w]) for w in absent if w in before)
+    missing = [w for w in absent if w not in before]
+    if not missing:
+        return known
+    new = dict(zip(missing, work(missing), strict=True))
+    long = {w: x for w, x in new.items() if len(w) > LONGEST_REMEMBERED}
+    if not long:
+        known.update(new)
+        return known
+    known.update((w, x) for w, x in new.items() if w not in long)
+    return {**{w: known[w] for w in wanted if w not in long}, **long}
+
+
 def crc_mod(doc_id: str, modulus: int) -> F.Column:
     """crc32 of doc_id as text, modulo modulus; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -9,13 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import ChunkCache, read_ranks
+from .bpe import ChunkCache, RankEncoder
 from .common import as_texts, materialise, slices
 
 #: Pieces that one task packs; more pieces make more shards, of this size at most on average.
@@ -28,23 +27,19 @@ class DocumentTokens:
     """Ids of whole texts by a tokenizers file, remembered by chunk.
 
     ranks names the same vocabulary as a rank file: chunks are then encoded from ranks,
-    which gives the same ids in a third of the time (tests hold both against each other).
+    which gives the same ids in a third of the time (tests hold both against each other,
+    so op2's ids are those of the tokenizers file, made from the same vocabulary's ranks).
     Texts that hold an added token's string always go through the tokenizers file.
     """
 
     def __init__(self, path: str, ranks: str | None):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_rank = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks), special_tokens={}) if ranks else None
-        self.cache = ChunkCache(self.encode_chunks if ranks else self.encode_all)
+        self.cache = ChunkCache(RankEncoder(ranks).encode if ranks else self.encode_all)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        encode = self.by_rank.encode_ordinary
-        return [array("I", encode(c)).tobytes() for c in chunks]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids: little-endian, unsigned, 32 bits."""
         whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
@@ -134,7 +129,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return sequence, offset
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, shard: int = SHARD, ids: str = "doc_id") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, shard: int = SHARD) -> DataFrame:
     """Adds sequence_id and offset to the pieces, each of at most capacity tokens.
 
     Full pieces are sequences of their own. The others are dealt at random over as many
@@ -143,14 +138,15 @@ def pack(pieces: DataFrame, capacity: int = 1024, shard: int = SHARD, ids: str =
     the few sequences that each shard leaves open. pieces is written once, as its count
     decides the shards. An empty table gives none; extra columns are kept.
     """
-    pieces = materialise(pieces)
+    # The row's number is written with it, so that equal rows part ways and a retried task deals them alike.
+    pieces = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()))
     shards = max(1, -(-pieces.count() // shard))
-    keyed = pieces.withColumn("_shard", F.pmod(F.xxhash64(ids, "piece", "start", "ids_crc32"), F.lit(shards)))
+    keyed = pieces.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards))).drop("_row")
     schema = T.StructType(keyed.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
-        order = np.lexsort((table["ids_crc32"].to_numpy(), -lengths))
+        order = np.lexsort((*(table[c].to_numpy() for c in ("ids_crc32", "start")), -lengths))
         sequence, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         sequence[order], offset[order] = sum_of_squares(lengths[order], capacity)
         first = int(table["_shard"][0].as_py()) * SHARD_STRIDE
