@@ -15,7 +15,7 @@ from .jaccard import jaccard_components
 from .line_dedup import LOWER, UPPER, dedup_lines
 from .media import read_media, store_media
 from .packing import pack, token_pieces
-from .quality import quality_rules
+from .quality import fit_bands, quality_rules
 from .substring_dedup import dedup_substrings
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -80,7 +80,8 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, bands=fit_bands(docs, table(spark, sf_dir, "labels"), hold_out=(5, 0)))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
