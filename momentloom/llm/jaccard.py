@@ -17,6 +17,7 @@ link leave the block, to be decided exactly. So no link between components is lo
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,6 +38,9 @@ BLOCK = 2000
 FILTER_BITS = 1 << 26
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 18
+#: Share of sets that may need tiles of empty parts.
+RARE = 1e-7
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(ASCII_SPACE.encode())] = True
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -62,12 +66,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _usual_powers = cache(lambda: _powers(2 * SLICE))
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingles of each text.
-
-    A-Z are lower-cased, words are runs of what is not ASCII white space; a text with
-    fewer words than width has its whole sequence as one shingle, one without words none.
-    """
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, place of each text's first word and the end)."""
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
@@ -77,7 +77,31 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     total = np.zeros(len(low) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=total[1:])
     words = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]) + 1)
+    return words, np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]) + 1)
+
+
+def _long_text_hashes(text: bytes) -> np.ndarray:
+    """The hashes of a long text's words, worked out in pieces that end at white space: some forty bytes of memory for each byte of a piece, not of the text."""
+    out, at = [], 0
+    while at < len(text):
+        gap = SPACE.search(text, at + SLICE)
+        end = gap.start() if gap else len(text)
+        out.append(_word_hashes([text[at:end]])[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingles of each text.
+
+    A-Z are lower-cased, words are runs of what is not ASCII white space; a text with
+    fewer words than width has its whole sequence as one shingle, one without words none.
+    """
+    if sum(map(len, texts)) > 2 * SLICE:
+        parts = [_long_text_hashes(t) for t in texts]
+        words, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    else:
+        words, first = _word_hashes(texts)
     joined = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
         joined = mix(joined * _PRIME + words[k : len(words) - width + 1 + k]) if len(joined) else joined
@@ -104,15 +128,18 @@ def _parts(low: int, differ: int) -> tuple[int, int]:
     """(parts, slack) for sets of low elements at least that differ in at most differ.
 
     slack parts are added so that sets with at most slack empty parts agree in one that
-    holds something; about one set in fifty has more, and its empty parts count as well.
+    holds something. A set with more has all its elements in differ parts; the chance of that is at most
+    C(parts, differ) * (differ / parts) ** low, and slack brings it down to RARE: the few such sets
+    use their empty parts as tiles as well.
     """
     slack = 0
-    while True:
-        expected = (differ + 1 + slack) * math.exp(-low / (differ + 1 + slack))
-        tail = 1 - sum(math.exp(-expected + k * math.log(expected) - math.lgamma(k + 1)) for k in range(slack + 1))
-        if tail < 0.02 or slack > differ + 1:
-            return differ + 1 + slack, slack
+    while differ and slack < 16 + 2 * differ:
+        parts = differ + 1 + slack
+        chance = math.lgamma(parts + 1) - math.lgamma(differ + 1) - math.lgamma(slack + 2) + low * math.log(differ / parts)
+        if chance < math.log(RARE):
+            break
         slack += 1
+    return differ + 1 + slack, slack
 
 
 @cache
@@ -191,9 +218,8 @@ def _tile_rows(width: int, threshold: int):
     return run
 
 
-def _wanted_bits(ids: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of 64-bit ids with two bits each, as 64-bit words: sixteen bits for each id, FILTER_BITS at most."""
-    n = ids.count()
+def _wanted_bits(ids: DataFrame, column: str, n: int) -> np.ndarray:
+    """A Bloom filter of n 64-bit ids with two bits each, as 64-bit words: sixteen bits for each id, FILTER_BITS at most."""
     size = 1 << min(FILTER_BITS.bit_length() - 1, max(12, (16 * n - 1).bit_length()))
     place = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(k), column), F.lit(size)) for k in range(2))))
     words = ids.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
@@ -376,9 +402,12 @@ def _links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, thre
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(x, T.LongType()) for x in ("h1_a", "h2_a", "h1_b", "h2_b"))])
     close = materialise(both.mapInArrow(_bounded(threshold), schema))
     wanted = close.select(F.col("a").alias("i")).unionByName(close.select(F.col("b").alias("i"))).distinct()
-    # Texts are not shuffled to find the candidates': a filter of bounded size tells which may be wanted.
-    bits = base.sparkSession.sparkContext.broadcast(_wanted_bits(wanted, "i"))
-    sets = base.filter("i is not null").select("t", F.xxhash64(F.lit(0), "i").alias("p0"), F.xxhash64(F.lit(1), "i").alias("p1")).mapInArrow(_sets(width, bits), "h1 long, h2 long, s binary")
+    # Texts are not shuffled to find the candidates': a filter of bounded size tells which may be wanted. Where so
+    # many are wanted that the filter would let most texts through, a join finds them.
+    n = wanted.count()
+    texts = base.filter("i is not null") if 8 * n <= FILTER_BITS else base.join(wanted, "i", "left_semi")
+    bits = base.sparkSession.sparkContext.broadcast(_wanted_bits(wanted, "i", n))
+    sets = texts.select("t", F.xxhash64(F.lit(0), "i").alias("p0"), F.xxhash64(F.lit(1), "i").alias("p1")).mapInArrow(_sets(width, bits), "h1 long, h2 long, s binary")
     sets = sets.groupBy("h1", "h2").agg(F.first("s").alias("s"))
     a = sets.select(F.col("h1").alias("h1_a"), F.col("h2").alias("h2_a"), F.col("s").alias("s_a"))
     b = sets.select(F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b"), F.col("s").alias("s_b"))
