@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_texts, crc_mod, slices
+from .common import as_texts, crc_mod, materialise, slices
 
 #: The letters that the language model knows; 0 is a word's border, the last number any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
@@ -23,8 +23,12 @@ COST_KEPT, COST_STANDS, COST_ADDED, COST_ADDED_DIGIT, COST_REPEAT = 0.05, 1.0, 1
 #: Words, and beginnings of words, are features; a beginning ends after so many letters.
 PREFIXES = (4, 5, 6)
 CACHE = 200_000
-#: Log odds of a text without any weighty word: one word must be some fifty times as frequent in toxic texts to turn it.
-BIAS = -4.0
+#: Longer words (texts without spaces, long runs of single letters) are restored in pieces of so many characters.
+PIECE = 64
+#: Toxic rows that must hold a feature, and their share, before it weighs; least log odds that weigh.
+LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 3.0, 0.004, 3.0
+#: The bias of a model that has seen no toxic rows, and the greatest of any: a single word of the least odds can't turn a text.
+NO_BIAS = -4.0
 
 
 class CharacterModel:
@@ -70,7 +74,11 @@ def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def character_model(df: DataFrame, text: str = "text") -> CharacterModel:
-    """Counts triples of letters over all texts. What reaches the driver is at most SIZE ** 3 sums."""
+    """Counts triples of letters over all texts. What reaches the driver is at most SIZE ** 3 sums.
+
+    Null and empty texts count nothing, repeated rows count as often as they occur; of an empty
+    table all letters are alike. Other columns are not read.
+    """
     rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(_letter_counts, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toPandas()
     return CharacterModel(dict(zip(rows["triple"].tolist(), rows["n"].tolist(), strict=True)))
 
@@ -112,25 +120,27 @@ def restore(word: str, model: CharacterModel) -> str:
 
 
 def stripped(word: str) -> str:
-    """The word without the signs at its ends; a sign that may stand for the first letter stays."""
-    end = len(word)
-    while end and not word[end - 1].isalnum():
-        end -= 1
-    start = 0
-    while start < end and not word[start].isalnum() and not (word[start] in STANDS_FOR and start + 1 < end and word[start + 1].isalpha()):
+    """The word without the signs at its ends, but for signs that may stand for a letter: before a letter or digit, and behind a word that has letters and other characters already."""
+    start, end = 0, len(word)
+    while start < end and not word[start].isalnum() and not (word[start] in STANDS_FOR and start + 1 < end and word[start + 1].isalnum()):
         start += 1
+    while end > start and not word[end - 1].isalnum():
+        end -= 1
+    if any(map(str.isalpha, word[start:end])) and not word[start:end].isalpha():
+        while end < len(word) and word[end] in STANDS_FOR:
+            end += 1
     return word[start:end]
 
 
 def disguised(word: str) -> bool:
-    """Whether a stripped word has letters and what is no letter, or a letter three times in a row."""
+    """Whether a stripped word has letters and what is no letter, or the same letter twice in a row."""
     if word.isalpha():
-        return any(word[k] == word[k + 1] == word[k + 2] for k in range(len(word) - 2))
+        return any(map(str.__eq__, word, word[1:]))
     return any(map(str.isalpha, word))
 
 
 class Restorer:
-    """Words of a text, restored; a worker remembers words it has seen."""
+    """Words of a text, restored; a worker remembers short words that it has seen."""
 
     def __init__(self, model: CharacterModel):
         self.model = model
@@ -147,10 +157,18 @@ class Restorer:
             self.known[raw] = found
         return found
 
+    def pieces(self, raw: str) -> set[str]:
+        return {self.word(raw[k : k + PIECE]) for k in range(0, len(raw), PIECE)}
+
     def words(self, text: str) -> set[str]:
         """Distinct restored words; three or more letters that stand alone in a row are a word as well."""
         raw = text.lower().split()
-        found = {self.word(w) for w in set(raw)}
+        found = set()
+        for w in set(raw):
+            if len(w) <= PIECE:
+                found.add(self.word(w))
+            else:
+                found |= self.pieces(w)
         single = [k for k, w in enumerate(raw) if len(w) == 1 and (w.isalnum() or w in STANDS_FOR)]
         if len(single) >= 3:
             start = 0
@@ -158,7 +176,7 @@ class Restorer:
                 if k == len(single) or single[k] != single[k - 1] + 1:
                     if k - start >= 3:
                         spaced = "".join(raw[single[start] : single[k - 1] + 1])
-                        found.add(restore(spaced, self.model))
+                        found |= {restore(spaced[n : n + PIECE], self.model) for n in range(0, len(spaced), PIECE)}
                     start = k
         found.discard("")
         return found
@@ -181,36 +199,89 @@ def _feature_counts(model: CharacterModel):
 
 
 class ToxicityModel:
-    """The character model, the features' weights and the bias of a logistic score."""
+    """The character model, the counts (toxic rows, other rows) of weighty features, the numbers of rows, and the bias of a logistic score."""
+
+    def __init__(self, letters: CharacterModel, counts: dict[str, tuple[int, int]], rows: tuple[int, int], bias: float):
+        self.letters, self.counts, self.rows, self.bias = letters, counts, rows, bias
+
+    def weight(self, feature: str, without: int | None = None) -> float:
+        """Smoothed log odds of a feature; 0 for one that does not weigh. without leaves one row of that label out."""
+        bad, good = self.counts.get(feature, (0, 0))
+        all_bad, all_good = self.rows
+        if without == 1:
+            bad, all_bad = bad - 1, all_bad - 1
+        elif without == 0:
+            good, all_good = good - 1, all_good - 1
+        if bad < max(LEAST_ROWS, LEAST_SHARE * all_bad):
+            return 0.0
+        odds = float(np.log((bad + 0.5) / (all_bad + 1)) - np.log((good + 0.5) / (all_good + 1)))
+        return odds if odds >= LEAST_ODDS else 0.0
+
+    def word_weight(self, word: str, without: int | None = None) -> float:
+        return max((self.weight(f, without) for f in features(word)), default=0.0)
+
+
+def fitted_bias(sums: np.ndarray, toxic: np.ndarray, share: float) -> float:
+    """The bias of the greatest likelihood for texts of these sums of weights, where share of all texts is toxic; NO_BIAS at most."""
+    if not toxic.any() or toxic.all():
+        return NO_BIAS
+    low, high = -50.0, 50.0
+    for _ in range(60):
+        bias = (low + high) / 2
+        p = 1 / (1 + np.exp(-np.clip(sums + bias, -60, 60)))
+        if share * (1 - p[toxic]).mean() > (1 - share) * p[~toxic].mean():
+            low = bias
+        else:
+            high = bias
+    return min(NO_BIAS, (low + high) / 2)
+
+
+def _sums(broadcast):
+    """(sum of the weights of a labelled text without its own row, label)."""
 
-    def __init__(self, letters: CharacterModel, weights: dict[str, float], bias: float):
-        self.letters, self.weights, self.bias = letters, weights, bias
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = broadcast.value
+        restorer = Restorer(m.letters)
+        for b in slices(batches, "t"):
+            labels = b.column(1).to_pylist()
+            sums = [sum(m.word_weight(w, label) for w in restorer.words(t)) for t, label in zip(as_texts(b.column(0)), labels, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), pa.array(labels, pa.int32())], ["s", "l"])
 
-    def word_weight(self, word: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+    return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "text", label: str = "toxic", hold_out: tuple[int, int] = (5, 0), most_rows: int = 6000, most_features: int = 20_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "text", label: str = "toxic", hold_out: tuple[int, int] = (5, 0), most_rows: int = 6000) -> ToxicityModel:
     """Learns from at most most_rows toxic and twice as many other labelled documents (a bounded
     sample in the order of the ids' hashes, equal texts once) whose crc32(id) mod hold_out[0]
     is not hold_out[1].
 
-    A feature's weight is its smoothed log odds. Only features that are far more frequent
-    in toxic documents count, and at most most_features; the letters' counts cover all documents.
+    A feature's weight is its smoothed log odds; features weigh that LEAST_ROWS toxic rows and
+    LEAST_SHARE of them hold and whose log odds are LEAST_ODDS or more, so that a word must be
+    some twenty times as frequent in toxic texts. As each takes LEAST_SHARE of the toxic rows, their
+    number follows a text's length, not the table's. The bias is that of the greatest likelihood for the
+    sample's texts, each weighed without its own row, at the share of toxic rows among the
+    labels. The letters' counts cover all documents.
+
+    Null and empty texts have no features; labels that are null or neither 0 nor 1, and null ids, are not learned
+    from; of several labels of an id the highest counts. Without toxic rows nothing weighs.
     """
     letters = character_model(docs, text)
     own = labels.select(F.col(ids), F.col(label).cast("int").alias("l")).filter(f"l in (0, 1) and {ids} is not null").filter(crc_mod(ids, hold_out[0]) != hold_out[1]).groupBy(ids).agg(F.max("l").alias("l"))
     sample = own.filter("l = 1").orderBy(F.xxhash64(ids), ids).limit(most_rows).unionByName(own.filter("l = 0").orderBy(F.xxhash64(ids), ids).limit(2 * most_rows))
     rows = docs.select(ids, F.col(text).cast("string").alias("t")).join(F.broadcast(sample), ids)  # at most 3 * most_rows ids
-    rows = rows.groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"), F.max("l").alias("l")).select("t", "l")
+    rows = materialise(rows.groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"), F.max("l").alias("l")).select("t", "l"))
     found = rows.mapInArrow(_feature_counts(letters), "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    n = sample.groupBy("l").count().toPandas().set_index("l")["count"]
-    bad, good = float(n.get(1, 0)) + 1, float(n.get(0, 0)) + 1
-    odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
-    least = max(3.0, 0.004 * bad)
-    chosen = found.filter(F.col("bad") >= least).withColumn("w", odds).filter("w >= 3").orderBy(F.desc("w"), "f").limit(most_features).toPandas()
-    weights = dict(zip(chosen["f"], chosen["w"].tolist(), strict=True))
-    return ToxicityModel(letters, weights, BIAS)
+    n = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    bad, good = n.get(1, 0), n.get(0, 0)
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
+    # A row less may lift a feature's odds; those near the limit are taken along.
+    chosen = found.filter((F.col("bad") >= max(LEAST_ROWS, LEAST_SHARE * bad)) & (odds >= LEAST_ODDS - 1.2)).toPandas()
+    counts = {f: (int(a), int(b)) for f, a, b in zip(chosen["f"], chosen["bad"], chosen["good"], strict=True)}
+    model = ToxicityModel(letters, counts, (bad, good), NO_BIAS)
+    sums = rows.mapInArrow(_sums(docs.sparkSession.sparkContext.broadcast(model)), "s double, l int").toPandas()  # two numbers a sampled text
+    (toxic, every) = own.agg(F.count_if(F.col("l") == 1), F.count("*")).first()
+    model.bias = fitted_bias(sums["s"].to_numpy(float), sums["l"].to_numpy() == 1, toxic / max(1, every))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, ids: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,7 +290,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, ids: str = "doc_id", t
     The score is the logistic of the bias and of the weights of the restored text's distinct
     words. Null and empty texts get the bias alone. Only the text is an input.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # most_features weights and SIZE ** 3 numbers at most
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # the weighty features and SIZE ** 3 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
