@@ -126,14 +126,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: s
     """Learns from at most most_rows labelled documents of either class (a bounded sample, in the
     order of the ids' hashes) whose crc32(id) mod hold_out[0] is not hold_out[1].
 
-    Only their statistics reach the driver. Rows with a null id or another label don't count;
+    Only their statistics reach the driver, one row an id: where an id repeats, the least (null and
+    empty texts have statistics too). Rows with a null id or another label don't count;
     with labels of one class, or none, the score is their share (kept off 0 and 1), or 0.5.
     """
     own = labels.select(F.col(ids), F.col(label).cast("int").alias("l")).filter(f"l in (0, 1) and {ids} is not null").filter(crc_mod(ids, hold_out[0]) != hold_out[1]).groupBy(ids).agg(F.min("l").alias("l"))
     sizes = {r["l"]: r["count"] for r in own.groupBy("l").count().collect()}
     sample = own.filter("l = 1").orderBy(F.xxhash64(ids), ids).limit(most_rows).unionByName(own.filter("l = 0").orderBy(F.xxhash64(ids), ids).limit(most_rows))
     chosen = F.broadcast(sample)  # at most 2 * most_rows ids
-    rows = document_statistics(docs.join(chosen, ids, "left_semi"), ids, text).join(chosen, ids).select("stats", "l").toPandas()
+    stats = document_statistics(docs.join(chosen, ids, "left_semi"), ids, text).groupBy(ids).agg(F.min("stats").alias("stats"))
+    rows = stats.join(chosen, ids).select("stats", "l").toPandas()
     x = np.array(rows["stats"].tolist(), float).reshape(len(rows), len(STATISTICS))
     y = rows["l"].to_numpy(float)
     trees = fit_trees(x, y)
@@ -145,7 +147,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: s
 
 
 def score_quality(docs: DataFrame, trees: Trees, ids: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: the id column and score, the probability of label 1. Only the text is an input."""
+    """One row per row of docs: the id column and score, the probability of label 1. Only the text is an input; null texts score as empty ones, repeated rows stay."""
     model = docs.sparkSession.sparkContext.broadcast(trees)  # of a fixed number of nodes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
