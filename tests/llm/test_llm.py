@@ -172,6 +172,42 @@ def test_quality_counts(spark, edges):
     assert all(r.base_failed and not r.kept for r in got if r.n_words < 50)
 
 
+def plain_measures(words, path):
+    """Tokens, characters a token, single-byte share and entropy, counted token by token."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        found = [(i, pieces.is_byte(i)) for w in words for i in pieces.encode(w)]
+    else:
+        ranks = bpe.read_ranks(path)
+        by_rank = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        found = [(i, len(by_rank.decode_single_token_bytes(i)) == 1) for w in words for i in by_rank.encode_ordinary(" " + w)]
+    n, count = len(found), Counter(i for i, _ in found)
+    return n, sum(map(len, words)) / n, sum(b for _, b in found) / n, -sum(c / n * math.log2(c / n) for c in count.values())
+
+
+def test_quality_verdicts_against_plain_counting(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    bands = quality.fit_bands(docs, labels, hold_out=(2, 0))
+    assert "en" in bands and "latin" in bands
+    rows = quality.quality_rules(docs, bands=bands, keep=("text", "lang")).join(labels, "doc_id").collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 2 == 0 and not r.base_failed]
+    bad, good = [r.kept for r in held if not r.quality], [r.kept for r in held if r.quality]
+    assert len(bad) >= 8 and sum(bad) <= 0.2 * len(bad) and sum(good) >= 0.95 * len(good)
+    for r in held[:25]:
+        words = [w for w in r.text.translate({ord(c): " " for c in "\t\n\x0b\x0c\r"}).split(" ") if w]
+        ok = True
+        for (name, file), band in zip(quality.VOCABULARIES, bands[r.lang if r.lang in bands else "latin"], strict=True):
+            n, chars, share, entropy = plain_measures(words, public_tokenizers.path(file))
+            assert (r[f"{name}_tokens"], r[f"{name}_chars_per_token"]) == (n, chars) and abs(r[f"{name}_entropy"] - entropy) < 1e-9 and abs(r[f"{name}_byte_share"] - share) < 1e-12
+            x = min(max(math.log2(n), band.lengths[0]), band.lengths[1])
+            rise = entropy - sum(c * x**k for k, c in enumerate(band.rise))
+            ok = ok and band.chars[0] <= chars <= band.chars[1] and share <= band.most_bytes and band.entropy[0] <= rise <= band.entropy[1]
+        assert r.kept == ok
+    assert quality.fit_bands(docs, labels.filter("false")) == {} and quality.fit_bands(docs.filter("false"), labels) == {}
+
+
 def test_quality_keeps_good_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0")
     rows = queries.op6_quality_rules(spark, SF).join(labels, "doc_id").filter("not base_failed").collect()
@@ -186,6 +222,47 @@ def test_disguised_words_are_restored(spark, docs):
     assert "idiot" in toxicity.Restorer(model).words("an i d i o t here") and not toxicity.disguised("plain")
 
 
+def test_restored_words_are_the_best_of_their_lattice(spark, docs):
+    import itertools
+
+    model = toxicity.character_model(docs)
+    rng = random.Random(8)
+
+    def cost(path):
+        total, a, b = sum(c for _, c in path), 0, 0
+        for letter in "".join(x for x, _ in path):
+            n = toxicity._number(letter)
+            total -= float(model.log[a, b, n])
+            a, b = b, n
+        return total - float(model.log[a, b, 0])
+
+    for _ in range(400):
+        word = "".join(rng.choice("aetnils013.$!-@tt") for _ in range(rng.randint(1, 7)))
+        paths = itertools.product(*toxicity.hypotheses(word))
+        best = min((round(cost(p), 9), "".join(x for x, _ in p)) for p in paths)
+        got = toxicity.restore(word, model)
+        assert abs(min(cost(p) for p in itertools.product(*toxicity.hypotheses(word)) if "".join(x for x, _ in p) == got) - best[0]) < 1e-6
+
+
+def test_disguises_at_a_words_ends(spark, docs):
+    assert [toxicity.stripped(w) for w in ("1d10+", "$7up1d", "(hello)!", "well...", "100%", "+++")] == ["1d10+", "$7up1d", "(hello", "well", "100", ""]
+    model = toxicity.character_model(docs.union(spark.createDataFrame([(-1, "you idiot stupid loser " * 300, "en", "s", 1)], docs.schema)))
+    restorer = toxicity.Restorer(model)
+    assert [restorer.word(w) for w in ("1d10+", "$7up1d", "stuupid")] == ["idiot", "stupid", "stupid"]
+    long = "i.d.i.o.t" * 50_000
+    assert len(restorer.words(long + " " + "x " * 20_000)) < 200_000 // toxicity.PIECE
+
+
+def test_toxicity_weights_and_bias():
+    model = toxicity.ToxicityModel(toxicity.CharacterModel({}), {"bad": (40, 1), "rare": (3, 0)}, (50, 400), -4.0)
+    assert model.weight("bad") == pytest.approx(math.log(40.5 / 51) - math.log(1.5 / 401)) and model.weight("other") == 0
+    assert model.weight("bad", 0) > model.weight("bad") and model.weight("rare", 1) == 0 < model.weight("rare")
+    sums, toxic = np.array([0.0] * 90 + [12.0] * 9 + [0.0]), np.array([False] * 90 + [True] * 10)
+    low = toxicity.fitted_bias(sums, toxic, 0.1)
+    like = lambda b: float(np.where(toxic, -np.log1p(np.exp(-sums - b)), -np.log1p(np.exp(sums + b))).sum())
+    assert low <= toxicity.NO_BIAS and all(like(low) >= like(x) - 1e-9 for x in np.arange(-9, -4, 0.1))
+
+
 def test_toxicity_learns_and_generalises(spark, edges):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -198,8 +275,20 @@ def test_toxicity_learns_and_generalises(spark, edges):
         assert len(scored) == d.count() and all(0 <= r.score < 0.5 for r in scored)
 
 
-def brute_passages(rows, run, min_words):
-    split = {k: substring_dedup.sentences(t or "")[1] for k, (_, t) in enumerate(rows)}
+def plain_sentences(text):
+    """Sentences by walking the text: up to a line's end, or to . ! ? before white space."""
+    out, own = [], ""
+    for k, c in enumerate(text):
+        own += c
+        if c == "\n" or (c in ".!?" and (k + 1 == len(text) or text[k + 1].isspace())):
+            if own.strip():
+                out.append(own)
+            own = ""
+    return out + [own] * bool(own.strip())
+
+
+def brute_passages(rows, run, min_words, split=None):
+    split = {k: (split or (lambda t: substring_dedup.sentences(t)[1]))(t or "") for k, (_, t) in enumerate(rows)}
     seen, covered = set(), {k: set() for k in split}
     for k in sorted(split, key=lambda k: rows[k][0]):
         parts = [" ".join(s.lower().split()) for s in split[k]]
@@ -225,6 +314,11 @@ def test_passages_against_brute_force(spark, edges):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = substring_dedup.dedup_substrings(df).collect()
     assert {r.doc_id: r.n_removed for r in got} == brute_passages(rows, 3, 12)
+    short = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(5, 15))) + rng.choice([". ", "!\n", "? "])
+    shared = [short() for _ in range(5)]
+    apart = [(i, "".join([short() for _ in range(rng.randint(0, 4))] + shared * (i % 3 == 0) + [short() for _ in range(rng.randint(0, 4))])) for i in range(30)]
+    found = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(spark.createDataFrame(apart, "doc_id long, text string")).collect()}
+    assert found == brute_passages(apart, 3, 12, plain_sentences) and sum(x > 0 for x in found.values()) == 9
     plain = dict(rows)
     for r in got:
         assert (r.kept == plain[r.doc_id]) == (r.n_removed == 0)
@@ -400,3 +494,101 @@ def test_digest_columns_of_queries(spark):
 
 def test_similar_documents_equal_sql(spark):
     assert rows_of(queries.op4_ngram_jaccard(spark, SF)) == duck_rows(queries.SQL["op4_ngram_jaccard"], SF)
+
+
+def test_long_runs_and_long_words():
+    path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ours, whole = bpe.ByteBPE(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), packing.DocumentTokens(path, ranks)
+    rng = random.Random(7)
+    for t in (" " * 1_000_000, "x" + " \n" * 300_000 + "y", "".join(rng.choices("abcdefgh漢字", k=1_500_000))):
+        assert ours.decode(ours.encode([t])[0]) == t.encode()
+        assert ours.encode([t])[0] == ours.encode_chunks([t])[0] and len(whole.encode([t])[0]) > 0
+    assert all(len(k) <= 64 for x in (ours.cache, whole.cache) for k in (*x.known, *x.before))
+    for t in (" " * 5000, "a" * 3000, "x" + "\n " * 1500 + "y"):  # as long as tiktoken's matcher takes
+        tok = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+        assert np.frombuffer(whole.encode([t])[0], "<u4").tolist() == tok.encode_ordinary(t)
+    f = quality.Fertility(public_tokenizers.path("piece_bpe_32k.model"))
+    assert f.measures(["a" * 100_000, "b"], 100_001)[0] > 1000 and all(len(k) <= 64 for k in f.known)
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    df = spark.createDataFrame([(1, "the same row")] * 10_000, "doc_id long, text string")
+    rows = packing.pack(packing.token_pieces(df), shard=1000).collect()
+    shards = Counter(r.sequence_id // packing.SHARD_STRIDE for r in rows)
+    assert len(rows) == 10_000 and len(shards) == 10 and max(shards.values()) < 1300
+
+
+def test_sum_of_squares_against_trying_every_bin():
+    rng = random.Random(9)
+    for capacity in (8, 30):
+        lengths = sorted((rng.randint(1, capacity) for _ in range(120)), reverse=True)
+        gaps, want = [], []  # gaps[k] is what sequence k has left
+        squares = lambda g: sum(n * n for k, n in Counter(g).items() if 0 < k < capacity)
+        for n in lengths:
+            fits = sorted({g for g in gaps if g >= n})
+            if fits and n < capacity:
+                best = min(fits, key=lambda g: (squares([x for k, x in enumerate(gaps) if k != gaps.index(g)] + [g - n]), g))
+                gaps[gaps.index(best)] -= n
+                want.append(capacity - best)
+            else:
+                gaps.append(capacity - n)
+                want.append(0)
+        _, offset = packing.sum_of_squares(np.array(lengths), capacity)
+        assert offset.tolist() == want
+
+
+def test_first_tree_against_plain_split_search():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, size=(200, 3)).astype(float)
+    y = ((x[:, 1] > 5) ^ (rng.random(200) < 0.1)).astype(float)
+    trees = classifier.fit_trees(x, y, rounds=1, depth=1)
+    p = y.mean()
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 2.0)
+    cuts = [(score(x[:, k] <= c) + score(x[:, k] > c), k, c) for k in range(3) for c in np.unique(x[:, k]) if 10 <= (x[:, k] <= c).sum() <= 190]
+    best = max(c[0] for c in cuts)
+    k, c = int(trees.feature[0]), trees.threshold[0]
+    assert abs(score(x[:, k] <= c) + score(x[:, k] > c) - best) < 1e-9
+    for side, at in ((x[:, k] <= c, trees.child[0]), (x[:, k] > c, trees.child[0] + 1)):
+        assert trees.value[at] == pytest.approx(0.15 * g[side].sum() / (h[side].sum() + 2.0))
+
+
+def test_tiles_hold_something_and_similar_sets_share_one():
+    rng = np.random.default_rng(6)
+    for size in (7, 12, 40, 300):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+            b = a.copy()
+            while True:
+                c = np.unique(np.append(np.delete(b, rng.integers(len(b))), rng.integers(0, 1 << 63, rng.integers(0, 2), np.uint64)))
+                if 100 * len(np.intersect1d(a, c)) < 80 * len(np.union1d(a, c)):
+                    break
+                b = c
+            assert set(jaccard.tiles(a, 80)) & set(jaccard.tiles(b, 80))
+        sets = [np.unique(rng.integers(0, 1 << 63, size, np.uint64)) for _ in range(1500)]
+        # Tiles of empty parts would be shared by unrelated sets.
+        count = Counter(t for s in sets for t in set(jaccard.tiles(s, 80).tolist()))
+        assert max(count.values()) <= 1
+
+
+def test_long_texts_are_hashed_in_pieces():
+    words = [str(k * k % 9973) for k in range(200_000)]
+    text = " ".join(words).encode()
+    assert len(text) > 2 * jaccard.SLICE
+    (whole,) = jaccard.shingle_sets([text], 5)
+    parts = [jaccard.shingle_sets([" ".join(words[k : k + 20_004]).encode()], 5)[0] for k in range(0, 200_000, 20_000)]
+    assert whole.tolist() == np.unique(np.concatenate(parts)).tolist()
+    assert [len(x) for x in jaccard.shingle_sets([text, b"", b"a" * (1 << 20), b"a b"], 5)] == [len(whole), 0, 1, 1]
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from momentloom.llm.common import checkpoint_dir
+
+    made = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None))
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            checkpoint_dir(made(master, None))
+        assert checkpoint_dir(made(master, "hdfs://x")) == "hdfs://x"
+    assert checkpoint_dir(made("local[4]", None))
