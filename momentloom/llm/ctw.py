@@ -10,17 +10,19 @@ of all depths. All contexts that the training texts hold are in the tree.
 
 The tree is cut below its first ROOT bytes: a subtree lies in one group of subtrees, and
 what is above has at most 256 ** (ROOT - 1) contexts, however large the input.
+
+Words, for the base score, go the same way as grams, as 64-bit hashes: at a thousand million
+distinct words the chance of one clash is three in a hundred.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +35,11 @@ DEPTH = 7
 START = STOP = 0x20
 END = b"\n"
 #: Subtrees begin at this depth; most groups that they are dealt to.
-ROOT, MOST_GROUPS = 3, 2048
+ROOT, MOST_GROUPS = 3, 1 << 14
 #: Bytes of text in a block of documents, the unit in which words get their scores; most partitions for blocks.
 BLOCK, MOST_PARTS = 16 << 20, 20_000
-#: Words that a task counts before it hands them on.
-WORDS = 400_000
 #: Grams that a task holds before it sums equal ones; a slice's bytes.
-GRAMS, SLICE = 3_000_000, 1 << 20
+GRAMS, SLICE = 4_000_000, 1 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -47,9 +47,13 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def stream(text: bytes) -> bytes:
+def joined(words: list[bytes]) -> bytes:
     """The bytes to code: each token and STOP."""
-    return b" ".join(tokens(text)) + bytes([STOP])
+    return b" ".join(words) + bytes([STOP])
+
+
+def stream(text: bytes) -> bytes:
+    return joined(tokens(text))
 
 
 def contexts(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,57 +180,85 @@ def weigh(keys: np.ndarray, bytes_: np.ndarray, counts: np.ndarray) -> ContextTr
 def grams(streams: list[bytes]) -> np.ndarray:
     """For each byte to code the DEPTH bytes before it, the nearest in the highest place, and the byte in the lowest: sorted, they are a tree."""
     pad = bytes([START]) * DEPTH
-    raw = np.frombuffer(b"".join(pad + s for s in streams), np.uint8).astype(np.uint64)
-    size = np.fromiter((len(s) + DEPTH for s in streams), np.int64, len(streams))
-    if not len(raw):
+    raw = b"".join(pad + s for s in streams)
+    if not raw:
         return np.zeros(0, np.uint64)
-    out = raw[DEPTH:].copy()
-    for d in range(1, DEPTH + 1):
-        out |= raw[DEPTH - d : len(raw) - d] << np.uint64(64 - 8 * d)
-    own = np.arange(DEPTH, len(raw)) - np.repeat(np.cumsum(size) - size, size)[DEPTH:]
-    return out[own >= DEPTH]
+    # Windows of DEPTH + 1 bytes as 64-bit numbers: the byte to code comes highest and is turned to the lowest place.
+    window = np.array(np.ndarray(len(raw) - DEPTH, "<u8", raw, strides=(1,)), np.uint64)
+    out = window << np.uint64(8) | window >> np.uint64(56)
+    first = np.cumsum(np.fromiter((len(s) + DEPTH for s in streams), np.int64, len(streams)))[:-1]
+    keep = np.ones(len(out), bool)
+    keep[(first[:, None] + np.arange(-DEPTH, 0)).ravel()] = False
+    return out[keep]
+
+
+def counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.diff(np.append(new, len(keys)))
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their n."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(n[order], new) if len(keys) else n
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their n, from parts of distinct keys in order."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, _ = counted_keys(np.concatenate([k for k, _ in parts])) if parts else (np.zeros(0, np.uint64), None)
+    total = np.zeros(len(keys), np.int64)
+    for k, n in parts:
+        total[np.searchsorted(keys, k)] += n
+    return keys, total
 
 
 class BlockGrams:
     """The distinct grams of a block and how often its training texts hold them."""
 
     def __init__(self):
+        self.raw: dict[bool, list[np.ndarray]] = {False: [], True: []}
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, streams: list[bytes], held: list[bool]) -> None:
-        for h in (False, True):
-            keys = np.sort(grams([s for s, x in zip(streams, held, strict=True) if x == h]))
-            if len(keys):
-                new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                n = np.diff(np.append(new, len(keys)))
-                self.parts.append((keys[new], np.zeros_like(n) if h else n))
-        if sum(len(k) for k, _ in self.parts[1:]) > GRAMS:
-            self.done()
+        for h, own in self.raw.items():
+            own.append(grams([s for s, x in zip(streams, held, strict=True) if x == h]))
+            if sum(map(len, own)) > GRAMS:
+                self._count(h)
+        if sum(len(k) for k, _ in self.parts) > 4 * GRAMS:
+            self.parts = [summed(self.parts)]
+
+    def _count(self, h: bool) -> None:
+        keys, n = counted_keys(np.concatenate(self.raw[h])) if self.raw[h] else ((), ())
+        self.raw[h] = []
+        if len(keys):
+            self.parts.append((keys, np.zeros_like(n) if h else n))
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
+        self._count(False)
+        self._count(True)
+        self.parts = [summed(self.parts)]
         return self.parts[0]
 
 
-def by_group(keys: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, places of its keys in order): a group holds whole subtrees."""
-    g = ((keys >> np.uint64(64 - 8 * ROOT)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)
+def gram_groups(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each gram; a group holds whole subtrees."""
+    return ((keys >> np.uint64(64 - 8 * ROOT)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)
+
+
+def word_groups(hashes: np.ndarray, groups: int) -> np.ndarray:
+    return hashes % np.uint64(groups)
+
+
+def by_group(g: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, places of its keys in order) from the keys' groups."""
     order = np.argsort(g, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(g[order].astype(np.int64)) != 0)) if len(g) else []
     for a, z in zip(first, [*first[1:], len(g)], strict=True):
         yield int(g[order[a]]), order[a:z]
 
 
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers in order as compressed bytes of their differences, the like places together."""
     step = np.diff(x, prepend=x.dtype.type(0))
@@ -239,6 +271,28 @@ def unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel(), dtype=kind)
 
 
+def packed_counts(n: np.ndarray) -> bytes:
+    """Counts as compressed bytes, the like places together."""
+    return pa.compress(n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_counts(b: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<i8").ravel()
+
+
+def packed_prices(p: np.ndarray) -> bytes:
+    """Prices in three bytes each (sixteen bits of precision), the like places together and compressed."""
+    kept = p.astype("<f4").view("<u4") + np.uint32(0x80)
+    return pa.compress(kept.view(np.uint8).reshape(-1, 4)[:, 1:].T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_prices(b: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    out[:, 1:] = np.frombuffer(pa.decompress(b, decompressed_size=3 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, n).T
+    return out.view("<f4").ravel()
+
+
 _SMALL = 1 << 12
 _HALVES, _FACTORIALS = _log_gamma_half(np.arange(_SMALL, dtype=float)), _log_factorial(np.arange(_SMALL, dtype=float))
 
@@ -327,73 +381,138 @@ def priced_grams(keys: np.ndarray, n: np.ndarray, top: tuple[np.ndarray, np.ndar
     return out
 
 
-def _subtrees(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """A group's grams over all blocks in one row with the places of each block's, and its sums for the tree above."""
+#: What a group gives: sums for the tree above (or, as id -1, a word group's tokens and distinct words), and a row of its keys with what each block asks for.
+_GROUP = "id long, seen double, ones double, below double, keys binary, n binary, g int, blocks array<int>, places array<binary>"
+
+
+def _summed_group(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """A group's keys over all blocks. Of grams (g >= 0) the places of each block's and the sums for the tree above, of words each block's counts and the totals."""
+    g = key[0].as_py()
     keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blobs = rows["keys"].to_pylist()
     for k, c in zip(blobs, rows["n"].to_pylist(), strict=True):
-        keys, n = summed(np.concatenate([keys, unpacked(k, np.uint64)]), np.concatenate([n, unpacked(c, np.int64)]))
+        keys, n = summed([(keys, n), (unpacked(k, np.uint64), unpacked(c, np.int64))])
     places = []
     for k in blobs:
-        mask = np.zeros(len(keys), bool)
-        mask[np.searchsorted(keys, unpacked(k, np.uint64))] = True
-        places.append(pa.compress(np.packbits(mask).tobytes(), codec="zstd", asbytes=True))
-    ids, *sums = grow(keys, n.astype(float))[0][0].sums()
+        at = np.searchsorted(keys, unpacked(k, np.uint64))
+        if g < 0:
+            places.append(packed_counts(n[at]))
+        else:
+            mask = np.zeros(len(keys), bool)
+            mask[at] = True
+            places.append(pa.compress(np.packbits(mask).tobytes(), codec="zstd", asbytes=True))
+    if g < 0:
+        ids, sums = np.array([-1]), [np.array([float(x)]) for x in (n.sum(), (n > 0).sum(), 0)]
+    else:
+        ids, *sums = grow(keys, n.astype(float))[0][0].sums()
     none = [None] * len(ids)
     cols = [pa.array([None, *ids.tolist()], pa.int64()), *(pa.array([None, *x.tolist()], pa.float64()) for x in sums)]
-    cols += [pa.array([packed(keys), *none], pa.binary()), pa.array([packed(n), *none], pa.binary())]
-    cols += [pa.array([key[0].as_py(), *none], pa.int32()), pa.array([rows["b"].to_pylist(), *none], pa.list_(pa.int32())), pa.array([places, *none], pa.list_(pa.binary()))]
+    cols += [pa.array([packed(keys) if g >= 0 else None, *none], pa.binary()), pa.array([packed(n) if g >= 0 else None, *none], pa.binary())]
+    cols += [pa.array([g, *none], pa.int32()), pa.array([rows["b"].to_pylist(), *none], pa.list_(pa.int32())), pa.array([places, *none], pa.list_(pa.binary()))]
     return pa.table(cols, names=["id", "seen", "ones", "below", "keys", "n", "g", "blocks", "places"])
 
 
-def _prices(top):
+def _answers(top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(b, g, p): the prices of a block's grams of a group, in the grams' order."""
+        """(b, g, p): the prices of a block's grams of a group, or the counts of its words, in the order of its keys."""
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
-                keys = unpacked(row["keys"], np.uint64)
-                p = priced_grams(keys, unpacked(row["n"], np.int64).astype(float), top.value).astype(np.float32)
-                for b, m in zip(row["blocks"], row["places"], strict=True):
-                    mask = np.unpackbits(np.frombuffer(pa.decompress(m, decompressed_size=-(-len(keys) // 8), codec="zstd", asbytes=True), np.uint8), count=len(keys)).astype(bool)
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["g"]], pa.int32()), pa.array([p[mask].tobytes()], pa.binary())], ["b", "g", "p"])
+                if row["g"] < 0:
+                    out = row["places"]
+                else:
+                    keys = unpacked(row["keys"], np.uint64)
+                    p = priced_grams(keys, unpacked(row["n"], np.int64).astype(float), top.value).astype(np.float32)
+                    out = []
+                    for m in row["places"]:
+                        mask = np.unpackbits(np.frombuffer(pa.decompress(m, decompressed_size=-(-len(keys) // 8), codec="zstd", asbytes=True), np.uint8), count=len(keys)).astype(bool)
+                        out.append(packed_prices(p[mask]))
+                for b, x in zip(row["blocks"], out, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["g"]], pa.int32()), pa.array([x], pa.binary())], ["b", "g", "p"])
 
     return run
 
 
-def gram_prices(dealt: DataFrame, groups: int) -> DataFrame:
-    """(b, g, p) for dealt texts (t, held, b), a block's rows one after the other in a partition."""
+def block_answers(dealt: DataFrame, groups: int) -> tuple[DataFrame, int, int]:
+    """(b, g, p) for dealt texts (t, held, b), a block's rows one after the other in a partition; training tokens and distinct ones."""
 
-    def found(b: int, own: BlockGrams) -> pa.RecordBatch:
+    def found(b: int, own: BlockGrams, words: Counter) -> pa.RecordBatch:
         keys, n = own.done()
-        rows = [(g, packed(keys[at]), packed(n[at])) for g, at in by_group(keys, groups)]
+        rows = [(g, packed(keys[at]), packed(n[at])) for g, at in by_group(gram_groups(keys, groups))]
+        hashes = word_hashes(words)
+        order = np.argsort(hashes)
+        keys, n = hashes[order], np.fromiter(words.values(), np.int64, len(words))[order]
+        rows += [(-1 - g, packed(keys[at]), packed(n[at])) for g, at in by_group(word_groups(keys, groups))]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["g", "b", "keys", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, BlockGrams()
+        last, own, words = None, BlockGrams(), Counter()
         for x in slices(batches, "t", SLICE):
             texts, held, block = as_bytes(x.column(0)), x.column(1).to_pylist(), x.column(2).to_numpy()
             cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             for a, z in zip(cut, cut[1:], strict=False):
                 if block[a] != last and last is not None:
-                    yield found(last, own)
-                    own = BlockGrams()
+                    yield found(last, own, words)
+                    own, words = BlockGrams(), Counter()
                 last = int(block[a])
-                own.add([stream(t) for t in texts[a:z]], held[a:z])
+                split = [tokens(t) for t in texts[a:z]]
+                for w, h in zip(split, held[a:z], strict=True):
+                    words.update(dict.fromkeys(w, 0) if h else w)
+                own.add([joined(w) for w in split], held[a:z])
         if last is not None:
-            yield found(last, own)
+            yield found(last, own, words)
 
-    spark = dealt.sparkSession
     parts = dealt.select("t", "held", "b").sortWithinPartitions("b").mapInArrow(counted, "g int, b int, keys binary, n binary")
-    trees = materialise(parts.groupBy("g").applyInArrow(_subtrees, "id long, seen double, ones double, below double, keys binary, n binary, g int, blocks array<int>, places array<binary>"))
-    sums = trees.filter("id is not null").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("seen", "ones", "below"))).orderBy("id").toPandas()  # 256 ** ROOT rows at most
+    trees = materialise(parts.groupBy("g").applyInArrow(_summed_group, _GROUP))
+    every, distinct = trees.filter("id = -1").agg(F.coalesce(F.sum("seen"), F.lit(0.0)), F.coalesce(F.sum("ones"), F.lit(0.0))).first()
+    sums = trees.filter("id >= 0").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("seen", "ones", "below"))).orderBy("id").toPandas()  # 256 ** ROOT rows at most
     ids = sums["id"].to_numpy(np.int64).astype(np.uint64)
     top = crown(ids, *(sums[c].to_numpy(float) for c in ("seen", "ones", "below"))) if len(ids) else (ids, np.zeros(0), np.zeros(0))
-    return trees.filter("keys is not null").select("keys", "n", "g", "blocks", "places").mapInArrow(_prices(spark.sparkContext.broadcast(top)), "b int, g int, p binary")
-
-
-def _columns(count: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "c"])
+    answers = trees.filter("blocks is not null").select("keys", "n", "g", "blocks", "places").mapInArrow(_answers(dealt.sparkSession.sparkContext.broadcast(top)), "b int, g int, p binary")
+    return answers, int(every), int(distinct)
+
+
+class BlockTexts:
+    """A block's texts as places of their tokens among its distinct words, and as streams."""
+
+    def __init__(self, texts: Iterator[list[bytes]]):
+        self.place: dict[bytes, int] = {}
+        self.tokens: list[np.ndarray] = []
+        self.streams: list[list[bytes]] = []
+        self.grams = BlockGrams()
+        for part in texts:
+            split = [tokens(t) for t in part]
+            for own in split:
+                for w in set(own).difference(self.place):
+                    self.place[w] = len(self.place)
+                self.tokens.append(np.fromiter(map(self.place.__getitem__, own), np.int32, len(own)))
+            self.streams.append([joined(own) for own in split])
+            self.grams.add(self.streams[-1], [False] * len(part))
+
+    def counts(self, answers: dict[int, bytes], groups: int) -> np.ndarray:
+        """How often training texts hold each distinct word."""
+        hashes = word_hashes(self.place)
+        order = np.argsort(hashes)
+        out = np.zeros(len(hashes), np.int64)
+        for g, at in by_group(word_groups(hashes[order], groups)):
+            out[order[at]] = unpacked_counts(answers[-1 - g], len(at))
+        return out
+
+    def scores(self, answers: dict[int, bytes], groups: int) -> Iterator[tuple[float, int]]:
+        """(log10 probability, bytes coded) of each text."""
+        keys, _ = self.grams.done()
+        p = np.full(len(keys), np.nan, np.float32)
+        for g, at in by_group(gram_groups(keys, groups)):
+            p[at] = unpacked_prices(answers[g], len(at))
+        for streams in self.streams:
+            gram = grams(streams)
+            order = np.argsort(gram)
+            gram = gram[order]
+            new = np.append(True, gram[1:] != gram[:-1])
+            price = np.empty(len(gram))
+            price[order] = p[np.searchsorted(keys, gram[new])][np.cumsum(new) - 1]
+            size = np.fromiter(map(len, streams), np.int64, len(streams))
+            yield from zip(np.add.reduceat(price, np.cumsum(size) - size).tolist(), size.tolist(), strict=True)
 
 
 def score_texts(df: DataFrame, ids: str = "doc_id", text: str = "text", hold_out: tuple[int, int] = (7, 2), block: int = BLOCK) -> DataFrame:
@@ -405,10 +524,11 @@ def score_texts(df: DataFrame, ids: str = "doc_id", text: str = "text", hold_out
     one end; repeated rows count and score as they are; a null id counts as an empty text for
     the hold-out. Without training rows N, V and all counts are 0.
 
-    Documents are dealt by hash into blocks of about `block` bytes. A block's distinct words
-    meet the corpus counts in a shuffle (frequent words are combined before it, and joins
-    that adaptive execution can split), and its documents are scored with its own words' counts:
-    neither a vocabulary nor a text collection is held anywhere but in blocks.
+    Documents are dealt by hash into blocks of about `block` bytes. A block counts its distinct grams and
+    words, packed by groups of subtrees and of word hashes; groups sum them over all
+    blocks and answer each block with the prices and counts of its own. So a frequent word costs a
+    few bytes for each block, and neither a vocabulary nor a text collection is held
+    anywhere but in groups and blocks. Rows that agree in id and text lie in one block.
     """
     spark = df.sparkSession
     kind = df.schema[ids].dataType
@@ -417,86 +537,25 @@ def score_texts(df: DataFrame, ids: str = "doc_id", text: str = "text", hold_out
     blocks = max(1, -(-total // block))
     base = base.withColumn("held", crc_mod("i", hold_out[0]) == hold_out[1])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, c): words, c of them in training texts; combined as far as WORDS of them."""
-        count: Counter = Counter()
-        for x in slices(batches, "t"):
-            for t, h in zip(as_bytes(x.column(0)), x.column(1).to_pylist(), strict=True):
-                own = tokens(t)
-                if h:
-                    own = dict.fromkeys(own, 0)
-                count.update(own)
-            if len(count) > WORDS:
-                yield _columns(count)
-                count.clear()
-        yield _columns(count)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(b, word): the distinct words of each block; a block's rows come one after the other."""
-        last, seen = None, set()
-        for x in slices(batches, "t"):
-            for t, b in zip(as_bytes(x.column(1)), x.column(3).to_pylist(), strict=True):
-                if b != last and seen:
-                    yield pa.RecordBatch.from_arrays([pa.array([last] * len(seen), pa.int32()), pa.array(list(seen), pa.binary())], ["b", "word"])
-                    seen = set()
-                last = b
-                seen.update(tokens(t))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([last] * len(seen), pa.int32()), pa.array(list(seen), pa.binary())], ["b", "word"])
-
-    counts = base.select("t", "held").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    counts = materialise(counts)
-    train_tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     groups = max(32, min(2 * blocks, MOST_GROUPS))
-    # One shuffle of the texts serves both the words that a block asks for and its scores; the grams are counted before.
+    # One shuffle of the texts serves both the counts of a block and its scores.
     parts = max(min(blocks, MOST_PARTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = base.select("i", "t", "held", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int").alias("b")).repartition(parts, "b")
-    wanted = dealt.sortWithinPartitions("b").mapInArrow(asked, "b int, word binary")
-    # Within a block a word's 64-bit hash stands for it: half the bytes of the word.
-    known = wanted.join(counts, "word").select("b", F.xxhash64("word").alias("h"), "c", F.lit(None).cast("int").alias("g"), F.lit(None).cast("binary").alias("p"))
-    prices = known.unionByName(gram_prices(dealt, groups).select("b", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), "g", "p"))
+    answers, train_tokens, vocabulary = block_answers(dealt, groups)
     most = np.log10(train_tokens + vocabulary + 1)
 
-    def score(key, docs: pa.Table, price: pa.Table) -> pa.Table:
-        of_word = pc.is_null(price["g"])
-        words, of_gram = price.select(["h", "c"]).filter(of_word), price.select(["g", "p"]).filter(pc.invert(of_word))
-        c = words["c"].to_numpy()
-        at = dict(zip(words["h"].to_pylist(), range(len(c)), strict=True))
-        own_grams = BlockGrams()
-        place: dict[bytes, int] = {}
-        seen, logs = (c > 0).astype(np.int64), np.log10(c + 1.0) - most
-        rows, scores = [], []
-        held = docs["held"].to_pylist()
+    def score(key, docs: pa.Table, answer: pa.Table) -> pa.Table:
         texts = docs.select(["t"]).set_column(0, "t", docs["t"].cast(pa.binary())).combine_chunks().to_batches()
-        first = 0
-        for x in slices(texts, "t", SLICE):
-            own_grams.add([stream(t or b"") for t in x.column(0).to_pylist()], held[first : first + x.num_rows])
-            first += x.num_rows
-        keys, _ = own_grams.done()
-        p = np.full(len(keys), np.nan, np.float32)
-        by = dict(zip(of_gram["g"].to_pylist(), of_gram["p"].to_pylist(), strict=True))
-        for g, k in by_group(keys, groups):
-            p[k] = np.frombuffer(by.pop(g), np.float32)
-        for x in slices(texts, "t", SLICE):
-            streams = []
-            for t in x.column(0).to_pylist():
-                own = tokens(t or b"")
-                for w in set(own).difference(place):
-                    h = xxhash.xxh64_intdigest(w, 42)  # as Spark's xxhash64
-                    place[w] = at[h - (h >> 63 << 64)]
-                k = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-                rows.append((len(own), int(seen[k].sum()), float(logs[k].sum())))
-                streams.append(stream(t or b""))
-            gram = grams(streams)
-            order = np.argsort(gram)
-            price_of = np.empty(len(gram))
-            price_of[order] = p[np.searchsorted(keys, gram[order])]
-            size = np.fromiter(map(len, streams), np.int64, len(streams))
-            s = np.add.reduceat(price_of, np.cumsum(size) - size)
-            scores += zip(s.tolist(), (-s / np.log10(2) / size).tolist(), strict=True)
-        col = list(zip(*rows, strict=True)) or [()] * 3
-        out = list(zip(*scores, strict=True)) or [()] * 2
-        return pa.table([docs["i"], docs["held"], pa.array(col[0], pa.int64()), pa.array(col[1], pa.int64()), pa.array([train_tokens] * len(rows), pa.int64()), *(pa.array(x, pa.float64()) for x in (col[2], *out))], names=schema.names)
+        own = BlockTexts([t or b"" for t in x.column(0).to_pylist()] for x in slices(texts, "t", SLICE))
+        by = dict(zip(answer["g"].to_pylist(), answer["p"].to_pylist(), strict=True))
+        c = own.counts(by, groups)
+        size = np.fromiter(map(len, own.tokens), np.int64, len(own.tokens))
+        at, first = np.concatenate(own.tokens), np.cumsum(size) - size
+        known, base_score = np.add.reduceat((c > 0)[at].astype(np.int64), first), np.add.reduceat((np.log10(c + 1.0) - most)[at], first)
+        found = list(own.scores(by, groups))
+        scores = np.array([x for x, _ in found])
+        bits = -scores / np.log10(2) / np.array([n for _, n in found])
+        return pa.table([docs["i"], docs["held"], pa.array(size), pa.array(known), pa.array(np.full(len(size), train_tokens)), pa.array(base_score), pa.array(scores), pa.array(bits)], names=schema.names)
 
     schema = T.StructType([T.StructField(ids, kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score", "bits_per_byte"))])
-    return dealt.groupBy("b").cogroup(prices.groupBy("b")).applyInArrow(score, schema)
+    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(score, schema)
