@@ -155,7 +155,8 @@ def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run
     base = df.select(F.col(ids).alias("i"), F.col(text).cast("string").alias("t"), *(F.col(c).alias(f"x{k}") for k, c in enumerate(keep))).withColumn("h", F.xxhash64("t"))
     kind = df.schema[ids].dataType
     schema = T.StructType([T.StructField("i", kind), T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("run", T.LongType())])
-    runs = base.select("i", "h", "t").mapInArrow(_runs(run, min_words), schema)
+    # Written once: the runs are counted, and those of repeated ones are read again.
+    runs = materialise(base.select("i", "h", "t").mapInArrow(_runs(run, min_words), schema))
     often = runs.groupBy("run").agg(F.count("*").alias("c")).filter("c > 1").select("run")
     repeated = materialise(runs.join(often, "run"))
     first = repeated.groupBy("run").agg(F.min(F.struct("i", "h", "pos")).alias("f")).select("run", F.col("f.i").alias("fi"), F.col("f.h").alias("fh"), F.col("f.pos").alias("fp"))
