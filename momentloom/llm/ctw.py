@@ -37,9 +37,9 @@ END = b"\n"
 #: Subtrees begin at this depth; most groups that they are dealt to.
 ROOT, MOST_GROUPS = 3, 1 << 14
 #: Bytes of text in a block of documents, the unit in which words get their scores; most partitions for blocks.
-BLOCK, MOST_PARTS = 16 << 20, 20_000
+BLOCK, MOST_PARTS = 8 << 20, 20_000
 #: Grams that a task holds before it sums equal ones; a slice's bytes.
-GRAMS, SLICE = 4_000_000, 1 << 20
+GRAMS, SLICE = 2_000_000, 1 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
