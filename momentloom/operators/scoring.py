@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import sentences, words_of
+from .segments import sentences, unpacked, words_of
 
 #: Patterns and words of the local score; data of our own that a caller may replace.
 HOOKS = [rf"(^|[^a-z]){w}([^a-z]|$)" for w in ("why", "how", "what", "the", "que", "der", "les", "never", "des", "del")] + ["thing", "[?]"]
@@ -58,26 +58,64 @@ def title_of(text: Column, words: int = 9) -> Column:
     return F.when(cut == "", F.lit("Untitled")).otherwise(F.concat(F.upper(F.substring(cut, 1, 1)), F.lower(F.substring(cut, 2, 1 << 20))))
 
 
+def rms(squares: Column, n: Column) -> Column:
+    """Root of the mean square, kept off zero."""
+    return F.sqrt(squares / n + 1e-9)
+
+
 def rms_bins(samples: DataFrame, key: list[str], bin_: str, value: str, full: int | None = None) -> DataFrame:
-    """rms of each bin's samples: sqrt(mean square + 1e-9); bins of fewer than `full` samples are dropped where it is given."""
+    """rms of each bin's samples; bins of fewer than `full` samples are dropped where it is given."""
     g = samples.groupBy(*key, bin_).agg(F.count("*").alias("n"), F.sum(F.col(value) * F.col(value)).alias("sq"))
     g = g.filter(F.col("n") == full) if full else g
-    return g.select(*key, bin_, F.sqrt(F.col("sq") / F.col("n") + 1e-9).alias("rms"))
+    return g.select(*key, bin_, rms(F.col("sq"), F.col("n")).alias("rms"))
+
+
+def sound_threshold(quartile: Column) -> Column:
+    """The rms above which there is sound, from the first quartile of all."""
+    return F.greatest(F.lit(0.01), quartile * 1.8)
+
+
+def _quantile(ordered: Column, p: float) -> Column:
+    """Of an ascending array, linear between neighbours; null of an empty one."""
+    at = (F.size(ordered) - 1) * F.lit(p)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    part = at - F.floor(at)
+    return F.when(F.size(ordered) > 0, F.when(part == 0, low).otherwise(low * (1 - part) + high * part))
 
 
-def window_energy(windows: DataFrame, bins: DataFrame, key: str = "doc_id", bin_ms: int = 100) -> DataFrame:
-    """Adds energy: how far the 95th percentile of a window's bins is over the median of the key's bins that sound; 0.3 without bins.
+def window_energies(df: DataFrame, windows: str = "windows", bins: str = "bins", bin_ms: int = 100) -> DataFrame:
+    """Adds energies, in the order of windows: how far the 95th percentile of a window's bins is over the median of all bins that sound; 0.3 without bins.
 
-    Bins join windows by blocks of ten seconds, an equality, and then by range.
+    bins are structs (bin, rms) in order, windows have start_ms and end_ms. It all happens in a row: bins are laid
+    out one for each step of time, so that a window is a slice of them.
     """
-    base = bins.filter("rms > 0.001").groupBy(key).agg(F.percentile("rms", F.lit(0.5)).alias("base"))
-    w = windows.select(key, "j0", (F.expr(f"start_ms div {bin_ms}")).alias("b0"), F.expr(f"end_ms div {bin_ms}").alias("b1"))
-    blocks = w.withColumn("block", F.explode(F.sequence(F.expr("b0 div 100"), F.expr("b1 div 100"))))
-    inside = blocks.join(bins.withColumn("block", F.expr("bin div 100")), [key, "block"]).filter("bin >= b0 and bin < b1")
-    p95 = inside.groupBy(key, "j0").agg(F.percentile("rms", F.lit(0.95)).alias("p95"))
-    found = w.join(p95, [key, "j0"], "left").join(base, key, "left")
-    energy = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("p95") / (F.coalesce("base", F.lit(0.01)) + 1e-9) - 1) / 3)), F.lit(NEUTRAL_ENERGY))
-    return found.select(key, "j0", (F.floor(energy * 1e6 + 0.5) / 1e6).alias("energy"))
+    gap = lambda i: F.coalesce(F.get(bins, i + 1)["bin"] - F.get(bins, i)["bin"] - 1, F.lit(0)).cast("int")
+    dense = F.flatten(F.transform(bins, lambda x, i: F.concat(F.array(x["rms"]), F.array_repeat(F.lit(None).cast("double"), gap(i)))))
+    d = df.withColumn("_dense", dense).withColumn("_first", F.coalesce(F.get(bins, F.lit(0))["bin"], F.lit(0)))
+    d = d.withColumn("_base", F.coalesce(_quantile(F.array_sort(F.filter(F.transform(bins, lambda x: x["rms"]), lambda v: v > 0.001)), 0.5), F.lit(0.01)))
+    step = F.lit(bin_ms)
+
+    def inside(w: Column) -> Column:
+        a = F.greatest(F.floor(w["start_ms"] / step) - F.col("_first"), F.lit(0)).cast("int")
+        z = F.greatest(F.floor(w["end_ms"] / step) - F.col("_first"), F.lit(0)).cast("int")
+        return F.array_sort(F.filter(F.slice("_dense", a + 1, F.greatest(z - a, F.lit(0))), lambda v: v.isNotNull()))
+
+    p95 = F.transform(F.transform(windows, inside), lambda v: _quantile(v, 0.95))
+    energy = lambda p: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p / (F.col("_base") + 1e-9) - 1) / 3)), F.lit(NEUTRAL_ENERGY))
+    return d.withColumn("energies", F.transform(p95, lambda p: F.floor(energy(p) * 1e6 + 0.5) / 1e6)).drop("_dense", "_first", "_base")
+
+
+def window_energy(windows: DataFrame, bins: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, j0 and energy for windows and bins (bin, rms) that come as rows: both are gathered by key, one shuffle each, and measured in a row (see window_energies)."""
+    w = windows.groupBy(key).agg(F.collect_list(F.struct("j0", "start_ms", "end_ms")).alias("windows"))
+    b = bins.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", "rms"))).alias("bins"))
+    both = w.join(b, key, "left").withColumn("bins", F.coalesce("bins", F.expr("cast(array() as array<struct<bin:bigint,rms:double>>)")))
+    return energy_rows(window_energies(both), key)
+
+
+def energy_rows(measured: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, j0 and energy, a row for each window."""
+    return unpacked(measured, [key], F.zip_with("windows", "energies", lambda w, e: F.struct(w["j0"].alias("j0"), e.alias("energy"))), "j0")
 
 
 def clamp_score(raw: Column) -> Column:

@@ -27,20 +27,64 @@ def start_ms(k: Column, j: Column) -> Column:
     return k * WORD_STEP + j * SENTENCE_GAP + F.floor(j / 2) * PAIR_GAP
 
 
+def unpacked(df: DataFrame, key: list[str], array: Column, field: str) -> DataFrame:
+    """key and the fields of an array's structs, a row each; field is null in none of them.
+
+    The outer form, as the plain one makes the optimizer test the array's size below, where it works the array out once more.
+    """
+    return df.select(*key, F.inline_outer(array)).filter(F.col(field).isNotNull())
+
+
+#: Entries of an array that are summed up in one go, see running_sums.
+CHUNK = 256
+
+
+def running_sums(counts: Column) -> Column:
+    """For each entry of an array the sum of those before it. Two levels, as a fold copies what it has gathered at each step."""
+    start = F.expr("named_struct('t', 0L, 'out', cast(array() as array<bigint>))")
+    step = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["out"], F.array(s["t"])).alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(counts) / CHUNK).cast("int") - 1, F.lit(0))), lambda c: F.aggregate(F.slice(counts, c * CHUNK + 1, CHUNK), start, step))
+    before = F.aggregate(F.transform(chunks, lambda c: c["t"]), start, step)["out"]
+    return F.flatten(F.zip_with(chunks, before, lambda c, t: F.transform(c["out"], lambda x: x + t)))
+
+
+def word_array(text: Column) -> Column:
+    """A text's words as structs k (word number), j (sentence number), w, s_ms, e_ms."""
+    pairs = F.flatten(F.transform(sentences(text), lambda s, j: F.transform(words_of(s), lambda w: F.struct(j.cast("long").alias("j"), w.alias("w")))))
+    at = lambda x, k: start_ms(k.cast("long"), x["j"])
+    return F.transform(pairs, lambda x, k: F.struct(k.cast("long").alias("k"), x["j"].alias("j"), x["w"].alias("w"), at(x, k).alias("s_ms"), (at(x, k) + WORD_LENGTH).alias("e_ms")))
+
+
 def timed_words(docs: DataFrame) -> DataFrame:
-    """doc_id, k (word number), j (sentence number), w, s_ms, e_ms. Without a shuffle: a row's words are numbered in the row."""
-    pairs = F.flatten(F.transform(sentences(F.col("text")), lambda s, j: F.transform(words_of(s), lambda w: F.struct(j.cast("long").alias("j"), w.alias("w")))))
-    w = docs.select("doc_id", F.posexplode(pairs).alias("k", "x")).select("doc_id", F.col("k").cast("long").alias("k"), "x.j", "x.w")
-    return w.withColumn("s_ms", start_ms(F.col("k"), F.col("j"))).withColumn("e_ms", F.col("s_ms") + WORD_LENGTH)
+    """doc_id, k (word number), j (sentence number), w, s_ms, e_ms. Without a shuffle: a row's words are numbered in the row. Null and empty texts have none; repeated rows stay apart."""
+    return unpacked(docs, ["doc_id"], word_array(F.col("text")), "k")
+
+
+def segment_arrays(docs: DataFrame) -> DataFrame:
+    """docs with segs: the sentences that have words as structs j, start_ms, end_ms, n_words, text, gap_ms, natural (see with_gaps).
+
+    All of it within a document's row, without a shuffle. Null and empty texts have an empty array.
+    """
+    split = F.transform(sentences(F.coalesce(F.col("text"), F.lit(""))), lambda s, j: F.struct(j.cast("long").alias("j"), words_of(s).alias("ws")))
+    d = docs.withColumn("_s", F.filter(split, lambda x: F.size(x["ws"]) > 0))
+    d = d.withColumn("_k", running_sums(F.transform("_s", lambda x: F.size(x["ws"]).cast("long"))))
+
+    def timed(x: Column, k: Column) -> Column:
+        n = F.size(x["ws"]).cast("long")
+        return F.struct(x["j"].alias("j"), start_ms(k, x["j"]).alias("start_ms"), (start_ms(k + n - 1, x["j"]) + WORD_LENGTH).alias("end_ms"), n.alias("n_words"), F.array_join(x["ws"], " ").alias("text"))
+
+    d = d.withColumn("_s", F.zip_with("_s", "_k", timed))
+
+    def with_gap(x: Column, i: Column) -> Column:
+        gap = F.coalesce(F.get("_s", i + 1)["start_ms"] - x["end_ms"], F.lit(999_000).cast("long"))
+        return F.struct(*(x[c].alias(c) for c in ("j", "start_ms", "end_ms", "n_words", "text")), gap.alias("gap_ms"), (x["text"].rlike(TERMINAL) & (gap >= PAUSE)).alias("natural"))
+
+    return d.withColumn("segs", F.transform("_s", with_gap)).drop("_s", "_k")
 
 
 def timed_segments(docs: DataFrame) -> DataFrame:
     """doc_id, j, start_ms, end_ms, n_words, text: a row for each sentence with words, times from its words' numbers."""
-    s = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("j", "s")).select("doc_id", F.col("j").cast("long").alias("j"), words_of(F.col("s")).alias("ws"))
-    s = s.withColumn("n_words", F.size("ws").cast("long")).filter("n_words > 0")
-    k = F.sum("n_words").over(Window.partitionBy("doc_id").orderBy("j")) - F.col("n_words")
-    s = s.withColumn("_k", k)
-    return s.select("doc_id", "j", start_ms(F.col("_k"), F.col("j")).alias("start_ms"), (start_ms(F.col("_k") + F.col("n_words") - 1, F.col("j")) + WORD_LENGTH).alias("end_ms"), "n_words", F.array_join("ws", " ").alias("text"))
+    return unpacked(segment_arrays(docs), ["doc_id"], F.col("segs"), "j").drop("gap_ms", "natural")
 
 
 def with_gaps(segments: DataFrame) -> DataFrame:
@@ -50,9 +94,9 @@ def with_gaps(segments: DataFrame) -> DataFrame:
     return segments.withColumn("gap_ms", gap).withColumn("natural", F.col("text").rlike(TERMINAL) & (F.col("gap_ms") >= PAUSE))
 
 
-def _segment_arrays(segments: DataFrame) -> DataFrame:
-    """One row a document: segs, its segments in order."""
-    return segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "start_ms", "end_ms", "natural", "text"))).alias("segs"))
+def gathered(segments: DataFrame) -> DataFrame:
+    """Segments that come as rows, one row a document: doc_id and segs in order."""
+    return with_gaps(segments).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "start_ms", "end_ms", "natural", "text"))).alias("segs"))
 
 
 def _seeds(segs: Column) -> Column:
@@ -63,28 +107,46 @@ def _seeds(segs: Column) -> Column:
         take = x["start_ms"] - s["last"] >= SEED_STEP
         return F.struct(F.when(take, x["start_ms"]).otherwise(s["last"]).alias("last"), F.when(take, F.concat(s["at"], F.array(s["n"]))).otherwise(s["at"]).alias("at"), (s["n"] + 1).alias("n"))
 
-    return F.aggregate(segs, start, step)["at"]
+    return F.aggregate(F.transform(segs, lambda x: F.struct(x["start_ms"].alias("start_ms"))), start, step)["at"]
 
 
-def seed_starts(segments: DataFrame) -> DataFrame:
-    arrays = _segment_arrays(with_gaps(segments)).select("doc_id", "segs", F.explode(_seeds(F.col("segs"))).alias("at"))
-    return arrays.select("doc_id", F.get("segs", F.col("at"))["j"].alias("j"), F.get("segs", F.col("at"))["start_ms"].alias("start_ms"))
+def seed_starts(arrays: DataFrame) -> DataFrame:
+    own = F.transform(_seeds(F.col("segs")), lambda at: F.struct(F.get("segs", at)["j"].alias("j"), F.get("segs", at)["start_ms"].alias("start_ms")))
+    return unpacked(arrays, ["doc_id"], own, "j")
 
 
-def candidate_windows(segments: DataFrame) -> DataFrame:
-    """doc_id, j0, j1, start_ms, end_ms, natural, text: from each seed to the last natural end within bounds, else the last end within bounds.
+def window_arrays(arrays: DataFrame) -> DataFrame:
+    """Adds windows: from each seed to the last natural end within bounds, else the last end within bounds, as structs j0, j1, start_ms, end_ms, natural, text.
 
     A window holds at most WINDOW_MOST / WORD_STEP segments with a word each, so a seed looks at a
-    bounded slice of its document. Segment ends do not decrease within a document.
+    bounded slice of its document's array, in the document's row. Segment ends do not
+    decrease within a document.
     """
     most = WINDOW_MOST // WORD_STEP + 2
-    a = _segment_arrays(with_gaps(segments)).select("doc_id", "segs", F.explode(_seeds(F.col("segs"))).alias("at"))
-    a = a.select("doc_id", F.slice("segs", F.col("at") + 1, most).alias("own")).withColumn("_t0", F.get("own", F.lit(0))["start_ms"])
-    a = a.withColumn("_fit", F.filter("own", lambda x: (x["end_ms"] - F.col("_t0")).between(WINDOW_LEAST, WINDOW_MOST)))
-    a = a.withColumn("_nat", F.filter("_fit", lambda x: x["natural"]))
-    a = a.withColumn("_end", F.coalesce(F.get("_nat", F.size("_nat") - 1), F.get("_fit", F.size("_fit") - 1))).filter("_end is not null")
-    inside = F.filter("own", lambda x: x["j"] <= F.col("_end")["j"])
-    return a.select("doc_id", F.get("own", F.lit(0))["j"].alias("j0"), F.col("_end.j").alias("j1"), F.col("_t0").alias("start_ms"), F.col("_end.end_ms").alias("end_ms"), F.col("_end.natural").alias("natural"), F.array_join(F.transform(inside, lambda x: x["text"]), " ").alias("text"))
+    bounds = F.transform(F.col("segs"), lambda x: F.struct(x["j"].alias("j"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["natural"].alias("natural")))
+    a = arrays.withColumn("_b", bounds).withColumn("_at", _seeds(F.col("segs")))
+
+    def ends(at: Column) -> Column:
+        t0 = F.get("_b", at)["start_ms"]
+        fit = F.filter(F.slice("_b", at + 1, most), lambda x: (x["end_ms"] - t0).between(WINDOW_LEAST, WINDOW_MOST))
+        return F.struct(at.alias("at"), fit.alias("fit"), F.filter(fit, lambda x: x["natural"]).alias("nat"))
+
+    def chosen(x: Column) -> Column:
+        end = F.coalesce(F.get(x["nat"], F.size(x["nat"]) - 1), F.get(x["fit"], F.size(x["fit"]) - 1))
+        return F.struct(x["at"].alias("at"), end.alias("end"))
+
+    def window(x: Column) -> Column:
+        own = F.filter(F.slice("segs", x["at"] + 1, most), lambda g: g["j"] <= x["end"]["j"])
+        first = F.get("_b", x["at"])
+        return F.struct(first["j"].alias("j0"), x["end"]["j"].alias("j1"), first["start_ms"].alias("start_ms"), x["end"]["end_ms"].alias("end_ms"), x["end"]["natural"].alias("natural"), F.array_join(F.transform(own, lambda g: g["text"]), " ").alias("text"))
+
+    a = a.withColumn("_w", F.transform(F.transform("_at", ends), chosen)).withColumn("_w", F.filter("_w", lambda x: x["end"].isNotNull()))
+    return a.withColumn("windows", F.transform("_w", window)).drop("_b", "_at", "_w")
+
+
+def candidate_windows(arrays: DataFrame) -> DataFrame:
+    """doc_id, j0, j1, start_ms, end_ms, natural, text: a row for each window of documents with segs (segment_arrays or gathered)."""
+    return unpacked(window_arrays(arrays), ["doc_id"], F.col("windows"), "j0")
 
 
 def target_count(duration_ms: Column) -> Column:

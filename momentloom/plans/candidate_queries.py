@@ -79,8 +79,12 @@ def _segments(spark, sf_dir):
     return G.timed_segments(_docs(spark, sf_dir))
 
 
+def _arrays(spark, sf_dir):
+    return G.segment_arrays(_docs(spark, sf_dir))
+
+
 def _windows(spark, sf_dir):
-    return G.candidate_windows(_segments(spark, sf_dir))
+    return G.candidate_windows(_arrays(spark, sf_dir))
 
 
 def _scored(spark, sf_dir):
@@ -99,7 +103,7 @@ def timed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {SEED} SELECT s.doc_id, s.j, g.start_ms FROM seed s JOIN gap g ON s.doc_id = g.doc_id AND s.j = g.j")
 def seed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.seed_starts(_segments(spark, sf_dir))
+    return G.seed_starts(_arrays(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {WIN} SELECT doc_id, j0, j1, start_ms, end_ms, \"natural\", text FROM win")
@@ -120,14 +124,22 @@ smp4 AS (SELECT doc_id, bin, (n * 37 + q * 13) % 200 AS v FROM smp, (SELECT unne
 bins AS (SELECT doc_id, bin, sqrt(sum(v * v) / count(*)::DOUBLE + 1e-9) AS rms FROM smp4 GROUP BY doc_id, bin)"""
 
 
-def _bins(spark, sf_dir):
-    w = G.timed_words(_docs(spark, sf_dir)).select("doc_id", F.char_length("w").alias("n"), F.explode(F.sequence(F.expr("s_ms div 100"), F.expr("(e_ms - 1) div 100"))).alias("bin"))
-    return C.rms_bins(w.select("doc_id", "bin", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: ((F.col("n") * 37 + q * 13) % 200).cast("long"))).alias("v")), ["doc_id"], "bin", "v")
+def _squares(text):
+    """Four samples for each tenth of a second of each word, as structs bin, sq (their squares' sum) and n; no two words share a bin."""
+    word = lambda w: F.char_length(w["w"])
+    square = lambda w, q: F.pow((word(w) * 37 + q * 13) % 200, F.lit(2)).cast("long")
+    sums = lambda w: square(w, 0) + square(w, 1) + square(w, 2) + square(w, 3)
+    own = lambda w: F.transform(F.sequence(F.floor(w["s_ms"] / 100), F.floor((w["e_ms"] - 1) / 100)), lambda b: F.struct(b.alias("bin"), sums(w).alias("sq"), F.lit(4).alias("n")))
+    return F.flatten(F.transform(G.word_array(text), own))
+
+
+def _bins(text):
+    return F.transform(_squares(text), lambda x: F.struct(x["bin"].alias("bin"), C.rms(x["sq"], x["n"]).alias("rms")))
 
 
 @query(f"WITH {BINS} SELECT doc_id, bin, rms FROM bins")
 def energy_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bins(spark, sf_dir)
+    return G.unpacked(_docs(spark, sf_dir), ["doc_id"], _bins(F.col("text")), "bin")
 
 
 @query(
@@ -137,13 +149,17 @@ SELECT w.doc_id, w.j0, floor(coalesce(greatest(0.0, least(1.0, (p95 / (coalesce(
 FROM win w LEFT JOIN p ON w.doc_id = p.doc_id AND w.j0 = p.j0 LEFT JOIN base ON base.doc_id = w.doc_id"""
 )
 def energy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.window_energy(_windows(spark, sf_dir), _bins(spark, sf_dir))
+    """Windows and bins are both of a document's row, so that nothing is shuffled."""
+    own = G.window_arrays(_arrays(spark, sf_dir)).withColumn("bins", _bins(F.col("text"))).select("doc_id", F.transform("windows", lambda w: F.struct(w["j0"].alias("j0"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"))).alias("windows"), "bins")
+    return C.energy_rows(C.window_energies(own))
 
 
-@query(f"WITH {BINS}, f AS (SELECT doc_id, bin // 5 AS hop, max(rms) AS rms FROM bins GROUP BY doc_id, bin // 5) SELECT doc_id, count(*) AS hops, floor(greatest(0.01, quantile_cont(rms, 0.25) * 1.8) * 1e6 + 0.5) / 1e6 AS threshold FROM f GROUP BY doc_id")
+@query(f"WITH {BINS}, f AS (SELECT doc_id, bin // 5 AS hop, sqrt(sum(v * v) / count(*)::DOUBLE + 1e-9) AS rms FROM smp4 GROUP BY doc_id, bin // 5) SELECT doc_id, count(*) AS hops, floor(greatest(0.01, quantile_cont(rms, 0.25) * 1.8) * 1e6 + 0.5) / 1e6 AS threshold FROM f GROUP BY doc_id")
 def speech_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _bins(spark, sf_dir).groupBy("doc_id", F.expr("bin div 5").alias("hop")).agg(F.max("rms").alias("rms"))
-    return f.groupBy("doc_id").agg(F.count("*").alias("hops"), (F.floor(F.greatest(F.lit(0.01), F.percentile("rms", F.lit(0.25)) * 1.8) * 1e6 + 0.5) / 1e6).alias("threshold"))
+    """Above which rms a half second counts as sound: 1.8 times the first quartile of the half seconds' rms, each over all its samples."""
+    b = G.unpacked(_docs(spark, sf_dir), ["doc_id"], _squares(F.col("text")), "bin").groupBy("doc_id", F.expr("bin div 5").alias("hop")).agg(F.sum("sq").alias("sq"), F.sum("n").alias("n"))
+    f = b.select("doc_id", C.rms(F.col("sq"), F.col("n")).alias("rms"))
+    return f.groupBy("doc_id").agg(F.count("*").alias("hops"), (F.floor(C.sound_threshold(F.percentile("rms", F.lit(0.25))) * 1e6 + 0.5) / 1e6).alias("threshold"))
 
 
 @query(f"WITH RECURSIVE {FEAT} SELECT doc_id, j0, hook, emotion, opinion, story, practical, questions, quotable FROM feat")

@@ -11,9 +11,9 @@ from momentloom.operators import captions, folds, registry, segments, series
 def test_windows_are_within_bounds_and_kept_ones_apart(spark):
     rows = [(1, j, j * 10_000, j * 10_000 + 9_500, 5, "a b c d e.") for j in range(60)]
     s = spark.createDataFrame(rows, "doc_id long, j long, start_ms long, end_ms long, n_words long, text string")
-    w = segments.candidate_windows(s).collect()
+    w = segments.candidate_windows(segments.gathered(s)).collect()
     assert w and all(75_000 <= r.end_ms - r.start_ms <= 100_000 for r in w)
-    kept = segments.suppress_overlaps(segments.candidate_windows(s).withColumn("score", F.lit(50.0))).collect()
+    kept = segments.suppress_overlaps(segments.candidate_windows(segments.gathered(s)).withColumn("score", F.lit(50.0))).collect()
     assert 1 < len(kept) < len(w)
     for a in kept:
         for b in kept:
@@ -25,7 +25,7 @@ def test_windows_are_within_bounds_and_kept_ones_apart(spark):
 def test_fallback_window_without_natural_end(spark):
     rows = [(1, j, j * 10_000, j * 10_000 + 9_900, 2, "no stop") for j in range(12)]
     s = spark.createDataFrame(rows, "doc_id long, j long, start_ms long, end_ms long, n_words long, text string")
-    first = segments.candidate_windows(s).orderBy("j0").first()
+    first = segments.candidate_windows(segments.gathered(s)).orderBy("j0").first()
     assert (first.j0, first.j1, first.natural) == (0, 9, False)
 
 
