@@ -162,9 +162,13 @@ class RankEncoder:
         self.path = path
         self.by_rank = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
 
-    def encode(self, strings: list[str]) -> list[bytes]:
+    def encode(self, strings: list[str], code: str = "I") -> list[bytes]:
+        """Ids as unsigned 32-bit numbers, or as another array type code says."""
         encode = self.by_rank.encode_ordinary
-        return [array("I", encode(s)).tobytes() if len(s) <= self.LONG else byte_bpe(self.path, public_tokenizers.PATTERN).encode_chunks([s])[0] for s in strings]
+        return [array(code, encode(s) if len(s) <= self.LONG else self.long_ids(s)).tobytes() for s in strings]
+
+    def long_ids(self, s: str) -> list[int]:
+        return np.frombuffer(byte_bpe(self.path, public_tokenizers.PATTERN).encode_chunks([s])[0], "<u4").tolist()
 
 
 def bpe_encode(df: DataFrame, ids: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

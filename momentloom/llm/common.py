@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +21,10 @@ ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents are dealt over all cores where their files have fewer splits than that (a small table is one row group)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -96,11 +100,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20)
 LONGEST_REMEMBERED = 64
 
 
-def remembered(wanted: Iterable[str], known: dict[str, bytes], before: dict[str, bytes], work: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+def remembered(wanted: Iterable[str], known: dict[str, Any], before: dict[str, Any], work: Callable[[list[str]], list[Any]]) -> dict[str, Any]:
     """What work gives for each wanted string: from known or the older generation before, else worked out; short strings are then known."""
-    absent = set(wanted).difference(known)
-    known.update((w, before[w]) for w in absent if w in before)
-    missing = [w for w in absent if w not in before]
+    absent = [w for w in wanted if w not in known]
+    missing = []
+    for w in absent:
+        if w in before:
+            known[w] = before[w]
+        else:
+            missing.append(w)
     if not missing:
         return known
     new = dict(zip(missing, work(missing), strict=True))
