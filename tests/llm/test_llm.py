@@ -507,8 +507,8 @@ def test_long_runs_and_long_words():
     for t in (" " * 5000, "a" * 3000, "x" + "\n " * 1500 + "y"):  # as long as tiktoken's matcher takes
         tok = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
         assert np.frombuffer(whole.encode([t])[0], "<u4").tolist() == tok.encode_ordinary(t)
-    f = quality.Fertility(public_tokenizers.path("piece_bpe_32k.model"))
-    assert f.measures(["a" * 100_000, "b"], 100_001)[0] > 1000 and all(len(k) <= 64 for k in f.known)
+    f = quality.Fertility((public_tokenizers.path("piece_bpe_32k.model"),))
+    assert f.measures({"a" * 100_000: 1, "b": 2}, 100_002)[0][0] > 1000 and all(len(k) <= 64 for k in f.known)
 
 
 def test_equal_rows_are_dealt_over_shards(spark):
