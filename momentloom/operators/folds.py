@@ -6,55 +6,39 @@ independent, of bounded length, and dealt over the cluster by their key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from math import hypot
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Distances and times of the tracker (share of the picture's width; ms).
+#: Fixed values. Distances and times of the tracker (share of the picture's width; ms).
 MATCH, MERGE_GAP, MERGE_SHARE = 0.18, 3000, 1.5
 
 
-@dataclass
-class OpenTrack:
-    tid: int
-    cx: float
-    cy: float
-    w: float
-    seen: int
-    openness: float
-    first: int = 0
-    rows: list = field(default_factory=list)
-
-
 def assign_tracks(frame: pd.DataFrame) -> pd.DataFrame:
     """Rows (t_ms, det, cx, cy, w, openness) in time order get a track each.
 
     A detection goes to the nearest track whose last centre is nearer than MATCH and
     that has no sample at this time yet; ties go to the older track, and what is near
-    none opens a track. A missing openness repeats the track's last.
+    none opens a track. A missing openness repeats the track's last, at first 0.
     """
-    tracks: list[OpenTrack] = []
-    tids, opens = [], []
-    for r in frame.sort_values(["t_ms", "det"]).itertuples():
-        best = None
-        for t in tracks:
-            d = hypot(t.cx - r.cx, t.cy - r.cy)
-            if t.seen != r.t_ms and d < MATCH and (best is None or d < best[0]):
-                best = (d, t)
-        if best is None:
-            track = OpenTrack(len(tracks), r.cx, r.cy, r.w, r.t_ms, 0.0)
-            tracks.append(track)
-        else:
-            track = best[1]
-        track.cx, track.cy, track.w, track.seen = r.cx, r.cy, r.w, r.t_ms
-        if r.openness == r.openness:
-            track.openness = r.openness
-        tids.append(track.tid)
-        opens.append(track.openness)
     out = frame.sort_values(["t_ms", "det"]).copy()
+    x, y, seen, last = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), []
+    tids, opens = [], []
+    for t, cx, cy, mouth in zip(*(out[c].tolist() for c in ("t_ms", "cx", "cy", "openness")), strict=True):
+        d = np.where(seen == t, np.inf, np.sqrt((x - cx) ** 2 + (y - cy) ** 2))
+        k = int(d.argmin()) if len(d) else 0
+        if not len(d) or not d[k] < MATCH:
+            k = len(x)
+            x, y, seen = np.append(x, cx), np.append(y, cy), np.append(seen, t)
+            last.append(0.0)
+        x[k], y[k], seen[k] = cx, cy, t
+        if mouth is not None and mouth == mouth:
+            last[k] = mouth
+        tids.append(k)
+        opens.append(last[k])
     out["tid"], out["openness"] = tids, opens
     return out
 
@@ -65,32 +49,58 @@ def merge_fragments(frame: pd.DataFrame) -> pd.DataFrame:
     In order of their starts each track joins the first host whose gap is from 0 to
     MERGE_GAP (not included) and whose last centre is nearer than MATCH or MERGE_SHARE widths.
     """
-    hosts: list[OpenTrack] = []
+    ends: list[tuple[float, float, float, int]] = []  # last cx, cy, w and time of each host
     number = {}
-    starts = sorted((g["t_ms"].min(), tid) for tid, g in frame.groupby("tid"))
-    for start, tid in starts:
-        g = frame[frame["tid"] == tid].sort_values("t_ms")
-        head, tail = g.iloc[0], g.iloc[-1]
-        host = None
-        for k, h in enumerate(hosts):
-            reach = max(MATCH, MERGE_SHARE * max(h.w, head["w"]))
-            if 0 <= start - h.seen < MERGE_GAP and hypot(h.cx - head["cx"], h.cy - head["cy"]) < reach:
-                host = k
+    ordered = frame.sort_values(["t_ms", "det"] if "det" in frame.columns else ["t_ms"])
+    heads, tails = ordered.groupby("tid").head(1), ordered.groupby("tid").tail(1).set_index("tid")
+    for tid, start, cx, cy, w in zip(*(heads[c].tolist() for c in ("tid", "t_ms", "cx", "cy", "w")), strict=True):
+        for k, (x, y, wide, seen) in enumerate(ends):
+            if 0 <= start - seen < MERGE_GAP and hypot(x - cx, y - cy) < max(MATCH, MERGE_SHARE * max(wide, w)):
                 break
-        if host is None:
-            host = len(hosts)
-            hosts.append(OpenTrack(host, 0, 0, 0, 0, 0))
-        h = hosts[host]
-        h.cx, h.cy, h.w, h.seen = tail["cx"], tail["cy"], max(h.w, g["w"].max()), int(tail["t_ms"])
-        number[tid] = host
+        else:
+            k = len(ends)
+            ends.append((0.0, 0.0, 0.0, 0))
+        ends[k] = tuple(tails.loc[tid, ["cx", "cy", "w", "t_ms"]])
+        number[tid] = k
     out = frame.copy()
     out["tid"] = out["tid"].map(number)
     return out.sort_values(["t_ms", "tid"])
 
 
-#: Thresholds of the speaker states: activity, ratio of peaks, look-back, least run of one and of two, absence (frames).
+#: Fixed values. Speaker states: activity, ratio of peaks, look-back, least run of one and of two, absence (frames at 30 a second).
 ACTIVE, RATIO, LOOK_BACK, SINGLE_RUN, SPLIT_RUN, ABSENT = 0.010, 3.0, 38, 45, 30, 30
-DISTINCT = 1.3
+#: Two faces are apart beyond so many widths of the wider one, if their crops share no more than this.
+DISTINCT, MOST_SHARED = 1.3, 0.30
+#: Fixed values. Crops: the face's share of the height, where on it the face is, width over height, and the output's height; all for one face and for two.
+FACE_SHARE, FACE_PLACE = {"single": 0.35, "split": 0.42}, {"single": 0.42, "split": 0.46}
+ASPECT, OUT_HEIGHT = {"single": 1080 / 1920, "split": 1080 / 960}, {"single": 1920.0, "split": 960.0}
+ZOOM, MOST_UPSCALE, HEADROOM = 0.9, 4.0, 1.8
+
+
+def aim_at(face, mode: str, src_w: float, src_h: float):
+    """Centre and height of the crop for faces (cx, cy, w, h as shares of the source), numbers or arrays.
+
+    The crop gives the face its share of the height, from HEADROOM faces or the upscale limit up to
+    the source's height, and lies so that the face is at its place.
+    """
+    h = face[3] * src_h
+    least = min(OUT_HEIGHT[mode] / max(1.0, MOST_UPSCALE), src_h)
+    height = np.minimum(np.maximum(h / (FACE_SHARE[mode] * ZOOM), np.maximum(HEADROOM * h, least)), src_h)
+    return face[0] * src_w, face[1] * src_h + (0.5 - FACE_PLACE[mode]) * height, height
+
+
+def crop_inside(aim, mode: str, src_w: float, src_h: float):
+    """The crop (x, y, w, h) of an aim, made small enough and moved to lie inside the source."""
+    height = np.minimum(aim[2], min(src_h, src_w / ASPECT[mode]))
+    width = height * ASPECT[mode]
+    return np.clip(aim[0] - width / 2, 0, src_w - width), np.clip(aim[1] - height / 2, 0, src_h - height), width, height
+
+
+def crops_shared(a, b, src_w: float, src_h: float):
+    """Share of the union that the two crops of a split picture have in common."""
+    p, q = (crop_inside(aim_at(x, "split", src_w, src_h), "split", src_w, src_h) for x in (a, b))
+    common = np.maximum(np.minimum(p[0] + p[2], q[0] + q[2]) - np.maximum(p[0], q[0]), 0) * np.maximum(np.minimum(p[1] + p[3], q[1] + q[3]) - np.maximum(p[1], q[1]), 0)
+    return common / (p[2] * p[3] + q[2] * q[3] - common)
 
 
 def _long_absences(visible: list[bool], least: int) -> list[bool]:
@@ -122,97 +132,116 @@ def smooth_runs(states: list[tuple], least) -> list[tuple[int, int, tuple]]:
     return [tuple(r) for r in runs]
 
 
-def speaker_states(frame: pd.DataFrame) -> pd.DataFrame:
-    """Runs (f0, f1, mode, tids) from rows (frame, tid, activity, visible, cx, cy, w) of a clip.
+def speaker_states(frame: pd.DataFrame, src_w: float = 1920.0, src_h: float = 1080.0) -> pd.DataFrame:
+    """Runs (f0, f1, mode, tids) from rows (frame, tid, activity, visible, cx, cy, w, h) of a clip; frames count from the clip's first.
 
     Two tracks of most activity make a conversation. A frame shows both where both have
-    peaked lately at like heights and stand apart; else who speaks now; else what was shown.
-    Who is not visible hands over to the most active visible track; after a long absence
-    of all nobody is aimed at. Short runs go to the run before.
+    peaked lately at like heights, are visible and stand apart, in their faces and in their crops; else who speaks
+    now; else what the frame before showed. A picture of two that no longer stand apart
+    falls back to who is most active, or to its first. Who is not visible hands over to the most active
+    visible track; without any, nobody is aimed at in a long absence of all, and else the
+    frame before goes on. Short runs go to the run before. Repeated rows of a frame and track count once.
     """
-    n = int(frame["frame"].max()) + 1
-    tids = sorted(frame["tid"].unique().tolist())
-    wide = {c: frame.pivot(index="frame", columns="tid", values=c).reindex(range(n)) for c in ("activity", "visible", "cx", "cy", "w")}
-    act = wide["activity"].fillna(0.0)
-    vis = wide["visible"].eq(True)
-    gone_all = _long_absences(vis.any(axis=1).tolist(), ABSENT)
+    first, last = int(frame["frame"].min()), int(frame["frame"].max())
+    frame = frame.drop_duplicates(["frame", "tid"])
+    wide = {c: frame.pivot(index="frame", columns="tid", values=c).reindex(range(first, last + 1)) for c in ("activity", "visible", "cx", "cy", "w", "h")}
+    tids = wide["activity"].columns.tolist()
+    n, place = last + 1 - first, {t: k for k, t in enumerate(tids)}
+    act, vis = wide["activity"].fillna(0.0).to_numpy(), wide["visible"].eq(True).to_numpy()
     if len(tids) == 1:
-        absent = _long_absences(vis[tids[0]].tolist(), ABSENT)
-        states = [("single", () if a else (tids[0],)) for a in absent]
+        states = [("single", () if gone else (tids[0],)) for gone in _long_absences(vis[:, 0].tolist(), ABSENT)]
     else:
-        order = act.sum().sort_values(ascending=False, kind="stable").index.tolist()[:2]
-        a, b = order
-        top = sorted(order, key=lambda t: (wide["cx"][t].mean(), t))
-        peak = act.rolling(LOOK_BACK, min_periods=1).max()
-        pa, pb = peak[a].tolist(), peak[b].tolist()
-        rows = {t: (act[t].tolist(), vis[t].tolist(), wide["cx"][t].tolist(), wide["cy"][t].tolist(), wide["w"][t].tolist()) for t in tids}
-        states, before = [], ("single", (a,))
+        a, b = np.argsort(-act.sum(0), kind="stable")[:2]
+        left = wide["cx"].mean().to_numpy()
+        pair = tuple(tids[k] for k in ((a, b) if left[a] <= left[b] else (b, a)))
+        peak = np.sort(pd.DataFrame(act[:, [a, b]]).rolling(LOOK_BACK, min_periods=1).max().to_numpy(), axis=1)
+        box = {k: [wide[c].to_numpy()[:, k] for c in ("cx", "cy", "w", "h")] for k in (a, b)}
+        far = np.hypot(box[a][0] - box[b][0], box[a][1] - box[b][1]) > DISTINCT * np.maximum(box[a][2], box[b][2])
+        apart = vis[:, a] & vis[:, b] & far & (crops_shared(box[a], box[b], src_w, src_h) <= MOST_SHARED)
+        both = apart & (peak[:, 0] > ACTIVE) & (peak[:, 1] / (peak[:, 0] + 1e-9) < RATIO)
+        seen = np.where(vis, act, -1.0)
+        best = np.where(vis.any(1), seen.argmax(1), -1).tolist()
+        speaks = (seen.max(1) > ACTIVE).tolist()
+        gone = _long_absences(vis.any(1).tolist(), ABSENT)
+        states, before = [], ("single", (tids[a],))
         for f in range(n):
-            low, high = sorted((pa[f], pb[f]))
-            seen = [t for t in tids if rows[t][1][f]]
-            best = max(seen, key=lambda t: rows[t][0][f], default=None)
-            both = rows[a][1][f] and rows[b][1][f]
-            apart = both and hypot(rows[a][2][f] - rows[b][2][f], rows[a][3][f] - rows[b][3][f]) > DISTINCT * max(rows[a][4][f], rows[b][4][f])
-            if low > ACTIVE and high / (low + 1e-9) < RATIO and both and apart:
-                now = ("split", tuple(top))
-            elif best is not None and rows[best][0][f] > ACTIVE:
-                now = ("single", (best,))
-            else:
-                now = before
-            if now[0] == "split" and not apart:
-                now = ("single", (best,) if best is not None else () if gone_all[f] else (now[1][0],))
-            if now[0] == "single" and now[1] and not rows[now[1][0]][1][f]:
-                now = ("single", (best,) if best is not None else () if gone_all[f] else now[1])
-            elif now == ("single", ()) and best is not None:
-                now = ("single", (best,))
+            lead = ("single", (tids[best[f]],)) if best[f] >= 0 else None
+            now = ("split", pair) if both[f] else lead if speaks[f] else before
+            if now[0] == "split" and not apart[f]:
+                now = lead or ("single", () if gone[f] else now[1][:1])
+            if now[0] == "single" and now[1] and not vis[f, place[now[1][0]]]:
+                now = lead or (("single", ()) if gone[f] else before)
             states.append(now)
-            before = now if now[1] else before
+            before = now
     runs = smooth_runs(states, lambda s: SPLIT_RUN if s[0] == "split" else SINGLE_RUN)
-    return pd.DataFrame([(a, b, s[0], list(s[1])) for a, b, s in runs], columns=["f0", "f1", "mode", "tids"])
+    return pd.DataFrame([(first + a, first + b, s[0], list(s[1])) for a, b, s in runs], columns=["f0", "f1", "mode", "tids"])
 
 
-#: The camera: dead zone and ramp (of the crop's height), slow and added rate, most move a frame (of the width), height's rate and zone, punch and drift.
-DEAD, RAMP, SLOW, FAST, MOST_MOVE = 0.015, 0.12, 0.02, 0.27, 0.03
-HEIGHT_RATE, HEIGHT_ZONE, PUNCH, PUNCH_S, DRIFT, DRIFT_FROM, DRIFT_TO = 0.05, 0.02, 1.035, 0.5, 0.95, 6.0, 20.0
+#: Fixed values. The camera: dead zone and ramp (of the crop's height), rates, most move a frame (of the width), height's rate and zone, punch and drift, and how long coarse faces are trusted after a cut.
+DEAD, RAMP, STILL, SLOW, FAST, MOST_MOVE = 0.015, 0.12, 0.02, 0.05, 0.32, 0.03
+HEIGHT_RATE, HEIGHT_ZONE, PUNCH, PUNCH_S, DRIFT, DRIFT_FROM, DRIFT_TO, REACQUIRE_S = 0.05, 0.02, 1.035, 0.5, 0.05, 6.0, 20.0, 0.75
 
 
-def _eased(at: float, to: float, h: float, src_w: float) -> float:
+def _eased(at: float, to: float, h: float, most: float) -> float:
     err = to - at
-    zone = DEAD * h
-    if abs(err) < zone:
-        rate = SLOW
-    else:
-        rate = 0.05 + FAST * min(1.0, (abs(err) - zone) / (RAMP * h))
-    return at + max(-MOST_MOVE * src_w, min(MOST_MOVE * src_w, rate * err))
-
-
-def camera_path(frame: pd.DataFrame, src_w: float = 1920.0, fps: float = 30.0) -> pd.DataFrame:
-    """x, y and h of the crop's centre and height for each frame of a clip with rows (frame, aim, cut, cx, cy, h).
-
-    aim names what is aimed at (null for nothing). The camera snaps when the aim changes
-    or the scene cuts, but eases out when the aim is only lost; else it follows
-    with a dead zone and a limit on its speed. A snap starts a punch-in that wears off,
-    and a slow drift inwards.
+    over = abs(err) - DEAD * h
+    rate = STILL if over < 0 else SLOW + (FAST - SLOW) * min(1.0, over / max(RAMP * h, 1e-6))
+    return at + max(-most, min(most, rate * err))
+
+
+def _aims(mode: str, boxes: list, coarse: list, trust: bool, src_w: float, src_h: float) -> list[tuple]:
+    """Centre and height for each crop of a frame. boxes are (face, visible) of the tracks shown; coarse faces step in for what is not seen."""
+    faces = [c for c in coarse if len(c) >= 4 and c[2] > 0 and c[3] > 0]
+    if not boxes:
+        if mode == "single" and faces:
+            return [aim_at(max(faces, key=lambda c: c[2] * c[3]), mode, src_w, src_h)]
+        return [(src_w / 2, src_h / 2, src_h)]
+    if mode == "single" and len(boxes) == 1 and faces and (not boxes[0][1] or (trust and len(faces) == 1)):
+        at = boxes[0][0]
+        return [aim_at(min(faces, key=lambda c: (c[0] - at[0]) ** 2 + (c[1] - at[1]) ** 2), mode, src_w, src_h)]
+    return [aim_at(face, mode, src_w, src_h) for face, _ in boxes]
+
+
+def camera_path(frame: pd.DataFrame, src_w: float = 1920.0, src_h: float = 1080.0, fps: float = 30.0) -> pd.DataFrame:
+    """Crops (frame, slot, mode, x, y, w, h) of a clip with a row for each frame: frame, cut, mode, boxes and coarse.
+
+    boxes lists the tracks shown as tid, cx, cy, w, h, visible (shares of the source; two for
+    a split picture, none for nobody), coarse the faces of an independent detector as
+    (cx, cy, w, h). The camera snaps when mode or tracks change or the scene cuts, but eases out when
+    the tracks are only lost; else each crop follows its aim with a dead zone and a limit on
+    its speed. A snap starts a punch-in that wears off and, on one face, a slow drift
+    inwards. For REACQUIRE_S after a cut a lone coarse face wins over the track. Crops lie inside the source.
     """
+    out: list[tuple] = []
+    shown, start, trusted = None, 0, -1
+    crops: list[list[float]] = []
     rows = frame.sort_values("frame")
-    out, x = [], None
-    y = h = 0.0
-    aim, start = None, 0
-    for r in rows.itertuples():
-        lost = r.aim is None or r.aim != r.aim
-        changed = not lost and r.aim != aim
-        if x is None or r.cut or changed:
-            x, y, h, start = r.cx, r.cy, r.h, r.frame
+    columns = (rows[c].tolist() for c in ("frame", "cut", "mode", "boxes", "coarse"))
+    for f, cut, mode, boxes, coarse in zip(*columns, strict=True):
+        own = [((b["cx"], b["cy"], b["w"], b["h"]), b["visible"]) for b in (boxes if boxes is not None else ())]
+        key = mode, tuple(b["tid"] for b in (boxes if boxes is not None else ()))
+        if cut:
+            trusted = f + max(1, round(REACQUIRE_S * fps))
+        if cut or key != shown:
+            shown = key
+            if not own and crops and not cut:
+                crops = crops[:1]
+            else:
+                crops, start = [], f
+        aims = _aims(mode, own, [tuple(c) for c in (coarse if coarse is not None else ())], f < trusted, src_w, src_h)
+        if not crops:
+            crops = [list(map(float, a)) for a in aims]
         else:
-            x, y = _eased(x, r.cx, h, src_w), _eased(y, r.cy, h, src_w)
-            if abs(r.h - h) > HEIGHT_ZONE * h:
-                h += HEIGHT_RATE * (r.h - h)
-        aim = aim if lost and not r.cut else (None if lost else r.aim)
-        s = (r.frame - start) / fps
-        punch = 1 + (PUNCH - 1) * max(0.0, 1 - s / PUNCH_S)
-        drift = 1 + (DRIFT - 1) * min(1.0, max(0.0, (s - DRIFT_FROM) / (DRIFT_TO - DRIFT_FROM)))
-        out.append((int(r.frame), round(x, 6), round(y, 6), round(h * drift / punch, 6)))
-    return pd.DataFrame(out, columns=["frame", "x", "y", "crop_h"])
+            for c, (x, y, h) in zip(crops, aims, strict=False):
+                c[0], c[1] = _eased(c[0], x, c[2], MOST_MOVE * src_w), _eased(c[1], y, c[2], MOST_MOVE * src_w)
+                if abs(h - c[2]) > HEIGHT_ZONE * c[2]:
+                    c[2] += HEIGHT_RATE * (h - c[2])
+        s = (f - start) / fps
+        zoom = 1 + (PUNCH - 1) * max(0.0, 1 - s / PUNCH_S)
+        drift = 1 - DRIFT * min(1.0, (s - DRIFT_FROM) / (DRIFT_TO - DRIFT_FROM)) if mode == "single" and s > DRIFT_FROM else 1.0
+        for k, c in enumerate(crops):
+            out.append((int(f), k, mode, *(round(float(v), 6) for v in crop_inside((c[0], c[1], c[2] * drift / zoom), mode, src_w, src_h))))
+    return pd.DataFrame(out, columns=["frame", "slot", "mode", "x", "y", "w", "h"])
 
 
 def by_clip(df: DataFrame, key: list[str], work, schema: str) -> DataFrame:

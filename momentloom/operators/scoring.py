@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import sentences, unpacked, words_of
+from .segments import bound, sentences, unpacked, words_of
 
 #: Patterns and words of the local score; data of our own that a caller may replace.
 HOOKS = [rf"(^|[^a-z]){w}([^a-z]|$)" for w in ("why", "how", "what", "the", "que", "der", "les", "never", "des", "del")] + ["thing", "[?]"]
@@ -89,20 +89,27 @@ def window_energies(df: DataFrame, windows: str = "windows", bins: str = "bins",
     bins are structs (bin, rms) in order, windows have start_ms and end_ms. It all happens in a row: bins are laid
     out one for each step of time, so that a window is a slice of them.
     """
-    gap = lambda i: F.coalesce(F.get(bins, i + 1)["bin"] - F.get(bins, i)["bin"] - 1, F.lit(0)).cast("int")
-    dense = F.flatten(F.transform(bins, lambda x, i: F.concat(F.array(x["rms"]), F.array_repeat(F.lit(None).cast("double"), gap(i)))))
-    d = df.withColumn("_dense", dense).withColumn("_first", F.coalesce(F.get(bins, F.lit(0))["bin"], F.lit(0)))
-    d = d.withColumn("_base", F.coalesce(_quantile(F.array_sort(F.filter(F.transform(bins, lambda x: x["rms"]), lambda v: v > 0.001)), 0.5), F.lit(0.01)))
     step = F.lit(bin_ms)
-
-    def inside(w: Column) -> Column:
-        a = F.greatest(F.floor(w["start_ms"] / step) - F.col("_first"), F.lit(0)).cast("int")
-        z = F.greatest(F.floor(w["end_ms"] / step) - F.col("_first"), F.lit(0)).cast("int")
-        return F.array_sort(F.filter(F.slice("_dense", a + 1, F.greatest(z - a, F.lit(0))), lambda v: v.isNotNull()))
-
-    p95 = F.transform(F.transform(windows, inside), lambda v: _quantile(v, 0.95))
-    energy = lambda p: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p / (F.col("_base") + 1e-9) - 1) / 3)), F.lit(NEUTRAL_ENERGY))
-    return d.withColumn("energies", F.transform(p95, lambda p: F.floor(energy(p) * 1e6 + 0.5) / 1e6)).drop("_dense", "_first", "_base")
+    start = lambda w: F.floor(w["start_ms"] / step)
+
+    def laid_out(own: Column) -> Column:
+        gap = lambda x, i: F.coalesce(F.get(own, i + 1)["bin"] - x["bin"] - 1, F.lit(0)).cast("int")
+        dense = F.flatten(F.transform(own, lambda x, i: F.concat(F.array(x["rms"]), F.array_repeat(F.lit(None).cast("double"), gap(x, i)))))
+        sounding = F.array_sort(F.filter(F.transform(own, lambda x: x["rms"]), lambda v: v > 0.001))
+        return F.struct(dense.alias("dense"), F.coalesce(F.get(own, F.lit(0))["bin"], F.lit(0)).alias("first"), F.coalesce(bound(sounding, lambda v: _quantile(v, 0.5)), F.lit(0.01)).alias("base"))
+
+    def energies(d: Column) -> Column:
+        def energy(w: Column) -> Column:
+            a = F.greatest(start(w) - d["first"], F.lit(0)).cast("int")
+            z = F.greatest(F.floor(w["end_ms"] / step) - d["first"], F.lit(0)).cast("int")
+            inside = F.array_sort(F.filter(F.slice(d["dense"], a + 1, F.greatest(z - a, F.lit(0))), lambda v: v.isNotNull()))
+            p95 = bound(inside, lambda v: _quantile(v, 0.95))
+            found = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p95 / (d["base"] + 1e-9) - 1) / 3)), F.lit(NEUTRAL_ENERGY))
+            return F.floor(found * 1e6 + 0.5) / 1e6
+
+        return F.transform(windows, energy)
+
+    return df.withColumn("energies", bound(bound(F.col(bins), laid_out), energies))
 
 
 def window_energy(windows: DataFrame, bins: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def unpacked(df: DataFrame, key: list[str], array: Column, field: str) -> DataFr
     return df.select(*key, F.inline_outer(array)).filter(F.col(field).isNotNull())
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: a column that is named in a lambda is put in its place and worked out at every step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 #: Entries of an array that are summed up in one go, see running_sums.
 CHUNK = 256
 
@@ -43,9 +50,12 @@ def running_sums(counts: Column) -> Column:
     """For each entry of an array the sum of those before it. Two levels, as a fold copies what it has gathered at each step."""
     start = F.expr("named_struct('t', 0L, 'out', cast(array() as array<bigint>))")
     step = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["out"], F.array(s["t"])).alias("out"))
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(counts) / CHUNK).cast("int") - 1, F.lit(0))), lambda c: F.aggregate(F.slice(counts, c * CHUNK + 1, CHUNK), start, step))
-    before = F.aggregate(F.transform(chunks, lambda c: c["t"]), start, step)["out"]
-    return F.flatten(F.zip_with(chunks, before, lambda c, t: F.transform(c["out"], lambda x: x + t)))
+
+    def summed(c: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c) / CHUNK).cast("int") - 1, F.lit(0))), lambda k: F.aggregate(F.slice(c, k * CHUNK + 1, CHUNK), start, step))
+        return bound(chunks, lambda own: F.flatten(F.zip_with(own, F.aggregate(F.transform(own, lambda x: x["t"]), start, step)["out"], lambda x, t: F.transform(x["out"], lambda y: y + t))))
+
+    return bound(counts, summed)
 
 
 def word_array(text: Column) -> Column:
@@ -66,20 +76,20 @@ def segment_arrays(docs: DataFrame) -> DataFrame:
     All of it within a document's row, without a shuffle. Null and empty texts have an empty array.
     """
     split = F.transform(sentences(F.coalesce(F.col("text"), F.lit(""))), lambda s, j: F.struct(j.cast("long").alias("j"), words_of(s).alias("ws")))
-    d = docs.withColumn("_s", F.filter(split, lambda x: F.size(x["ws"]) > 0))
-    d = d.withColumn("_k", running_sums(F.transform("_s", lambda x: F.size(x["ws"]).cast("long"))))
 
     def timed(x: Column, k: Column) -> Column:
         n = F.size(x["ws"]).cast("long")
         return F.struct(x["j"].alias("j"), start_ms(k, x["j"]).alias("start_ms"), (start_ms(k + n - 1, x["j"]) + WORD_LENGTH).alias("end_ms"), n.alias("n_words"), F.array_join(x["ws"], " ").alias("text"))
 
-    d = d.withColumn("_s", F.zip_with("_s", "_k", timed))
+    def with_gaps_of(own: Column) -> Column:
+        def with_gap(x: Column, i: Column) -> Column:
+            gap = F.coalesce(F.get(own, i + 1)["start_ms"] - x["end_ms"], F.lit(999_000).cast("long"))
+            return F.struct(*(x[c].alias(c) for c in ("j", "start_ms", "end_ms", "n_words", "text")), gap.alias("gap_ms"), (x["text"].rlike(TERMINAL) & (gap >= PAUSE)).alias("natural"))
 
-    def with_gap(x: Column, i: Column) -> Column:
-        gap = F.coalesce(F.get("_s", i + 1)["start_ms"] - x["end_ms"], F.lit(999_000).cast("long"))
-        return F.struct(*(x[c].alias(c) for c in ("j", "start_ms", "end_ms", "n_words", "text")), gap.alias("gap_ms"), (x["text"].rlike(TERMINAL) & (gap >= PAUSE)).alias("natural"))
+        return F.transform(own, with_gap)
 
-    return d.withColumn("segs", F.transform("_s", with_gap)).drop("_s", "_k")
+    timed_all = bound(F.filter(split, lambda x: F.size(x["ws"]) > 0), lambda own: F.zip_with(own, running_sums(F.transform(own, lambda x: F.size(x["ws"]).cast("long"))), timed))
+    return docs.withColumn("segs", bound(timed_all, with_gaps_of))
 
 
 def timed_segments(docs: DataFrame) -> DataFrame:
@@ -111,8 +121,8 @@ def _seeds(segs: Column) -> Column:
 
 
 def seed_starts(arrays: DataFrame) -> DataFrame:
-    own = F.transform(_seeds(F.col("segs")), lambda at: F.struct(F.get("segs", at)["j"].alias("j"), F.get("segs", at)["start_ms"].alias("start_ms")))
-    return unpacked(arrays, ["doc_id"], own, "j")
+    own = lambda segs: F.transform(_seeds(segs), lambda at: F.struct(F.get(segs, at)["j"].alias("j"), F.get(segs, at)["start_ms"].alias("start_ms")))
+    return unpacked(arrays, ["doc_id"], bound(F.col("segs"), own), "j")
 
 
 def window_arrays(arrays: DataFrame) -> DataFrame:
@@ -123,25 +133,25 @@ def window_arrays(arrays: DataFrame) -> DataFrame:
     decrease within a document.
     """
     most = WINDOW_MOST // WORD_STEP + 2
-    bounds = F.transform(F.col("segs"), lambda x: F.struct(x["j"].alias("j"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["natural"].alias("natural")))
-    a = arrays.withColumn("_b", bounds).withColumn("_at", _seeds(F.col("segs")))
 
-    def ends(at: Column) -> Column:
-        t0 = F.get("_b", at)["start_ms"]
-        fit = F.filter(F.slice("_b", at + 1, most), lambda x: (x["end_ms"] - t0).between(WINDOW_LEAST, WINDOW_MOST))
-        return F.struct(at.alias("at"), fit.alias("fit"), F.filter(fit, lambda x: x["natural"]).alias("nat"))
+    def windows(segs: Column) -> Column:
+        def ends(at: Column) -> Column:
+            near = F.slice(segs, at + 1, most)
+            t0 = F.get(segs, at)["start_ms"]
+            return F.struct(near.alias("near"), F.filter(near, lambda x: (x["end_ms"] - t0).between(WINDOW_LEAST, WINDOW_MOST)).alias("fit"))
+
+        def chosen(x: Column) -> Column:
+            last = bound(F.filter(x["fit"], lambda g: g["natural"]), lambda nat: F.coalesce(F.get(nat, F.size(nat) - 1), F.get(x["fit"], F.size(x["fit"]) - 1)))
+            return F.struct(x["near"].alias("near"), last.alias("end"))
 
-    def chosen(x: Column) -> Column:
-        end = F.coalesce(F.get(x["nat"], F.size(x["nat"]) - 1), F.get(x["fit"], F.size(x["fit"]) - 1))
-        return F.struct(x["at"].alias("at"), end.alias("end"))
+        def window(x: Column) -> Column:
+            own = F.filter(x["near"], lambda g: g["j"] <= x["end"]["j"])
+            first = F.get(x["near"], F.lit(0))
+            return F.struct(first["j"].alias("j0"), x["end"]["j"].alias("j1"), first["start_ms"].alias("start_ms"), x["end"]["end_ms"].alias("end_ms"), x["end"]["natural"].alias("natural"), F.array_join(F.transform(own, lambda g: g["text"]), " ").alias("text"))
 
-    def window(x: Column) -> Column:
-        own = F.filter(F.slice("segs", x["at"] + 1, most), lambda g: g["j"] <= x["end"]["j"])
-        first = F.get("_b", x["at"])
-        return F.struct(first["j"].alias("j0"), x["end"]["j"].alias("j1"), first["start_ms"].alias("start_ms"), x["end"]["end_ms"].alias("end_ms"), x["end"]["natural"].alias("natural"), F.array_join(F.transform(own, lambda g: g["text"]), " ").alias("text"))
+        return F.transform(F.filter(F.transform(F.transform(_seeds(segs), ends), chosen), lambda x: x["end"].isNotNull()), window)
 
-    a = a.withColumn("_w", F.transform(F.transform("_at", ends), chosen)).withColumn("_w", F.filter("_w", lambda x: x["end"].isNotNull()))
-    return a.withColumn("windows", F.transform("_w", window)).drop("_b", "_at", "_w")
+    return arrays.withColumn("windows", bound(F.col("segs"), windows))
 
 
 def candidate_windows(arrays: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from momentloom.operators import scoring as C
 from momentloom.operators import segments as G
-from momentloom.sources.tables import table
+from momentloom.sources.tables import documents
 
 QUERIES, SQL = {}, {}
 
@@ -72,7 +72,7 @@ kept AS (SELECT doc_id, unnest(list_reduce(ws, lambda acc, x: CASE WHEN len(list
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return documents(spark, sf_dir)
 
 
 def _segments(spark, sf_dir):

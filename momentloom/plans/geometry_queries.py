@@ -21,12 +21,12 @@ def query(sql: str | None = None):
     return add
 
 
-PAIR = f"{TRACKS_SQL}, pr AS (SELECT a.clip_id, a.idx, a.tid AS a, b.tid AS b, a.cx AS ax, a.cy AS ay, a.w AS aw, a.h AS ah, b.cx AS bx, b.cy AS by_, b.w AS bw, b.h AS bh FROM tracks a JOIN tracks b ON a.clip_id = b.clip_id AND a.idx = b.idx AND a.tid < b.tid AND a.idx % 10 = 0)"
+PAIR = f"{TRACKS_SQL}, pr AS (SELECT a.clip_id, a.idx, a.tid AS a, b.tid AS b, a.cx AS ax, a.cy AS ay, a.w AS aw, a.h AS ah, b.cx AS bx, b.cy AS by_, b.w AS bw, b.h AS bh FROM tracks a JOIN tracks b ON a.clip_id = b.clip_id AND a.idx = b.idx AND a.tid < b.tid)"
 
 
 def _pairs(spark, sf_dir):
-    """Boxes of two tracks of a clip at the same sample (every tenth)."""
-    t = track_samples(spark, sf_dir).filter("idx % 10 = 0")
+    """Boxes of two tracks of a clip at the same sample: a clip has few tracks, so a sample few pairs."""
+    t = track_samples(spark, sf_dir)
     a = t.select("clip_id", "idx", F.col("tid").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("w").alias("aw"), F.col("h").alias("ah"))
     b = t.select("clip_id", "idx", F.col("tid").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by_"), F.col("w").alias("bw"), F.col("h").alias("bh"))
     return a.join(b, ["clip_id", "idx"]).filter("a < b")

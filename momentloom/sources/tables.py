@@ -10,13 +10,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files have fewer splits than that (a small table is one row group); larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
+#: Tracks of a clip, and samples of a part of it that is worked on at once.
+CLIP_TRACKS, PART_SAMPLES = 4, 512
+
+
 def track_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as samples of tracks: ten clips, a track a user; boxes in thousandths, a sample every 100 ms with gaps."""
+    """events as samples of tracks: a track a user, CLIP_TRACKS of them a clip; boxes in thousandths, a sample every 100 ms with gaps."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = e.withColumn("idx", F.row_number().over(w) - 1)
     return e.select(
-        (F.col("user_id") % 10).alias("clip_id"),
+        F.expr(f"user_id div {CLIP_TRACKS}").alias("clip_id"),
         F.col("user_id").alias("tid"),
         F.col("idx").cast("long").alias("idx"),
         (F.col("idx") * 100 + F.expr("idx div 7") * 700 + F.expr("idx div 20") * 2500).cast("long").alias("t_ms"),
@@ -29,8 +43,8 @@ def track_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TRACKS_SQL = """tracks AS (
-  SELECT user_id % 10 AS clip_id, user_id AS tid, idx, idx * 100 + (idx // 7) * 700 + (idx // 20) * 2500 AS t_ms,
+TRACKS_SQL = f"""tracks AS (
+  SELECT user_id // {CLIP_TRACKS} AS clip_id, user_id AS tid, idx, idx * 100 + (idx // 7) * 700 + (idx // 20) * 2500 AS t_ms,
     event_id * 37 % 1000 AS cx, event_id * 53 % 1000 AS cy, event_id * 11 % 150 + 10 AS w, event_id * 13 % 300 + 50 AS h,
     CAST(round(value * 100) AS BIGINT) AS mouth, event_id
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events))"""

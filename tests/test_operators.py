@@ -92,34 +92,80 @@ def test_fragments_join_and_a_far_one_does_not():
     assert sorted(out["tid"].value_counts().tolist()) == [10, 20]
 
 
-def test_dialogue_splits_then_rests_on_one():
-    n, rows = 360, []
-    for f in range(n):
-        one = 0.05 if (f // 20) % 2 == 0 and f < 180 or f >= 180 else 0.0
-        two = 0.05 if (f // 20) % 2 == 1 and f < 180 else 0.0
-        rows += [(f, 0, one, True, 0.3, 0.5, 0.1), (f, 1, two, True, 0.7, 0.5, 0.1)]
-    runs = folds.speaker_states(pd.DataFrame(rows, columns=["frame", "tid", "activity", "visible", "cx", "cy", "w"]))
-    at = lambda f: next((r.mode, r.tids) for r in runs.itertuples() if r.f0 <= f < r.f1)
-    assert at(90) == ("split", [0, 1]) and at(330) == ("single", [0])
-
-
-def test_same_place_never_splits():
-    rows = [(f, t, 0.05, True, 0.5 + t * 0.05, 0.5, 0.14) for f in range(200) for t in (0, 1)]
-    runs = folds.speaker_states(pd.DataFrame(rows, columns=["frame", "tid", "activity", "visible", "cx", "cy", "w"]))
-    assert set(runs["mode"]) == {"single"}
+def states_of(n, tracks, visible=None):
+    """tracks: tid -> (activity by frame, (cx, cy, w, h)); visible: tid -> by frame."""
+    rows = [(f, t, act(f), visible is None or visible[t](f), *box) for t, (act, box) in tracks.items() for f in range(n)]
+    runs = folds.speaker_states(pd.DataFrame(rows, columns=["frame", "tid", "activity", "visible", "cx", "cy", "w", "h"]))
+    return runs, lambda f: next((r.mode, r.tids) for r in runs.itertuples() if r.f0 <= f < r.f1)
 
 
-def test_long_absence_aims_at_nobody():
-    rows = [(f, t, 0.05, not 150 <= f < 400, 0.3 + 0.4 * t, 0.5, 0.1) for f in range(600) for t in (0, 1)]
-    runs = folds.speaker_states(pd.DataFrame(rows, columns=["frame", "tid", "activity", "visible", "cx", "cy", "w"]))
-    assert [] in runs["tids"].tolist()
-
-
-def test_camera_speed_is_bounded_and_cuts_snap():
-    rows = [(f, "a", f == 50, 200.0 if f < 20 else 1500.0, 500.0, 400.0) for f in range(100)]
-    path = folds.camera_path(pd.DataFrame(rows, columns=["frame", "aim", "cut", "cx", "cy", "h"]))["x"].tolist()
-    steps = [abs(b - a) for a, b in zip(path, path[1:], strict=False)]
-    assert max(s for k, s in enumerate(steps) if k != 49) <= 0.03 * 1920 + 1e-6 and path[50] == 1500.0
+def test_dialogue_splits_then_rests_on_one():
+    left, right, middle = (0.20, 0.40, 0.12, 0.22), (0.80, 0.40, 0.12, 0.22), (0.50, 0.40, 0.12, 0.22)
+    turn = lambda k: lambda f: 0.05 if f < 180 and (f // 45) % 2 == k or f >= 180 and k == 0 else 0.0
+    _, at = states_of(360, {0: (turn(0), left), 1: (turn(1), right)})
+    assert at(90) == ("split", [0, 1]) and at(270) == ("single", [0])
+    _, at = states_of(360, {0: (lambda f: 0.05 * (f < 60), left), 1: (lambda f: 0.04 * (f < 60), right), 2: (lambda f: 0.06 * (f >= 120), middle)})
+    assert at(240) == ("single", [2])
+
+
+def test_same_place_and_like_crops_never_split():
+    for one, two, far in (((0.5, 0.4, 0.14, 0.28), 0.56, 0.85), ((0.38, 0.4, 0.10, 0.30), 0.515, 0.85)):
+        both = lambda x: {0: (lambda f: 0.05, one), 1: (lambda f: 0.045, (x, *one[1:]))}  # noqa: E731, B023
+        runs, _ = states_of(300, both(two))
+        assert set(runs["mode"]) == {"single"} and len(runs) <= 2
+        assert "split" in set(states_of(300, both(far))[0]["mode"])
+    assert folds.crops_shared((0.38, 0.4, 0.10, 0.30), (0.515, 0.4, 0.10, 0.30), 1920, 1080) > 0.5
+
+
+def test_absences():
+    face = (0.7, 0.4, 0.12, 0.22)
+    _, at = states_of(450, {0: (lambda f: 0.05, face)}, {0: lambda f: not (90 <= f < 114 or 240 <= f < 360)})
+    assert at(102) == ("single", [0]) and at(300) == ("single", []) and at(390) == ("single", [0])
+    gone = lambda f: 150 <= f < 450
+    pair = {0: (lambda f: 0.05 * (not gone(f)), (0.30, 0.4, 0.12, 0.22)), 1: (lambda f: 0.04 * (not gone(f)), (0.75, 0.4, 0.12, 0.22))}
+    seen = {0: lambda f: not gone(f), 1: lambda f: not gone(f)}
+    _, at = states_of(600, pair, seen)
+    assert at(300)[1] == [] and at(60)[1] != [] and at(540)[1] != []
+    _, at = states_of(600, pair | {2: (lambda f: 0.03 * gone(f), (0.50, 0.4, 0.06, 0.11))}, seen | {2: gone})
+    assert at(300) == ("single", [2])
+
+
+def path_of(frames, src_w=1280.0, src_h=720.0):
+    """frames: (cut, mode, [(tid, cx, cy, w, h, visible)], coarse) in order."""
+    box = lambda b: dict(zip(("tid", "cx", "cy", "w", "h", "visible"), b, strict=True))
+    rows = [(f, cut, mode, [box(b) for b in boxes], coarse) for f, (cut, mode, boxes, coarse) in enumerate(frames)]
+    path = folds.camera_path(pd.DataFrame(rows, columns=["frame", "cut", "mode", "boxes", "coarse"]), src_w, src_h)
+    assert ((path["x"] >= -1e-6) & (path["x"] + path["w"] <= src_w + 1e-5) & (path["y"] >= -1e-6) & (path["y"] + path["h"] <= src_h + 1e-5)).all()
+    return path, (path["x"] + path["w"] / 2).tolist()
+
+
+def test_camera_eases_out_when_the_face_is_lost():
+    face = [(0, 0.75, 0.4, 0.12, 0.22, True)]
+    _, centre = path_of([(False, "single", face if f < 150 or f >= 330 else [], []) for f in range(450)])
+    assert all(abs(b - a) <= 0.03 * 1280 + 1e-3 for a, b in zip(centre[149:329], centre[150:330], strict=True))
+    assert abs(centre[315] - 640) < 128 and abs(centre[331] - 960) < 60
+
+
+def test_camera_takes_a_coarse_face_for_a_stale_track():
+    stale, coarse = lambda seen: [(0, 0.25, 0.40, 0.05, 0.10, seen)], [(0.75, 0.40, 0.18, 0.32)]
+    _, centre = path_of([(False, "single", stale(False), coarse)] * 90)
+    assert centre[0] > 0.65 * 1280
+    _, centre = path_of([(f == 30, "single", stale(True), coarse) for f in range(90)])
+    assert centre[29] < 0.35 * 1280 and centre[30] > 0.65 * 1280
+    _, centre = path_of([(f == 30, "single", stale(True), coarse + [(0.5, 0.4, 0.1, 0.1)]) for f in range(90)])
+    assert centre[30] < 0.35 * 1280
+    _, centre = path_of([(False, "single", [], coarse)] * 3)
+    assert centre[0] > 0.65 * 1280
+
+
+def test_camera_splits_snaps_and_drifts():
+    two = [(0, 0.2, 0.4, 0.1, 0.2, True), (1, 0.8, 0.4, 0.1, 0.2, True)]
+    path, _ = path_of([(False, "split", two, [])] * 10 + [(False, "single", two[:1], [])] * 700)
+    assert path["slot"].tolist() == [0, 1] * 10 + [0] * 700
+    assert ((path["w"] / path["h"] - 1.125).abs() < 1e-6)[:20].all() and ((path["w"] / path["h"] - 0.5625).abs() < 1e-6)[20:].all()
+    h = path["h"].tolist()[20:]
+    assert h[0] < h[14] and abs(h[15] - h[170]) < 1e-6 and abs(h[650] / h[170] - 0.95) < 1e-6  # punch-in wears off, then drift
+    assert abs(path["h"][18] / path["h"][0] - 1.035 / (1 + 0.035 * (1 - 9 / 15))) < 1e-6
 
 
 def test_registry_texts(spark):
