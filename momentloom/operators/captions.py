@@ -5,20 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import bound, unpacked, word_array
+
 #: Words and characters of a line, the pause that ends one, how far words may stick out of a clip, the shortest slot (ms).
 LINE_WORDS, LINE_CHARS, LINE_PAUSE, MARGIN, SHORTEST = 4, 18, 600, 200, 20
 
 
-def clip_words(words: DataFrame, t0: int, t1: int) -> DataFrame:
-    """Words inside the clip (with a margin), in capitals, times relative to it and clamped; i numbers them."""
-    inside = words.filter((F.col("s_ms") >= t0 - MARGIN) & (F.col("e_ms") <= t1 + MARGIN))
-    clamp = lambda c: F.least(F.greatest(F.col(c) - t0, F.lit(0)), F.lit(t1 - t0)).cast("long")
-    i = F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1
-    return inside.select("doc_id", i.cast("long").alias("i"), F.upper("w").alias("w"), clamp("s_ms").alias("s_ms"), clamp("e_ms").alias("e_ms"))
+#: Clips are keyed so.
+KEY = ["doc_id", "clip"]
+
+
+def with_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
+    """docs that have clips (doc_id, clip, t0, t1 in ms) with clips, an array of them: as many as a document has approved ones. Texts are shuffled once."""
+    own = clips.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("clip", "t0", "t1"))).alias("clips"))
+    return docs.join(own, "doc_id")
+
+
+def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
+    """doc_id, clip, i, w, s_ms, e_ms: words inside each clip (with a margin), in capitals, numbered, times relative to it and clamped. Worked out in a document's row."""
 
+    def words(own: Column) -> Column:
+        def of_clip(c: Column) -> Column:
+            clamp = lambda at: F.least(F.greatest(at - c["t0"], F.lit(0)), c["t1"] - c["t0"]).cast("long")
+            inside = F.filter(own, lambda x: (x["s_ms"] >= c["t0"] - MARGIN) & (x["e_ms"] <= c["t1"] + MARGIN))
+            return F.transform(inside, lambda x, i: F.struct(c["clip"].alias("clip"), i.cast("long").alias("i"), F.upper(x["w"]).alias("w"), clamp(x["s_ms"]).alias("s_ms"), clamp(x["e_ms"]).alias("e_ms")))
 
-def caption_lines(words: DataFrame) -> DataFrame:
-    """Adds line: a fold over a clip's words with the open line's size, length and last word as state."""
+        return F.flatten(F.transform("clips", of_clip))
+
+    return unpacked(with_clips(docs, clips), ["doc_id"], bound(word_array(F.col("text")), words), "clip")
+
+
+def caption_lines(words: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Adds line and text, the line with this word marked: a fold over a clip's few hundred words with the open line's size, length and last word as state."""
     item = F.struct("i", "w", "s_ms", "e_ms")
     start = F.expr("named_struct('n', 0, 'chars', 0, 'line', -1L, 'e', 0L, 'stop', false, 'out', cast(array() as array<bigint>))")
 
@@ -27,22 +45,30 @@ def caption_lines(words: DataFrame) -> DataFrame:
         new = (s["n"] == 0) | (x["s_ms"] - s["e"] > LINE_PAUSE) | (s["n"] >= LINE_WORDS) | (s["chars"] + 1 + size > LINE_CHARS) | (s["stop"] & (s["n"] >= 2))
         line = F.when(new, s["line"] + 1).otherwise(s["line"])
         return F.struct(
-            F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, size).otherwise(s["chars"] + 1 + size).alias("chars"), line.alias("line"), x["e_ms"].alias("e"), x["w"].rlike("[.!?,]$").alias("stop"), F.concat(s["out"], F.array(line)).alias("out")
+            F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, size).otherwise(s["chars"] + 1 + size).alias("chars"), line.alias("line"), x["e_ms"].alias("e"), x["w"].rlike('[.!?,]"*$').alias("stop"), F.concat(s["out"], F.array(line)).alias("out")
         )
 
-    g = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("ws")).withColumn("lines", F.aggregate("ws", start, step)["out"])
-    return g.select("doc_id", F.inline(F.arrays_zip("ws", "lines"))).select("doc_id", "ws.*", F.col("lines").alias("line"))
+    def marked(all_: Column) -> Column:
+        def text(own: Column) -> Column:
+            line = F.filter(all_, lambda x: x["line"] == own["line"])
+            return F.array_join(F.transform(line, lambda x: F.concat(F.when(x["x"]["i"] == own["x"]["i"], MARKED).otherwise(PLAIN), subtitle_text(x["x"]["w"]))), " ")
+
+        return F.transform(all_, lambda own: F.struct(*(own["x"][c].alias(c) for c in ("i", "w", "s_ms", "e_ms")), own["line"].alias("line"), text(own).alias("text")))
+
+    g = words.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("ws"))
+    lined = bound(F.col("ws"), lambda ws: F.zip_with(ws, F.aggregate(ws, start, step)["out"], lambda x, n: F.struct(x.alias("x"), n.alias("line"))))
+    return unpacked(g, key, bound(lined, marked), "line")
 
 
-def caption_events(lined: DataFrame) -> DataFrame:
+def caption_events(lined: DataFrame, key: list[str] = KEY) -> DataFrame:
     """A slot for each word: to the next word of its line, else its end; then cut at the next slot, too short ones stretched or dropped."""
-    line = Window.partitionBy("doc_id", "line").orderBy("i")
+    line = Window.partitionBy(*key, "line").orderBy("i")
     slots = lined.withColumn("end_ms", F.coalesce(F.lead("s_ms").over(line), F.col("e_ms")))
-    after = F.lead("s_ms").over(Window.partitionBy("doc_id").orderBy("s_ms", "i"))
+    after = F.lead("s_ms").over(Window.partitionBy(*key).orderBy("s_ms", "i"))
     cut = slots.withColumn("_next", after).withColumn("end_ms", F.least("end_ms", F.coalesce("_next", "end_ms")))
     short = F.col("end_ms") - F.col("s_ms") < SHORTEST
     cut = cut.filter(~short | F.col("_next").isNull() | (F.col("_next") - F.col("s_ms") >= SHORTEST))
-    return cut.select("doc_id", "line", "i", "w", F.col("s_ms").alias("start_ms"), F.when(short, F.col("s_ms") + SHORTEST).otherwise(F.col("end_ms")).alias("end_ms"))
+    return cut.select(*key, "line", "i", "w", F.col("s_ms").alias("start_ms"), F.when(short, F.col("s_ms") + SHORTEST).otherwise(F.col("end_ms")).alias("end_ms"), "text")
 
 
 def overlap_flags(events: DataFrame, key: list[str], slack: int = 11, most: int = 3) -> DataFrame:
@@ -53,6 +79,10 @@ def overlap_flags(events: DataFrame, key: list[str], slack: int = 11, most: int
     return found.select(*key, "n", F.when(F.col("n") > most, F.lit("suppressed")).otherwise(F.concat_ws("-", "end_ms", "_next")).alias("flag"))
 
 
+#: How a subtitle renderer is told to mark a word, and to end that.
+MARKED, PLAIN = "{\\c&H00E5FF&\\fscx108\\fscy108}", "{\\c&HFFFFFF&\\fscx100\\fscy100}"
+
+
 def clock(ms: Column) -> Column:
     """h:mm:ss.cc, hundredths rounded half to even."""
     cs = F.bround(ms / 10.0, 0).cast("long")
@@ -69,8 +99,36 @@ def subtitle_text(w: Column) -> Column:
     return F.translate(w, "{}\\", "()/")
 
 
-def subtitle_lines(events: DataFrame) -> DataFrame:
-    return events.select("doc_id", "i", F.concat(F.lit("Dialogue: 0,"), clock(F.col("start_ms")), F.lit(","), clock(F.col("end_ms")), F.lit(",Pop,,0,0,0,,"), subtitle_text(F.col("w"))).alias("line"))
+def subtitle_lines(events: DataFrame, key: list[str] = KEY) -> DataFrame:
+    return events.select(*key, "i", F.concat(F.lit("Dialogue: 0,"), clock(F.col("start_ms")), F.lit(","), clock(F.col("end_ms")), F.lit(",Cap,,0,0,0,,"), F.col("text")).alias("line"))
+
+
+#: The head of a subtitle file.
+HEADER = """[Script Info]
+ScriptType: v4.00+
+PlayResX: 1080
+PlayResY: 1920
+WrapStyle: 2
+ScaledBorderAndShadow: yes
+
+[V4+ Styles]
+Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding
+Style: Cap,Arial,78,&H00FFFFFF,&H00FFFFFF,&H00101010,&H96000000,-1,0,0,0,100,100,1,0,1,6,2,2,60,60,500,1
+
+[Events]
+Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text
+"""
+
+
+def subtitle_files(lines: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """key and content: the whole subtitle file of a clip, with a byte order mark, the header and its lines in order."""
+    own = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))  # a clip's lines
+    return own.select(*key, F.concat(F.lit("\ufeff" + HEADER), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+
+
+def write_subtitles(lines: DataFrame, path: str, key: list[str] = KEY) -> None:
+    """A folder for each clip, with its subtitle file as text; the commit of Spark's writer makes them appear at once."""
+    subtitle_files(lines, key).withColumnRenamed("content", "value").write.partitionBy(*key).option("lineSep", "\n").text(path)
 
 
 def parse_subtitles(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TERMINAL = ["done", "done_with_errors", "error", "cancelled"]
 STALE_SECONDS = 900
@@ -38,11 +44,42 @@ def expired(folders: DataFrame, now: Column, days: int) -> DataFrame:
     return folders.filter(F.col("newest_s") < now - days * 86400) if days > 0 else folders.filter("false")
 
 
+def ranges_before(df: DataFrame, key: list[str], order: list[Column], value: Column, name: str, ranges: int = 200) -> DataFrame:
+    """Adds name: the sum of value over a key's rows before this one in order, without a task that holds a whole key.
+
+    Rows are dealt by ranges of the key and the order, so that few keys fill many tasks; sums run within
+    a range, and those of the ranges before, a few numbers for each, are added. order must tell all rows of a key apart.
+    """
+    dealt = df.withColumn("_v", value).repartitionByRange(ranges, *key, *order).withColumn("_p", F.spark_partition_id())
+    dealt = materialised(dealt)
+    totals = dealt.groupBy(*key, "_p").agg(F.sum("_v").alias("_t"))
+    w = Window.partitionBy(*key).orderBy("_p")
+    starts = totals.select(*key, "_p", F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    own = Window.partitionBy(*key, "_p").orderBy(*order)
+    inner = F.coalesce(F.sum("_v").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_own", inner).join(F.broadcast(starts), [*key, "_p"]).withColumn(name, F.col("_own") + F.col("_s")).drop("_v", "_p", "_own", "_s")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder, so that the dealing of its rows stays. A cluster must name a shared folder; local runs get a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="momentloom-"))
+    return df.checkpoint()
+
+
+def places(df: DataFrame, key: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """Adds name: a row's number in its key's order, from 1, over ranges (see ranges_before)."""
+    return ranges_before(df, key, order, F.lit(1).cast("long"), name).withColumn(name, (F.col(name) + 1).cast("long"))
+
+
 def reclaim(folders: DataFrame, key: list[str], need: Column) -> DataFrame:
-    """Of each volume's deletable folders the oldest, until need bytes are freed."""
-    w = Window.partitionBy(*key).orderBy("newest_s", "job_id")
-    before = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return folders.withColumn("_before", before).filter(F.col("_before") < need).drop("_before")
+    """Of each volume's deletable folders the oldest, until need bytes are freed; sums run over ranges, see ranges_before."""
+    found = ranges_before(folders, key, [F.col("newest_s"), F.col("job_id")], F.col("bytes"), "_before")
+    return found.filter(F.col("_before") < need).drop("_before")
 
 
 def outcome(results: Column, errors: Column) -> Column:
@@ -50,9 +87,35 @@ def outcome(results: Column, errors: Column) -> Column:
 
 
 def unique_names(df: DataFrame, key: list[str], stem: str, order: list[str], suffix: str) -> DataFrame:
-    """name: the stem for the first of a folder, stem_2, stem_3, ... for the next."""
-    n = F.row_number().over(Window.partitionBy(*key, stem).orderBy(*order))
-    return df.withColumn("name", F.concat(F.col(stem), F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")), F.lit(suffix)))
+    """name: in order each row takes its stem if it is free in its folder, else stem_2, stem_3, ...: the first that is free.
+
+    Stems that look like another's numbered name take part as well, so rows are worked on by
+    family: the stem without the numbers at its end. A family is a group of rows.
+    """
+    root = F.regexp_replace(stem, "(_[0-9]+)+$", "")
+    rows = df.withColumn("_root", root).groupBy(*key, "_root").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(stem).alias("_stem"), F.struct(*df.columns).alias("_row")))).alias("_rows"))
+    fields = rows.schema["_rows"].dataType.elementType["_row"].dataType
+    schema = T.StructType([T.StructField("_row", fields), T.StructField("name", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for family in b.column(0):
+                taken: set[str] = set()
+                next_free: dict[str, int] = {}
+                names = []
+                for x in family:
+                    own, n = x["_stem"].as_py() or "", 1
+                    name = own
+                    if name in taken:
+                        n = next_free.get(own, 2)
+                        while (name := f"{own}_{n}") in taken:
+                            n += 1
+                        next_free[own] = n + 1
+                    taken.add(name)
+                    names.append(name + suffix)
+                yield pa.RecordBatch.from_arrays([family.values.field("_row"), pa.array(names, pa.string())], ["_row", "name"])
+
+    return rows.select("_rows").mapInArrow(run, schema).select("_row.*", "name")
 
 
 def slug(text: Column, most: int = 60) -> Column:
@@ -63,24 +126,42 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.when(s == "", F.lit("video")).otherwise(s)
 
 
-def error_class(message: Column) -> Column:
-    """What kind of failure an error's text tells of, terminal colours aside."""
-    plain = F.regexp_replace(message, "\x1b\\[[0-9;]*m", "")
-    low = F.lower(plain)
-    return (
-        F.when(low.rlike("out of memory|cannot allocate"), "memory")
-        .when(low.rlike("permission|forbidden") & low.rlike("socket|network|connect"), "network permission")
-        .when(low.rlike("no space left|disk full"), "disk full")
-        .when(low.rlike("download"), "download failed")
-        .otherwise(F.concat(F.lit("other: "), F.substring(plain, 1, 40)))
+#: What tells kinds of failure, in lower case.
+OUT_OF_MEMORY = ["outofmemory", "out of memory", "insufficient memory", "failed to allocate"]
+NO_NETWORK = ["winerror 10013", "forbidden by its access permissions"]
+NO_DOWNLOAD = ["unable to download"]
+NO_SPACE = ["no space left"]
+
+
+def _any(text: Column, marks: list[str]) -> Column:
+    found = F.lit(False)
+    for m in marks:
+        found = found | text.contains(m)
+    return found
+
+
+def error_class(message: Column, kind: Column) -> Column:
+    """The kind of failure that an error's text and type tell of, terminal colours and outer white space aside, and the text.
+
+    A full disk is named before the rest, which stays behind it; what has no kind of its own is "type: text", or the text alone without a type.
+    """
+    plain = F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), "\x1b\\[[0-9;]*[A-Za-z]", ""), F.lit(" \t\n\r"))
+    low, of = F.lower(plain), F.coalesce(kind, F.lit(""))
+    denied = low.contains("permission denied") & (low.contains("socket") | low.contains("connection"))
+    said = (
+        F.when((F.lower(of) == "memoryerror") | _any(low, OUT_OF_MEMORY), F.lit("out of memory"))
+        .when(_any(low, NO_NETWORK) | denied, F.lit("no network permission"))
+        .when(_any(low, NO_DOWNLOAD) | F.lower(of).contains("downloaderror"), F.lit("download failed"))
+        .otherwise(F.when(of == "", plain).otherwise(F.concat(of, F.lit(": "), plain)))
     )
+    return F.when(_any(low, NO_SPACE), F.concat(F.lit("disk full | "), said)).otherwise(said)
 
 
 def cpu_quota(text: Column) -> Column:
-    """Whole processors that "quota period" grants, one at least; null for "max" and what is no quota."""
+    """Whole processors that "quota period" grants, one at least; null for "max", a period of 0 and what is no quota."""
     part = F.split(F.trim(text), r"\s+")
-    quota, period = F.get(part, F.lit(0)).try_cast("long"), F.get(part, F.lit(1)).try_cast("long")
-    return F.when((quota > 0) & (period > 0), F.greatest(F.lit(1), F.ceil(quota / period)).cast("long"))
+    quota, period = F.get(part, F.lit(0)).try_cast("long"), F.nullif(F.get(part, F.lit(1)).try_cast("long"), F.lit(0))
+    return F.when(quota.isNotNull() & period.isNotNull(), F.greatest(F.lit(1), F.ceil(quota / period)).cast("long"))
 
 
 def frame_rate(text: Column) -> Column:
@@ -94,7 +175,15 @@ def setting(text: Column, kind: str, default) -> Column:
     return F.coalesce(F.nullif(F.trim(text), F.lit("")).try_cast(kind), F.lit(default).cast(kind))
 
 
-def look_filter(strength: Column) -> Column:
-    """The text of a picture filter of that strength, 0 to 10; nothing at 0."""
-    s = F.least(F.greatest(strength, F.lit(0)), F.lit(10))
-    return F.when(s == 0, F.lit("")).otherwise(F.format_string("eq=contrast=1.%02d:saturation=1.%02d", s, s * 2))
+def look_filter(strength: Column, override: Column | None = None) -> Column:
+    """The picture filters of a strength, each followed by a comma (numbers rounded half up); nothing at 0 or below. A text that overrides them stands alone."""
+    s = F.greatest(strength.cast("double"), F.lit(0.0))
+    chain = F.format_string(
+        "unsharp=5:5:%.2f:5:5:0.0,cas=%.3f,eq=contrast=%.3f:saturation=%.3f,vibrance=intensity=%.3f,",
+        0.8 * s, F.least(F.lit(1.0), 0.35 * s), 1 + 0.08 * s, 1 + 0.05 * s, 0.18 * s,
+    )
+    own = F.when(s == 0, F.lit("")).otherwise(chain)
+    if override is None:
+        return own
+    bare = F.regexp_replace(F.trim(F.coalesce(override, F.lit(""))), ",+$", "")
+    return F.when(bare == "", own).otherwise(F.concat(bare, F.lit(",")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from momentloom.operators import captions as K
 from momentloom.operators import scoring as C
 from momentloom.operators import segments as G
 from momentloom.sources.tables import documents
@@ -219,11 +220,30 @@ def public_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "rank", "start_ms", "end_ms", "score", (F.floor((F.col("end_ms") - F.col("start_ms")) / 100.0 + 0.5) / 10).alias("duration"), (F.col("score") >= 60).alias("selected"), band.alias("band"))
 
 
+#: The approved clips, and all words with their times, for what follows.
+CLIPS = CUT + """, clip AS MATERIALIZED (SELECT doc_id, rank AS clip, start_ms AS t0, end_ms AS t1 FROM fin WHERE rank IN (1, 3, 5)),
+wx AS (SELECT doc_id, j, k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM num),
+tw AS (SELECT doc_id, k + i AS k, w, (k + i) * 350 + j * 100 + (j // 2) * 500 AS s FROM wx)"""
+
+
+def docs(spark, sf_dir):
+    return _docs(spark, sf_dir)
+
+
+def clips(spark, sf_dir):
+    """doc_id, clip, t0, t1 of the approved clips."""
+    return _approved(spark, sf_dir).select("doc_id", F.col("rank").alias("clip"), F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
+
+
+def _approved(spark, sf_dir):
+    approved = spark.createDataFrame([(1,), (3,), (3,), (5,), (99999,)], "rank long")
+    return ranked_candidates(spark, sf_dir).join(F.broadcast(approved), "rank", "left_semi")  # five rows
+
+
 @query(f"WITH RECURSIVE {CUT} SELECT doc_id, rank, start_ms FROM fin WHERE rank IN (1, 3, 5)")
 def approved_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of approved ranks, by a semi-join, so that ranks given twice or unknown count for nothing."""
-    approved = spark.createDataFrame([(1,), (3,), (3,), (5,), (99999,)], "rank long")
-    return ranked_candidates(spark, sf_dir).join(F.broadcast(approved), "rank", "left_semi").select("doc_id", "rank", "start_ms")
+    return _approved(spark, sf_dir).select("doc_id", "rank", "start_ms")
 
 
 @query(f"""WITH RECURSIVE {SCORED}, remote AS (SELECT doc_id, j0, ((doc_id * 31 + j0 * 7) % 1001) / 10.0::DOUBLE AS score FROM scored WHERE (doc_id + j0) % 3 = 0)
@@ -260,10 +280,12 @@ def llm_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.parse_replies(replies, "doc_id", "reply", 0, 9)
 
 
-@query(f"WITH {SENT}, x AS (SELECT doc_id, j, k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM num), tw AS (SELECT doc_id, k + i AS k, w, (k + i) * 350 + j * 100 + (j // 2) * 500 AS s_ms FROM x) SELECT doc_id, k, w FROM tw WHERE NOT (s_ms + 250 < 10000 OR s_ms > 40000)")
+@query(f"WITH RECURSIVE {CLIPS} SELECT doc_id, clip, k, w FROM tw JOIN clip USING (doc_id) WHERE NOT (s + 250 < t0 OR s > t1)")
 def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that touch the span from 10 s to 40 s."""
-    return G.timed_words(_docs(spark, sf_dir)).filter("not (e_ms < 10000 or s_ms > 40000)").select("doc_id", "k", "w")
+    """Words that touch a clip."""
+    d = K.with_clips(_docs(spark, sf_dir), clips(spark, sf_dir))
+    touch = lambda ws: F.flatten(F.transform("clips", lambda c: F.transform(F.filter(ws, lambda x: ~((x["e_ms"] < c["t0"]) | (x["s_ms"] > c["t1"]))), lambda x: F.struct(c["clip"].alias("clip"), x["k"].alias("k"), x["w"].alias("w")))))
+    return G.unpacked(d, ["doc_id"], G.bound(G.word_array(F.col("text")), touch), "k")
 
 
 @query(f"WITH {SENT} SELECT DISTINCT doc_id, b AS boundary_ms FROM (SELECT doc_id, start_ms AS b FROM seg WHERE j % 10 = 0 UNION ALL SELECT doc_id, end_ms FROM seg WHERE j % 10 = 9)")
@@ -273,21 +295,38 @@ def scene_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.filter("j % 10 = 0").select("doc_id", F.col("start_ms").alias("boundary_ms")).union(s.filter("j % 10 = 9").select("doc_id", "end_ms")).distinct()
 
 
-@query(f"WITH {SENT}, b AS (SELECT DISTINCT doc_id, b FROM (SELECT doc_id, start_ms AS b FROM seg WHERE j % 10 = 0 UNION ALL SELECT doc_id, end_ms FROM seg WHERE j % 10 = 9)) SELECT doc_id, b AS boundary_ms, round_even((b - 10000) * 30 / 1000.0::DOUBLE, 0)::BIGINT AS frame FROM b WHERE b > 10000 AND b < 110000")
+@query(f"WITH RECURSIVE {CLIPS}, b AS (SELECT DISTINCT doc_id, b FROM (SELECT doc_id, start_ms AS b FROM seg WHERE j % 10 = 0 UNION ALL SELECT doc_id, end_ms FROM seg WHERE j % 10 = 9)) SELECT doc_id, clip, b AS boundary_ms, round_even((b - t0) * 30 / 1000.0::DOUBLE, 0)::BIGINT AS frame FROM b JOIN clip USING (doc_id) WHERE b > t0 AND b < t1")
 def scene_cut_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries strictly inside the clip from 10 s to 110 s, as frames at 30 a second, halves to even."""
-    b = scene_boundaries(spark, sf_dir).filter("boundary_ms > 10000 and boundary_ms < 110000")
-    return b.withColumn("frame", F.bround((F.col("boundary_ms") - 10000) * 30 / 1000.0, 0).cast("long"))
+    """Boundaries strictly inside a clip, as its frames at 30 a second, halves to even."""
+    b = scene_boundaries(spark, sf_dir).join(clips(spark, sf_dir), "doc_id").filter("boundary_ms > t0 and boundary_ms < t1")
+    return b.select("doc_id", "clip", "boundary_ms", F.bround((F.col("boundary_ms") - F.col("t0")) * 30 / 1000.0, 0).cast("long").alias("frame"))
+
+
+_N = "round_even((t1 - t0) * 30 / 1000.0::DOUBLE, 0)::BIGINT"
 
 
-@query(f"""WITH {SENT}, x AS (SELECT doc_id, j, k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM num), tw AS (SELECT doc_id, (k + i) * 350 + j * 100 + (j // 2) * 500 AS s FROM x),
-f AS (SELECT DISTINCT doc_id, unnest(range(s * 30 // 1000, least(900, ((s + 250) * 30 + 999) // 1000 + 1))) AS frame FROM tw WHERE s * 30 // 1000 < 900)
-SELECT doc_id, count(*) AS n_frames, min(frame) AS first_frame, max(frame) AS last_frame FROM f GROUP BY doc_id""")
+@query(f"""WITH RECURSIVE {BINS.replace('x AS', 'bx AS').replace('FROM x', 'FROM bx').replace('tw AS', 'bw AS').replace('FROM tw', 'FROM bw')}, {CLIPS.removeprefix(SENT + ', ')},
+hops AS (SELECT doc_id, bin // 5 AS hop, sqrt(sum(v * v) / count(*)::DOUBLE + 1e-9) AS rms FROM smp4 GROUP BY doc_id, bin // 5),
+ch AS (SELECT doc_id, clip, t0, t1, hop, rms FROM hops JOIN clip USING (doc_id) WHERE hop * 500 >= t0 AND hop * 500 < t1),
+th AS (SELECT doc_id, clip, greatest(0.01, quantile_cont(rms, 0.25) * 1.8) AS th FROM ch GROUP BY doc_id, clip),
+r AS (SELECT doc_id, clip, {_N} AS n, greatest(0, (s - t0) * 30 // 1000) AS a, ((s + 250 - t0) * 30 + 999) // 1000 + 1 AS z FROM tw JOIN clip USING (doc_id) WHERE NOT (s + 250 < t0 OR s > t1)
+  UNION ALL SELECT doc_id, clip, {_N}, (hop * 500 - t0) * 30 // 1000, (hop * 500 + 500 - t0) * 30 // 1000 FROM ch JOIN th USING (doc_id, clip) WHERE rms > th),
+f AS (SELECT DISTINCT doc_id, clip, unnest(range(a, least(n, z))) AS frame FROM r WHERE a < least(n, z))
+SELECT doc_id, clip, count(*) AS n_frames, min(frame) AS first_frame, max(frame) AS last_frame FROM f GROUP BY doc_id, clip""")
 def speech_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames (of the first 900, 30 a second) with a word: each word's frames, distinct, summed up by document."""
-    w = G.timed_words(_docs(spark, sf_dir)).select("doc_id", F.expr("s_ms * 30 div 1000").alias("a"), F.least(F.lit(900).cast("long"), F.expr("(e_ms * 30 + 999) div 1000 + 1")).alias("b")).filter("a < b")
-    f = w.select("doc_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("frame")).distinct()
-    return f.groupBy("doc_id").agg(F.count("*").alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    """Frames of each clip (30 a second) with a word or with sound over the clip's threshold, distinct, summed up by clip."""
+    own = clips(spark, sf_dir).withColumn("n", F.bround((F.col("t1") - F.col("t0")) * 30 / 1000.0, 0).cast("long"))
+    d = K.with_clips(_docs(spark, sf_dir), own)
+    touch = lambda ws: F.flatten(F.transform("clips", lambda c: F.transform(F.filter(ws, lambda x: ~((x["e_ms"] < c["t0"]) | (x["s_ms"] > c["t1"]))), lambda x: F.struct(c["clip"].alias("clip"), x["s_ms"].alias("s"), x["e_ms"].alias("e")))))
+    words = G.unpacked(d, ["doc_id"], G.bound(G.word_array(F.col("text")), touch), "clip").join(own, ["doc_id", "clip"])
+    words = words.select("doc_id", "clip", "n", F.expr("greatest(0, (s - t0) * 30 div 1000)").alias("a"), F.expr("((e - t0) * 30 + 999) div 1000 + 1").alias("z"))
+    hops = G.unpacked(d, ["doc_id"], _squares(F.col("text")), "bin").groupBy("doc_id", F.expr("bin div 5").alias("hop")).agg(F.sum("sq").alias("sq"), F.sum("n").alias("k"))
+    inside = hops.select("doc_id", "hop", C.rms(F.col("sq"), F.col("k")).alias("rms")).join(own, "doc_id").filter("hop * 500 >= t0 and hop * 500 < t1")
+    over = inside.groupBy("doc_id", "clip").agg(C.sound_threshold(F.percentile("rms", F.lit(0.25))).alias("th"))
+    sound = inside.join(over, ["doc_id", "clip"]).filter("rms > th").select("doc_id", "clip", "n", F.expr("(hop * 500 - t0) * 30 div 1000").alias("a"), F.expr("(hop * 500 + 500 - t0) * 30 div 1000").alias("z"))
+    r = words.unionByName(sound).withColumn("z", F.least("n", "z")).filter("a < z")
+    f = r.select("doc_id", "clip", F.explode(F.sequence("a", F.col("z") - 1)).alias("frame")).distinct()
+    return f.groupBy("doc_id", "clip").agg(F.count("*").alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
 
 
 @query(rf"""WITH RECURSIVE {WIN}, t AS (SELECT doc_id, j0, list_filter(regexp_split_to_array(regexp_replace(text, '^[^A-Za-zÀ-ÿ]+|[^A-Za-zÀ-ÿ]+$', '', 'g'), '\s+'), lambda w: w <> '') AS w FROM win),

@@ -39,8 +39,8 @@ JOBS = """jobs AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN
 @query(f"WITH {JOBS} SELECT job_id, state, created_s, row_number() OVER (PARTITION BY volume ORDER BY created_s DESC, job_id) AS place, volume FROM jobs")
 def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of each volume, the latest first."""
-    place = F.row_number().over(Window.partitionBy("volume").orderBy(F.desc("created_s"), "job_id")).cast("long")
-    return _jobs(spark, sf_dir).select("job_id", "state", "created_s", place.alias("place"), "volume")
+    jobs = _jobs(spark, sf_dir).select("job_id", "state", "created_s", "volume")
+    return J.places(jobs, ["volume"], [F.desc("created_s"), F.col("job_id")])
 
 
 @query(f"WITH {JOBS} SELECT job_id, state, CASE WHEN state NOT IN ('done', 'awaiting_approval') AND {NOW} - active_s > 900 THEN 'error' ELSE state END AS shown FROM jobs")
@@ -121,29 +121,43 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", J.slug(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("slug"))
 
 
-@query("SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN r > 1 THEN '_' || r ELSE '' END || '.mp4' AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, replace(p_name, ' ', '-') ORDER BY p_partkey) AS r FROM part)")
+@query("SELECT p_partkey, stem || CASE WHEN r > 1 THEN '_' || r ELSE '' END || '.mp4' AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, stem ORDER BY p_partkey) AS r FROM (SELECT *, replace(p_name, ' ', '-') AS stem FROM part))")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names within a brand; no stem here looks like another's numbered name, so that numbers are row numbers."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("stem"))
     return J.unique_names(p, ["p_brand"], "stem", ["p_partkey"], ".mp4").select("p_partkey", "name")
 
 
-MESSAGES = ["\x1b[31mERROR\x1b[0m Permission denied by socket", "CUDA out of memory: tried", "OSError: No space left on device", "Download of the stream failed", "ValueError: odd input \x1b[1mhere\x1b[0m"]
-_MSG = "[" + ", ".join("'" + m.replace("\x1b", "' || chr(27) || '") + "'" for m in MESSAGES) + "]"
+#: Messages and types of errors, some of two kinds.
+MESSAGES = [
+    ("\x1b[31mERROR\x1b[0m Permission denied by socket", "OSError"), ("CUDA out of memory: tried", "RuntimeError"), ("OSError: No space left on device", "OSError"), ("ERROR: Unable to download video", "Error"), (" ValueError: odd input \x1b[1mhere\x1b[0m ", ""),
+    ("std::bad_alloc: failed to allocate 9 bytes", "RuntimeError"), ("any text", "MemoryError"), ("access forbidden by its access permissions", "OSError"), ("Permission denied: '/x'", "PermissionError"), ("x", "DownloadError"), ("Download of the stream failed, no space left", "OSError"),
+]
 
 
-@query(rf"""WITH m AS (SELECT p_partkey, regexp_replace({_MSG}[(p_partkey % 5 + 1)::INT] || ' ' || p_partkey, chr(27) || '\[[0-9;]*m', '', 'g') AS m FROM part)
-SELECT p_partkey, CASE WHEN regexp_matches(lower(m), 'out of memory|cannot allocate') THEN 'memory' WHEN regexp_matches(lower(m), 'permission|forbidden') AND regexp_matches(lower(m), 'socket|network|connect') THEN 'network permission'
- WHEN regexp_matches(lower(m), 'no space left|disk full') THEN 'disk full' WHEN regexp_matches(lower(m), 'download') THEN 'download failed' ELSE 'other: ' || substr(m, 1, 40) END AS kind FROM m""")
+def _sql_text(t: str) -> str:
+    return "'" + t.replace("'", "''").replace("\x1b", "' || chr(27) || '") + "'"
+
+
+_MSG = "[" + ", ".join(f"{{'m': {_sql_text(m)}, 'k': '{k}'}}" for m, k in MESSAGES) + "]"
+
+
+@query(rf"""WITH m AS (SELECT p_partkey, e.k AS k, trim(regexp_replace(e.m, chr(27) || '\[[0-9;]*[A-Za-z]', '', 'g')) AS m FROM (SELECT p_partkey, {_MSG}[(p_partkey % {len(MESSAGES)} + 1)::INT] AS e FROM part)),
+c AS (SELECT *, CASE WHEN lower(k) = 'memoryerror' OR regexp_matches(lower(m), 'outofmemory|out of memory|insufficient memory|failed to allocate') THEN 'out of memory'
+ WHEN regexp_matches(lower(m), 'winerror 10013|forbidden by its access permissions') OR (contains(lower(m), 'permission denied') AND regexp_matches(lower(m), 'socket|connection')) THEN 'no network permission'
+ WHEN contains(lower(m), 'unable to download') OR contains(lower(k), 'downloaderror') THEN 'download failed' WHEN k = '' THEN m ELSE k || ': ' || m END AS said FROM m)
+SELECT p_partkey, CASE WHEN contains(lower(m), 'no space left') THEN 'disk full | ' || said ELSE said END AS kind FROM c""")
 def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.get(F.array(*map(F.lit, MESSAGES)), (F.col("p_partkey") % 5).cast("int")), F.lit(" "), F.col("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey", J.error_class(text).alias("kind"))
+    of = F.get(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for m, k in MESSAGES)), (F.col("p_partkey") % len(MESSAGES)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", J.error_class(of["m"], of["k"]).alias("kind"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN greatest(1, ceil(p_partkey * 1000.0::DOUBLE / 100000))::BIGINT WHEN p_partkey % 4 = 1 THEN 2 END AS cpus FROM part WHERE p_partkey > 0""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN greatest(1, ceil(p_partkey * 1000.0::DOUBLE / 100000))::BIGINT WHEN p_partkey % 5 = 1 THEN 2 WHEN p_partkey % 5 = 4 THEN 1 END AS cpus FROM part""")
 def cpu_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas of many sizes, of none, below none, without a period, and what is no quota."""
     k = F.col("p_partkey")
-    text = F.when(k % 4 == 0, F.concat(k * 1000, F.lit(" 100000"))).when(k % 4 == 1, "150000 100000").when(k % 4 == 2, "max 100000").otherwise("invalid")
-    return table(spark, sf_dir, "part").filter("p_partkey > 0").select("p_partkey", J.cpu_quota(text).alias("cpus"))
+    text = F.when(k % 5 == 0, F.concat(k * 1000, F.lit(" 100000"))).when(k % 5 == 1, "150000 100000").when(k % 5 == 2, F.when(k % 2 == 0, "max 100000").otherwise("100 0")).when(k % 5 == 3, "invalid").otherwise("-5 100")
+    return table(spark, sf_dir, "part").select("p_partkey", J.cpu_quota(text).alias("cpus"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 1080 END::BIGINT AS height, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice ELSE 0.9 END::DOUBLE AS zoom FROM part")
@@ -154,9 +168,12 @@ def config_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", J.setting(height, "long", 1080).alias("height"), J.setting(zoom, "double", 0.9).alias("zoom"))
 
 
-@query("SELECT p_partkey, CASE WHEN s = 0 THEN '' ELSE 'eq=contrast=1.' || lpad(s::VARCHAR, 2, '0') || ':saturation=1.' || lpad((s * 2)::VARCHAR, 2, '0') END AS filter FROM (SELECT p_partkey, least(greatest(p_size - 20, 0), 10) AS s FROM part)")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 3 THEN 'hue=s=0,' WHEN s <= 0 THEN '' ELSE printf('unsharp=5:5:%.2f:5:5:0.0,cas=%.3f,eq=contrast=%.3f:saturation=%.3f,vibrance=intensity=%.3f,', 0.8::DOUBLE * s, least(1.0::DOUBLE, 0.35::DOUBLE * s), 1 + 0.08::DOUBLE * s, 1 + 0.05::DOUBLE * s, 0.18::DOUBLE * s) END AS filter
+FROM (SELECT p_partkey, (p_size - 10) / 10.0::DOUBLE AS s FROM part)""")
 def look_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", J.look_filter(F.col("p_size") - 20).alias("filter"))
+    """Strengths from below nothing up, and a text of one's own for every seventh."""
+    own = F.when(F.col("p_partkey") % 7 == 3, " hue=s=0,, ")
+    return table(spark, sf_dir, "part").select("p_partkey", J.look_filter((F.col("p_size") - 10) / 10.0, own).alias("filter"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 30.0 ELSE p_size * 1000.0::DOUBLE / 1001 END AS fps, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END, p_size) AS duration FROM part")
@@ -176,9 +193,12 @@ def source_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {JOBS} SELECT job_id, CASE WHEN state = 'done' THEN 'done' WHEN state IN ('error', 'cancelled') THEN 'error' ELSE 'active' END AS band, state NOT IN ('done', 'awaiting_approval') AND row_number() OVER (PARTITION BY volume, state ORDER BY created_s DESC, job_id) = 1 AS first_active FROM jobs")
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Band of a state, and whether a job is its volume's first under way."""
-    w = Window.partitionBy("volume", "state").orderBy(F.desc("created_s"), "job_id")
+    jobs = _jobs(spark, sf_dir)
+    # The first of a state is an aggregate, which is combined before the shuffle.
+    first = jobs.groupBy("volume", "state").agg(F.max(F.struct("created_s", -F.col("job_id")))[F.lit("col2")].alias("neg"))
     band = F.when(F.col("state").startswith("done"), "done").when(F.col("state").isin("error", "cancelled"), "error").otherwise("active")
-    return _jobs(spark, sf_dir).select("job_id", band.alias("band"), (~F.col("state").isin("done", "awaiting_approval") & (F.row_number().over(w) == 1)).alias("first_active"))
+    both = jobs.join(F.broadcast(first), ["volume", "state"])  # a row for each volume and state
+    return both.select("job_id", band.alias("band"), (~F.col("state").isin("done", "awaiting_approval") & (F.col("job_id") == -F.col("neg"))).alias("first_active"))
 
 
 @query("SELECT page_id, regexp_matches(url, '^https?://') AS valid, CASE WHEN page_id % 4 < 3 THEN ['local', 'openai', 'gemini'][(page_id % 4 + 1)::INT] END AS provider FROM pages")
