@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .segments import bound, sentences, unpacked, words_of
 
-#: Patterns and words of the local score; data of our own that a caller may replace.
-HOOKS = [rf"(^|[^a-z]){w}([^a-z]|$)" for w in ("why", "how", "what", "the", "que", "der", "les", "never", "des", "del")] + ["thing", "[?]"]
-EMOTION = ["love", "hate", "fear", "er", "et", "er.", "und", "que", "on", "no"]
-OPINION = ["think", "believe", "in", "to", "un", "la", "die", "den", "los"]
-STORY = ["then", "when", "eau", "ción", "ver"]
-PRACTICAL = ["step", "tion", "ung", "ent", "ado"]
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What the local score looks for: patterns in the opening, whole words, and parts of text. The defaults are a short English list of our own; callers bring theirs."""
+
+    hooks: tuple[str, ...] = ("(^| )(why|how|what) ", "(^| )(nobody|no one|never|secret)( |$)", "(^| )(mistake|mistakes|truth|myth)( |$)", "[0-9]+ (ways|reasons|steps)", "[?]")
+    emotion: tuple[str, ...] = ("love", "hate", "fear", "afraid", "happy", "angry", "sad", "amazing", "terrible", "wonderful")
+    opinion: tuple[str, ...] = ("think", "believe", "should", "must", "wrong", "right", "best", "worst", "overrated")
+    story: tuple[str, ...] = ("once", "then", "suddenly", "finally", "remember when", "turned out")
+    practical: tuple[str, ...] = ("step", "how to", "tip", "method", "instead of", "try this")
+
+
 #: Shares of hook, emotion, opinion, story, practical, questions, quotable and energy in the score.
 WEIGHTS = {"hook": 0.30, "emotion": 0.14, "opinion": 0.13, "story": 0.10, "practical": 0.09, "questions": 0.06, "quotable": 0.10, "energy": 0.08}
 NEUTRAL_ENERGY = 0.3
+log = logging.getLogger(__name__)
 
 
 def _capped(x: Column) -> Column:
     return F.least(F.lit(1.0), x.cast("double"))
 
 
-def lexical_features(windows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds hook, emotion, opinion, story, practical, questions and quotable, from 0 to 1."""
+def lexical_features(windows: DataFrame, text: str = "text", lexicon: Lexicon = Lexicon()) -> DataFrame:  # noqa: B008
+    """Adds hook, emotion, opinion, story, practical, questions and quotable, from 0 to 1. Null texts have null features but for hook, which is then null as well; empty ones 0."""
     low = F.lower(text)
     parts = sentences(F.col(text))
     opening = F.lower(F.array_join(F.slice(parts, 1, 2), " "))
     tokens = words_of(low)
     n = F.greatest(F.size(tokens), F.lit(1)).cast("double")
-    exact = lambda names: F.size(F.filter(tokens, lambda t: t.isin(names))).cast("double")
+    exact = lambda names: F.size(F.filter(tokens, lambda t: t.isin(list(names)))).cast("double")
     inside = lambda names: sum((F.regexp_count(low, F.lit(m)) for m in names), F.lit(0)).cast("double")
-    hooks = sum((opening.rlike(p).cast("int") for p in HOOKS), F.lit(0)).cast("double")
+    hooks = sum((opening.rlike(p).cast("int") for p in lexicon.hooks), F.lit(0)).cast("double")
     short = F.size(F.filter(parts, lambda s: F.size(words_of(s)).between(4, 12))).cast("double")
     return windows.withColumns(
         {
-            "hook": _capped(hooks / 2), "emotion": _capped(exact(EMOTION) / (n / 60)), "opinion": _capped(exact(OPINION) / (n / 80)), "story": _capped(inside(STORY) / 3),
-            "practical": _capped(inside(PRACTICAL) / 3), "questions": _capped(F.regexp_count(low, F.lit(r"\?")) / 3), "quotable": _capped(short / 4),
+            "hook": _capped(hooks / 2), "emotion": _capped(exact(lexicon.emotion) / (n / 60)), "opinion": _capped(exact(lexicon.opinion) / (n / 80)), "story": _capped(inside(lexicon.story) / 3),
+            "practical": _capped(inside(lexicon.practical) / 3), "questions": _capped(F.regexp_count(low, F.lit(r"\?")) / 3), "quotable": _capped(short / 4),
         }
     )
 
@@ -50,12 +62,27 @@ def weighted_score(features: DataFrame, energy: Column) -> DataFrame:
     return f.withColumn("score", F.least(F.floor(total * 10 + 0.5) / 10, F.lit(99.0))).withColumn("reason", F.concat_ws(" + ", F.get(order, F.lit(0))["k"], F.get(order, F.lit(1))["k"]))
 
 
+def hook_of(text: Column, most: int = 140) -> Column:
+    """The text's first sentence, else its first 90 characters; cut to most for showing."""
+    first = F.coalesce(F.trim(F.get(sentences(text), F.lit(0))), F.substring(text, 1, 90))
+    return F.substring(first, 1, most)
+
+
+def reason_text(axes: Column) -> Column:
+    """What the two strongest axes ("a + b") are told as."""
+    return F.concat(F.lit("strong "), axes, F.lit(" signals (heuristic)"))
+
+
+#: Fixed value: the title of a text without words.
+NO_TITLE = "Untitled moment"
+
+
 def title_of(text: Column, words: int = 9) -> Column:
-    """The text's words up to nine, with an ellipsis if there are more; its first letter is a capital."""
-    bare = F.regexp_replace(text, r"^[^A-Za-zÀ-ÿ]+|[^A-Za-zÀ-ÿ]+$", "")
+    """The first sentence's words up to nine, with an ellipsis if there are more, without what are no letters or digits at its ends; its first letter is a capital, the others are small."""
+    bare = F.regexp_replace(hook_of(text, 1 << 20), r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
     w = words_of(bare)
-    cut = F.when(F.size(w) > words, F.concat(F.array_join(F.slice(w, 1, words), " "), F.lit("…"))).otherwise(F.array_join(w, " "))
-    return F.when(cut == "", F.lit("Untitled")).otherwise(F.concat(F.upper(F.substring(cut, 1, 1)), F.lower(F.substring(cut, 2, 1 << 20))))
+    cut = F.when(F.size(w) > words, F.concat(F.array_join(F.slice(w, 1, words), " "), F.lit("…"))).otherwise(bare)
+    return F.when(cut == "", F.lit(NO_TITLE)).otherwise(F.concat(F.upper(F.substring(cut, 1, 1)), F.lower(F.substring(cut, 2, 1 << 20))))
 
 
 def rms(squares: Column, n: Column) -> Column:
@@ -131,16 +158,21 @@ def clamp_score(raw: Column) -> Column:
 
 
 def parse_replies(replies: DataFrame, key: str, text: str, valid_from: int, valid_to: int) -> DataFrame:
-    """Rows of a model's replies: the first [ to the last ] as a list of objects with id, score, title.
+    """Rows of a model's replies: the first [ to the last ] as a list of objects with id, score, title, hook and reason.
 
-    Ids outside the batch or no numbers are skipped, a later object of an id wins, titles are cut
-    to 80 characters. A reply without a list or a valid id gives no row.
+    Ids outside the batch or no numbers are skipped, a later object of an id wins; title, hook and reason
+    are cut to 80, 140 and 200 characters, and a missing title is NO_TITLE. A reply without a list or without a valid id is one row
+    with error that says so and nulls beside it; the other rows have a null error.
     """
     body = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    items = F.from_json(body, "array<struct<id:string,score:string,title:string>>")
-    rows = replies.select(key, F.posexplode(items).alias("pos", "x")).select(key, "pos", F.col("x.id").try_cast("long").alias("id"), clamp_score(F.col("x.score")).alias("score"), F.substring(F.coalesce("x.title", F.lit("")), 1, 80).alias("title"))
-    rows = rows.filter(F.col("id").between(valid_from, valid_to))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, "id").orderBy(F.desc("pos")))).filter("_r = 1").drop("_r", "pos")
+    items = F.from_json(body, "array<struct<id:string,score:string,title:string,hook:string,reason:string>>")
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    row = lambda x, k: F.struct(x["id"].try_cast("long").alias("id"), k.alias("pos"), clamp_score(x["score"]).alias("score"), F.coalesce(F.nullif(cut(x["title"], 80), F.lit("")), F.lit(NO_TITLE)).alias("title"), cut(x["hook"], 140).alias("hook"), cut(x["reason"], 200).alias("reason"))
+    valid = F.filter(F.transform(items, row), lambda x: x["id"].between(valid_from, valid_to))
+    last = lambda xs: F.filter(xs, lambda x: ~F.exists(xs, lambda y: (y["id"] == x["id"]) & (y["pos"] > x["pos"])))
+    error = F.when(body == "", "no list").when(F.coalesce(F.size(valid), F.lit(0)) <= 0, "no valid id")
+    found = replies.withColumn("_x", F.when(error.isNull(), bound(valid, last))).withColumn("error", error)
+    return found.select(key, "error", F.inline_outer("_x")).select(key, "id", "score", "title", "hook", "reason", "error")
 
 
 def override_scores(local: DataFrame, remote: DataFrame, key: list[str], provider: str) -> DataFrame:
@@ -167,13 +199,43 @@ def top_slice(df: DataFrame, key: list[str], score: str, ties: list[str], k: Col
 
 
 class Scorer:
-    """A scorer of windows that callers plug in: score() gets a pandas frame of a batch and returns key columns and score."""
+    """A scorer of windows that callers plug in: score() gets pandas frames of windows (doc_id, j0, text) and returns frames of doc_id, j0, score and reason.
 
-    name = "local"
+    What it raises, and batches it can't score, fall back to the local score (see scored_by).
+    """
 
-    def score(self, batch):
+    def score(self, frame: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
-    def apply(self, windows: DataFrame, schema: str) -> DataFrame:
-        work = self.score
-        return windows.mapInPandas(lambda frames: (work(f) for f in frames), schema)
+
+_scorers: dict[str, Callable[[], Scorer]] = {}
+
+
+def register_scorer(name: str, make: Callable[[], Scorer]) -> None:
+    """Makes a scorer known by name; make() may raise where it isn't available, say without a key."""
+    _scorers[name] = make
+
+
+def scored_by(name: str, windows: DataFrame, local: DataFrame) -> DataFrame:
+    """local scores, overridden by those of the named scorer; provider says whose a row's score is.
+
+    An unknown name, a scorer that can't be made, and frames on which it fails leave the local score.
+    """
+    make = _scorers.get(name)
+    try:
+        scorer = make() if make else None
+    except Exception as error:  # any fault of a plugged-in scorer means the local score
+        log.warning("scorer %r is not available (%s), local scores stay", name, error)
+        scorer = None
+    if scorer is None:
+        return local.withColumn("provider", F.lit("local"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            try:
+                yield scorer.score(f)[["doc_id", "j0", "score"]]
+            except Exception as error:
+                log.warning("scorer %r failed on %d windows (%s)", name, len(f), error)
+
+    remote = windows.select("doc_id", "j0", "text").mapInPandas(run, "doc_id long, j0 long, score double").withColumn("score", clamp_score(F.col("score")))
+    return override_scores(local, remote, ["doc_id", "j0"], name)

@@ -23,6 +23,12 @@ def query(sql: str | None = None):
     return add
 
 
+#: A lexicon for the invented prose of the tables, so that its scores differ.
+PROSE = C.Lexicon(
+    (*(rf"(^|[^a-z]){w}([^a-z]|$)" for w in ("why", "how", "what", "the", "que", "der", "les", "never", "des", "del")), "thing", "[?]"),
+    ("love", "hate", "fear", "er", "et", "er.", "und", "que", "on", "no"), ("think", "believe", "in", "to", "un", "la", "die", "den", "los"),
+    ("then", "when", "eau", "ción", "ver"), ("step", "tion", "ung", "ent", "ado"),
+)
 SENT = r"""sent AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS j
   FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents))
   WHERE trim(regexp_replace(s, '\s+', ' ', 'g')) <> ''),
@@ -51,10 +57,10 @@ FEAT = (
     WIN
     + rf""", prep AS (SELECT *, lower(text) AS low, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS parts,
   list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS toks FROM win),
-feat AS (SELECT *, least(1.0, ({" + ".join(f"regexp_matches(lower(array_to_string(parts[1:2], ' ')), '{p}')::INT" for p in C.HOOKS)})::DOUBLE / 2) AS hook,
-  least(1.0, len(list_filter(toks, lambda t: list_contains({_list(C.EMOTION)}, t)))::DOUBLE / (greatest(len(toks), 1)::DOUBLE / 60)) AS emotion,
-  least(1.0, len(list_filter(toks, lambda t: list_contains({_list(C.OPINION)}, t)))::DOUBLE / (greatest(len(toks), 1)::DOUBLE / 80)) AS opinion,
-  least(1.0, ({_inside(C.STORY)})::DOUBLE / 3) AS story, least(1.0, ({_inside(C.PRACTICAL)})::DOUBLE / 3) AS practical,
+feat AS (SELECT *, least(1.0, ({" + ".join(f"regexp_matches(lower(array_to_string(parts[1:2], ' ')), '{p}')::INT" for p in PROSE.hooks)})::DOUBLE / 2) AS hook,
+  least(1.0, len(list_filter(toks, lambda t: list_contains({_list(PROSE.emotion)}, t)))::DOUBLE / (greatest(len(toks), 1)::DOUBLE / 60)) AS emotion,
+  least(1.0, len(list_filter(toks, lambda t: list_contains({_list(PROSE.opinion)}, t)))::DOUBLE / (greatest(len(toks), 1)::DOUBLE / 80)) AS opinion,
+  least(1.0, ({_inside(PROSE.story)})::DOUBLE / 3) AS story, least(1.0, ({_inside(PROSE.practical)})::DOUBLE / 3) AS practical,
   least(1.0, (length(low) - length(replace(low, '?', '')))::DOUBLE / 3) AS questions,
   least(1.0, len(list_filter(parts, lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) BETWEEN 4 AND 12))::DOUBLE / 4) AS quotable FROM prep)"""
 )
@@ -89,7 +95,7 @@ def _windows(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return C.weighted_score(C.lexical_features(_windows(spark, sf_dir)), F.lit(C.NEUTRAL_ENERGY))
+    return C.weighted_score(C.lexical_features(_windows(spark, sf_dir), lexicon=PROSE), F.lit(C.NEUTRAL_ENERGY))
 
 
 @query(f"WITH {SENT}, x AS (SELECT doc_id, j, k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM num) SELECT doc_id, k + i AS k, j, w, (k + i) * 350 + j * 100 + (j // 2) * 500 AS s_ms, (k + i) * 350 + j * 100 + (j // 2) * 500 + 250 AS e_ms FROM x")
@@ -165,7 +171,7 @@ def speech_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {FEAT} SELECT doc_id, j0, hook, emotion, opinion, story, practical, questions, quotable FROM feat")
 def lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.lexical_features(_windows(spark, sf_dir)).select("doc_id", "j0", "hook", "emotion", "opinion", "story", "practical", "questions", "quotable")
+    return C.lexical_features(_windows(spark, sf_dir), lexicon=PROSE).select("doc_id", "j0", "hook", "emotion", "opinion", "story", "practical", "questions", "quotable")
 
 
 @query(f"WITH RECURSIVE {SCORED} SELECT doc_id, j0, score, reason FROM scored")
@@ -265,18 +271,24 @@ def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.prompts(C.batches_of(_windows(spark, sf_dir), ["doc_id"], ["j0"]), ["doc_id"], "j0")
 
 
-REPLIES = """replies AS (SELECT doc_id, 'Sure: ' || CASE WHEN doc_id % 7 = 0 THEN 'no list' ELSE '[' || '{"id": ' || (doc_id % 5) || ', "score": "' || (doc_id % 150) || '", "title": "T' || doc_id || '"}, {"id": "x", "score": 5}, {"id": '
-  || (doc_id % 3) || ', "score": "bad", "title": "U' || doc_id || '"}, {"id": 99, "score": 1}]' END || ' done' AS reply FROM documents)"""
+REPLIES = """replies AS (SELECT doc_id, 'Sure: ' || CASE WHEN doc_id % 7 = 0 THEN 'no list' WHEN doc_id % 11 = 0 THEN '[{"id": 77}]' ELSE '[' || '{"id": ' || (doc_id % 5) || ', "score": "' || (doc_id % 150) || '", "title": "T' || doc_id || '", "hook": "' || repeat('h', (doc_id % 200)::INT) || '"}, {"id": "x", "score": 5}, {"id": '
+  || (doc_id % 3) || ', "score": "bad", "reason": "' || repeat('r', (doc_id % 300)::INT) || '"}, {"id": 99, "score": 1}]' END || ' done' AS reply FROM documents)"""
 
 
-@query(f"""WITH {REPLIES}, b AS (SELECT doc_id, json_transform(regexp_extract(reply, '(?s)\\[.*\\]'), '["JSON"]') AS l FROM replies WHERE reply LIKE '%[%'),
-i AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM b),
-v AS (SELECT doc_id, pos, try_cast(x ->> 'id' AS BIGINT) AS id, greatest(0.0, least(100.0, coalesce(try_cast(x ->> 'score' AS DOUBLE), 0.0))) AS score, substr(coalesce(x ->> 'title', ''), 1, 80) AS title FROM i)
-SELECT doc_id, id, score, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos DESC) AS r FROM v WHERE id BETWEEN 0 AND 9) WHERE r = 1""")
+@query(f"""WITH {REPLIES}, b AS (SELECT doc_id, CASE WHEN reply LIKE '%[%' THEN json_transform(regexp_extract(reply, '(?s)\\[.*\\]'), '["JSON"]') END AS l FROM replies),
+i AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM b WHERE l IS NOT NULL),
+v AS (SELECT doc_id, pos, try_cast(x ->> 'id' AS BIGINT) AS id, greatest(0.0, least(100.0, coalesce(try_cast(x ->> 'score' AS DOUBLE), 0.0))) AS score, coalesce(nullif(substr(coalesce(x ->> 'title', ''), 1, 80), ''), 'Untitled moment') AS title, substr(coalesce(x ->> 'hook', ''), 1, 140) AS hook, substr(coalesce(x ->> 'reason', ''), 1, 200) AS reason FROM i),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos DESC) AS r FROM v WHERE id BETWEEN 0 AND 9) WHERE r = 1)
+SELECT b.doc_id, id, score, title, hook, reason, CASE WHEN l IS NULL THEN 'no list' WHEN id IS NULL THEN 'no valid id' END AS error FROM b LEFT JOIN k ON b.doc_id = k.doc_id""")
 def llm_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with two valid objects (often of one id), without a list, and without a valid id."""
     d = F.col("doc_id")
-    body = F.concat(F.lit('[{"id": '), d % 5, F.lit(', "score": "'), d % 150, F.lit('", "title": "T'), d, F.lit('"}, {"id": "x", "score": 5}, {"id": '), d % 3, F.lit(', "score": "bad", "title": "U'), d, F.lit('"}, {"id": 99, "score": 1}]'))
-    replies = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Sure: "), F.when(d % 7 == 0, F.lit("no list")).otherwise(body), F.lit(" done")).alias("reply"))
+    body = F.concat(
+        F.lit('[{"id": '), d % 5, F.lit(', "score": "'), d % 150, F.lit('", "title": "T'), d, F.lit('", "hook": "'), F.repeat(F.lit("h"), (d % 200).cast("int")), F.lit('"}, {"id": "x", "score": 5}, {"id": '),
+        d % 3, F.lit(', "score": "bad", "reason": "'), F.repeat(F.lit("r"), (d % 300).cast("int")), F.lit('"}, {"id": 99, "score": 1}]'),
+    )
+    reply = F.when(d % 7 == 0, F.lit("no list")).when(d % 11 == 0, F.lit('[{"id": 77}]')).otherwise(body)
+    replies = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Sure: "), reply, F.lit(" done")).alias("reply"))
     return C.parse_replies(replies, "doc_id", "reply", 0, 9)
 
 
@@ -329,8 +341,10 @@ def speech_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("doc_id", "clip").agg(F.count("*").alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
 
 
-@query(rf"""WITH RECURSIVE {WIN}, t AS (SELECT doc_id, j0, list_filter(regexp_split_to_array(regexp_replace(text, '^[^A-Za-zÀ-ÿ]+|[^A-Za-zÀ-ÿ]+$', '', 'g'), '\s+'), lambda w: w <> '') AS w FROM win),
-c AS (SELECT doc_id, j0, CASE WHEN len(w) > 9 THEN array_to_string(w[1:9], ' ') || '…' ELSE array_to_string(w, ' ') END AS c FROM t)
-SELECT doc_id, j0, CASE WHEN c = '' THEN 'Untitled' ELSE upper(substr(c, 1, 1)) || lower(substr(c, 2)) END AS title FROM c""")
+@query(rf"""WITH RECURSIVE {SCORED}, h AS (SELECT *, coalesce(trim(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')[1]), substr(text, 1, 90)) AS hook FROM scored),
+t AS (SELECT *, regexp_replace(hook, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g') AS bare FROM h),
+w AS (SELECT *, list_filter(regexp_split_to_array(bare, '\s+'), lambda w: w <> '') AS w FROM t), c AS (SELECT *, CASE WHEN len(w) > 9 THEN array_to_string(w[1:9], ' ') || '…' ELSE bare END AS c FROM w)
+SELECT doc_id, j0, CASE WHEN c = '' THEN 'Untitled moment' ELSE upper(substr(c, 1, 1)) || lower(substr(c, 2)) END AS title, substr(hook, 1, 140) AS hook, 'strong ' || reason || ' signals (heuristic)' AS reason FROM c""")
 def window_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(spark, sf_dir).select("doc_id", "j0", C.title_of(F.col("text")).alias("title"))
+    """What a window is shown with: title and hook from its first sentence, and why it scores."""
+    return _scored(spark, sf_dir).select("doc_id", "j0", C.title_of(F.col("text")).alias("title"), C.hook_of(F.col("text")).alias("hook"), C.reason_text(F.col("reason")).alias("reason"))
