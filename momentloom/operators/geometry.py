@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,17 +14,26 @@ def rect_iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.coalesce(F.try_divide(common.cast("double"), a["w"] * a["h"] + b["w"] * b["h"] - common), F.lit(0.0))
 
 
-def crop_height(face_h: Column, src_h: int, out_h: int = 1920, tenths_of_frame: int = 42, zoom_tenths: int = 9, most_upscale: int = 4) -> Column:
+#: Fixed values, by mode (one face, two): the face's share of the height and its place on it (hundredths), and the output's height.
+FACE_SHARE, FACE_PLACE, OUT_HEIGHT = {"single": 35, "split": 42}, {"single": 42, "split": 46}, {"single": 1920, "split": 960}
+
+
+def crop_height(face_h: Column, src_h: int, mode: str = "single", zoom_tenths: int = 9, most_upscale: int = 4) -> Column:
     """Height of the crop that gives a face its share of the picture, from 1.8 faces (or the upscale limit) to the source's height; where these cross, the latter wins."""
-    floor = min(out_h // max(1, most_upscale), src_h)
-    ideal = face_h * 1000.0 / (tenths_of_frame * zoom_tenths)
+    floor = min(OUT_HEIGHT[mode] / max(1, most_upscale), src_h)
+    ideal = face_h * 1000.0 / (FACE_SHARE[mode] * zoom_tenths)
     return F.least(F.greatest(ideal, F.greatest(face_h * 1.8, F.lit(float(floor)))), F.lit(float(src_h)))
 
 
+def crop_centre(cy: Column, height: Column, mode: str = "single") -> Column:
+    """Where the crop's centre lies, so that the face is at its place on it."""
+    return cy + (50 - FACE_PLACE[mode]) * height / 100
+
+
 def crop_rect(cx: Column, cy: Column, height: Column, src_w: int, src_h: int, aspect: float) -> dict[str, Column]:
-    """The crop of that height around a point, moved to lie inside the source."""
-    h = F.least(height, F.lit(float(src_h)))
-    w = F.least(h * aspect, F.lit(float(src_w)))
+    """The crop of that height around a point, made small enough and moved to lie inside the source."""
+    h = F.least(height, F.lit(min(float(src_h), src_w / aspect)))
+    w = h * aspect
     return {"x": F.least(F.greatest(cx - w / 2, F.lit(0.0)), src_w - w), "y": F.least(F.greatest(cy - h / 2, F.lit(0.0)), src_h - h), "w": w, "h": h}
 
 
@@ -43,6 +52,13 @@ def first_of_same_faces(boxes: DataFrame, key: list[str], order: str) -> DataFra
     return boxes.groupBy(*key).agg(kept.alias("_k")).select(F.explode("_k").alias("x")).select("x.row.*")
 
 
+def moving_tracks(samples: DataFrame, clip: list[str], tid: str, least: int = 20, most_spread: float = 0.004, most_width: float = 0.045) -> DataFrame:
+    """Tracks (n, spread of the centre, mean width) of samples (cx, cy, w as shares) that are no still pictures: those of fewer than least samples, that move or that are wide; all of a clip's where all are still."""
+    t = samples.groupBy(*clip, tid).agg(F.count("*").alias("n"), F.round(F.sqrt(F.var_pop("cx") + F.var_pop("cy")), 6).alias("spread"), F.round(F.avg("w"), 6).alias("width"))
+    still = (F.col("n") >= least) & (F.col("spread") < most_spread) & (F.col("width") < most_width)
+    return t.withColumn("_every", F.min(still).over(Window.partitionBy(*clip))).filter(~still | F.col("_every")).drop("_every")
+
+
 def landmark_box(points: DataFrame, key: list[str]) -> DataFrame:
     """Centre and size of the box around points (x, y)."""
     g = points.groupBy(*key).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))

@@ -6,8 +6,12 @@ One shuffle by the key serves a whole chain of these operators.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stride_sample(df: DataFrame, index: str, fps: Column, target: Column) -> DataFrame:
@@ -68,19 +72,24 @@ def causal_peak(df: DataFrame, key: list[str], order: list[str], value: str, row
     return df.withColumn(name, F.max(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(1 - rows, 0)))
 
 
-def exponential_average(df: DataFrame, key: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    """A row for each key with the averages in order: acc += alpha * (value - acc), from 0.
+def _in_order(df: DataFrame, key: list[str], order: list[str], work: Callable[[pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
+    """work on each key's rows in order, as an Arrow table: for what depends on all rows before. A key's rows are one group in memory."""
+    return df.groupBy(*key).applyInArrow(lambda t: work(t.sort_by([(c, "ascending") for c in order])), schema)
 
-    A fold with a state of two fields over one key's samples, which must fit a row.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v"))))
-    start = F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<double>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        now = s["acc"] + F.lit(alpha) * (x["v"] - s["acc"])
-        return F.struct(now.alias("acc"), F.concat(s["out"], F.array(now)).alias("out"))
+def exponential_average(df: DataFrame, key: list[str], order: list[str], value: str, alpha: float, name: str = "average") -> DataFrame:
+    """key, order and name, the averages in order: acc += alpha * (value - acc), from 0. A null value keeps the average."""
+
+    def work(t: pa.Table) -> pa.Table:
+        acc, out = 0.0, []
+        for v in t[value].to_pylist():
+            if v is not None:
+                acc += alpha * (v - acc)
+            out.append(acc)
+        return t.select([*key, *order]).append_column(name, pa.array(out, pa.float64()))
 
-    return df.groupBy(*key).agg(rows.alias("_rows")).select(*key, F.aggregate("_rows", start, step)["out"].alias("averages"))
+    names = [*key, *order]
+    return _in_order(df.select(*names, F.col(value).cast("double").alias(value)), key, order, work, T.StructType([*(df.schema[c] for c in names), T.StructField(name, T.DoubleType())]))
 
 
 def runs(df: DataFrame, key: list[str], order: str, state: str) -> DataFrame:
@@ -120,13 +129,15 @@ def changes_only(df: DataFrame, key: list[str], order: list[str], value: str) ->
 def throttled(df: DataFrame, key: list[str], order: list[str], fraction: str, step: int) -> DataFrame:
     """Rows whose fraction (an integer) has advanced by step since the last row that was let through; the first of each key counts from 0.
 
-    A fold with one number and the chosen rows as state, over one key's reports.
+    Reports without a fraction are not let through.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, fraction)))
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.expr(f"cast(array() as array<struct<{', '.join(f'{c}:{df.schema[c].dataType.simpleString()}' for c in [*order, fraction])}>>)").alias("out"))
 
-    def take(s: Column, x: Column) -> Column:
-        passes = x[fraction] - s["last"] >= step
-        return F.struct(F.when(passes, x[fraction]).otherwise(s["last"]).cast("long").alias("last"), F.when(passes, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
+    def work(t: pa.Table) -> pa.Table:
+        last, keep = 0, []
+        for v in t[fraction].to_pylist():
+            keep.append(v is not None and v - last >= step)
+            last = v if keep[-1] else last
+        return t.filter(pa.array(keep, pa.bool_()))
 
-    return df.groupBy(*key).agg(rows.alias("_rows")).select(*key, F.inline(F.aggregate("_rows", start, take)["out"]))
+    names = [*key, *order, fraction]
+    return _in_order(df.select(*names), key, order, work, T.StructType([df.schema[c] for c in names]))

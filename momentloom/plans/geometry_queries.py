@@ -40,25 +40,33 @@ def rect_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter("iou > 0").select("clip_id", "idx", "a", "b", "iou")
 
 
-H = "least(greatest({h} * 1000.0::DOUBLE / 378, greatest({h} * 1.8::DOUBLE, 480.0)), 1000.0::DOUBLE)"
+H1 = "least(greatest({h} * 1000.0::DOUBLE / 315, greatest({h} * 1.8::DOUBLE, 480.0)), 1000.0::DOUBLE)"
+H2 = "least(greatest({h} * 1000.0::DOUBLE / 378, greatest({h} * 1.8::DOUBLE, 240.0)), 1000.0::DOUBLE)"
 
 
-@query(f"WITH {TRACKS_SQL} SELECT clip_id, tid, idx, {H.format(h='h')} AS crop_h FROM tracks")
+@query(f"""WITH {TRACKS_SQL}, t AS (SELECT *, {H1.format(h='h')} AS h1, {H2.format(h='h')} AS h2 FROM tracks)
+SELECT clip_id, tid, idx, h1 AS single_h, cy + 8 * h1 / 100 AS single_y, h2 AS split_h, cy + 4 * h2 / 100 AS split_y FROM t""")
 def crop_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track_samples(spark, sf_dir).select("clip_id", "tid", "idx", R.crop_height(F.col("h"), 1000).alias("crop_h"))
+    """Height and centre of the crop of a face, for a picture of one and of two."""
+    one, two = R.crop_height(F.col("h"), 1000), R.crop_height(F.col("h"), 1000, "split")
+    return track_samples(spark, sf_dir).select("clip_id", "tid", "idx", one.alias("single_h"), R.crop_centre(F.col("cy"), one).alias("single_y"), two.alias("split_h"), R.crop_centre(F.col("cy"), two, "split").alias("split_y"))
 
 
-@query(f"""WITH {PAIR}, z AS (SELECT *, {H.format(h='ah')} AS h1, {H.format(h='bh')} AS h2 FROM pr),
-v AS (SELECT *, least(h1 * 1.125::DOUBLE, 1000.0::DOUBLE) AS w1, least(h2 * 1.125::DOUBLE, 1000.0::DOUBLE) AS w2 FROM z),
-r AS (SELECT *, least(greatest(ax - w1 / 2, 0.0), 1000 - w1) AS x1, least(greatest(ay - h1 / 2, 0.0), 1000 - h1) AS y1, least(greatest(bx - w2 / 2, 0.0), 1000 - w2) AS x2, least(greatest(by_ - h2 / 2, 0.0), 1000 - h2) AS y2 FROM v),
+@query(f"""WITH {PAIR}, z AS (SELECT *, {H2.format(h='ah')} AS g1, {H2.format(h='bh')} AS g2 FROM pr),
+v AS (SELECT *, ay + 4 * g1 / 100 AS ya, by_ + 4 * g2 / 100 AS yb, least(g1, 1000 / 1.125::DOUBLE) AS h1, least(g2, 1000 / 1.125::DOUBLE) AS h2 FROM z),
+w AS (SELECT *, h1 * 1.125::DOUBLE AS w1, h2 * 1.125::DOUBLE AS w2 FROM v),
+r AS (SELECT *, least(greatest(ax - w1 / 2, 0.0), 1000 - w1) AS x1, least(greatest(ya - h1 / 2, 0.0), 1000 - h1) AS y1, least(greatest(bx - w2 / 2, 0.0), 1000 - w2) AS x2, least(greatest(yb - h2 / 2, 0.0), 1000 - h2) AS y2 FROM w),
 i AS (SELECT *, greatest(least(x1 + w1, x2 + w2) - greatest(x1, x2), 0) * greatest(least(y1 + h1, y2 + h2) - greatest(y1, y2), 0) AS c FROM r)
 SELECT clip_id, idx, a, b, floor(coalesce(c / nullif(w1 * h1 + w2 * h2 - c, 0), 0) * 1e6 + 0.5) / 1e6 AS iou FROM i""")
 def split_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of the crops that a split picture would make of two faces."""
     c = F.col
-    one = R.crop_rect(c("ax"), c("ay"), R.crop_height(c("ah"), 1000), 1000, 1000, 1.125)
-    two = R.crop_rect(c("bx"), c("by_"), R.crop_height(c("bh"), 1000), 1000, 1000, 1.125)
-    return _pairs(spark, sf_dir).select("clip_id", "idx", "a", "b", (F.floor(R.rect_iou(one, two) * 1e6 + 0.5) / 1e6).alias("iou"))
+
+    def crop(x: str, y: str, h: str):
+        height = R.crop_height(c(h), 1000, "split")
+        return R.crop_rect(c(x), R.crop_centre(c(y), height, "split"), height, 1000, 1000, 1.125)
+
+    return _pairs(spark, sf_dir).select("clip_id", "idx", "a", "b", (F.floor(R.rect_iou(crop("ax", "ay", "ah"), crop("bx", "by_", "bh")) * 1e6 + 0.5) / 1e6).alias("iou"))
 
 
 @query(f"""WITH RECURSIVE {TRACKS_SQL}, l AS (SELECT clip_id, idx, list({{'tid': tid, 'cx': cx, 'cy': cy, 'w': w}} ORDER BY tid) AS xs FROM tracks GROUP BY clip_id, idx),

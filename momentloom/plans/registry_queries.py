@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from momentloom.operators import registry as J
-from momentloom.sources.documents import parse_tolerant
+from momentloom.sources.documents import folder_stats, parse_tolerant
 from momentloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -106,6 +106,14 @@ def dir_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(spark, sf_dir).groupBy("volume", (F.col("job_id") % 100).alias("folder")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"), F.max("active_s").alias("newest_s"))
 
 
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, bytes and the newest change of the folders that the tables lie in, read from the file system."""
+    return folder_stats(spark, sf_dir)
+
+
+QUERIES["folder_files"] = folder_files
+
+
 @query(f"WITH {JOBS} SELECT job_id, CASE WHEN job_id % 5 IN (0, 1) THEN 'done' WHEN job_id % 5 = 2 THEN 'error' ELSE state END AS state FROM jobs WHERE job_id % 4 <> 3")
 def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job documents as JSON texts, every fourth of them cut off: those are skipped."""

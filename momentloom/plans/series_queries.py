@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from momentloom.operators import geometry as R
 from momentloom.operators import series as S
 from momentloom.sources.tables import SPINE_SQL, TRACKS_SQL, frame_spine, track_samples
 
@@ -75,7 +76,7 @@ def causal_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT clip_id, tid, idx, round(acc, 4) AS average FROM ema""")
 def ema_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.exponential_average(track_samples(spark, sf_dir), KEY, ["idx"], "mouth", 0.08)
-    return found.select("clip_id", "tid", F.posexplode("averages").alias("idx", "average")).select("clip_id", "tid", F.col("idx").cast("long").alias("idx"), F.round("average", 4).alias("average"))
+    return found.withColumn("average", F.round("average", 4))
 
 
 @query(f"""WITH {TRACKS_SQL},
@@ -84,9 +85,8 @@ m AS (SELECT *, n >= 20 AND spread < 0.4 AND width < 0.085 AS still FROM s)
 SELECT clip_id, tid, n, spread, width FROM (SELECT *, bool_and(still) OVER (PARTITION BY clip_id) AS every FROM m) WHERE NOT still OR every""")
 def static_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks that are not still; all of a clip's where all are still. Thresholds fit the derived boxes."""
-    t = track_samples(spark, sf_dir).groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.sqrt(F.var_pop(F.col("cx") / 1000) + F.var_pop(F.col("cy") / 1000)), 6).alias("spread"), F.round(F.avg(F.col("w") / 1000), 6).alias("width"))
-    still = (F.col("n") >= 20) & (F.col("spread") < 0.4) & (F.col("width") < 0.085)
-    return t.withColumn("_every", F.min(still).over(Window.partitionBy("clip_id"))).filter(~still | F.col("_every")).drop("_every")
+    share = track_samples(spark, sf_dir).select(*KEY, *((F.col(c) / 1000).alias(c) for c in ("cx", "cy", "w")))
+    return R.moving_tracks(share, ["clip_id"], "tid", most_spread=0.4, most_width=0.085)
 
 
 @query(f"""WITH {TRACKS_SQL},

@@ -41,8 +41,8 @@ def test_weak_tail_is_kept_where_little_else_is(spark):
 
 
 def test_no_two_caption_slots_overlap(spark):
-    rows = [(1, i, "W", max(0, i * 300 - (200 if i % 4 == 3 else 0)), i * 300 + 250, i // 4) for i in range(24)]
-    e = captions.caption_events(spark.createDataFrame(rows, "doc_id long, i long, w string, s_ms long, e_ms long, line long")).orderBy("start_ms").collect()
+    rows = [(1, 1, i, "W", max(0, i * 300 - (200 if i % 4 == 3 else 0)), i * 300 + 250, i // 4, "W") for i in range(24)]
+    e = captions.caption_events(spark.createDataFrame(rows, "doc_id long, clip long, i long, w string, s_ms long, e_ms long, line long, text string")).orderBy("start_ms").collect()
     assert e and all(a.end_ms <= b.start_ms for a, b in zip(e, e[1:], strict=False))
     assert captions.overlap_flags(spark.createDataFrame([(1, 0, 500), (1, 400, 900)], "k long, start_ms long, end_ms long"), ["k"]).count() == 1
 
@@ -211,3 +211,76 @@ def test_sound_is_read_and_cut(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"id": ')
     rows = read_json_documents(spark, str(tmp_path / "*.json"), "id long").collect()
     assert sorted((r.id is None, r._corrupt_record is None) for r in rows) == [(False, True), (True, False)]
+
+
+def test_scorers_by_name_fall_back(spark):
+    import pandas as pd
+
+    from momentloom.operators import scoring
+
+    windows = spark.createDataFrame([(1, 0, "a"), (1, 3, "bb"), (2, 0, "ccc")], "doc_id long, j0 long, text string")
+    local = windows.select("doc_id", "j0", F.lit(7.0).alias("score"))
+
+    class Length(scoring.Scorer):
+        def score(self, frame):
+            return pd.DataFrame({"doc_id": frame["doc_id"], "j0": frame["j0"], "score": frame["text"].str.len() * 60.0})[frame["doc_id"] == 1]
+
+    class Broken(scoring.Scorer):
+        def score(self, frame):
+            raise RuntimeError("no answer")
+
+    def absent():
+        raise ValueError("no key")
+
+    for name, make in (("length", Length), ("broken", Broken), ("absent", absent)):
+        scoring.register_scorer(name, make)
+    got = lambda name: sorted((r.doc_id, r.j0, r.score, r.provider) for r in scoring.scored_by(name, windows, local).collect())
+    assert got("length") == [(1, 0, 60.0, "length"), (1, 3, 100.0, "length"), (2, 0, 7.0, "local")]
+    for name in ("broken", "absent", "unknown"):
+        assert got(name) == [(1, 0, 7.0, "local"), (1, 3, 7.0, "local"), (2, 0, 7.0, "local")]
+
+
+def test_names_stay_free(spark):
+    rows = [(0, "v", "a"), (1, "v", "a"), (2, "v", "a_2"), (3, "v", "a"), (4, "w", "a"), (5, "v", "b_2_3"), (6, "v", "a_2")]
+    df = spark.createDataFrame(rows, "k long, folder string, stem string")
+    got = {r.k: r.name for r in registry.unique_names(df, ["folder"], "stem", ["k"], ".mp4").collect()}
+    assert got == {0: "a.mp4", 1: "a_2.mp4", 2: "a_2_2.mp4", 3: "a_3.mp4", 4: "a.mp4", 5: "b_2_3.mp4", 6: "a_2_3.mp4"}
+
+
+def test_error_texts_and_quotas(spark):
+    rows = [("\x1b[0;31mERROR:\x1b[0m <urlopen error [WinError 10013] forbidden by its access permissions>", "DownloadError", "no network permission"), ("CUDA failed: out of memory", "RuntimeError", "out of memory"), ("x", "MemoryError", "out of memory"), (" odd ", "KeyError", "KeyError: odd"), ("odd", None, "odd"), ("No space left on device", "OSError", "disk full | OSError: No space left on device"), (None, None, "")]
+    df = spark.createDataFrame([r[:2] for r in rows], "m string, k string")
+    assert [r[0] for r in df.select(registry.error_class(F.col("m"), F.col("k"))).collect()] == [r[2] for r in rows]
+    df = spark.createDataFrame([(x,) for x in ("0 100000", "-5 100", "100 0", "max 1", "", None, "7")], "q string")
+    assert [r[0] for r in df.select(registry.cpu_quota(F.col("q"))).collect()] == [1, 1, None, None, None, None, None]
+
+
+def test_lines_break_behind_quoted_stops(spark):
+    words = [("one", 0), ('two."', 300), ("three", 600), ("four", 900)]
+    df = spark.createDataFrame([(1, 1, i, w, s, s + 250) for i, (w, s) in enumerate(words)], "doc_id long, clip long, i long, w string, s_ms long, e_ms long")
+    got = captions.caption_lines(df).orderBy("i").collect()
+    assert [r.line for r in got] == [0, 0, 1, 1] and got[0].text == captions.MARKED + "one " + captions.PLAIN + 'two."'
+
+
+def test_running_sums_and_seeds_of_long_documents(spark):
+    text = " ".join(f"w{k} and more words." for k in range(3000))
+    df = spark.createDataFrame([(1, text), (1, text), (None, "a. b. c."), (2, None), (3, "")], "doc_id long, text string")
+    rows = segments.timed_segments(df).filter("doc_id = 1").orderBy("j").collect()
+    assert len(rows) == 6000 and all(a.start_ms == b.start_ms == (a.j * 4) * 350 + a.j * 100 + a.j // 2 * 500 for a, b in zip(rows[::2], rows[1::2], strict=True))
+    assert segments.timed_segments(df).filter("doc_id is null").count() == 3
+    assert segments.candidate_windows(segments.segment_arrays(df)).filter("doc_id = 1").count() > 100
+
+
+def test_titles_of_any_script(spark):
+    from momentloom.operators.scoring import title_of
+
+    df = spark.createDataFrame([("«Привет, МИР!» Да.",), ("7 ways 9!",), ("...",), ("",), (" ".join("abcdefghijk"),)], "t string")
+    assert [r[0] for r in df.select(title_of(F.col("t"))).collect()] == ["Привет, мир!» да", "7 ways 9", "Untitled moment", "Untitled moment", "A b c d e f g h i…"]
+
+
+def test_subtitle_files_are_written(spark, tmp_path):
+    lines = spark.createDataFrame([(1, 1, 0, "Dialogue: 0,0:00:00.00,0:00:01.00,Cap,,0,0,0,,A"), (1, 1, 1, "Dialogue: 0,0:00:01.00,0:00:02.00,Cap,,0,0,0,,B")], "doc_id long, clip long, i long, line string")
+    captions.write_subtitles(lines, str(tmp_path / "out"))
+    (path,) = (tmp_path / "out").glob("doc_id=1/clip=1/*.txt")
+    text = path.read_text(encoding="utf-8-sig")
+    assert text.startswith("[Script Info]") and [x[-1] for x in text.splitlines() if x.startswith("Dialogue")] == ["A", "B"]
