@@ -41,8 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def remove_written() -> None:
+    """Removes the tables written so far. For long sessions, once the results that read them have been read; the driver's end does it as well."""
+    while _written:
+        spark, path = _written.pop()
         with contextlib.suppress(Exception):
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,13 +55,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared checkpoint folder and read it back.
 
     Cuts lineage: a lost executor costs a re-read instead of the computation. The
-    folder is removed when the driver's process ends.
+    folder is removed by remove_written, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/momentloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_remove_written)
+        atexit.register(remove_written)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
