@@ -1,4 +1,8 @@
-"""Caption events: words of a clip, lines, slots on the screen that don't overlap, and subtitle text."""
+"""Caption events: words of a clip, lines, slots on the screen that don't overlap, and subtitle text.
+
+Documents without clips or without text, and clips without words, have no rows; null ids join nothing. Rows
+that repeat a document repeat its clips' words.
+"""
 
 from __future__ import annotations
 

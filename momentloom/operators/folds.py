@@ -1,7 +1,8 @@
 """Operators whose rows depend on all rows before: tracking, merging, speaker states, camera path.
 
 Each is a function of one clip's rows in order, applied to groups by clip: clips are
-independent, of bounded length, and dealt over the cluster by their key.
+independent, of bounded length, and dealt over the cluster by their key. A null key is a group like others,
+an empty table has no groups, and columns beside those named are not read.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""Timed text: sentences, words and segments of documents, windows over segments, ranking."""
+"""Timed text: sentences, words and segments of documents, windows over segments, ranking.
+
+Null and empty texts have no sentences and so no rows; repeated rows give rows of their own up to
+the windows, and count as windows of one document where windows are ranked or suppressed by doc_id. A null
+doc_id is a document like others. Other columns of documents are not read.
+"""
 
 from __future__ import annotations
 

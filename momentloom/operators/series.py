@@ -1,7 +1,8 @@
 """Operators on irregular series: as-of lookup, resampling, rolling measures, runs.
 
 Every operator is keyed (a clip, a track) and ordered by integers, so that ties are exact.
-One shuffle by the key serves a whole chain of these operators.
+One shuffle by the key serves a whole chain of these operators. A null key is a key like others,
+empty tables give empty ones; of rows that agree in key and order either may come first.
 """
 
 from __future__ import annotations
