@@ -57,7 +57,7 @@ def ranges_before(df: DataFrame, key: list[str], order: list[Column], value: Col
     starts = totals.select(*key, "_p", F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     own = Window.partitionBy(*key, "_p").orderBy(*order)
     inner = F.coalesce(F.sum("_v").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_own", inner).join(F.broadcast(starts), [*key, "_p"]).withColumn(name, F.col("_own") + F.col("_s")).drop("_v", "_p", "_own", "_s")
+    return dealt.withColumn("_own", inner).join(starts, [*key, "_p"]).withColumn(name, F.col("_own") + F.col("_s")).drop("_v", "_p", "_own", "_s")
 
 
 def materialised(df: DataFrame) -> DataFrame:
