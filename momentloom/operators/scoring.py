@@ -130,8 +130,9 @@ def window_energies(df: DataFrame, windows: str = "windows", bins: str = "bins",
             a = F.greatest(start(w) - d["first"], F.lit(0)).cast("int")
             z = F.greatest(F.floor(w["end_ms"] / step) - d["first"], F.lit(0)).cast("int")
             inside = F.array_sort(F.filter(F.slice(d["dense"], a + 1, F.greatest(z - a, F.lit(0))), lambda v: v.isNotNull()))
-            p95 = bound(inside, lambda v: _quantile(v, 0.95))
-            found = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p95 / (d["base"] + 1e-9) - 1) / 3)), F.lit(NEUTRAL_ENERGY))
+            # least and greatest pass nulls over, so a window without bins is told apart before.
+            over = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_quantile(v, 0.95) / (d["base"] + 1e-9) - 1) / 3))
+            found = bound(inside, lambda v: F.when(F.size(v) > 0, over(v)).otherwise(NEUTRAL_ENERGY))
             return F.floor(found * 1e6 + 0.5) / 1e6
 
         return F.transform(windows, energy)

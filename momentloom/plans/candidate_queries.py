@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentloom.operators import captions as K
@@ -152,7 +152,7 @@ def energy_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH RECURSIVE {BINS}, " + WIN.removeprefix(SENT + ", ") + """, base AS (SELECT doc_id, quantile_cont(rms, 0.5) AS base FROM bins WHERE rms > 0.001 GROUP BY doc_id),
 p AS (SELECT w.doc_id, w.j0, quantile_cont(b.rms, 0.95) AS p95 FROM win w JOIN bins b ON b.doc_id = w.doc_id AND b.bin >= w.start_ms // 100 AND b.bin < w.end_ms // 100 GROUP BY w.doc_id, w.j0)
-SELECT w.doc_id, w.j0, floor(coalesce(greatest(0.0, least(1.0, (p95 / (coalesce(base, 0.01) + 1e-9) - 1) / 3)), 0.3) * 1e6 + 0.5) / 1e6 AS energy
+SELECT w.doc_id, w.j0, floor(CASE WHEN p95 IS NULL THEN 0.3 ELSE greatest(0.0, least(1.0, (p95 / (coalesce(base, 0.01) + 1e-9) - 1) / 3)) END * 1e6 + 0.5) / 1e6 AS energy
 FROM win w LEFT JOIN p ON w.doc_id = p.doc_id AND w.j0 = p.j0 LEFT JOIN base ON base.doc_id = w.doc_id"""
 )
 def energy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,3 +284,26 @@ def test_subtitle_files_are_written(spark, tmp_path):
     (path,) = (tmp_path / "out").glob("doc_id=1/clip=1/*.txt")
     text = path.read_text(encoding="utf-8-sig")
     assert text.startswith("[Script Info]") and [x[-1] for x in text.splitlines() if x.startswith("Dialogue")] == ["A", "B"]
+
+
+def test_energy_against_plain_quantiles(spark):
+    import numpy as np
+
+    from momentloom.operators import scoring
+
+    rng = random.Random(12)
+    bins, windows, want = [], [], {}
+    for d in range(6):
+        own = {b: rng.choice([0.0005, rng.random()]) for b in range(rng.randint(0, 5), 400) if rng.random() < 0.6} if d else {}
+        bins += [(d, b, v) for b, v in own.items()]
+        loud = [v for v in own.values() if v > 0.001]
+        base = float(np.median(loud)) if loud else 0.01
+        for j in range(5):
+            start = rng.randint(0, 45_000)
+            end = start + rng.randint(0, 9_000)
+            inside = [v for b, v in own.items() if start // 100 <= b < end // 100]
+            want[d, j] = min(1.0, max(0.0, (float(np.percentile(inside, 95)) / (base + 1e-9) - 1) / 3)) if inside else 0.3
+            windows.append((d, j, start, end))
+    w = spark.createDataFrame(windows, "doc_id long, j0 long, start_ms long, end_ms long")
+    got = {(r.doc_id, r.j0): r.energy for r in scoring.window_energy(w, spark.createDataFrame(bins, "doc_id long, bin long, rms double")).collect()}
+    assert got.keys() == want.keys() and [(k, got[k], want[k]) for k in want if abs(got[k] - want[k]) > 2e-6] == []
