@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import os
 import re
 import tempfile
 import uuid
@@ -41,14 +42,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def remove_table(df: DataFrame) -> None:
+    """Removes a table that materialise has written, once nothing will read it any more."""
+    found = {os.path.dirname(f) for f in df.inputFiles()}
+    for spark, path in list(_written):
+        if any(f.rstrip("/").endswith(path.split(":", 1)[-1].rstrip("/")) for f in found):
+            _remove(spark, path)
+            _written.remove((spark, path))
+
+
 def remove_written() -> None:
     """Removes the tables written so far. For long sessions, once the results that read them have been read; the driver's end does it as well."""
     while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(*_written.pop())
 
 
 def materialise(df: DataFrame) -> DataFrame:

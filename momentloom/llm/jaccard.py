@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -188,13 +188,13 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-def _profiles(width: int):
+def _profiles(width: int, bits: Callable[[np.ndarray], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", SLICE):
             sets = shingle_sets(as_bytes(b.column(1)), width)
             keys = [_set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(map(parity_bitmap, sets), pa.binary())], ["i", "n", "h1", "h2", "bits"]
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(map(bits, sets), pa.binary())], ["i", "n", "h1", "h2", "bits"]
             )
 
     return run
@@ -245,25 +245,38 @@ def _sets(width: int, bits):
     return run
 
 
-def _bounded(threshold: int):
-    """Keeps the pairs whose bitmaps allow enough common elements."""
+#: (bits of x, bits of y, sum of their sizes, threshold) -> whether they may link; bits as rows of 64-bit words.
+MayLink = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def parity_bound(x: np.ndarray, y: np.ndarray, total: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether parity bitmaps allow enough common elements: 2 * overlap <= total - differ, and a link needs (100 + threshold) * overlap >= threshold * total."""
+    differ = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+    return (100 + threshold) * (total - differ) >= 2 * threshold * total
+
+
+def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A binary column of equal lengths as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _bounded(threshold: int, may_link: MayLink):
+    """Keeps the pairs that may link by their bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 b = batch.slice(k, 4096)
-                x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint64).reshape(b.num_rows, BITS // 64) for c in ("bits_a", "bits_b"))
+                x, y = (_words(b.column(b.schema.get_field_index(c))) for c in ("bits_a", "bits_b"))
                 total = sum(b.column(b.schema.get_field_index(c)).to_numpy() for c in ("n_a", "n_b"))
-                differ = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-                # 2 * overlap <= total - differ, and a link needs (100 + threshold) * overlap >= threshold * total
-                keep = (100 + threshold) * (total - differ) >= 2 * threshold * total
+                keep = may_link(x, y, total, threshold)
                 yield b.select(["a", "b", "h1_a", "h2_a", "h1_b", "h2_b"]).filter(pa.array(keep))
 
     return run
 
 
-def _close_in_blocks(threshold: int):
-    """From rows sorted by (tile, bi, bj): pairs of different labels whose bitmaps allow enough common elements.
+def _close_in_blocks(threshold: int, may_link: MayLink):
+    """From rows sorted by (tile, bi, bj): pairs of different labels that may link by their bits.
 
     A group is a block (bi = bj) or two blocks of a tile; one group is in memory at a time.
     """
@@ -271,7 +284,7 @@ def _close_in_blocks(threshold: int):
     def close(rows: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         t = pa.Table.from_batches(rows).combine_chunks()
         own, node, n, label = (t[c].to_numpy() for c in ("own", "node", "n", "label"))
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(n), BITS // 64)
+        bits = _words(t["bits"])
         crossed = t["bi"][0].as_py() != t["bj"][0].as_py()
         for k in range(len(n) - 1):
             keep = label[k + 1 :] != label[k]
@@ -281,8 +294,7 @@ def _close_in_blocks(threshold: int):
             keep &= (100 * np.minimum(n[k], n[k + 1 :])) >= threshold * np.maximum(n[k], n[k + 1 :])
             at = np.flatnonzero(keep)
             if len(at):
-                differ = np.bitwise_count(bits[k + 1 + at] ^ bits[k]).sum(1).astype(np.int64)
-                at = at[(100 + threshold) * (total[at] - differ) >= 2 * threshold * total[at]]
+                at = at[may_link(bits[k + 1 + at], bits[k], total[at], threshold)]
                 if len(at):
                     yield np.minimum(node[k], node[k + 1 + at]), np.maximum(node[k], node[k + 1 + at])
 
@@ -352,14 +364,27 @@ def jaccard_components(df: DataFrame, ids: str = "doc_id", text: str = "text", w
     tables: the profiles (about 170 bytes a document), the tiles with several members, the
     links. A block of a tile is compared in one task, at most a few thousand bitmaps. No set of texts is shuffled but those of candidates.
     """
-    kind = df.schema[ids].dataType
+    base, profiles = profile_table(df, ids, text, width, parity_bitmap)
+    nodes = set_nodes(profiles)
+    rows = base.filter("i is not null").select("t").mapInArrow(_tile_rows(width, threshold), "tile long, node long")
+    return components_of_tiles(base, profiles, nodes, rows, width, threshold, block, parity_bound).select(F.col("i").alias(ids), "n_shingles", "component_id")
+
+
+def profile_table(df: DataFrame, ids: str, text: str, width: int, bits: Callable[[np.ndarray], bytes]) -> tuple[DataFrame, DataFrame]:
+    """(i, t) of df, and a written table of each row's set: (i, n, h1, h2, bits), its size, its hash and what bits makes of it."""
     base = df.select(F.col(ids).alias("i"), F.col(text).cast("string").alias("t"))
-    fields = [T.StructField("i", kind), *(T.StructField(x, T.LongType()) for x in ("n", "h1", "h2")), T.StructField("bits", T.BinaryType())]
-    profiles = materialise(base.mapInArrow(_profiles(width), T.StructType(fields)))
-    # Equal sets: the smallest id stands for all.
+    fields = [T.StructField("i", df.schema[ids].dataType), *(T.StructField(x, T.LongType()) for x in ("n", "h1", "h2")), T.StructField("bits", T.BinaryType())]
+    return base, materialise(base.mapInArrow(_profiles(width, bits), T.StructType(fields)))
+
+
+def set_nodes(profiles: DataFrame) -> DataFrame:
+    """Equal sets as one node: the smallest id stands for all."""
     named = profiles.filter("n > 0 and i is not null")
-    nodes = materialise(named.groupBy("h1", "h2", "n").agg(F.min("i").alias("rep"), F.first("bits").alias("bits")))
-    rows = base.filter("i is not null").select("t").mapInArrow(_tile_rows(width, threshold), "tile long, node long")
+    return materialise(named.groupBy("h1", "h2", "n").agg(F.min("i").alias("rep"), F.first("bits").alias("bits")))
+
+
+def components_of_tiles(base: DataFrame, profiles: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, threshold: int, block: int, may_link: MayLink) -> DataFrame:
+    """(i, n_shingles, component_id) of each profile, given rows (tile, node) in which all pairs that link share a tile."""
     w = Window.partitionBy("tile").orderBy("node")
     members = rows.select("tile", "node", F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("before"))
     # One row for each member but the first: what tiles of one member had is gone here.
@@ -371,7 +396,7 @@ def jaccard_components(df: DataFrame, ids: str = "doc_id", text: str = "text", w
     pairs = held.select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct()
     # Different sets under one 64-bit node value are candidates too.
     clash = nodes.groupBy("h1").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("h1").alias("x"), F.col("h1").alias("y"))
-    links = materialise(_links(base, nodes, pairs.unionByName(clash), width, threshold))
+    links = materialise(exact_links(base, nodes, pairs.unionByName(clash), width, threshold, may_link))
     named = nodes.select(F.col("h1").alias("node"), "n", "bits", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     named = materialise(named.select("node", "n", "bits", F.xxhash64(F.coalesce("label", "rep")).alias("label")))
     # The leader has been compared with all: what is left of a tile is the rest, if it has several components.
@@ -381,17 +406,17 @@ def jaccard_components(df: DataFrame, ids: str = "doc_id", text: str = "text", w
     rest = rest.select("tile", "node", "own", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other")).select("tile", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node")
     rest = rest.join(named, "node").select("tile", "bi", "bj", "own", "node", "n", "label", "bits")
     rest = rest.repartition("tile", "bi", "bj").sortWithinPartitions("tile", "bi", "bj")
-    pairs = rest.mapInArrow(_close_in_blocks(threshold), "x long, y long").distinct()
-    links = links.unionByName(materialise(_links(base, nodes, pairs, width, threshold)))
+    pairs = rest.mapInArrow(_close_in_blocks(threshold, may_link), "x long, y long").distinct()
+    links = links.unionByName(materialise(exact_links(base, nodes, pairs, width, threshold, may_link)))
     labels = components(links)
     label = labels.select(F.col("node").alias("rep"), "label")
     classes = nodes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), "rep").join(label, "rep", "left")
     found = profiles.join(classes, (profiles["h1"] == classes["c1"]) & (profiles["h2"] == classes["c2"]) & (profiles["n"] == classes["cn"]) & profiles["i"].isNotNull(), "left")
-    return found.select(F.col("i").alias(ids), F.col("n").alias("n_shingles"), F.when(F.col("i").isNotNull(), F.coalesce("label", "rep", "i")).alias("component_id"))
+    return found.select("i", F.col("n").alias("n_shingles"), F.when(F.col("i").isNotNull(), F.coalesce("label", "rep", "i")).alias("component_id"))
 
 
-def _links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """(a, b): the representatives of the pairs (x, y) of node values whose sets link."""
+def exact_links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, threshold: int, may_link: MayLink) -> DataFrame:
+    """(a, b): the representatives of the pairs (x, y) of node values whose sets link; most others go by their bits."""
 
     def side(s: str, key: str) -> DataFrame:
         return nodes.select(F.col("h1").alias(key), F.col("h2").alias(f"h2_{s}"), F.col("n").alias(f"n_{s}"), F.col("rep").alias(s), F.col("bits").alias(f"bits_{s}"))
@@ -400,7 +425,7 @@ def _links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, thre
     both = pairs.join(side("a", "x"), "x").join(side("b", "y"), "y").filter("a != b").filter(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
     both = both.withColumnsRenamed({"x": "h1_a", "y": "h1_b"})
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(x, T.LongType()) for x in ("h1_a", "h2_a", "h1_b", "h2_b"))])
-    close = materialise(both.mapInArrow(_bounded(threshold), schema))
+    close = materialise(both.mapInArrow(_bounded(threshold, may_link), schema))
     wanted = close.select(F.col("a").alias("i")).unionByName(close.select(F.col("b").alias("i"))).distinct()
     # Texts are not shuffled to find the candidates': a filter of bounded size tells which may be wanted. Where so
     # many are wanted that the filter would let most texts through, a join finds them.
