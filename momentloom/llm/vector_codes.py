@@ -49,6 +49,11 @@ def down(x: np.ndarray) -> np.ndarray:
     return np.nextafter(x, -np.inf)
 
 
+def root_below(squared: np.ndarray) -> np.ndarray:
+    """No more than the root of exact integers."""
+    return down(np.sqrt(np.maximum(down(squared.astype(np.float64)), 0.0)))
+
+
 def squares(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     """Squared distances of rows and entries, exact integers (sums stay under 2 ** 53: LARGEST squared times 4 times the values)."""
     if 16 * x.shape[1] * max(int(np.abs(x).max(initial=0)), int(np.abs(book).max(initial=0))) ** 2 < 1 << 53:
@@ -80,7 +85,7 @@ class Books:
         for p, book in enumerate(now if entries > 1 else ()):
             apart = squares(book, book)
             np.fill_diagonal(apart, np.iinfo(np.int64).max)
-            self.half[p] = down(down(np.sqrt(down(apart.min(1).astype(np.float64)))) / 2)
+            self.half[p] = down(root_below(apart.min(1)) / 2)
 
     def assign(self, p: int, x: np.ndarray, code: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> int:
         """Brings the codes and bounds of part position p up to date, in place; the number of full scans."""
@@ -99,7 +104,7 @@ class Books:
             code[scan] = best = d.argmin(1)
             upper[scan] = up(np.sqrt(up(d[np.arange(len(scan)), best].astype(np.float64))))
             d[np.arange(len(scan)), best] = np.iinfo(np.int64).max
-            lower[scan] = down(np.sqrt(down(d.min(1).astype(np.float64)))) if d.shape[1] > 1 else np.inf
+            lower[scan] = root_below(d.min(1)) if d.shape[1] > 1 else np.inf
         return len(scan)
 
 
