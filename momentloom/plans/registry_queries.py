@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from momentloom.operators import registry as J
-from momentloom.sources.documents import folder_stats, parse_tolerant
+from momentloom.sources.documents import folder_sizes, parse_tolerant
 from momentloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -107,13 +110,34 @@ def dir_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files, bytes and the newest change of the folders that the tables lie in, read from the file system."""
-    return folder_stats(spark, sf_dir)
+    """Bytes, files and the newest change of the folders that the tables' own files lie in, at every depth."""
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
+    files = [table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for t in names]
+    own = functools.reduce(DataFrame.unionByName, files).select(F.substring_index("file_path", f"/{os.path.basename(sf_dir.rstrip('/'))}/", -1).alias("path"), F.col("file_size").alias("bytes"), F.col("file_modification_time").alias("changed"))
+    return folder_sizes(own)
 
 
 QUERIES["folder_files"] = folder_files
 
 
+def _listing(spark, sf_dir):
+    """lineitem as files: work/volume/order/..., some of them one or three folders further down."""
+    inner = F.when(F.col("l_returnflag") == "R", "tmp/parts/x/").when(F.col("l_returnflag") == "A", "clips/").otherwise("")
+    path = F.concat(F.lit("work/v"), F.col("l_suppkey") % 7, F.lit("/o"), "l_orderkey", F.lit("/"), inner, "l_linenumber", F.lit("-"), "l_partkey")
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return table(spark, sf_dir, "lineitem").select(path.alias("path"), (F.col("l_quantity") * 1000).cast("long").alias("bytes"), day.alias("changed"))
+
+
+@query("""WITH f AS (SELECT 'v' || l_suppkey % 7 || '/o' || l_orderkey || '/' || CASE l_returnflag WHEN 'R' THEN 'tmp/parts/x/' WHEN 'A' THEN 'clips/' ELSE '' END || l_linenumber || '-' || l_partkey AS path,
+  (l_quantity * 1000)::BIGINT AS bytes, l_shipdate::DATE - DATE '1970-01-01' AS changed FROM lineitem),
+n AS (SELECT *, string_split(path, '/') AS names FROM f),
+a AS (SELECT array_to_string(names[1:k], '/') AS folder, len(names) - 1 - k AS below, bytes, changed FROM n, LATERAL (SELECT unnest(range(0, len(names))) AS k))
+SELECT 'work/' || folder AS folder, sum(bytes)::BIGINT AS bytes, count(*) AS files, (max(changed) FILTER (WHERE below <= 1))::BIGINT AS newest FROM a GROUP BY folder""")
+def recursive_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of every folder with all below it, and its newest change near it."""
+    return folder_sizes(_listing(spark, sf_dir), "work/")
+
+
 @query(f"WITH {JOBS} SELECT job_id, CASE WHEN job_id % 5 IN (0, 1) THEN 'done' WHEN job_id % 5 = 2 THEN 'error' ELSE state END AS state FROM jobs WHERE job_id % 4 <> 3")
 def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job documents as JSON texts, every fourth of them cut off: those are skipped."""

@@ -1,11 +1,7 @@
-"""Readers of files that hold one document each, and of sound."""
+"""Readers of files that hold one document each, and of folders."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,34 +20,27 @@ def parse_tolerant(df: DataFrame, text: str, schema: str) -> DataFrame:
     return df.withColumn("parsed", parsed).filter("parsed is not null and parsed._bad is null")
 
 
-def read_pcm(spark: SparkSession, path: str, first: int = 0, end: int | None = None) -> DataFrame:
-    """Samples (path, idx, v) of 16-bit mono WAV files, from first up to end. A file is decoded in one task, in pieces."""
-    schema = "path string, idx long, v short"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, size = _data_chunk(raw)
-                v = np.frombuffer(raw, "<i2", size // 2, at)[first:end]
-                for k in range(0, len(v), 1 << 18):
-                    part = v[k : k + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(first + k, first + k + len(part))), pa.array(part)], ["path", "idx", "v"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
-
-
-def _data_chunk(raw: bytes) -> tuple[int, int]:
-    """Where the samples of a RIFF file start, and how many bytes they have."""
-    at = 12
-    while at + 8 <= len(raw):
-        size = int.from_bytes(raw[at + 4 : at + 8], "little")
-        if raw[at : at + 4] == b"data":
-            return at + 8, min(size, len(raw) - at - 8) // 2 * 2
-        at += 8 + size + size % 2
-    return len(raw), 0
-
-
-def folder_stats(spark: SparkSession, path: str, depth_pattern: str = "*") -> DataFrame:
-    """Bytes, files and the newest change of each folder below path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", depth_pattern).load(path).select("path", "length", "modificationTime")
-    return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.sum("length").alias("bytes"), F.count("*").alias("files"), F.max("modificationTime").alias("newest"))
+def folder_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, bytes, changed) of the files below path; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"))
+
+
+def folder_sizes(files: DataFrame, root: str = "", path: str = "path", bytes_: str = "bytes", changed: str = "changed") -> DataFrame:
+    """folder, bytes, files, newest: for root and each folder below it that a file lies in or under.
+
+    bytes and files count everything below a folder, at any depth; newest looks at a folder's own files
+    and those of its direct folders only (a folder changes as its files do), and is null without any. A
+    file counts once for each folder above it, in one pass: sums and maxima combine before the shuffle,
+    so that the root costs a row a task. Paths are texts with / between names; those outside root, null
+    paths and null sizes count for nothing. A file listed twice counts twice.
+    """
+    inner = F.substring(F.col(path), len(root) + 1, 1 << 20) if root else F.col(path)
+    names = F.split(inner, "/", -1)
+    inside = files.filter(F.col(path).isNotNull() & F.startswith(path, F.lit(root)) if root else F.col(path).isNotNull())
+    depth = F.size("names") - 1  # folders on the way to the file
+    above = F.explode(F.transform(F.sequence(F.lit(0), depth), lambda k: F.struct(F.array_join(F.slice("names", 1, k), "/").alias("folder"), (depth - k).alias("below"))))
+    rows = inside.select(names.alias("names"), F.col(bytes_).alias("bytes"), F.col(changed).alias("changed")).select(above.alias("a"), "bytes", "changed")
+    near = F.col("a.below") <= 1
+    found = rows.groupBy("a.folder").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("files"), F.max(F.when(near, F.col("changed"))).alias("newest"))
+    return found.select(F.concat(F.lit(root), "folder").alias("folder"), "bytes", "files", "newest")

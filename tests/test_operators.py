@@ -200,7 +200,8 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
 def test_sound_is_read_and_cut(spark, tmp_path):
     import struct
 
-    from momentloom.sources.documents import read_json_documents, read_pcm
+    from momentloom.sources.documents import read_json_documents
+    from momentloom.sources.sound import read_pcm
 
     v = list(range(-50, 50))
     data = struct.pack(f"<{len(v)}h", *v)
