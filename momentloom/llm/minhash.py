@@ -7,6 +7,9 @@ pair that meets goes on if enough minima agree, with a bound that drops a pair a
 with a chance of at most MISSED too, and is then decided by its two whole sets. Links are
 contracted by alternating large-star and small-star steps.
 
+The number of minima leaves pairs well below the threshold in; a parity bitmap beside the signature
+(see jaccard.py) bounds the overlap from above, so that these go before whole sets are read.
+
 Members of a band's bucket are first held against one of them, then only buckets that still
 have several components are compared, in blocks (see jaccard.py): no bucket emits its pairs.
 """
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import BLOCK, components_of_tiles, mix, profile_table, set_nodes
+from .jaccard import BLOCK, components_of_tiles, mix, parity_bitmap, parity_bound, profile_table, set_nodes
 
 #: Minima in a band: sixteen bits each, so that a band is a 64-bit word.
 BAND = 4
@@ -69,19 +72,28 @@ def signature(shingles: np.ndarray, threshold: int) -> bytes:
 
 
 def signature_bound(x: np.ndarray, y: np.ndarray, total: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether enough minima agree."""
-    # Words that agree in all their lanes are the common case within a bucket of near copies; lanes are counted as 16-bit numbers.
-    return (x.view(np.uint16) == y.view(np.uint16)).sum(-1) >= least_agreeing(threshold)
+    """Whether enough minima agree, and the bitmaps behind them allow enough common elements."""
+    n = bands(threshold)
+    keep = parity_bound(x[..., n:], y[..., n:], total, threshold)
+    at = np.flatnonzero(keep)
+    lanes = lambda words: np.ascontiguousarray(words[..., :n]).view(np.uint16)
+    keep[at] = (lanes(x[at]) == lanes(y[at] if y.ndim > 1 else y)).sum(-1) >= least_agreeing(threshold)
+    return keep
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(threshold: int):
     """(tile, node) for each band of each node: a hash of the band's number and its minima."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            b = batch.slice(at, 2048)
-            words = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            tile = mix(words + mix(np.arange(1, words.shape[1] + 1, dtype=np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(tile.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), words.shape[1]))], ["tile", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = bands(threshold)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                words = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, -1)[:, :n]
+                tile = mix(words + mix(np.arange(1, n + 1, dtype=np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(tile.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), n))], ["tile", "node"])
+
+    return run
 
 
 def minhash_components(df: DataFrame, ids: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80, block: int = BLOCK) -> DataFrame:
@@ -96,10 +108,10 @@ def minhash_components(df: DataFrame, ids: str = "doc_id", text: str = "text", w
     columns of df are not read.
 
     Equal sets are one node. Written tables: a profile of two bytes a hash function for each
-    document and node (256 at 0.85), the buckets with several members, the links.
+    document and node (256 at 0.85) and a bitmap of 128, the buckets with several members, the links.
     """
-    base, profiles = profile_table(df, ids, text, width, lambda s: signature(s, threshold))
+    base, profiles = profile_table(df, ids, text, width, lambda s: signature(s, threshold) + parity_bitmap(s))
     nodes = set_nodes(profiles)
-    rows = nodes.select("h1", "bits").mapInArrow(_buckets, "tile long, node long")
+    rows = nodes.select("h1", "bits").mapInArrow(_buckets(threshold), "tile long, node long")
     found = components_of_tiles(base, profiles, nodes, rows, width, threshold, block, signature_bound)
     return found.select(F.col("i").alias(ids), "n_shingles", "component_id", F.coalesce(F.col("i") == F.col("component_id"), F.lit(True)).alias("kept"))

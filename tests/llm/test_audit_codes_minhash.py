@@ -8,7 +8,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from momentloom.llm import filter_audit, minhash, queries, vector_codes
+from momentloom.llm import filter_audit, jaccard, minhash, queries, vector_codes
 from tests.llm.test_llm import EDGES, SF, brute_components
 from tests.oracle import duck_rows, rows_of
 
@@ -162,11 +162,14 @@ def test_minhash_edges(spark):
 
 def test_signatures_lose_no_pair_at_the_threshold():
     rng = np.random.default_rng(2)
-    assert minhash.bands(85) == 32 and 60 < minhash.least_agreeing(85) < 100
+    n = minhash.bands(85)
+    assert n == 32 and 60 < minhash.least_agreeing(85) < 100
+    words = lambda s: np.frombuffer(minhash.signature(s, 85) + jaccard.parity_bitmap(s), np.uint64)[None]
     for size in (40, 400):
         for _ in range(60):
             common, own = rng.integers(0, 1 << 63, size, np.uint64), rng.integers(0, 1 << 63, 2 * (size * 15 // 170), np.uint64)
-            x, y = (np.frombuffer(minhash.signature(np.concatenate([common[: size - len(own)], o]), 85), np.uint64)[None] for o in np.split(own, 2))
-            assert minhash.signature_bound(x, y, None, 85)[0] and (x == y).any()
-    far = [np.frombuffer(minhash.signature(rng.integers(0, 1 << 63, 200, np.uint64), 85), np.uint64)[None] for _ in range(40)]
-    assert not any(minhash.signature_bound(a, b, None, 85)[0] or (a == b).any() for a, b in zip(far, far[1:], strict=False))
+            x, y = (words(np.concatenate([common[: size - len(own)], o])) for o in np.split(own, 2))
+            total = np.array([2 * size - len(own)])
+            assert minhash.signature_bound(x, y, total, 85)[0] and minhash.signature_bound(x, y[0], total, 85)[0] and (x == y)[:, :n].any()
+    far = [words(rng.integers(0, 1 << 63, 200, np.uint64)) for _ in range(40)]
+    assert not any(minhash.signature_bound(a, b, np.array([400]), 85)[0] or (a == b)[:, :n].any() for a, b in zip(far, far[1:], strict=False))
