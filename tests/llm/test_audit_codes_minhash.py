@@ -167,7 +167,7 @@ def test_signatures_lose_no_pair_at_the_threshold():
     words = lambda s: np.frombuffer(minhash.signature(s, 85) + jaccard.parity_bitmap(s), np.uint64)[None]
     for size in (40, 400):
         for _ in range(60):
-            common, own = rng.integers(0, 1 << 63, size, np.uint64), rng.integers(0, 1 << 63, 2 * (size * 15 // 170), np.uint64)
+            common, own = rng.integers(0, 1 << 63, size, np.uint64), rng.integers(0, 1 << 63, 2 * (size * 15 // 200), np.uint64)
             x, y = (words(np.concatenate([common[: size - len(own)], o])) for o in np.split(own, 2))
             total = np.array([2 * size - len(own)])
             assert minhash.signature_bound(x, y, total, 85)[0] and minhash.signature_bound(x, y[0], total, 85)[0] and (x == y)[:, :n].any()
