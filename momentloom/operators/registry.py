@@ -86,6 +86,20 @@ def outcome(results: Column, errors: Column) -> Column:
     return F.when(results == 0, "error").when(errors > 0, "done_with_errors").otherwise("done")
 
 
+def drained(events: DataFrame, key: str, at_ms: str, kind: str, limit_ms: int, now_ms: Column) -> DataFrame:
+    """key, outcome and at_ms of the tasks that have ended by now: done where the first finish is within limit_ms of the first start, else timeout at the deadline.
+
+    Tasks whose deadline is still to come and that haven't finished have no row, nor do those without a start. Events after now don't count;
+    null keys, kinds and times are not read; repeated events count once.
+    """
+    known = events.filter(F.col(key).isNotNull() & (F.col(at_ms) <= now_ms))
+    first = lambda k: F.min(F.when(F.col(kind) == k, F.col(at_ms)))
+    tasks = known.groupBy(key).agg(first("start").alias("started"), first("finish").alias("finished")).withColumn("deadline", F.col("started") + limit_ms)
+    done = F.coalesce(F.col("finished") <= F.col("deadline"), F.lit(False))
+    ended = tasks.filter(F.col("started").isNotNull() & (done | (F.col("deadline") <= now_ms)))
+    return ended.select(key, F.when(done, "done").otherwise("timeout").alias("outcome"), F.when(done, F.col("finished")).otherwise(F.col("deadline")).cast("long").alias("at_ms"))
+
+
 def unique_names(df: DataFrame, key: list[str], stem: str, order: list[str], suffix: str) -> DataFrame:
     """name: in order each row takes its stem if it is free in its folder, else stem_2, stem_3, ...: the first that is free.
 

@@ -70,6 +70,29 @@ def reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.reclaim(jobs, ["volume"], F.lit(5_000_000)).select("volume", "job_id", "bytes")
 
 
+TASKS = """ev AS (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events),
+task AS (SELECT event_id AS task, ms AS started, CASE WHEN event_id % 5 <> 0 THEN ms + event_id * 7919 % 5400000 END AS finished FROM ev),
+task_events AS (SELECT task, started AS at_ms, 'start' AS kind FROM task UNION ALL SELECT task, finished, 'finish' FROM task WHERE finished IS NOT NULL)"""
+#: 30 January 2024, noon.
+DRAIN_NOW = 1_706_616_000_000
+
+
+def task_events(spark, sf_dir):
+    """events as tasks: each starts at its time, four of five finish within an hour and a half."""
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    t = table(spark, sf_dir, "events").select(F.col("event_id").alias("task"), ms.alias("ms"))
+    finish = F.when(F.col("task") % 5 != 0, F.struct((F.col("ms") + F.col("task") * 7919 % 5_400_000).alias("at_ms"), F.lit("finish").alias("kind")))
+    return t.select("task", F.inline(F.array_compact(F.array(F.struct(F.col("ms").alias("at_ms"), F.lit("start").alias("kind")), finish))))
+
+
+@query(f"""WITH {TASKS}, s AS (SELECT task, min(at_ms) FILTER (WHERE kind = 'start') AS a, min(at_ms) FILTER (WHERE kind = 'finish') AS z FROM task_events WHERE at_ms <= {DRAIN_NOW} GROUP BY task)
+SELECT task, 'done' AS outcome, z AS at_ms FROM s WHERE z <= a + 3600000
+UNION ALL SELECT task, 'timeout', a + 3600000 FROM s WHERE a + 3600000 <= {DRAIN_NOW} AND (z IS NULL OR z > a + 3600000)""")
+def drain_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that finished within an hour, and those that timed out."""
+    return J.drained(task_events(spark, sf_dir), "task", "at_ms", "kind", 3_600_000, F.lit(DRAIN_NOW))
+
+
 CLIPS = "clips AS (SELECT l_orderkey AS job_id, l_linenumber AS rank, l_returnflag <> 'R' AS ok, l_discount >= 0.02 AS passed, l_suppkey FROM lineitem)"
 
 
