@@ -26,17 +26,20 @@ def stale(jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def deletable(jobs: DataFrame, live: DataFrame, now: Column) -> DataFrame:
-    """Whether a job's folder may go: never one that is live and not ended, always an unreadable or ended one, never one that awaits approval, else one without activity."""
-    lv = live.select("job_id", F.col("state").alias("live_state"))
-    j = jobs.join(lv, "job_id", "left")
+    """Whether a job's folder may go: never one that is live and not ended, always an unreadable or ended one, never one that awaits approval, else one without activity.
+
+    A job that live names several times is live if any of its rows is; live rows without a state tell nothing. Other columns of jobs stay.
+    """
+    running = live.filter(F.col("state").isNotNull() & ~is_terminal(F.col("state"))).select("job_id").distinct().withColumn("_live", F.lit(True))
+    j = jobs.join(running, "job_id", "left")
     ok = (
-        F.when(F.col("live_state").isNotNull() & ~is_terminal(F.col("live_state")), False)
+        F.when(F.col("_live"), False)
         .when(F.col("state").isNull(), True)
         .when(is_terminal(F.col("state")), True)
         .when(F.col("state") == "awaiting_approval", False)
         .otherwise(now - F.col("active_s") > STALE_SECONDS)
     )
-    return j.withColumn("deletable", ok).drop("live_state")
+    return j.withColumn("deletable", ok).drop("_live")
 
 
 def expired(folders: DataFrame, now: Column, days: int) -> DataFrame:

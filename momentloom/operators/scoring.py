@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import logging
-from collections.abc import Callable, Iterator
+import operator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -31,18 +33,23 @@ log = logging.getLogger(__name__)
 
 
 def _capped(x: Column) -> Column:
-    return F.least(F.lit(1.0), x.cast("double"))
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), x.cast("double")))
+
+
+def _occurrences(text: Column, mark: str) -> Column:
+    """How often mark stands in text, side by side, letter for letter; an empty mark nowhere."""
+    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(mark), F.lit("")))) / max(1, len(mark))).cast("int")
 
 
 def lexical_features(windows: DataFrame, text: str = "text", lexicon: Lexicon = Lexicon()) -> DataFrame:  # noqa: B008
-    """Adds hook, emotion, opinion, story, practical, questions and quotable, from 0 to 1. Null texts have null features but for hook, which is then null as well; empty ones 0."""
+    """Adds hook, emotion, opinion, story, practical, questions and quotable, from 0 to 1. Null texts have null features, empty ones 0."""
     low = F.lower(text)
     parts = sentences(F.col(text))
     opening = F.lower(F.array_join(F.slice(parts, 1, 2), " "))
     tokens = words_of(low)
     n = F.greatest(F.size(tokens), F.lit(1)).cast("double")
     exact = lambda names: F.size(F.filter(tokens, lambda t: t.isin(list(names)))).cast("double")
-    inside = lambda names: sum((F.regexp_count(low, F.lit(m)) for m in names), F.lit(0)).cast("double")
+    inside = lambda names: sum((_occurrences(low, m) for m in names), F.lit(0)).cast("double")
     hooks = sum((opening.rlike(p).cast("int") for p in lexicon.hooks), F.lit(0)).cast("double")
     short = F.size(F.filter(parts, lambda s: F.size(words_of(s)).between(4, 12))).cast("double")
     return windows.withColumns(
@@ -161,14 +168,14 @@ def clamp_score(raw: Column) -> Column:
 def parse_replies(replies: DataFrame, key: str, text: str, valid_from: int, valid_to: int) -> DataFrame:
     """Rows of a model's replies: the first [ to the last ] as a list of objects with id, score, title, hook and reason.
 
-    Ids outside the batch or no numbers are skipped, a later object of an id wins; title, hook and reason
+    Ids outside the batch or no numbers are skipped, fractions of an id cut off, a later object of an id wins; title, hook and reason
     are cut to 80, 140 and 200 characters, and a missing title is NO_TITLE. A reply without a list or without a valid id is one row
     with error that says so and nulls beside it; the other rows have a null error.
     """
     body = F.regexp_extract(text, r"(?s)\[.*\]", 0)
     items = F.from_json(body, "array<struct<id:string,score:string,title:string,hook:string,reason:string>>")
     cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
-    row = lambda x, k: F.struct(x["id"].try_cast("long").alias("id"), k.alias("pos"), clamp_score(x["score"]).alias("score"), F.coalesce(F.nullif(cut(x["title"], 80), F.lit("")), F.lit(NO_TITLE)).alias("title"), cut(x["hook"], 140).alias("hook"), cut(x["reason"], 200).alias("reason"))
+    row = lambda x, k: F.struct(x["id"].try_cast("double").try_cast("long").alias("id"), k.alias("pos"), clamp_score(x["score"]).alias("score"), F.coalesce(F.nullif(cut(x["title"], 80), F.lit("")), F.lit(NO_TITLE)).alias("title"), cut(x["hook"], 140).alias("hook"), cut(x["reason"], 200).alias("reason"))
     valid = F.filter(F.transform(items, row), lambda x: x["id"].between(valid_from, valid_to))
     last = lambda xs: F.filter(xs, lambda x: ~F.exists(xs, lambda y: (y["id"] == x["id"]) & (y["pos"] > x["pos"])))
     error = F.when(body == "", "no list").when(F.coalesce(F.size(valid), F.lit(0)) <= 0, "no valid id")
@@ -176,10 +183,19 @@ def parse_replies(replies: DataFrame, key: str, text: str, valid_from: int, vali
     return found.select(key, "error", F.inline_outer("_x")).select(key, "id", "score", "title", "hook", "reason", "error")
 
 
-def override_scores(local: DataFrame, remote: DataFrame, key: list[str], provider: str) -> DataFrame:
-    """Local rows, with the score of the remote row of the same key where there is one; provider says whose it is."""
-    r = remote.select(*key, F.col("score").alias("_remote"))
-    return local.join(r, key, "left").withColumn("provider", F.when(F.col("_remote").isNull(), "local").otherwise(provider)).withColumn("score", F.coalesce("_remote", "score")).drop("_remote")
+def override_scores(local: DataFrame, remote: DataFrame, key: list[str], provider: str, order: str | None = None) -> DataFrame:
+    """Local rows, with the score of the remote row of the same key where there is one; provider says whose it is.
+
+    Of remote rows that repeat a key the last by the column order counts, without one the highest score; null
+    remote scores and null keys override nothing. Repeated local rows all stay.
+    """
+    of = [F.col(k).alias(f"_remote_{k}") for k in key]
+    best = F.max("score") if order is None else F.max_by("score", order)
+    r = remote.filter(F.col("score").isNotNull()).groupBy(*of).agg(best.alias("_remote_score"))
+    same = [F.col(k) == F.col(f"_remote_{k}") for k in key]
+    found = local.join(r, functools.reduce(operator.and_, same), "left")
+    found = found.withColumn("provider", F.when(F.col("_remote_score").isNull(), "local").otherwise(provider)).withColumn("score", F.coalesce("_remote_score", "score"))
+    return found.drop("_remote_score", *(f"_remote_{k}" for k in key))
 
 
 def batches_of(df: DataFrame, key: list[str], order: list, size: int = 10) -> DataFrame:
@@ -200,15 +216,19 @@ def top_slice(df: DataFrame, key: list[str], score: str, ties: list[str], k: Col
 
 
 class Scorer:
-    """A scorer of windows that callers plug in: score() gets pandas frames of windows (doc_id, j0, text) and returns frames of doc_id, j0, score and reason.
+    """A scorer of windows that callers plug in: score() gets a pandas frame of one batch and returns one row for each window it scores.
 
-    What it raises, and batches it can't score, fall back to the local score (see scored_by).
+    A batch has at most BATCH windows of one source, with its key columns (doc_id and j0 by default), text and batch; the result
+    has those keys and score, and may have title, hook and reason. What it raises, and a batch without a
+    single valid row, fail the batch and with it all of the source's outside scores.
     """
 
     def score(self, frame: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
 
+#: Fixed value: windows of a request.
+BATCH = 10
 _scorers: dict[str, Callable[[], Scorer]] = {}
 
 
@@ -217,26 +237,64 @@ def register_scorer(name: str, make: Callable[[], Scorer]) -> None:
     _scorers[name] = make
 
 
-def scored_by(name: str, windows: DataFrame, local: DataFrame) -> DataFrame:
-    """local scores, overridden by those of the named scorer; provider says whose a row's score is.
-
-    An unknown name, a scorer that can't be made, and frames on which it fails leave the local score.
-    """
+def available(name: str) -> Scorer | None:
+    """The scorer of that name; none where the name is unknown or it can't be made."""
     make = _scorers.get(name)
     try:
-        scorer = make() if make else None
+        return make() if make else None
     except Exception as error:  # any fault of a plugged-in scorer means the local score
         log.warning("scorer %r is not available (%s), local scores stay", name, error)
-        scorer = None
-    if scorer is None:
-        return local.withColumn("provider", F.lit("local"))
+        return None
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            try:
-                yield scorer.score(f)[["doc_id", "j0", "score"]]
-            except Exception as error:
-                log.warning("scorer %r failed on %d windows (%s)", name, len(f), error)
+def batch_scores(scorer: Scorer, windows: DataFrame, source: str = "doc_id", ident: str = "j0", order: list[Column] | None = None, size: int = BATCH) -> DataFrame:
+    """What the scorer says, batch by batch: source, batch, ident, score, title, hook, reason, failed.
 
-    remote = windows.select("doc_id", "j0", "text").mapInPandas(run, "doc_id long, j0 long, score double").withColumn("score", clamp_score(F.col("score")))
-    return override_scores(local, remote, ["doc_id", "j0"], name)
+    The windows of a source go to it in batches of size, in order (by ident, if none is given). A
+    failed batch is one row with nulls and what went wrong in failed. Rows for windows outside the batch are
+    dropped, of several for one the last counts; texts are cut to 80, 140 and 200 characters. A batch is a group of
+    its own, so a task holds one batch at a time.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
+    schema = f"{source} {kinds[source]}, batch long, {ident} {kinds[ident]}, score double, title string, hook string, reason string, failed string"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values("_at").drop(columns="_at").reset_index(drop=True)
+        try:
+            found = scorer.score(own)
+            found = found[found[ident].isin(own[ident])].drop_duplicates(ident, keep="last")
+            if not len(found):
+                raise ValueError("no valid id")
+            out = pd.DataFrame({ident: found[ident], "score": pd.to_numeric(found["score"], errors="coerce").fillna(0.0).clip(0, 100)})
+            for name, most in (("title", 80), ("hook", 140), ("reason", 200)):
+                out[name] = found[name].fillna("").astype(str).str[:most] if name in found.columns else ""
+            out["failed"] = None
+        except Exception as error:  # carried as data: what becomes of the source is decided once all its batches are in
+            out = pd.DataFrame({ident: [None], "score": [None], "title": [None], "hook": [None], "reason": [None], "failed": [f"{type(error).__name__}: {error}"]})
+        out[source], out["batch"] = own[source].iloc[0], own["batch"].iloc[0]
+        return out[names]
+
+    by = order or [F.col(ident)]
+    columns = [c for c in windows.columns if c not in ("batch", "_at")]
+    at = F.row_number().over(Window.partitionBy(source).orderBy(*by))
+    batched = batches_of(windows.filter(F.col(ident).isNotNull()), [source], by, size).withColumn("_at", at).select(*columns, "batch", "_at")
+    return batched.groupBy(source, "batch").applyInPandas(run, schema)
+
+
+def whole_sources(scores: DataFrame, source: str = "doc_id") -> DataFrame:
+    """The rows of batch_scores of the sources none of whose batches failed: all of a source or nothing."""
+    failed = F.max("failed").over(Window.partitionBy(source))  # a source has as many rows as it has windows
+    return scores.withColumn("_any", failed).filter("_any is null").drop("_any", "failed")
+
+
+def scored_by(name: str, windows: DataFrame, local: DataFrame, order: list[Column] | None = None, size: int = BATCH) -> DataFrame:
+    """local scores (doc_id, j0, score), overridden by those of the named scorer for windows (doc_id, j0, text); provider says whose a row's score is.
+
+    An unknown name, a scorer that can't be made, and sources of which a batch fails keep the local scores.
+    """
+    scorer = available(name)
+    if scorer is None:
+        return local.withColumn("provider", F.lit("local"))
+    remote = whole_sources(batch_scores(scorer, windows, order=order, size=size))
+    return override_scores(local, remote.select("doc_id", "j0", "score"), ["doc_id", "j0"], name)

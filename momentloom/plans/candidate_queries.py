@@ -260,6 +260,38 @@ def provider_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.override_scores(local, remote, ["doc_id", "j0"], "remote")
 
 
+class Remainders(C.Scorer):
+    """A scorer whose answers follow from the ids, and that has none for a batch with a certain window."""
+
+    def score(self, frame):
+        if ((frame["doc_id"] * 7 + frame["j0"]) % 41 == 0).any():
+            raise RuntimeError("no answer")
+        return frame.assign(score=((frame["doc_id"] * 31 + frame["j0"] * 7) % 1001) / 10.0)[(frame["doc_id"] + frame["j0"]) % 4 != 0]
+
+
+C.register_scorer("remainders", Remainders)
+BATCHED = SCORED + """, placed AS (SELECT doc_id, j0, score, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, j0) - 1) // 10 AS batch FROM scored),
+said AS (SELECT *, bool_or((doc_id * 7 + j0) % 41 = 0) OVER (PARTITION BY doc_id, batch) OR bool_and((doc_id + j0) % 4 = 0) OVER (PARTITION BY doc_id, batch) AS failed FROM placed)"""
+
+
+@query(f"""WITH RECURSIVE {BATCHED}, src AS (SELECT *, bool_or(failed) OVER (PARTITION BY doc_id) AS any_failed FROM said)
+SELECT doc_id, j0, CASE WHEN NOT any_failed AND (doc_id + j0) % 4 <> 0 THEN ((doc_id * 31 + j0 * 7) % 1001) / 10.0::DOUBLE ELSE score END AS score, CASE WHEN NOT any_failed AND (doc_id + j0) % 4 <> 0 THEN 'remainders' ELSE 'local' END AS provider FROM src""")
+def all_or_nothing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows go to a scorer in batches of ten, the best local scores first; a document one of whose batches fails keeps its local scores."""
+    own = _scored(spark, sf_dir).select("doc_id", "j0", "score", "text")
+    return C.scored_by("remainders", own, own.select("doc_id", "j0", "score"), [F.desc("score"), F.col("j0")])
+
+
+@query(f"""WITH RECURSIVE {BATCHED} SELECT doc_id, batch, count(*) AS windows, (count(*) FILTER (WHERE NOT failed AND (doc_id + j0) % 4 <> 0)) AS answered, bool_or(failed) AS failed FROM said GROUP BY doc_id, batch""")
+def scorer_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each batch of a scorer went."""
+    own = _scored(spark, sf_dir).select("doc_id", "j0", "score", "text")
+    order = [F.desc("score"), F.col("j0")]
+    said = C.batch_scores(Remainders(), own, order=order).groupBy("doc_id", "batch").agg(F.count("score").alias("answered"), F.max("failed").isNotNull().alias("failed"))
+    sizes = C.batches_of(own, ["doc_id"], order).groupBy("doc_id", "batch").agg(F.count("*").alias("windows"))
+    return sizes.join(said, ["doc_id", "batch"])
+
+
 @query(f"WITH RECURSIVE {WIN} SELECT doc_id, j0, (row_number() OVER (PARTITION BY doc_id ORDER BY j0) - 1) // 10 AS batch FROM win")
 def llm_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.batches_of(_windows(spark, sf_dir).select("doc_id", "j0"), ["doc_id"], ["j0"])
@@ -272,12 +304,12 @@ def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPLIES = """replies AS (SELECT doc_id, 'Sure: ' || CASE WHEN doc_id % 7 = 0 THEN 'no list' WHEN doc_id % 11 = 0 THEN '[{"id": 77}]' ELSE '[' || '{"id": ' || (doc_id % 5) || ', "score": "' || (doc_id % 150) || '", "title": "T' || doc_id || '", "hook": "' || repeat('h', (doc_id % 200)::INT) || '"}, {"id": "x", "score": 5}, {"id": '
-  || (doc_id % 3) || ', "score": "bad", "reason": "' || repeat('r', (doc_id % 300)::INT) || '"}, {"id": 99, "score": 1}]' END || ' done' AS reply FROM documents)"""
+  || (doc_id % 3) || CASE WHEN doc_id % 13 = 0 THEN '.7' ELSE '' END || ', "score": "bad", "reason": "' || repeat('r', (doc_id % 300)::INT) || '"}, {"id": 99, "score": 1}]' END || ' done' AS reply FROM documents)"""
 
 
 @query(f"""WITH {REPLIES}, b AS (SELECT doc_id, CASE WHEN reply LIKE '%[%' THEN json_transform(regexp_extract(reply, '(?s)\\[.*\\]'), '["JSON"]') END AS l FROM replies),
 i AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM b WHERE l IS NOT NULL),
-v AS (SELECT doc_id, pos, try_cast(x ->> 'id' AS BIGINT) AS id, greatest(0.0, least(100.0, coalesce(try_cast(x ->> 'score' AS DOUBLE), 0.0))) AS score, coalesce(nullif(substr(coalesce(x ->> 'title', ''), 1, 80), ''), 'Untitled moment') AS title, substr(coalesce(x ->> 'hook', ''), 1, 140) AS hook, substr(coalesce(x ->> 'reason', ''), 1, 200) AS reason FROM i),
+v AS (SELECT doc_id, pos, trunc(try_cast(x ->> 'id' AS DOUBLE))::BIGINT AS id, greatest(0.0, least(100.0, coalesce(try_cast(x ->> 'score' AS DOUBLE), 0.0))) AS score, coalesce(nullif(substr(coalesce(x ->> 'title', ''), 1, 80), ''), 'Untitled moment') AS title, substr(coalesce(x ->> 'hook', ''), 1, 140) AS hook, substr(coalesce(x ->> 'reason', ''), 1, 200) AS reason FROM i),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos DESC) AS r FROM v WHERE id BETWEEN 0 AND 9) WHERE r = 1)
 SELECT b.doc_id, id, score, title, hook, reason, CASE WHEN l IS NULL THEN 'no list' WHEN id IS NULL THEN 'no valid id' END AS error FROM b LEFT JOIN k ON b.doc_id = k.doc_id""")
 def llm_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +317,7 @@ def llm_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     body = F.concat(
         F.lit('[{"id": '), d % 5, F.lit(', "score": "'), d % 150, F.lit('", "title": "T'), d, F.lit('", "hook": "'), F.repeat(F.lit("h"), (d % 200).cast("int")), F.lit('"}, {"id": "x", "score": 5}, {"id": '),
-        d % 3, F.lit(', "score": "bad", "reason": "'), F.repeat(F.lit("r"), (d % 300).cast("int")), F.lit('"}, {"id": 99, "score": 1}]'),
+        d % 3, F.when(d % 13 == 0, ".7").otherwise(""), F.lit(', "score": "bad", "reason": "'), F.repeat(F.lit("r"), (d % 300).cast("int")), F.lit('"}, {"id": 99, "score": 1}]'),
     )
     reply = F.when(d % 7 == 0, F.lit("no list")).when(d % 11 == 0, F.lit('[{"id": 77}]')).otherwise(body)
     replies = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Sure: "), reply, F.lit(" done")).alias("reply"))
