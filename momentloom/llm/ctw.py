@@ -281,6 +281,21 @@ def unpacked_counts(b: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<i8").ravel()
 
 
+def packed_places(at: np.ndarray, size: int) -> bytes:
+    """Ascending places below size: a bit for each of size where many are taken, else the steps between them; no more bytes than a few for each place."""
+    if 8 * len(at) >= size:
+        mask = np.zeros(size, bool)
+        mask[at] = True
+        return b"m" + pa.compress(np.packbits(mask).tobytes(), codec="zstd", asbytes=True)
+    return b"s" + packed(at.astype(np.uint32))
+
+
+def unpacked_places(b: bytes, size: int) -> np.ndarray:
+    if b[:1] == b"m":
+        return np.flatnonzero(np.unpackbits(np.frombuffer(pa.decompress(b[1:], decompressed_size=-(-size // 8), codec="zstd", asbytes=True), np.uint8), count=size))
+    return unpacked(b[1:], np.uint32)
+
+
 def packed_prices(p: np.ndarray) -> bytes:
     """Prices in three bytes each (sixteen bits of precision), the like places together and compressed."""
     kept = p.astype("<f4").view("<u4") + np.uint32(0x80)
@@ -388,19 +403,14 @@ _GROUP = "id long, seen double, ones double, below double, keys binary, n binary
 def _summed_group(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """A group's keys over all blocks. Of grams (g >= 0) the places of each block's and the sums for the tree above, of words each block's counts and the totals."""
     g = key[0].as_py()
-    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    blobs = rows["keys"].to_pylist()
-    for k, c in zip(blobs, rows["n"].to_pylist(), strict=True):
-        keys, n = summed([(keys, n), (unpacked(k, np.uint64), unpacked(c, np.int64))])
-    places = []
-    for k in blobs:
-        at = np.searchsorted(keys, unpacked(k, np.uint64))
-        if g < 0:
-            places.append(packed_counts(n[at]))
-        else:
-            mask = np.zeros(len(keys), bool)
-            mask[at] = True
-            places.append(pa.compress(np.packbits(mask).tobytes(), codec="zstd", asbytes=True))
+    every = [unpacked(k, np.uint64) for k in rows["keys"].to_pylist()]
+    counts = np.concatenate([unpacked(c, np.int64) for c in rows["n"].to_pylist()])
+    # One sort for all blocks; a block's keys are sorted already, so its places among all are sorted too.
+    keys, at = np.unique(np.concatenate(every), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, at, counts)
+    own = np.split(at, np.cumsum([len(k) for k in every])[:-1])
+    places = [packed_counts(n[x]) if g < 0 else packed_places(x, len(keys)) for x in own]
     if g < 0:
         ids, sums = np.array([-1]), [np.array([float(x)]) for x in (n.sum(), (n > 0).sum(), 0)]
     else:
@@ -425,8 +435,7 @@ def _answers(top):
                     p = priced_grams(keys, unpacked(row["n"], np.int64).astype(float), top.value).astype(np.float32)
                     out = []
                     for m in row["places"]:
-                        mask = np.unpackbits(np.frombuffer(pa.decompress(m, decompressed_size=-(-len(keys) // 8), codec="zstd", asbytes=True), np.uint8), count=len(keys)).astype(bool)
-                        out.append(packed_prices(p[mask]))
+                        out.append(packed_prices(p[unpacked_places(m, len(keys))]))
                 for b, x in zip(row["blocks"], out, strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["g"]], pa.int32()), pa.array([x], pa.binary())], ["b", "g", "p"])
 

@@ -100,7 +100,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"), run=3, min_words=12)
+    return dedup_substrings(table(spark, sf_dir, "documents"), run=3)
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,11 +137,12 @@ def _removed(run: int, min_words: int, names: list[str], carried: int):
     return work
 
 
-def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 12, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(df: DataFrame, ids: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: the id column, n_sentences, n_removed, removed_words, kept and removed.
 
-    From every sentence the shortest run of at least `run` consecutive sentences with
-    min_words words or more is hashed (words in lower case, white space aside; long words count by characters). Of runs that occur more than once, in one
+    Every run of `run` consecutive sentences is hashed (words in lower case, white space aside); with min_words
+    over 1, from every sentence the shortest run of at least `run` that has so many words (long words count by characters), which
+    leaves short repeats alone. Of runs that occur more than once, in one
     text or in several, the first by (id, text hash, position) stays; sentences that another
     occurrence covers go. kept is the rest of the text, unchanged where nothing goes;
     removed lists the spans that go (first and end as sentence numbers, and the text).

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,12 +24,16 @@ COST_KEPT, COST_STANDS, COST_ADDED, COST_ADDED_DIGIT, COST_REPEAT = 0.05, 1.0, 1
 #: Words, and beginnings of words, are features; a beginning ends after so many letters.
 PREFIXES = (4, 5, 6)
 CACHE = 200_000
+#: Four or more single characters with blanks between them.
+SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 #: Longer words (texts without spaces, long runs of single letters) are restored in pieces of so many characters.
 PIECE = 64
 #: Toxic rows that must hold a feature, and their share, before it weighs; least log odds that weigh.
 LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 3.0, 0.004, 3.0
-#: The bias of a model that has seen no toxic rows, and the greatest of any: a single word of the least odds can't turn a text.
+#: The bias of a model that has seen no toxic rows.
 NO_BIAS = -4.0
+#: A blank between pieces of so many characters may be one that the channel put into a word; costs of such a blank, between single letters and else.
+SHORT, COST_BLANK_LETTERS, COST_BLANK = 4, 1.0, 4.0
 
 
 class CharacterModel:
@@ -84,10 +89,16 @@ def character_model(df: DataFrame, text: str = "text") -> CharacterModel:
 
 
 def hypotheses(word: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a word: for each character the letters it may stand for (or none) and their costs."""
+    """The lattice of a word, or of pieces with single blanks between them: for each character the letters it may stand for (or none) and their costs. A blank is a border or nothing."""
     out = []
+    single = [len(x) == 1 for x in word.split(" ")]
+    gap = 0
     for k, c in enumerate(word):
         own: list[tuple[str, float]] = []
+        if c == " ":
+            gap += 1
+            out.append([(" ", 0.0), ("", COST_BLANK_LETTERS if single[gap - 1] and single[gap] else COST_BLANK)])
+            continue
         if c.isalpha():
             own.append((c, COST_KEPT))
             if k and word[k - 1] == c:
@@ -101,7 +112,7 @@ def hypotheses(word: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(word: str, model: CharacterModel) -> str:
-    """The most likely letters of a disguised word: Viterbi over states of the last two letters."""
+    """The most likely letters of a disguised word, or the words of pieces with blanks: Viterbi over states of the last two letters."""
     log = model.log
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for options in hypotheses(word):
@@ -109,7 +120,7 @@ def restore(word: str, model: CharacterModel) -> str:
         for (a, b), (cost, done) in best.items():
             for letter, own in options:
                 if letter:
-                    n = _number(letter)
+                    n = 0 if letter == " " else _number(letter)
                     state, to, text = (b, n), cost + own - float(log[a, b, n]), done + letter
                 else:
                     state, to, text = (a, b), cost + own, done
@@ -145,6 +156,7 @@ class Restorer:
     def __init__(self, model: CharacterModel):
         self.model = model
         self.known: dict[str, str] = {}
+        self.joins: dict[tuple[str, str], bool] = {}
 
     def word(self, raw: str) -> str:
         found = self.known.get(raw)
@@ -160,8 +172,44 @@ class Restorer:
     def pieces(self, raw: str) -> set[str]:
         return {self.word(raw[k : k + PIECE]) for k in range(0, len(raw), PIECE)}
 
+    def cost(self, word: str) -> float:
+        """Of a word's letters as they are."""
+        at = [0, 0, *map(_number, word), 0]
+        return -float(sum(self.model.log[a, b, c] for a, b, c in zip(at, at[1:], at[2:], strict=False)))
+
+    def joined(self, x: str, y: str) -> bool:
+        """Whether two short pieces may be one word: both are single, or they are likelier together."""
+        if len(x) == len(y) == 1:
+            return True
+        found = self.joins.get((x, y))
+        if found is None:
+            if len(self.joins) >= CACHE:
+                self.joins.clear()
+            found = self.joins[x, y] = self.cost(x + y) + COST_BLANK < self.cost(x) + self.cost(y)
+        return found
+
+    def spaced(self, raw: list[str]) -> Iterator[str]:
+        """Stretches of short pieces of which neighbours may be one word, in parts of at most PIECE characters."""
+        stretch: list[str] = []
+        size, may = 0, False
+        sizes = [0, *map(len, raw), 0, 0]
+        for k, w in enumerate((*raw, "")):
+            # Longer pieces count beside one or two letters: the rest of a word.
+            short = 0 < len(w) <= SHORT or SHORT < len(w) <= 2 * SHORT and (0 < sizes[k] <= 2 or 0 < sizes[k + 2] <= 2)
+            if short and size + len(w) < PIECE:
+                may = may or bool(stretch) and self.joined(stretch[-1], w)
+                stretch.append(w)
+                size += len(w) + 1
+                continue
+            if may and (len(stretch) > 2 or any(len(x) > 1 for x in stretch)):
+                yield " ".join(stretch)
+            # A stretch that is too long goes on with the last half of its pieces, so that no word is cut.
+            stretch = [*stretch[len(stretch) // 2 :], w] if short else []
+            size = sum(len(x) + 1 for x in stretch)
+            may = any(map(self.joined, stretch, stretch[1:]))
+
     def words(self, text: str) -> set[str]:
-        """Distinct restored words; three or more letters that stand alone in a row are a word as well."""
+        """Distinct restored words; words that stand in pieces or as single letters are found by leaving blanks out."""
         raw = text.lower().split()
         found = set()
         for w in set(raw):
@@ -169,15 +217,16 @@ class Restorer:
                 found.add(self.word(w))
             else:
                 found |= self.pieces(w)
-        single = [k for k, w in enumerate(raw) if len(w) == 1 and (w.isalnum() or w in STANDS_FOR)]
-        if len(single) >= 3:
-            start = 0
-            for k in range(1, len(single) + 1):
-                if k == len(single) or single[k] != single[k - 1] + 1:
-                    if k - start >= 3:
-                        spaced = "".join(raw[single[start] : single[k - 1] + 1])
-                        found |= {restore(spaced[n : n + PIECE], self.model) for n in range(0, len(spaced), PIECE)}
-                    start = k
+        stretches = set(self.spaced(raw))
+        # A word of one letter before a spaced word looks like its first letter: both readings count.
+        stretches |= {" ".join(x.split()[1:]) for s in stretches for x in SPACED.findall(s)}
+        for stretch in stretches:
+            own = self.known.get(stretch)
+            if own is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                own = self.known[stretch] = restore(stretch, self.model)
+            found.update(own.split(" "))
         found.discard("")
         return found
 
@@ -222,7 +271,7 @@ class ToxicityModel:
 
 
 def fitted_bias(sums: np.ndarray, toxic: np.ndarray, share: float) -> float:
-    """The bias of the greatest likelihood for texts of these sums of weights, where share of all texts is toxic; NO_BIAS at most."""
+    """The bias of the greatest likelihood for texts of these sums of weights, where share of all texts is toxic."""
     if not toxic.any() or toxic.all():
         return NO_BIAS
     low, high = -50.0, 50.0
@@ -233,7 +282,7 @@ def fitted_bias(sums: np.ndarray, toxic: np.ndarray, share: float) -> float:
             low = bias
         else:
             high = bias
-    return min(NO_BIAS, (low + high) / 2)
+    return (low + high) / 2
 
 
 def _sums(broadcast):

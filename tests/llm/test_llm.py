@@ -260,7 +260,42 @@ def test_toxicity_weights_and_bias():
     sums, toxic = np.array([0.0] * 90 + [12.0] * 9 + [0.0]), np.array([False] * 90 + [True] * 10)
     low = toxicity.fitted_bias(sums, toxic, 0.1)
     like = lambda b: float(np.where(toxic, -np.log1p(np.exp(-sums - b)), -np.log1p(np.exp(sums + b))).sum())
-    assert low <= toxicity.NO_BIAS and all(like(low) >= like(x) - 1e-9 for x in np.arange(-9, -4, 0.1))
+    assert all(like(low) >= like(x) - 1e-9 for x in np.arange(-9, 3, 0.1))
+    # Where most texts without a weight are toxic the bias is above any constant's.
+    assert toxicity.fitted_bias(np.zeros(100), np.arange(100) < 80, 0.8) == pytest.approx(math.log(4), abs=1e-3)
+    assert toxicity.fitted_bias(np.zeros(3), np.zeros(3, bool), 0.0) == toxicity.NO_BIAS
+
+
+def test_blanks_in_words_are_left_out_and_borders_kept(spark, docs):
+    plain = " ".join(["you are a stupid idiot and i am not sure what he said to the man in the house so it is a good day"] * 300)
+    model = toxicity.character_model(docs.union(spark.createDataFrame([(-1, plain, "en", "s", 1)], docs.schema)))
+    restorer = toxicity.Restorer(model)
+    for text, want in (("you are a s t u p i d i d i o t", {"stupid", "idiot"}), ("I s t u p i d", {"stupid"}), ("you stu pid man", {"stupid"}), ("such a st upid day", {"stupid"}), ("so s tupid it is", {"stupid"}), ("an id iot he is", {"idiot"}), ("s.t.u p 1 d", {"stupid"})):
+        assert want <= restorer.words(text), (text, restorer.words(text))
+    for text in ("he is in the man a day", "i am a man", "it is so good to me"):
+        assert restorer.words(text) == set(text.split()), text
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice("stupidare") for _ in range(rng.randint(1, 4))) for _ in range(5000)]
+    assert all(len(x) <= 2 * toxicity.PIECE for x in restorer.spaced(pieces)) and restorer.words(" ".join(pieces))
+
+
+def test_the_best_borders_of_short_pieces(spark, docs):
+    """Every way to keep or leave out the blanks of a stretch, tried out."""
+    import itertools
+
+    model = toxicity.character_model(docs)
+    rng = random.Random(12)
+    for _ in range(120):
+        stretch = " ".join("".join(rng.choice("aetnilsh") for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(rng.randint(2, 4)))
+        costs = {}
+        for path in itertools.product(*toxicity.hypotheses(stretch)):
+            total, a, b, text = sum(c for _, c in path), 0, 0, "".join(x for x, _ in path)
+            for letter in [*text, ""]:
+                n = toxicity._number(letter) if letter.strip() else 0
+                total -= float(model.log[a, b, n])
+                a, b = b, n
+            costs[text] = min(total, costs.get(text, total))
+        assert costs[toxicity.restore(stretch, model)] - min(costs.values()) < 1e-6
 
 
 def test_toxicity_learns_and_generalises(spark, edges):
@@ -313,12 +348,12 @@ def test_passages_against_brute_force(spark, edges):
         rows.append((i, "".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = substring_dedup.dedup_substrings(df).collect()
-    assert {r.doc_id: r.n_removed for r in got} == brute_passages(rows, 3, 12)
+    assert {r.doc_id: r.n_removed for r in got} == brute_passages(rows, 3, 1)
     short = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(5, 15))) + rng.choice([". ", "!\n", "? "])
     shared = [short() for _ in range(5)]
     apart = [(i, "".join([short() for _ in range(rng.randint(0, 4))] + shared * (i % 3 == 0) + [short() for _ in range(rng.randint(0, 4))])) for i in range(30)]
     found = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(spark.createDataFrame(apart, "doc_id long, text string")).collect()}
-    assert found == brute_passages(apart, 3, 12, plain_sentences) and sum(x > 0 for x in found.values()) == 9
+    assert found == brute_passages(apart, 3, 1, plain_sentences) and sum(x > 0 for x in found.values()) == 9
     plain = dict(rows)
     for r in got:
         assert (r.kept == plain[r.doc_id]) == (r.n_removed == 0)
@@ -326,6 +361,16 @@ def test_passages_against_brute_force(spark, edges):
     assert substring_dedup.dedup_substrings(edges).count() == len(EDGES) and substring_dedup.dedup_substrings(edges.filter("false")).count() == 0
 
 
+def test_short_passages_and_short_tails_go(spark):
+    """Sentences of one to four words, alone and behind longer ones, against a plain splitting of its own."""
+    rng = random.Random(9)
+    sentence = lambda lo, hi: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(rng.randint(lo, hi))).capitalize() + rng.choice([". ", "! ", "?\n"])
+    short, tail = [sentence(2, 2) for _ in range(5)], [sentence(8, 12), *(sentence(1, 3) for _ in range(5))]
+    rows = [(i, "".join([sentence(4, 9) for _ in range(3)] + shared + [sentence(4, 9) for _ in range(3)])) for i, shared in enumerate([short, tail, [], short, tail, [], short + tail])]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_passages(rows, 3, 1, plain_sentences) == {0: 0, 1: 0, 2: 0, 3: 5, 4: 6, 5: 0, 6: 11}
+
+
 def test_passages_of_short_sentences(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
@@ -592,3 +637,38 @@ def test_a_cluster_must_name_a_shared_folder():
             checkpoint_dir(made(master, None))
         assert checkpoint_dir(made(master, "hdfs://x")) == "hdfs://x"
     assert checkpoint_dir(made("local[4]", None))
+
+
+def test_groups_of_blocks_are_summed_in_one_pass():
+    """Blocks of like and unlike keys: sums and places are those of plain dictionaries; bytes and time follow the blocks."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+
+    def table(blocks, shared):
+        rows = []
+        for b in range(blocks):
+            k = np.unique(rng.integers(0, 1 << 62, 2000, np.uint64) if not shared else rng.integers(0, 3000, 2000, np.uint64) << np.uint64(20))
+            rows.append((b, k, rng.integers(0, 5, len(k))))
+        return rows, pa.table({"g": pa.array([3] * blocks, pa.int32()), "b": pa.array(range(blocks), pa.int32()), "keys": pa.array([ctw.packed(k) for _, k, _ in rows]), "n": pa.array([ctw.packed(n) for _, _, n in rows])})
+
+    for shared in (False, True):
+        rows, t = table(40, shared)
+        out = ctw._summed_group((pa.scalar(3),), t).to_pylist()[0]
+        keys, n = ctw.unpacked(out["keys"], np.uint64), ctw.unpacked(out["n"], np.int64)
+        want = Counter()
+        for _, k, c in rows:
+            for x, y in zip(k.tolist(), c.tolist(), strict=True):
+                want[x] += y
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == dict(want)
+        for (b, k, _), place in zip(rows, out["places"], strict=True):
+            assert keys[ctw.unpacked_places(place, len(keys))].tolist() == k.tolist()
+    took = {}
+    for blocks in (60, 240):
+        _, t = table(blocks, False)
+        began = time.process_time()
+        out = ctw._summed_group((pa.scalar(3),), t)
+        took[blocks] = time.process_time() - began, sum(len(x) for x in out["places"][0].as_py())
+    assert took[240][0] < 9 * took[60][0] and took[240][1] < 6 * took[60][1]
