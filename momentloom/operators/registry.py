@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import ranges_before
+
 TERMINAL = ["done", "done_with_errors", "error", "cancelled"]
 STALE_SECONDS = 900
 
@@ -47,38 +47,6 @@ def expired(folders: DataFrame, now: Column, days: int) -> DataFrame:
     return folders.filter(F.col("newest_s") < now - days * 86400) if days > 0 else folders.filter("false")
 
 
-def ranges_before(df: DataFrame, key: list[str], order: list[Column], value: Column, name: str, ranges: int = 200) -> DataFrame:
-    """Adds name: the sum of value over a key's rows before this one in order, without a task that holds a whole key.
-
-    Rows are dealt by ranges of the key and the order, so that few keys fill many tasks; sums run within
-    a range, and those of the ranges before, a few numbers for each, are added. order must tell all rows of a key apart.
-    """
-    dealt = df.withColumn("_v", value).repartitionByRange(ranges, *key, *order).withColumn("_p", F.spark_partition_id())
-    dealt = materialised(dealt)
-    totals = dealt.groupBy(*key, "_p").agg(F.sum("_v").alias("_t"))
-    w = Window.partitionBy(*key).orderBy("_p")
-    starts = totals.select(*key, "_p", F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    own = Window.partitionBy(*key, "_p").orderBy(*order)
-    inner = F.coalesce(F.sum("_v").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_own", inner).join(starts, [*key, "_p"]).withColumn(name, F.col("_own") + F.col("_s")).drop("_v", "_p", "_own", "_s")
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder, so that the dealing of its rows stays. A cluster must name a shared folder; local runs get a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="momentloom-"))
-    return df.checkpoint()
-
-
-def places(df: DataFrame, key: list[str], order: list[Column], name: str = "place") -> DataFrame:
-    """Adds name: a row's number in its key's order, from 1, over ranges (see ranges_before)."""
-    return ranges_before(df, key, order, F.lit(1).cast("long"), name).withColumn(name, (F.col(name) + 1).cast("long"))
-
-
 def reclaim(folders: DataFrame, key: list[str], need: Column) -> DataFrame:
     """Of each volume's deletable folders the oldest, until need bytes are freed; sums run over ranges, see ranges_before."""
     found = ranges_before(folders, key, [F.col("newest_s"), F.col("job_id")], F.col("bytes"), "_before")

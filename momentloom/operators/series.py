@@ -7,12 +7,12 @@ empty tables give empty ones; of rows that agree in key and order either may com
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .ordered import fold_in_order
 
 
 def stride_sample(df: DataFrame, index: str, fps: Column, target: Column) -> DataFrame:
@@ -73,26 +73,6 @@ def causal_peak(df: DataFrame, key: list[str], order: list[str], value: str, row
     return df.withColumn(name, F.max(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(1 - rows, 0)))
 
 
-def _in_order(df: DataFrame, key: list[str], order: list[str], work: Callable[[pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
-    """work on each key's rows in order, as an Arrow table: for what depends on all rows before. A key's rows are one group in memory."""
-    return df.groupBy(*key).applyInArrow(lambda t: work(t.sort_by([(c, "ascending") for c in order])), schema)
-
-
-def exponential_average(df: DataFrame, key: list[str], order: list[str], value: str, alpha: float, name: str = "average") -> DataFrame:
-    """key, order and name, the averages in order: acc += alpha * (value - acc), from 0. A null value keeps the average."""
-
-    def work(t: pa.Table) -> pa.Table:
-        acc, out = 0.0, []
-        for v in t[value].to_pylist():
-            if v is not None:
-                acc += alpha * (v - acc)
-            out.append(acc)
-        return t.select([*key, *order]).append_column(name, pa.array(out, pa.float64()))
-
-    names = [*key, *order]
-    return _in_order(df.select(*names, F.col(value).cast("double").alias(value)), key, order, work, T.StructType([*(df.schema[c] for c in names), T.StructField(name, T.DoubleType())]))
-
-
 def runs(df: DataFrame, key: list[str], order: str, state: str) -> DataFrame:
     """Runs of equal state over consecutive indexes: key, state, first, end (exclusive)."""
     w = Window.partitionBy(*key).orderBy(order)
@@ -133,12 +113,23 @@ def throttled(df: DataFrame, key: list[str], order: list[str], fraction: str, st
     Reports without a fraction are not let through.
     """
 
-    def work(t: pa.Table) -> pa.Table:
-        last, keep = 0, []
-        for v in t[fraction].to_pylist():
-            keep.append(v is not None and v - last >= step)
-            last = v if keep[-1] else last
-        return t.filter(pa.array(keep, pa.bool_()))
-
     names = [*key, *order, fraction]
-    return _in_order(df.select(*names), key, order, work, T.StructType([df.schema[c] for c in names]))
+
+    class Throttle:
+        def __init__(self) -> None:
+            self.last = 0
+
+        def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+            own = rows.filter(rows[fraction].is_valid())
+            values, kept, at = own[fraction].to_numpy(), [], 0
+            while (ahead := np.flatnonzero(values[at:] - self.last >= step)).size:
+                at += int(ahead[0])
+                self.last = int(values[at])
+                kept.append(at)
+            return own.select([*order, fraction]).take(pa.array(kept, pa.int64()))
+
+        def end(self) -> None:
+            return None
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*order, fraction))
+    return fold_in_order(df.select(*names), key, order, Throttle, kinds)

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from momentloom.operators import ordered as O
 from momentloom.operators import registry as J
 from momentloom.sources.documents import folder_sizes, parse_tolerant
 from momentloom.sources.tables import table
@@ -43,7 +44,7 @@ JOBS = """jobs AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN
 def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of each volume, the latest first."""
     jobs = _jobs(spark, sf_dir).select("job_id", "state", "created_s", "volume")
-    return J.places(jobs, ["volume"], [F.desc("created_s"), F.col("job_id")])
+    return O.places(jobs, ["volume"], [F.desc("created_s"), F.col("job_id")])
 
 
 @query(f"WITH {JOBS} SELECT job_id, state, CASE WHEN state NOT IN ('done', 'awaiting_approval') AND {NOW} - active_s > 900 THEN 'error' ELSE state END AS shown FROM jobs")

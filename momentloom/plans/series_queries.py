@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from momentloom.operators import geometry as R
+from momentloom.operators import ordered as O
 from momentloom.operators import series as S
 from momentloom.sources.tables import SPINE_SQL, TRACKS_SQL, frame_spine, track_samples
 
@@ -75,7 +76,7 @@ def causal_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT t.clip_id, t.tid, t.idx, e.acc + 0.08 * (t.mouth::DOUBLE - e.acc) FROM ema e JOIN tracks t ON t.tid = e.tid AND t.idx = e.idx + 1)
 SELECT clip_id, tid, idx, round(acc, 4) AS average FROM ema""")
 def ema_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.exponential_average(track_samples(spark, sf_dir), KEY, ["idx"], "mouth", 0.08)
+    found = O.exponential_average(track_samples(spark, sf_dir), KEY, ["idx"], "mouth", 0.08)
     return found.withColumn("average", F.round("average", 4))
 
 

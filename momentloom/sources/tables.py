@@ -20,8 +20,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-#: Tracks of a clip, and samples of a part of it that is worked on at once.
-CLIP_TRACKS, PART_SAMPLES = 4, 512
+#: Tracks of a clip.
+CLIP_TRACKS = 4
 
 
 def track_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from momentloom.operators import captions, folds, registry, segments, series
@@ -86,17 +87,35 @@ def test_short_runs_are_absorbed_as_a_plain_fold_does(spark):
     assert got == want
 
 
-def test_fragments_join_and_a_far_one_does_not():
-    rows = [(t * 200, k, x, 0.5, 0.1, tid) for tid, x, start in ((0, 0.50, 0), (1, 0.52, 19), (2, 0.90, 19)) for k, t in enumerate(range(start, start + 10))]
-    out = folds.merge_fragments(pd.DataFrame(rows, columns=["t_ms", "det", "cx", "cy", "w", "tid"]))
-    assert sorted(out["tid"].value_counts().tolist()) == [10, 20]
+def fed(fold, rows, size=None):
+    """What a fold gives for rows (a pandas frame in order), fed in batches of size."""
+    t = pa.Table.from_pandas(rows, preserve_index=False).combine_chunks()
+    out = [fold.feed(b) for b in t.to_batches(max_chunksize=size or max(1, t.num_rows))]
+    return pd.concat([x.to_pandas() for x in [*out, fold.end()] if x is not None], ignore_index=True)
 
 
-def states_of(n, tracks, visible=None):
+def test_fragments_join_and_a_far_one_does_not(spark):
+    rows = [(1, t * 200, k, x, 0.5, 0.1, tid) for tid, x, start in ((0, 0.50, 0), (1, 0.52, 19), (2, 0.90, 19)) for k, t in enumerate(range(start, start + 10))]
+    df = spark.createDataFrame(rows + [(None, *r[1:]) for r in rows], "_a long, t_ms long, det long, cx double, cy double, w double, tid long").withColumn("host", F.lit("x"))
+    out = folds.merge_fragments(df.withColumnRenamed("_a", "clip"), ["clip"]).groupBy("clip", "tid").count().collect()
+    assert sorted((r.clip is None, r["count"]) for r in out) == [(False, 10), (False, 20), (True, 10), (True, 20)]
+
+
+def frames_of(rows):
+    """rows (frame, tid, activity, visible, cx, cy, w, h) as the states' fold gets them: a row a frame, and the pair of most activity."""
+    df = pd.DataFrame(rows, columns=["frame", "tid", "activity", "visible", "cx", "cy", "w", "h"]).drop_duplicates(["frame", "tid"])
+    total, left = df.groupby("tid")["activity"].sum(), df.groupby("tid")["cx"].mean()
+    pair = sorted(total.index, key=lambda t: (-total[t], t))[:2]
+    shown = sorted(pair, key=lambda t: left[t])
+    faces = df.sort_values(["frame", "tid"]).groupby("frame")[["tid", "activity", "visible", "cx", "cy", "w", "h"]].apply(lambda g: g.to_dict("records"))
+    return pd.DataFrame({"frame": faces.index, "faces": faces.tolist(), "pair": [pair] * len(faces), "shown": [shown] * len(faces)})
+
+
+def states_of(n, tracks, visible=None, size=None):
     """tracks: tid -> (activity by frame, (cx, cy, w, h)); visible: tid -> by frame."""
     rows = [(f, t, act(f), visible is None or visible[t](f), *box) for t, (act, box) in tracks.items() for f in range(n)]
-    runs = folds.speaker_states(pd.DataFrame(rows, columns=["frame", "tid", "activity", "visible", "cx", "cy", "w", "h"]))
-    return runs, lambda f: next((r.mode, r.tids) for r in runs.itertuples() if r.f0 <= f < r.f1)
+    runs = fed(folds.States(), frames_of(rows), size)
+    return runs, lambda f: next((r.mode, list(r.tids)) for r in runs.itertuples() if r.f0 <= f < r.f1)
 
 
 def test_dialogue_splits_then_rests_on_one():
@@ -134,7 +153,7 @@ def path_of(frames, src_w=1280.0, src_h=720.0):
     """frames: (cut, mode, [(tid, cx, cy, w, h, visible)], coarse) in order."""
     box = lambda b: dict(zip(("tid", "cx", "cy", "w", "h", "visible"), b, strict=True))
     rows = [(f, cut, mode, [box(b) for b in boxes], coarse) for f, (cut, mode, boxes, coarse) in enumerate(frames)]
-    path = folds.camera_path(pd.DataFrame(rows, columns=["frame", "cut", "mode", "boxes", "coarse"]), src_w, src_h)
+    path = fed(folds.Camera(src_w, src_h), pd.DataFrame(rows, columns=["frame", "cut", "mode", "boxes", "coarse"]), 97)
     assert ((path["x"] >= -1e-6) & (path["x"] + path["w"] <= src_w + 1e-5) & (path["y"] >= -1e-6) & (path["y"] + path["h"] <= src_h + 1e-5)).all()
     return path, (path["x"] + path["w"] / 2).tolist()
 
@@ -177,7 +196,7 @@ def test_registry_texts(spark):
 
 def test_tracker_keeps_two_faces_apart():
     rows = [(t * 100, 2 * t + k, 0.3 + 0.4 * k + 0.01 * t, 0.5, 0.1, None) for t in range(10) for k in (0, 1)]
-    out = folds.assign_tracks(pd.DataFrame(rows, columns=["t_ms", "det", "cx", "cy", "w", "openness"]))
+    out = fed(folds.Tracks(), pd.DataFrame(rows, columns=["t_ms", "det", "cx", "cy", "w", "openness"]).sort_values(["t_ms", "det"]))
     assert out["tid"].nunique() == 2 and all(out["tid"] == out["det"] % 2)
 
 
