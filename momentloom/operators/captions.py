@@ -20,9 +20,14 @@ KEY = ["doc_id", "clip"]
 
 
 def with_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
-    """docs that have clips (doc_id, clip, t0, t1 in ms) with clips, an array of them: as many as a document has approved ones. Texts are shuffled once."""
-    own = clips.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("clip", "t0", "t1"))).alias("clips"))
-    return docs.join(own, "doc_id")
+    """docs that have clips (doc_id, clip, t0, t1 in ms) with clips, an array of them: as many as a document has approved ones. Texts are shuffled once.
+
+    The number of partitions is given: rows are few bytes and much work, and where it is left open they would be put together by bytes.
+    """
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own = clips.repartition(n, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("clip", "t0", "t1"))).alias("clips"))
+    return docs.repartition(n, "doc_id").join(own, "doc_id")
 
 
 def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
@@ -40,7 +45,10 @@ def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def caption_lines(words: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Adds line and text, the line with this word marked: a fold over a clip's few hundred words with the open line's size, length and last word as state."""
+    """Adds line and text, the line with this word marked: a fold over a clip's few hundred words with the open line's size, length and last word as state.
+
+    Of words (key, i, w, s_ms, e_ms) repeated ones are words of the line as well; null keys are a clip like others.
+    """
     item = F.struct("i", "w", "s_ms", "e_ms")
     start = F.expr("named_struct('n', 0, 'chars', 0, 'line', -1L, 'e', 0L, 'stop', false, 'out', cast(array() as array<bigint>))")
 
@@ -52,16 +60,13 @@ def caption_lines(words: DataFrame, key: list[str] = KEY) -> DataFrame:
             F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, size).otherwise(s["chars"] + 1 + size).alias("chars"), line.alias("line"), x["e_ms"].alias("e"), x["w"].rlike('[.!?,]"*$').alias("stop"), F.concat(s["out"], F.array(line)).alias("out")
         )
 
-    def marked(all_: Column) -> Column:
-        def text(own: Column) -> Column:
-            line = F.filter(all_, lambda x: x["line"] == own["line"])
-            return F.array_join(F.transform(line, lambda x: F.concat(F.when(x["x"]["i"] == own["x"]["i"], MARKED).otherwise(PLAIN), subtitle_text(x["x"]["w"]))), " ")
-
-        return F.transform(all_, lambda own: F.struct(*(own["x"][c].alias(c) for c in ("i", "w", "s_ms", "e_ms")), own["line"].alias("line"), text(own).alias("text")))
-
     g = words.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("ws"))
-    lined = bound(F.col("ws"), lambda ws: F.zip_with(ws, F.aggregate(ws, start, step)["out"], lambda x, n: F.struct(x.alias("x"), n.alias("line"))))
-    return unpacked(g, key, bound(lined, marked), "line")
+    lined = bound(F.col("ws"), lambda ws: F.zip_with(ws, F.aggregate(ws, start, step)["out"], lambda x, n: F.struct(*(x[c].alias(c) for c in ("i", "w", "s_ms", "e_ms")), n.alias("line"))))
+    # A line's words are gathered once, LINE_WORDS at most; rows are dealt by the clip already.
+    line = Window.partitionBy(*key, "line").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.collect_list(F.struct("i", subtitle_text(F.col("w")).alias("w"))).over(line)
+    rows = unpacked(g, key, lined, "line").withColumn("_own", own)
+    return rows.withColumn("text", F.array_join(F.transform("_own", lambda x: F.concat(F.when(x["i"] == F.col("i"), MARKED).otherwise(PLAIN), x["w"])), " ")).drop("_own")
 
 
 def caption_events(lined: DataFrame, key: list[str] = KEY) -> DataFrame:

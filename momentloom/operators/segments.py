@@ -159,9 +159,15 @@ def window_arrays(arrays: DataFrame) -> DataFrame:
     return arrays.withColumn("windows", bound(F.col("segs"), windows))
 
 
-def candidate_windows(arrays: DataFrame) -> DataFrame:
-    """doc_id, j0, j1, start_ms, end_ms, natural, text: a row for each window of documents with segs (segment_arrays or gathered)."""
-    return unpacked(window_arrays(arrays), ["doc_id"], F.col("windows"), "j0")
+def candidate_windows(arrays: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in keep, j0, j1, start_ms, end_ms, natural, text: a row for each window of documents with segs (segment_arrays or gathered)."""
+    return unpacked(window_arrays(arrays), ["doc_id", *keep], F.col("windows"), "j0")
+
+
+def with_target(arrays: DataFrame) -> DataFrame:
+    """Adds duration_ms, the end of a document's last segment, and target, the windows that it is to give; both are null without segments."""
+    last = F.get("segs", F.size("segs") - 1)["end_ms"]
+    return arrays.withColumn("duration_ms", last).withColumn("target", F.when(last.isNotNull(), target_count(last)))
 
 
 def target_count(duration_ms: Column) -> Column:

@@ -95,7 +95,9 @@ def _windows(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return C.weighted_score(C.lexical_features(_windows(spark, sf_dir), lexicon=PROSE), F.lit(C.NEUTRAL_ENERGY))
+    """Scored windows; the number that their document is to give comes along in the row."""
+    windows = G.candidate_windows(G.with_target(_arrays(spark, sf_dir)), ("target",))
+    return C.weighted_score(C.lexical_features(windows, lexicon=PROSE), F.lit(C.NEUTRAL_ENERGY))
 
 
 @query(f"WITH {SENT}, x AS (SELECT doc_id, j, k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM num) SELECT doc_id, k + i AS k, j, w, (k + i) * 350 + j * 100 + (j // 2) * 500 AS s_ms, (k + i) * 350 + j * 100 + (j // 2) * 500 + 250 AS e_ms FROM x")
@@ -120,8 +122,7 @@ def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SENT}, {DUR} SELECT doc_id, dur AS duration_ms, want AS target FROM dur")
 def target_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _segments(spark, sf_dir).groupBy("doc_id").agg(F.max("end_ms").alias("duration_ms"))
-    return d.withColumn("target", G.target_count(F.col("duration_ms")))
+    return G.with_target(_arrays(spark, sf_dir)).filter("target is not null").select("doc_id", "duration_ms", "target")
 
 
 BINS = f"""{SENT}, x AS (SELECT doc_id, j, k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM num),
@@ -182,8 +183,8 @@ def local_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {SCORED}, {DUR}, r AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY score DESC, j0) AS r, greatest(30, (want * 3 + 1) // 2) AS k FROM scored s JOIN dur USING (doc_id))
 SELECT doc_id, j0, score FROM r WHERE r <= k""")
 def pre_rank_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    want = target_count(spark, sf_dir).select("doc_id", F.greatest(F.lit(30), F.expr("(target * 3 + 1) div 2")).alias("k"))
-    return C.top_slice(_scored(spark, sf_dir).join(want, "doc_id"), ["doc_id"], "score", ["j0"], F.col("k")).select("doc_id", "j0", "score")
+    want = F.greatest(F.lit(30), F.expr("(target * 3 + 1) div 2"))
+    return C.top_slice(_scored(spark, sf_dir).select("doc_id", "j0", "score", "target"), ["doc_id"], "score", ["j0"], want).select("doc_id", "j0", "score")
 
 
 @query(f"""WITH RECURSIVE {WIN} SELECT a.doc_id, a.j0, b.j0 AS k0, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS common_ms,
@@ -195,7 +196,11 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {NMS} SELECT doc_id, k.j AS j0, k.s AS start_ms, k.e AS end_ms, k.v AS score FROM kept")
 def nms_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.suppress_overlaps(_scored(spark, sf_dir).select("doc_id", "j0", "start_ms", "end_ms", "score"))
+    return _kept(spark, sf_dir).drop("target")
+
+
+def _kept(spark, sf_dir):
+    return G.suppress_overlaps(_scored(spark, sf_dir).select("doc_id", "j0", "start_ms", "end_ms", "score", "target"))
 
 
 CUT = NMS + f""", {DUR}, cut AS (SELECT * FROM (SELECT kept.doc_id, k.j AS j0, k.s AS start_ms, k.e AS end_ms, k.v AS score, want, row_number() OVER (PARTITION BY kept.doc_id ORDER BY k.v DESC, k.s, k.j) AS r FROM kept JOIN dur USING (doc_id)) WHERE r <= want),
@@ -204,8 +209,7 @@ fin AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, st
 
 
 def _cut(spark, sf_dir):
-    kept = nms_kept(spark, sf_dir).join(target_count(spark, sf_dir), "doc_id")
-    return C.top_slice(kept, ["doc_id"], "score", ["start_ms", "j0"], F.col("target")).select("doc_id", "j0", "start_ms", "end_ms", "score")
+    return C.top_slice(_kept(spark, sf_dir), ["doc_id"], "score", ["start_ms", "j0"], F.col("target")).select("doc_id", "j0", "start_ms", "end_ms", "score")
 
 
 @query(f"WITH RECURSIVE {CUT} SELECT doc_id, j0, start_ms, end_ms, score FROM tail")
