@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from momentloom.operators import names as N
 from momentloom.operators import ordered as O
 from momentloom.operators import registry as J
 from momentloom.sources.documents import folder_sizes, parse_tolerant
@@ -181,7 +182,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names within a brand; no stem here looks like another's numbered name, so that numbers are row numbers."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("stem"))
-    return J.unique_names(p, ["p_brand"], "stem", ["p_partkey"], ".mp4").select("p_partkey", "name")
+    return N.unique_names(p, ["p_brand"], "stem", ["p_partkey"], ".mp4").select("p_partkey", "name")
 
 
 #: Messages and types of errors, some of two kinds.

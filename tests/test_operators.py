@@ -6,7 +6,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from momentloom.operators import captions, folds, registry, segments, series
+from momentloom.operators import captions, folds, names, registry, segments, series
 
 
 def test_windows_are_within_bounds_and_kept_ones_apart(spark):
@@ -263,7 +263,7 @@ def test_scorers_by_name_fall_back(spark):
 def test_names_stay_free(spark):
     rows = [(0, "v", "a"), (1, "v", "a"), (2, "v", "a_2"), (3, "v", "a"), (4, "w", "a"), (5, "v", "b_2_3"), (6, "v", "a_2")]
     df = spark.createDataFrame(rows, "k long, folder string, stem string")
-    got = {r.k: r.name for r in registry.unique_names(df, ["folder"], "stem", ["k"], ".mp4").collect()}
+    got = {r.k: r.name for r in names.unique_names(df, ["folder"], "stem", ["k"], ".mp4").collect()}
     assert got == {0: "a.mp4", 1: "a_2.mp4", 2: "a_2_2.mp4", 3: "a_3.mp4", 4: "a.mp4", 5: "b_2_3.mp4", 6: "a_2_3.mp4"}
 
 
