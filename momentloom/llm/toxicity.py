@@ -33,7 +33,7 @@ LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 3.0, 0.004, 3.0
 #: The bias of a model that has seen no toxic rows.
 NO_BIAS = -4.0
 #: A blank between pieces of so many characters may be one that the channel put into a word; costs of such a blank, between single letters and else.
-SHORT, COST_BLANK_LETTERS, COST_BLANK = 4, 1.0, 4.0
+SHORT, COST_BLANK_LETTERS, COST_BLANK = 4, 1.0, 5.0
 
 
 class CharacterModel:
@@ -172,20 +172,21 @@ class Restorer:
     def pieces(self, raw: str) -> set[str]:
         return {self.word(raw[k : k + PIECE]) for k in range(0, len(raw), PIECE)}
 
-    def cost(self, word: str) -> float:
-        """Of a word's letters as they are."""
-        at = [0, 0, *map(_number, word), 0]
-        return -float(sum(self.model.log[a, b, c] for a, b, c in zip(at, at[1:], at[2:], strict=False)))
-
     def joined(self, x: str, y: str) -> bool:
-        """Whether two short pieces may be one word: both are single, or they are likelier together."""
+        """Whether two short pieces may be one word: both are single, or they are likelier together. That hangs on the two letters on either side."""
+        if not (x[-1].isalpha() or x[-1] in STANDS_FOR) or not (y[0].isalpha() or y[0] in STANDS_FOR):
+            return False
         if len(x) == len(y) == 1:
             return True
-        found = self.joins.get((x, y))
+        side = x[-2:], y[:2]
+        found = self.joins.get(side)
         if found is None:
-            if len(self.joins) >= CACHE:
-                self.joins.clear()
-            found = self.joins[x, y] = self.cost(x + y) + COST_BLANK < self.cost(x) + self.cost(y)
+            log = self.model.log
+            a, b = map(_number, x[-2:].rjust(2))
+            c, d = map(_number, y[:2].ljust(2))
+            together = log[a, b, c] + log[b, c, d]
+            apart = log[a, b, 0] + log[b, 0, c] + log[0, c, d]
+            found = self.joins[side] = bool(together - COST_BLANK > apart)
         return found
 
     def spaced(self, raw: list[str]) -> Iterator[str]:
