@@ -1,4 +1,10 @@
-"""The registry of jobs: states, staleness, retention, reclaiming space, outcomes, names and errors."""
+"""The registry of jobs: states, staleness, retention, reclaiming space, outcomes, deadlines, errors and settings.
+
+Functions of tables keep all columns and rows of their table unless they say otherwise: repeated rows stay, a null id or
+volume is one like others, empty tables give empty ones. Null times tell of no activity that could be compared: such a job
+is not stale and such a folder not expired. A null state is an unreadable job (see deletable); it counts as not ended elsewhere. Column functions give
+null for null texts, but for those that name a default.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +23,8 @@ def is_terminal(state: Column) -> Column:
 
 def stale(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs under way without a sign of life for STALE_SECONDS become errors; one that awaits approval may wait."""
-    dead = ~is_terminal(F.col("state")) & (F.col("state") != "awaiting_approval") & (now - F.col("active_s") > STALE_SECONDS)
+    state = F.coalesce("state", F.lit(""))
+    dead = ~is_terminal(state) & (state != "awaiting_approval") & (now - F.col("active_s") > STALE_SECONDS)
     return jobs.withColumn("shown", F.when(dead, "error").otherwise(F.col("state")))
 
 
@@ -33,7 +40,7 @@ def deletable(jobs: DataFrame, live: DataFrame, now: Column) -> DataFrame:
         .when(F.col("state").isNull(), True)
         .when(is_terminal(F.col("state")), True)
         .when(F.col("state") == "awaiting_approval", False)
-        .otherwise(now - F.col("active_s") > STALE_SECONDS)
+        .otherwise(F.coalesce(now - F.col("active_s") > STALE_SECONDS, F.lit(False)))
     )
     return j.withColumn("deletable", ok).drop("_live")
 
@@ -44,9 +51,9 @@ def expired(folders: DataFrame, now: Column, days: int) -> DataFrame:
 
 
 def reclaim(folders: DataFrame, key: list[str], need: Column) -> DataFrame:
-    """Of each volume's deletable folders the oldest, until need bytes are freed; sums run over ranges, see ranges_before."""
-    found = ranges_before(folders, key, [F.col("newest_s"), F.col("job_id")], F.col("bytes"), "_before")
-    return found.filter(F.col("_before") < need).drop("_before")
+    """Of each volume's deletable folders (newest_s, job_id, bytes) the oldest, until need bytes are freed; sums run over ranges, see ranges_before. Null sizes free nothing; job_id tells folders of a time apart."""
+    found = ranges_before(folders, key, [F.col("newest_s"), F.col("job_id")], F.coalesce("bytes", F.lit(0)), "_freed_before")
+    return found.filter(F.col("_freed_before") < need).drop("_freed_before")
 
 
 def outcome(results: Column, errors: Column) -> Column:
