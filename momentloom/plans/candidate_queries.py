@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentloom.operators import captions as K
 from momentloom.operators import scoring as C
 from momentloom.operators import segments as G
+from momentloom.operators.sound import speech_mask as speech_frames
 from momentloom.sources.tables import documents
 
 QUERIES, SQL = {}, {}
@@ -353,28 +358,55 @@ def scene_cut_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 _N = "round_even((t1 - t0) * 30 / 1000.0::DOUBLE, 0)::BIGINT"
 
 
-@query(f"""WITH RECURSIVE {BINS.replace('x AS', 'bx AS').replace('FROM x', 'FROM bx').replace('tw AS', 'bw AS').replace('FROM tw', 'FROM bw')}, {CLIPS.removeprefix(SENT + ', ')},
-hops AS (SELECT doc_id, bin // 5 AS hop, sqrt(sum(v * v) / count(*)::DOUBLE + 1e-9) AS rms FROM smp4 GROUP BY doc_id, bin // 5),
-ch AS (SELECT doc_id, clip, t0, t1, hop, rms FROM hops JOIN clip USING (doc_id) WHERE hop * 500 >= t0 AND hop * 500 < t1),
-th AS (SELECT doc_id, clip, greatest(0.01, quantile_cont(rms, 0.25) * 1.8) AS th FROM ch GROUP BY doc_id, clip),
-r AS (SELECT doc_id, clip, {_N} AS n, greatest(0, (s - t0) * 30 // 1000) AS a, ((s + 250 - t0) * 30 + 999) // 1000 + 1 AS z FROM tw JOIN clip USING (doc_id) WHERE NOT (s + 250 < t0 OR s > t1)
-  UNION ALL SELECT doc_id, clip, {_N}, (hop * 500 - t0) * 30 // 1000, (hop * 500 + 500 - t0) * 30 // 1000 FROM ch JOIN th USING (doc_id, clip) WHERE rms > th),
-f AS (SELECT DISTINCT doc_id, clip, unnest(range(a, least(n, z))) AS frame FROM r WHERE a < least(n, z))
+#: Samples a second of the sound that is derived from words, and what their values are derived from.
+RATE, FPS = 160, 30
+_HOP = RATE // FPS
+
+
+@query(f"""WITH RECURSIVE {CLIPS},
+cw AS MATERIALIZED (SELECT doc_id, clip, t0, t1, {_N} AS n, t0 * {RATE} // 1000 AS first, s, length(w) AS len FROM tw JOIN clip USING (doc_id) WHERE s + 250 >= t0 - 1000 AND s <= t1 + 1000),
+cs AS (SELECT DISTINCT doc_id, clip, t0, t1, n, first, least(n, (t1 - t0) * {RATE} // 1000 // {_HOP}) AS whole FROM cw),
+bn AS (SELECT doc_id, clip, len, first, unnest(range(s // 100, (s + 249) // 100 + 1)) AS bin FROM cw),
+sm AS (SELECT doc_id, clip, len, first, bin * {RATE // 10} + q AS idx FROM bn, range({RATE // 10}) g(q)),
+sq AS (SELECT doc_id, clip, (idx - first) // {_HOP} AS frame, sum(((len * 37 + idx * 13) % 200) ** 2) AS sq FROM sm WHERE idx >= first GROUP BY ALL),
+lv AS (SELECT c.doc_id, c.clip, f.frame, sqrt(coalesce(sq.sq, 0) / {_HOP}::DOUBLE + 1e-9) AS rms FROM cs c, LATERAL (SELECT unnest(range(0, whole)) AS frame) f LEFT JOIN sq ON sq.doc_id = c.doc_id AND sq.clip = c.clip AND sq.frame = f.frame),
+th AS (SELECT doc_id, clip, greatest(0.01, quantile_cont(rms, 0.25) * 1.8) AS th FROM lv GROUP BY doc_id, clip),
+r AS (SELECT doc_id, clip, n, greatest(0, (s - t0) * 30 // 1000) AS a, ((s + 250 - t0) * 30 + 999) // 1000 + 1 AS z FROM cw WHERE NOT (s + 250 < t0 OR s > t1)),
+f AS (SELECT doc_id, clip, unnest(range(a, least(n, z))) AS frame FROM r WHERE a < least(n, z) UNION SELECT doc_id, clip, frame FROM lv JOIN th USING (doc_id, clip) WHERE rms > th)
 SELECT doc_id, clip, count(*) AS n_frames, min(frame) AS first_frame, max(frame) AS last_frame FROM f GROUP BY doc_id, clip""")
 def speech_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of each clip (30 a second) with a word or with sound over the clip's threshold, distinct, summed up by clip."""
-    own = clips(spark, sf_dir).withColumn("n", F.bround((F.col("t1") - F.col("t0")) * 30 / 1000.0, 0).cast("long"))
-    d = K.with_clips(_docs(spark, sf_dir), own)
-    touch = lambda ws: F.flatten(F.transform("clips", lambda c: F.transform(F.filter(ws, lambda x: ~((x["e_ms"] < c["t0"]) | (x["s_ms"] > c["t1"]))), lambda x: F.struct(c["clip"].alias("clip"), x["s_ms"].alias("s"), x["e_ms"].alias("e")))))
-    words = G.unpacked(d, ["doc_id"], G.bound(G.word_array(F.col("text")), touch), "clip").join(own, ["doc_id", "clip"])
-    words = words.select("doc_id", "clip", "n", F.expr("greatest(0, (s - t0) * 30 div 1000)").alias("a"), F.expr("((e - t0) * 30 + 999) div 1000 + 1").alias("z"))
-    hops = G.unpacked(d, ["doc_id"], _squares(F.col("text")), "bin").groupBy("doc_id", F.expr("bin div 5").alias("hop")).agg(F.sum("sq").alias("sq"), F.sum("n").alias("k"))
-    inside = hops.select("doc_id", "hop", C.rms(F.col("sq"), F.col("k")).alias("rms")).join(own, "doc_id").filter("hop * 500 >= t0 and hop * 500 < t1")
-    over = inside.groupBy("doc_id", "clip").agg(C.sound_threshold(F.percentile("rms", F.lit(0.25))).alias("th"))
-    sound = inside.join(over, ["doc_id", "clip"]).filter("rms > th").select("doc_id", "clip", "n", F.expr("(hop * 500 - t0) * 30 div 1000").alias("a"), F.expr("(hop * 500 + 500 - t0) * 30 div 1000").alias("z"))
-    r = words.unionByName(sound).withColumn("z", F.least("n", "z")).filter("a < z")
-    f = r.select("doc_id", "clip", F.explode(F.sequence("a", F.col("z") - 1)).alias("frame")).distinct()
-    return f.groupBy("doc_id", "clip").agg(F.count("*").alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    """Frames of each clip (30 a second) with a word or with sound over the clip's threshold, summed up by clip, in the document's row.
+
+    A word sounds in the tenths of a second that it touches, a sample's value follows from its length and the sample's number.
+    """
+    own = K.with_clips(_docs(spark, sf_dir), clips(spark, sf_dir))
+    near = lambda c: lambda x: (x["e_ms"] >= c["t0"] - 1000) & (x["s_ms"] <= c["t1"] + 1000)
+    of_clip = lambda ws: F.transform("clips", lambda c: F.struct(c["clip"].alias("clip"), c["t0"].alias("t0"), c["t1"].alias("t1"), F.transform(F.filter(ws, near(c)), lambda x: F.struct(x["s_ms"].alias("s"), x["e_ms"].alias("e"), F.char_length(x["w"]).alias("n"))).alias("ws")))
+    rows = G.unpacked(own, ["doc_id"], G.bound(G.word_array(F.col("text")), of_clip), "clip")
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            edges, words = b.column(4).offsets.to_numpy(), b.column(4).values
+            s, e, n = (words.field(k).to_numpy() for k in range(3))
+            for at, (t0, t1) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                of = slice(edges[at], edges[at + 1])
+                first, count = t0 * RATE // 1000, (t1 - t0) * RATE // 1000
+                length = np.zeros(t1 // 100 + 20, np.int64)
+                for d in range(4):
+                    bin_ = s[of] // 100 + d
+                    there = bin_ <= (e[of] - 1) // 100
+                    length[np.minimum(bin_[there], len(length) - 1)] = n[of][there]
+                idx = first + np.arange(count)
+                own_length = length[idx // (RATE // 10)]
+                samples = np.where(own_length > 0, (own_length * 37 + idx * 13) % 200, 0)
+                inside = (e[of] >= t0) & (s[of] <= t1)
+                frames = np.flatnonzero(speech_frames(s[of][inside] - t0, e[of][inside] - t0, samples, round((t1 - t0) * FPS / 1000), FPS, RATE))
+                out.append((len(frames), int(frames[0]) if len(frames) else None, int(frames[-1]) if len(frames) else None))
+            cols = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "clip", "n_frames", "first_frame", "last_frame"])
+
+    return rows.mapInArrow(masks, "doc_id long, clip long, n_frames long, first_frame long, last_frame long").filter("n_frames > 0")
 
 
 @query(rf"""WITH RECURSIVE {SCORED}, h AS (SELECT *, coalesce(trim(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')[1]), substr(text, 1, 90)) AS hook FROM scored),

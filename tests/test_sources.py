@@ -129,3 +129,24 @@ def test_frame_rms_edges(spark):
     assert list(got) == [(1, 1)] and abs(got[1, 1] - ((100**2 + 49) / 2 / 32768**2 + 1e-9) ** 0.5) < 1e-12
     assert sound.frame_rms(df.filter("false"), ["k"], 2).count() == 0
     assert sound.frame_rms(df.withColumn("v", F.col("v").cast("double")), ["k"], 1).count() == 4
+
+
+def test_speech_mask_against_a_plain_loop():
+    from momentloom.operators import sound as masks
+
+    rng = np.random.default_rng(3)
+    for rate, fps, n in ((160, 30, 90), (16_000, 30, 40), (160, 200, 30)):
+        hop = max(1, rate // fps)
+        start = np.sort(rng.integers(-500, 3500, 12))
+        end = start + rng.integers(0, 400, 12)
+        samples = rng.integers(-200, 200, int(rate * n / fps) - 7) * (rng.random(int(rate * n / fps) - 7) < 0.3)
+        want = [False] * n
+        for a, z in zip(start.tolist(), end.tolist(), strict=True):
+            for f in range(max(0, int(a * fps / 1000)), min(n, -(-z * fps // 1000) + 1)):
+                want[f] = True
+        levels = [np.sqrt((samples[k * hop : (k + 1) * hop] ** 2.0).mean() + 1e-9) for k in range(min(n, len(samples) // hop))]
+        for f, level in enumerate(levels):
+            want[f] = want[f] or bool(level > max(0.01, np.percentile(levels, 25) * 1.8))
+        assert masks.speech_mask(start, end, samples, n, fps, rate).tolist() == want
+    none = np.zeros(0, np.int64)
+    assert not masks.speech_mask(none, none, none, 5, 30, 160).any() and masks.speech_mask(none, none, none, 0, 30, 160).tolist() == []
