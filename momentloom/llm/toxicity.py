@@ -30,8 +30,8 @@ SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 PIECE = 64
 #: Toxic rows that must hold a feature, and their share, before it weighs; least log odds that weigh.
 LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 3.0, 0.004, 3.0
-#: The bias of a model that has seen no toxic rows.
-NO_BIAS = -4.0
+#: The bias of a model that has seen no toxic rows, and how many standard errors a fitted one is lowered.
+NO_BIAS, CAUTION = -4.0, 2.0
 #: A blank between pieces of so many characters may be one that the channel put into a word; costs of such a blank, between single letters and else.
 SHORT, COST_BLANK_LETTERS, COST_BLANK = 4, 1.0, 5.0
 
@@ -286,6 +286,16 @@ def fitted_bias(sums: np.ndarray, toxic: np.ndarray, share: float) -> float:
     return (low + high) / 2
 
 
+def cautious_bias(sums: np.ndarray, toxic: np.ndarray, share: float) -> float:
+    """The fitted bias less CAUTION standard errors (from the likelihood's curvature): few labelled rows tell little about how rare toxic texts are."""
+    bias = fitted_bias(sums, toxic, share)
+    if not toxic.any() or toxic.all():
+        return bias
+    p = 1 / (1 + np.exp(-np.clip(sums + bias, -60, 60)))
+    spread = len(sums) * (share * (p * (1 - p))[toxic].mean() + (1 - share) * (p * (1 - p))[~toxic].mean())
+    return bias - CAUTION / float(np.sqrt(max(spread, 1e-9)))
+
+
 def _sums(broadcast):
     """(sum of the weights of a labelled text without its own row, label)."""
 
@@ -310,7 +320,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text:
     some twenty times as frequent in toxic texts. As each takes LEAST_SHARE of the toxic rows, their
     number follows a text's length, not the table's. The bias is that of the greatest likelihood for the
     sample's texts, each weighed without its own row, at the share of toxic rows among the
-    labels. The letters' counts cover all documents.
+    labels, lowered by CAUTION standard errors. The letters' counts cover all documents.
 
     Null and empty texts have no features; labels that are null or neither 0 nor 1, and null ids, are not learned
     from; of several labels of an id the highest counts. Without toxic rows nothing weighs.
@@ -330,7 +340,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text:
     model = ToxicityModel(letters, counts, (bad, good), NO_BIAS)
     sums = rows.mapInArrow(_sums(docs.sparkSession.sparkContext.broadcast(model)), "s double, l int").toPandas()  # two numbers a sampled text
     (toxic, every) = own.agg(F.count_if(F.col("l") == 1), F.count("*")).first()
-    model.bias = fitted_bias(sums["s"].to_numpy(float), sums["l"].to_numpy() == 1, toxic / max(1, every))
+    model.bias = cautious_bias(sums["s"].to_numpy(float), sums["l"].to_numpy() == 1, toxic / max(1, every))
     return model
 
 

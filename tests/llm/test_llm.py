@@ -263,7 +263,10 @@ def test_toxicity_weights_and_bias():
     assert all(like(low) >= like(x) - 1e-9 for x in np.arange(-9, 3, 0.1))
     # Where most texts without a weight are toxic the bias is above any constant's.
     assert toxicity.fitted_bias(np.zeros(100), np.arange(100) < 80, 0.8) == pytest.approx(math.log(4), abs=1e-3)
-    assert toxicity.fitted_bias(np.zeros(3), np.zeros(3, bool), 0.0) == toxicity.NO_BIAS
+    assert toxicity.fitted_bias(np.zeros(3), np.zeros(3, bool), 0.0) == toxicity.cautious_bias(np.zeros(3), np.zeros(3, bool), 0.0) == toxicity.NO_BIAS
+    # Ten times the rows, a smaller step down; of texts without weights it is that of a share's log odds.
+    steps = [toxicity.fitted_bias(np.zeros(n), np.arange(n) < n // 10, 0.1) - toxicity.cautious_bias(np.zeros(n), np.arange(n) < n // 10, 0.1) for n in (100, 1000)]
+    assert steps[0] == pytest.approx(toxicity.CAUTION / math.sqrt(100 * 0.09), rel=1e-3) and steps[1] == pytest.approx(steps[0] / math.sqrt(10), rel=1e-3)
 
 
 def test_blanks_in_words_are_left_out_and_borders_kept(spark, docs):
