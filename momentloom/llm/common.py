@@ -94,6 +94,23 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: What drops the caches that a worker keeps from task to task, see free_caches.
+_droppers: list[Callable[[], object]] = []
+
+
+def kept_in_worker(drop: Callable[[], object]) -> None:
+    """Names the function that drops a cache of this worker process."""
+    if drop not in _droppers:
+        _droppers.append(drop)
+
+
+def free_caches() -> None:
+    """Drops what other operators have kept in this worker: a stage that needs no such cache begins with it, as workers outlive stages."""
+    for drop in _droppers:
+        drop()
+    release_memory()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about limit bytes of column (one row at least)."""
     for batch in batches:

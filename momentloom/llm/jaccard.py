@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, as_bytes, materialise, slices
+from .common import ASCII_SPACE, as_bytes, free_caches, materialise, slices
 from .components import components
 
 BITS = 1024
@@ -190,6 +190,7 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 def _profiles(width: int, bits: Callable[[np.ndarray], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for b in slices(batches, "t", SLICE):
             sets = shingle_sets(as_bytes(b.column(1)), width)
             keys = [_set_key(s) for s in sets]

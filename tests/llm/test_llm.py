@@ -675,3 +675,13 @@ def test_groups_of_blocks_are_summed_in_one_pass():
         out = ctw._summed_group((pa.scalar(3),), t)
         took[blocks] = time.process_time() - began, sum(len(x) for x in out["places"][0].as_py())
     assert took[240][0] < 9 * took[60][0] and took[240][1] < 6 * took[60][1]
+
+
+def test_caches_of_workers_are_freed():
+    from momentloom.llm import common
+
+    paths = (public_tokenizers.path("piece_bpe_32k.model"),)
+    first = quality.fertility(paths)
+    assert quality.fertility(paths) is first
+    common.free_caches()
+    assert quality.fertility(paths) is not first and quality.fertility(paths).measures({"word": 2}, 8) == first.measures({"word": 2}, 8)
