@@ -190,24 +190,29 @@ class Restorer:
         return found
 
     def spaced(self, raw: list[str]) -> Iterator[str]:
-        """Stretches of short pieces of which neighbours may be one word, in parts of at most PIECE characters."""
-        stretch: list[str] = []
-        size, may = 0, False
-        sizes = [0, *map(len, raw), 0, 0]
-        for k, w in enumerate((*raw, "")):
-            # Longer pieces count beside one or two letters: the rest of a word.
-            short = 0 < len(w) <= SHORT or SHORT < len(w) <= 2 * SHORT and (0 < sizes[k] <= 2 or 0 < sizes[k + 2] <= 2)
-            if short and size + len(w) < PIECE:
-                may = may or bool(stretch) and self.joined(stretch[-1], w)
-                stretch.append(w)
-                size += len(w) + 1
-                continue
-            if may and (len(stretch) > 2 or any(len(x) > 1 for x in stretch)):
-                yield " ".join(stretch)
-            # A stretch that is too long goes on with the last half of its pieces, so that no word is cut.
-            stretch = [*stretch[len(stretch) // 2 :], w] if short else []
-            size = sum(len(x) + 1 for x in stretch)
-            may = any(map(self.joined, stretch, stretch[1:]))
+        """Stretches of short pieces around neighbours that may be one word, in parts of at most PIECE characters."""
+        # A longer piece counts beside one or two letters: the rest of a word.
+        short = lambda x, y: len(x) <= SHORT or len(x) <= 2 * SHORT and len(y) <= 2
+        pairs = {(x, y) for x, y in set(zip(raw, raw[1:], strict=False)) if short(x, y) and short(y, x) and self.joined(x, y)}
+        at = [k for k, p in enumerate(zip(raw, raw[1:], strict=False)) if p in pairs] if pairs else []
+        low = k = 0
+        while k < len(at):
+            a, z = at[k], at[k] + 2
+            size = len(raw[a]) + len(raw[a + 1])
+            while a > low and short(raw[a - 1], raw[a]) and size + len(raw[a - 1]) < PIECE // 2:
+                a -= 1
+                size += len(raw[a]) + 1
+            while z < len(raw) and (short(raw[z], raw[z - 1]) or (raw[z - 1], raw[z]) in pairs) and size + len(raw[z]) < PIECE:
+                size += len(raw[z]) + 1
+                z += 1
+            if z - a > 2 or len(raw[a]) + len(raw[a + 1]) > 2:
+                yield " ".join(raw[a:z])
+            # A stretch that goes on behind its end is taken up from its middle, so that no word is cut.
+            goes_on = z < len(raw) and (raw[z - 1], raw[z]) in pairs
+            low = max(low + 1, (a + z) // 2) if goes_on else z
+            while k < len(at) and at[k] < low - (not goes_on):
+                k += 1
+
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words; words that stand in pieces or as single letters are found by leaving blanks out."""
