@@ -85,11 +85,16 @@ NO_TITLE = "Untitled moment"
 
 
 def title_of(text: Column, words: int = 9) -> Column:
-    """The first sentence's words up to nine, with an ellipsis if there are more, without what are no letters or digits at its ends; its first letter is a capital, the others are small."""
+    """The first sentence's words up to nine, with an ellipsis if there are more, without what are no letters or digits at its ends; its first letter is a capital, the others are small.
+
+    The capital is one letter: that of ß is ẞ, and what has only capitals of several letters stays.
+    """
     bare = F.regexp_replace(hook_of(text, 1 << 20), r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
     w = words_of(bare)
     cut = F.when(F.size(w) > words, F.concat(F.array_join(F.slice(w, 1, words), " "), F.lit("…"))).otherwise(bare)
-    return F.when(cut == "", F.lit(NO_TITLE)).otherwise(F.concat(F.upper(F.substring(cut, 1, 1)), F.lower(F.substring(cut, 2, 1 << 20))))
+    first = F.substring(cut, 1, 1)
+    capital = F.when(first == "ß", F.lit("ẞ")).when(F.char_length(F.upper(first)) > 1, first).otherwise(F.upper(first))
+    return F.when(cut == "", F.lit(NO_TITLE)).otherwise(F.concat(capital, F.lower(F.substring(cut, 2, 1 << 20))))
 
 
 def rms(squares: Column, n: Column) -> Column:

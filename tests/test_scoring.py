@@ -68,3 +68,9 @@ def test_number_ids_are_cut(spark):
     text = '[{"id": 3.7, "score": 5}, {"id": "2", "score": 6}, {"id": -0.5, "score": 9}, {"id": null, "score": 1}, {"id": 1e300, "score": 1}]'
     got = scoring.parse_replies(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t", 0, 9).collect()
     assert sorted((r.id, r.score) for r in got) == [(0, 9.0), (2, 6.0), (3, 5.0)]
+
+
+def test_a_titles_capital_is_one_letter(spark):
+    texts = ["| ßab | cd und.", "ﬁne Words.", "éTÉ là.", "?!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", scoring.title_of(F.col("text")).alias("title")).collect()
+    assert [r.title for r in sorted(rows)] == ["ẞab | cd und", "ﬁne words", "Été là", "Untitled moment"]
