@@ -6,10 +6,13 @@ that repeat a document repeat its clips' words.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import bound, unpacked, word_array
+from .segments import WORD_LENGTH, bound, rows_of_texts, timed, unpacked
 
 #: Words and characters of a line, the pause that ends one, how far words may stick out of a clip, the shortest slot (ms).
 LINE_WORDS, LINE_CHARS, LINE_PAUSE, MARGIN, SHORTEST = 4, 18, 600, 200, 20
@@ -30,18 +33,33 @@ def with_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
     return docs.repartition(n, "doc_id").join(own, "doc_id")
 
 
-def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
-    """doc_id, clip, i, w, s_ms, e_ms: words inside each clip (with a margin), in capitals, numbered, times relative to it and clamped. Worked out in a document's row."""
+def rows_of_clips(docs: DataFrame, clips: DataFrame, fields: str, make: Callable[..., Iterable]) -> DataFrame:
+    """doc_id, clip and fields: make(words, starts, t0, t1) gives the fields' columns for each clip of a document, from its words and when they start. Worked out in a document's row."""
+
+    def rows(text: str | None, own: list[dict]) -> Iterable:
+        words, _, at = timed(text)
+        made = [[*make(words, at, c["t0"], c["t1"])] for c in own]
+        numbers = np.repeat(np.array([c["clip"] for c in own], np.int64), [len(x[0]) for x in made])
+        return numbers, *([y for x in made for y in x[k]] if isinstance(made[0][k], list) else np.concatenate([x[k] for x in made]) for k in range(len(made[0])))
+
+    return rows_of_texts(with_clips(docs, clips), ["doc_id"], f"clip long, {fields}", rows, others=("clips",))
 
-    def words(own: Column) -> Column:
-        def of_clip(c: Column) -> Column:
-            clamp = lambda at: F.least(F.greatest(at - c["t0"], F.lit(0)), c["t1"] - c["t0"]).cast("long")
-            inside = F.filter(own, lambda x: (x["s_ms"] >= c["t0"] - MARGIN) & (x["e_ms"] <= c["t1"] + MARGIN))
-            return F.transform(inside, lambda x, i: F.struct(c["clip"].alias("clip"), i.cast("long").alias("i"), F.upper(x["w"]).alias("w"), clamp(x["s_ms"]).alias("s_ms"), clamp(x["e_ms"]).alias("e_ms")))
 
-        return F.flatten(F.transform("clips", of_clip))
+def touching(at: np.ndarray, first: int, last: int) -> tuple[int, int]:
+    """Places (from, up to) of the words that start or end between first and last."""
+    return int(np.searchsorted(at, first - WORD_LENGTH, "left")), int(np.searchsorted(at, last, "right"))
+
+
+def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
+    """doc_id, clip, i, w, s_ms, e_ms: words inside each clip (with a margin), in capitals, numbered, times relative to it and clamped."""
+
+    def words(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
+        a = int(np.searchsorted(at, t0 - MARGIN, "left"))
+        z = max(a, int(np.searchsorted(at, t1 + MARGIN - WORD_LENGTH, "right")))
+        clamp = lambda x: np.minimum(np.maximum(x - t0, 0), t1 - t0)
+        return np.arange(z - a), own[a:z], clamp(at[a:z]), clamp(at[a:z] + WORD_LENGTH)
 
-    return unpacked(with_clips(docs, clips), ["doc_id"], bound(word_array(F.col("text")), words), "clip")
+    return rows_of_clips(docs, clips, "i long, w string, s_ms long, e_ms long", words).withColumn("w", F.upper("w"))
 
 
 def caption_lines(words: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import logging
 import operator
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .segments import bound, sentences, unpacked, words_of
+from .segments import SENTENCE_END, WHITE, WORD, bound, sentences, unpacked, words_of
 
 
 @dataclass(frozen=True)
@@ -36,28 +41,74 @@ def _capped(x: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(1.0), x.cast("double")))
 
 
-def _occurrences(text: Column, mark: str) -> Column:
-    """How often mark stands in text, side by side, letter for letter; an empty mark nowhere."""
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(mark), F.lit("")))) / max(1, len(mark))).cast("int")
+#: What is counted of a text.
+COUNTS = ("n", "emotion", "opinion", "story", "practical", "questions", "short")
+
+
+#: Where a sentence of a text ends with its white space; counts of sentences are remembered up to a number of them.
+SENTENCE, REMEMBERED = re.compile(r"[.!?][ \t-\r]+"), 50_000
+
+
+def counter(lexicon: Lexicon) -> Callable[[str], list[int]]:
+    """Gives COUNTS of texts in small letters: tokens, those in word lists, marks (side by side, letter for letter; an empty one nowhere), question marks, and sentences of 4 to 12 words.
+
+    Windows share sentences, so a sentence's counts are remembered. Only marks with white space can reach over its end; these are looked for in the whole text.
+    """
+    emotion, opinion = frozenset(lexicon.emotion), frozenset(lexicon.opinion)
+    story, practical = ([m for m in names if m and not WHITE.search(m)] for names in (lexicon.story, lexicon.practical))
+    wide = [(at, m) for at, names in ((3, lexicon.story), (4, lexicon.practical)) for m in names if WHITE.search(m)]
+    known: dict[str, tuple[int, ...]] = {}
+
+    def of_sentence(s: str) -> tuple[int, ...]:
+        tokens = WORD.findall(s)
+        marks = (sum(map(s.count, names)) for names in (story, practical))
+        return len(tokens), sum(t in emotion for t in tokens), sum(t in opinion for t in tokens), *marks, s.count("?"), 4 <= len(tokens) <= 12
+
+    def counted(low: str) -> list[int]:
+        ends = [m.end() for m in SENTENCE.finditer(low)]
+        found = []
+        for a, z in zip([0, *ends], [*ends, len(low)], strict=True):
+            s = low[a:z]
+            own = known.get(s)
+            if own is None:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                own = known[s] = of_sentence(s)
+            found.append(own)
+        out = list(map(sum, zip(*found, strict=True)))
+        for at, m in wide:
+            out[at] += low.count(m)
+        return out
+
+    return counted
+
+
+def text_counts(text: Column, lexicon: Lexicon) -> Column:
+    """COUNTS of texts, put in small letters, as a struct; null for a null text."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: int" for c in COUNTS) + ">")
+    def counted(texts: pa.Array) -> pa.Array:
+        rows = list(map(counter(lexicon), ((x or "").lower() for x in texts.to_pylist())))
+        fields = [pa.array([r[k] for r in rows], pa.int32()) for k in range(len(COUNTS))]
+        return pa.StructArray.from_arrays(fields, list(COUNTS), mask=texts.is_null())
+
+    return counted(text)
 
 
 def lexical_features(windows: DataFrame, text: str = "text", lexicon: Lexicon = Lexicon()) -> DataFrame:  # noqa: B008
     """Adds hook, emotion, opinion, story, practical, questions and quotable, from 0 to 1. Null texts have null features, empty ones 0."""
-    low = F.lower(text)
-    parts = sentences(F.col(text))
-    opening = F.lower(F.array_join(F.slice(parts, 1, 2), " "))
-    tokens = words_of(low)
-    n = F.greatest(F.size(tokens), F.lit(1)).cast("double")
-    exact = lambda names: F.size(F.filter(tokens, lambda t: t.isin(list(names)))).cast("double")
-    inside = lambda names: sum((_occurrences(low, m) for m in names), F.lit(0)).cast("double")
-    hooks = sum((opening.rlike(p).cast("int") for p in lexicon.hooks), F.lit(0)).cast("double")
-    short = F.size(F.filter(parts, lambda s: F.size(words_of(s)).between(4, 12))).cast("double")
-    return windows.withColumns(
+    # Blank sentences are at a text's end only, so that its opening is in its first two pieces.
+    pieces = F.filter(F.slice(F.split(F.col(text), SENTENCE_END, 3), 1, 2), lambda s: s.rlike(r"\S"))
+    found = windows.withColumns({"_counts": text_counts(F.col(text), lexicon), "_opening": F.lower(F.array_join(pieces, " "))})
+    of = lambda k: F.col(f"_counts.{k}").cast("double")
+    n = F.greatest(of("n"), F.lit(1.0))
+    hooks = sum((F.col("_opening").rlike(p).cast("int") for p in lexicon.hooks), F.lit(0)).cast("double")
+    return found.withColumns(
         {
-            "hook": _capped(hooks / 2), "emotion": _capped(exact(lexicon.emotion) / (n / 60)), "opinion": _capped(exact(lexicon.opinion) / (n / 80)), "story": _capped(inside(lexicon.story) / 3),
-            "practical": _capped(inside(lexicon.practical) / 3), "questions": _capped(F.regexp_count(low, F.lit(r"\?")) / 3), "quotable": _capped(short / 4),
+            "hook": _capped(hooks / 2), "emotion": _capped(of("emotion") / (n / 60)), "opinion": _capped(of("opinion") / (n / 80)), "story": _capped(of("story") / 3),
+            "practical": _capped(of("practical") / 3), "questions": _capped(of("questions") / 3), "quotable": _capped(of("short") / 4),
         }
-    )
+    ).drop("_counts", "_opening")
 
 
 def weighted_score(features: DataFrame, energy: Column) -> DataFrame:
@@ -152,6 +203,15 @@ def window_energies(df: DataFrame, windows: str = "windows", bins: str = "bins",
     return df.withColumn("energies", bound(bound(F.col(bins), laid_out), energies))
 
 
+def energies_of(bins: np.ndarray, rms: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The same for one document as numpy arrays: its bins in order, and where its windows start and end, in bins."""
+    loud = rms[rms > 0.001]
+    base = (float(np.quantile(loud, 0.5)) if len(loud) else 0.01) + 1e-9
+    inside = zip(np.searchsorted(bins, start).tolist(), np.searchsorted(bins, end).tolist(), strict=True)
+    raw = [min(1.0, max(0.0, (float(np.quantile(rms[a:z], 0.95)) / base - 1) / 3)) if z > a else NEUTRAL_ENERGY for a, z in inside]
+    return np.floor(np.array(raw, float) * 1e6 + 0.5) / 1e6
+
+
 def window_energy(windows: DataFrame, bins: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, j0 and energy for windows and bins (bin, rms) that come as rows: both are gathered by key, one shuffle each, and measured in a row (see window_energies)."""
     w = windows.groupBy(key).agg(F.collect_list(F.struct("j0", "start_ms", "end_ms")).alias("windows"))
@@ -257,34 +317,57 @@ def batch_scores(scorer: Scorer, windows: DataFrame, source: str = "doc_id", ide
 
     The windows of a source go to it in batches of size, in order (by ident, if none is given). A
     failed batch is one row with nulls and what went wrong in failed. Rows for windows outside the batch are
-    dropped, of several for one the last counts; texts are cut to 80, 140 and 200 characters. A batch is a group of
-    its own, so a task holds one batch at a time.
+    dropped, of several for one the last counts; texts are cut to 80, 140 and 200 characters. A source's rows follow
+    each other in a task, so that batches are cut from them as they come, without a group for each.
     """
     kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
     schema = f"{source} {kinds[source]}, batch long, {ident} {kinds[ident]}, score double, title string, hook string, reason string, failed string"
     names = [x.split()[0] for x in schema.split(", ")]
+    arrow = [to_arrow_type(windows.schema[source].dataType), pa.int64(), to_arrow_type(windows.schema[ident].dataType), pa.float64(), *[pa.string()] * 4]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame.sort_values("_at").drop(columns="_at").reset_index(drop=True)
+    def said(own: pd.DataFrame, of_source: object, batch: int) -> dict[str, list]:
+        n = len(own)
         try:
             found = scorer.score(own)
-            found = found[found[ident].isin(own[ident])].drop_duplicates(ident, keep="last")
-            if not len(found):
+            inside = set(own[ident].tolist())
+            last = {x: k for k, x in enumerate(found[ident].tolist()) if x in inside}
+            if not last:
                 raise ValueError("no valid id")
-            out = pd.DataFrame({ident: found[ident], "score": pd.to_numeric(found["score"], errors="coerce").fillna(0.0).clip(0, 100)})
+            at = sorted(last.values())
+            of = lambda c: found[c].iloc[at]
+            out = {ident: of(ident).tolist(), "score": pd.to_numeric(of("score"), errors="coerce").fillna(0.0).clip(0, 100).tolist()}
             for name, most in (("title", 80), ("hook", 140), ("reason", 200)):
-                out[name] = found[name].fillna("").astype(str).str[:most] if name in found.columns else ""
-            out["failed"] = None
+                out[name] = of(name).fillna("").astype(str).str[:most].tolist() if name in found.columns else [""] * len(at)
+            n, out["failed"] = len(at), [None] * len(at)
         except Exception as error:  # carried as data: what becomes of the source is decided once all its batches are in
-            out = pd.DataFrame({ident: [None], "score": [None], "title": [None], "hook": [None], "reason": [None], "failed": [f"{type(error).__name__}: {error}"]})
-        out[source], out["batch"] = own[source].iloc[0], own["batch"].iloc[0]
-        return out[names]
+            n, out = 1, {ident: [None], "score": [None], "title": [None], "hook": [None], "reason": [None], "failed": [f"{type(error).__name__}: {error}"]}
+        return {**out, source: [of_source] * n, "batch": [batch] * n}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            rows = pa.Table.from_batches([x for x in (rest, b) if x is not None]).combine_chunks() if rest is not None or b is not None else None
+            if rows is None or not rows.num_rows:
+                continue
+            # A batch begins where the count within it starts again; the last one may go on in the next rows.
+            starts = np.flatnonzero(rows.column("_at").to_numpy() % size == 1).tolist() if size > 1 else list(range(rows.num_rows))
+            whole = starts if b is None else starts[:-1]
+            ends = [*starts[1:], rows.num_rows]
+            shown = rows.drop_columns(["_at"])
+            # Whole numbers with a null among them become floats in pandas, which must not reach other batches.
+            frame = None if any(c.null_count for c in shown.columns) else shown.to_pandas()
+            part = lambda a, z: shown.slice(a, z - a).to_pandas() if frame is None else frame.iloc[a:z].reset_index(drop=True)  # noqa: B023, E731
+            made = [said(part(a, z), rows[source][a].as_py(), rows["batch"][a].as_py()) for a, z in zip(whole, ends, strict=False)]
+            if made:
+                columns = {n: list(itertools.chain.from_iterable(x[n] for x in made)) for n in names}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[n], k, from_pandas=True) for n, k in zip(names, arrow, strict=True)], names)
+            rest = None if b is None else rows.slice(starts[-1]).to_batches()[0]
 
     by = order or [F.col(ident)]
     columns = [c for c in windows.columns if c not in ("batch", "_at")]
     at = F.row_number().over(Window.partitionBy(source).orderBy(*by))
     batched = batches_of(windows.filter(F.col(ident).isNotNull()), [source], by, size).withColumn("_at", at).select(*columns, "batch", "_at")
-    return batched.groupBy(source, "batch").applyInPandas(run, schema)
+    return batched.repartition(source).sortWithinPartitions(source, "_at").mapInArrow(run, schema)
 
 
 def whole_sources(scores: DataFrame, source: str = "doc_id") -> DataFrame:

@@ -7,10 +7,18 @@ doc_id is a document like others. Other columns of documents are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import itertools
+import operator
+import re
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Milliseconds: a word's step and length, what a sentence adds, and what every other sentence adds.
 WORD_STEP, WORD_LENGTH, SENTENCE_GAP, PAIR_GAP = 350, 250, 100, 500
@@ -18,22 +26,21 @@ WORD_STEP, WORD_LENGTH, SENTENCE_GAP, PAIR_GAP = 350, 250, 100, 500
 SEED_STEP, WINDOW_LEAST, WINDOW_MOST, PAUSE = 25_000, 75_000, 100_000, 300
 #: Share of the union, in tenths, that two kept windows may have in common.
 MOST_OVERLAP_TENTHS = 3
+SENTENCE_END = r"(?<=[.!?])\s+"
 TERMINAL = r"[.!?…][\"'”’)]?$"
+#: The same at a word's end; words are what white space of Java's patterns leaves, and the next sentence begins behind one that ends so.
+TERMINAL_WORD, WORD, WHITE, STOPS = re.compile(r"[.!?…][\"'”’)]?\Z"), re.compile(r"[^ \t-\r]+"), re.compile(r"[ \t-\r]"), frozenset(".!?")
 
 
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space; blank ones are dropped."""
-    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+    return F.filter(F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
 
 
 def words_of(sentence: Column) -> Column:
     return F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
 
 
-def start_ms(k: Column, j: Column) -> Column:
-    return k * WORD_STEP + j * SENTENCE_GAP + F.floor(j / 2) * PAIR_GAP
-
-
 def unpacked(df: DataFrame, key: list[str], array: Column, field: str) -> DataFrame:
     """key and the fields of an array's structs, a row each; field is null in none of them.
 
@@ -47,32 +54,83 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-#: Entries of an array that are summed up in one go, see running_sums.
-CHUNK = 256
+#: Bytes of text that a task works on at once.
+SLICE = 2 << 20
+SPARK_KINDS = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
+KINDS = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def cut_by_size(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about limit bytes, by the sizes of its rows; a row at least."""
+    part = np.cumsum(sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, z in itertools.pairwise(edges):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
+def joined(parts: list[Any], kind: pa.DataType) -> pa.Array:
+    """Lists or numpy arrays, one after the other, as an Arrow array."""
+    if parts and isinstance(parts[0], np.ndarray):
+        return pa.array(np.concatenate(parts)).cast(kind)
+    return pa.array(list(itertools.chain.from_iterable(parts)), kind)
 
 
-def running_sums(counts: Column) -> Column:
-    """For each entry of an array the sum of those before it. Two levels, as a fold copies what it has gathered at each step."""
-    start = F.expr("named_struct('t', 0L, 'out', cast(array() as array<bigint>))")
-    step = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["out"], F.array(s["t"])).alias("out"))
+def rows_of_texts(df: DataFrame, keep: list[str], fields: str, make: Callable[..., Iterable], text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that follow from a text: the columns keep of its row, and fields ("name kind, ...").
 
-    def summed(c: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c) / CHUNK).cast("int") - 1, F.lit(0))), lambda k: F.aggregate(F.slice(c, k * CHUNK + 1, CHUNK), start, step))
-        return bound(chunks, lambda own: F.flatten(F.zip_with(own, F.aggregate(F.transform(own, lambda x: x["t"]), start, step)["out"], lambda x, t: F.transform(x["out"], lambda y: y + t))))
+    make(text, *others) gives the fields' columns, lists or numpy arrays of one length. Nothing is
+    shuffled, and a task holds the rows of a few MB of text at a time.
+    """
+    names, kinds = zip(*(x.split() for x in fields.split(", ")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in cut_by_size(batch, np.asarray(pc.fill_null(pc.binary_length(batch.column(len(keep))), 0))):
+                made = [tuple(make(*x)) for x in zip(*(c.to_pylist() for c in b.columns[len(keep) :]), strict=True)]
+                at = pa.array(np.repeat(np.arange(len(made)), [len(x[0]) for x in made]))
+                columns = [joined([x[k] for x in made], KINDS[kind]) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[: len(keep)]), *columns], [*keep, *names])
 
-    return bound(counts, summed)
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, SPARK_KINDS[k]) for n, k in zip(names, kinds, strict=True)])
+    return df.select(*keep, df[text].cast("string").alias("_text"), *others).mapInArrow(run, schema)
 
 
-def word_array(text: Column) -> Column:
-    """A text's words as structs k (word number), j (sentence number), w, s_ms, e_ms."""
-    pairs = F.flatten(F.transform(sentences(text), lambda s, j: F.transform(words_of(s), lambda w: F.struct(j.cast("long").alias("j"), w.alias("w")))))
-    at = lambda x, k: start_ms(k.cast("long"), x["j"])
-    return F.transform(pairs, lambda x, k: F.struct(k.cast("long").alias("k"), x["j"].alias("j"), x["w"].alias("w"), at(x, k).alias("s_ms"), (at(x, k) + WORD_LENGTH).alias("e_ms")))
+def timed(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A text's words, the number of each one's sentence, and when it starts (ms).
+
+    A sentence ends with a word that ends in a stop, so that every sentence has words.
+    """
+    words = WORD.findall(text or "")
+    stops = np.fromiter(map(STOPS.__contains__, map(operator.itemgetter(-1), words)), np.int64, len(words))
+    j = np.cumsum(stops) - stops
+    return words, j, np.arange(len(words)) * WORD_STEP + j * SENTENCE_GAP + j // 2 * PAIR_GAP
 
 
 def timed_words(docs: DataFrame) -> DataFrame:
     """doc_id, k (word number), j (sentence number), w, s_ms, e_ms. Without a shuffle: a row's words are numbered in the row. Null and empty texts have none; repeated rows stay apart."""
-    return unpacked(docs, ["doc_id"], word_array(F.col("text")), "k")
+
+    def words(text: str | None) -> Iterable:
+        own, j, start = timed(text)
+        return np.arange(len(own)), j, own, start, start + WORD_LENGTH
+
+    return rows_of_texts(docs, ["doc_id"], "k long, j long, w string, s_ms long, e_ms long", words)
+
+
+def sentence_columns(text: str | None) -> tuple[Any, ...]:
+    """Columns j, start_ms, end_ms, n_words, text, gap_ms and natural of a text's sentences."""
+    words, j, at = timed(text)
+    first = np.flatnonzero(np.diff(j, prepend=-1))
+    end = np.append(first[1:], len(words)) if len(first) else first
+    starts, ends = at[first], at[end - 1] + WORD_LENGTH
+    gap = np.append(starts[1:] - ends[:-1], 999_000)[: len(first)]
+    natural = np.fromiter((TERMINAL_WORD.search(words[z - 1]) is not None for z in end.tolist()), bool, len(end)) & (gap >= PAUSE)
+    texts = [" ".join(words[a:z]) for a, z in zip(first.tolist(), end.tolist(), strict=True)]
+    return np.arange(len(first)), starts, ends, end - first, texts, gap, natural
+
+
+#: What segs holds of a sentence.
+SEGMENT = "j long, start_ms long, end_ms long, n_words long, text string, gap_ms long, natural boolean"
 
 
 def segment_arrays(docs: DataFrame) -> DataFrame:
@@ -80,21 +138,20 @@ def segment_arrays(docs: DataFrame) -> DataFrame:
 
     All of it within a document's row, without a shuffle. Null and empty texts have an empty array.
     """
-    split = F.transform(sentences(F.coalesce(F.col("text"), F.lit(""))), lambda s, j: F.struct(j.cast("long").alias("j"), words_of(s).alias("ws")))
-
-    def timed(x: Column, k: Column) -> Column:
-        n = F.size(x["ws"]).cast("long")
-        return F.struct(x["j"].alias("j"), start_ms(k, x["j"]).alias("start_ms"), (start_ms(k + n - 1, x["j"]) + WORD_LENGTH).alias("end_ms"), n.alias("n_words"), F.array_join(x["ws"], " ").alias("text"))
+    fields = [x.split() for x in SEGMENT.split(", ")]
+    at = docs.columns.index("text")
 
-    def with_gaps_of(own: Column) -> Column:
-        def with_gap(x: Column, i: Column) -> Column:
-            gap = F.coalesce(F.get(own, i + 1)["start_ms"] - x["end_ms"], F.lit(999_000).cast("long"))
-            return F.struct(*(x[c].alias(c) for c in ("j", "start_ms", "end_ms", "n_words", "text")), gap.alias("gap_ms"), (x["text"].rlike(TERMINAL) & (gap >= PAUSE)).alias("natural"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in cut_by_size(batch, np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))):
+                made = [sentence_columns(x) for x in b.column(at).to_pylist()]
+                inner = pa.StructArray.from_arrays([joined([x[k] for x in made], KINDS[kind]) for k, (_, kind) in enumerate(fields)], [n for n, _ in fields])
+                edges = pa.array(np.cumsum([0, *(len(x[0]) for x in made)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(edges, inner)], [*b.schema.names, "segs"])
 
-        return F.transform(own, with_gap)
-
-    timed_all = bound(F.filter(split, lambda x: F.size(x["ws"]) > 0), lambda own: F.zip_with(own, running_sums(F.transform(own, lambda x: F.size(x["ws"]).cast("long"))), timed))
-    return docs.withColumn("segs", bound(timed_all, with_gaps_of))
+    own = docs.withColumn("text", F.col("text").cast("string"))
+    segment = T.StructType([T.StructField(n, SPARK_KINDS[k]) for n, k in fields])
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("segs", T.ArrayType(segment))]))
 
 
 def timed_segments(docs: DataFrame) -> DataFrame:
@@ -114,54 +171,76 @@ def gathered(segments: DataFrame) -> DataFrame:
     return with_gaps(segments).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "start_ms", "end_ms", "natural", "text"))).alias("segs"))
 
 
-def _seeds(segs: Column) -> Column:
+def seed_places(starts: list[int]) -> list[int]:
     """Positions of seeds: the first segment, then each that starts SEED_STEP or more after the last seed."""
-    start = F.struct(F.lit(-SEED_STEP).cast("long").alias("last"), F.expr("cast(array() as array<int>)").alias("at"), F.lit(0).alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        take = x["start_ms"] - s["last"] >= SEED_STEP
-        return F.struct(F.when(take, x["start_ms"]).otherwise(s["last"]).alias("last"), F.when(take, F.concat(s["at"], F.array(s["n"]))).otherwise(s["at"]).alias("at"), (s["n"] + 1).alias("n"))
-
-    return F.aggregate(F.transform(segs, lambda x: F.struct(x["start_ms"].alias("start_ms"))), start, step)["at"]
+    out, last = [], -SEED_STEP
+    for k, start in enumerate(starts):
+        if start - last >= SEED_STEP:
+            out.append(k)
+            last = start
+    return out
+
+
+def of_arrays(arrays: DataFrame, keep: list[str], fields: str, make: Callable[[dict[str, Any]], Iterable], names: tuple[str, ...]) -> DataFrame:
+    """Rows (keep and fields) that follow from the segs of each row: make gets the named parts of its segments, numbers as numpy arrays and texts as lists."""
+    out, kinds = zip(*(x.split() for x in fields.split(", ")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(len(keep))
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.values.field("text")), 0))) if "text" in names else np.arange(1, len(whole.values) + 1) * 8
+            sizes = np.diff(np.append(0, ends)[whole.offsets.to_numpy()])
+            for b in cut_by_size(batch, sizes):
+                segs = b.column(len(keep))
+                edges = segs.offsets.to_numpy()
+                values = segs.values.slice(edges[0], edges[-1] - edges[0])
+                edges = (edges - edges[0]).tolist()
+                parts = {n: values.field(n).to_pylist() if n == "text" else pc.fill_null(values.field(n), False if n == "natural" else 0).to_numpy(zero_copy_only=False) for n in names}
+                made = [tuple(make({n: x[a:z] for n, x in parts.items()})) for a, z in itertools.pairwise(edges)]
+                at = pa.array(np.repeat(np.arange(len(made)), [len(x[0]) for x in made]))
+                columns = [joined([x[k] for x in made], KINDS[kind]) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[: len(keep)]), *columns], [*keep, *out])
+
+    own = arrays.select(*keep, F.coalesce(F.transform("segs", lambda x: F.struct(*(x[n].alias(n) for n in names))), F.array()).alias("segs"))
+    schema = T.StructType([arrays.schema[c] for c in keep] + [T.StructField(n, SPARK_KINDS[k]) for n, k in zip(out, kinds, strict=True)])
+    return own.mapInArrow(run, schema)
 
 
 def seed_starts(arrays: DataFrame) -> DataFrame:
-    own = lambda segs: F.transform(_seeds(segs), lambda at: F.struct(F.get(segs, at)["j"].alias("j"), F.get(segs, at)["start_ms"].alias("start_ms")))
-    return unpacked(arrays, ["doc_id"], bound(F.col("segs"), own), "j")
+    def seeds(x: dict[str, Any]) -> Iterable:
+        at = np.array(seed_places(x["start_ms"].tolist()), np.int64)
+        return x["j"][at], x["start_ms"][at]
 
+    return of_arrays(arrays, ["doc_id"], "j long, start_ms long", seeds, ("j", "start_ms"))
 
-def window_arrays(arrays: DataFrame) -> DataFrame:
-    """Adds windows: from each seed to the last natural end within bounds, else the last end within bounds, as structs j0, j1, start_ms, end_ms, natural, text.
 
-    A window holds at most WINDOW_MOST / WORD_STEP segments with a word each, so a seed looks at a
-    bounded slice of its document's array, in the document's row. Segment ends do not
-    decrease within a document.
+def window_places(j: np.ndarray, start: np.ndarray, end: np.ndarray, natural: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, last, end) of windows in a document's segments: from each seed to the last natural end within bounds, else the last end within bounds; its texts are those from first up to end.
+
+    A window holds at most WINDOW_MOST / WORD_STEP segments with a word each. Segment ends do not decrease within a document.
     """
     most = WINDOW_MOST // WORD_STEP + 2
+    at = np.array(seed_places(start.tolist()), np.int64)
+    low = np.maximum(np.searchsorted(end, start[at] + WINDOW_LEAST, "left"), at)
+    high = np.minimum(np.searchsorted(end, start[at] + WINDOW_MOST, "right"), at + most)
+    stops = np.append(-1, np.flatnonzero(natural))
+    stop = stops[np.searchsorted(stops, high, "left") - 1]
+    last = np.where(stop >= low, stop, high - 1)
+    upto = np.minimum(np.searchsorted(j, j[np.maximum(last, 0)], "right"), at + most) if len(at) else at
+    there = high > low
+    return list(zip(at[there].tolist(), last[there].tolist(), upto[there].tolist(), strict=True))
 
-    def windows(segs: Column) -> Column:
-        def ends(at: Column) -> Column:
-            near = F.slice(segs, at + 1, most)
-            t0 = F.get(segs, at)["start_ms"]
-            return F.struct(near.alias("near"), F.filter(near, lambda x: (x["end_ms"] - t0).between(WINDOW_LEAST, WINDOW_MOST)).alias("fit"))
-
-        def chosen(x: Column) -> Column:
-            last = bound(F.filter(x["fit"], lambda g: g["natural"]), lambda nat: F.coalesce(F.get(nat, F.size(nat) - 1), F.get(x["fit"], F.size(x["fit"]) - 1)))
-            return F.struct(x["near"].alias("near"), last.alias("end"))
-
-        def window(x: Column) -> Column:
-            own = F.filter(x["near"], lambda g: g["j"] <= x["end"]["j"])
-            first = F.get(x["near"], F.lit(0))
-            return F.struct(first["j"].alias("j0"), x["end"]["j"].alias("j1"), first["start_ms"].alias("start_ms"), x["end"]["end_ms"].alias("end_ms"), x["end"]["natural"].alias("natural"), F.array_join(F.transform(own, lambda g: g["text"]), " ").alias("text"))
 
-        return F.transform(F.filter(F.transform(F.transform(_seeds(segs), ends), chosen), lambda x: x["end"].isNotNull()), window)
-
-    return arrays.withColumn("windows", bound(F.col("segs"), windows))
+def candidate_windows(arrays: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in keep, j0, j1, start_ms, end_ms, natural, text: a row for each window (see window_places) of documents with segs (segment_arrays or gathered)."""
 
+    def windows(x: dict[str, Any]) -> Iterable:
+        found = window_places(x["j"], x["start_ms"], x["end_ms"], x["natural"])
+        first, last = (np.array([w[k] for w in found], np.int64) for k in range(2))
+        texts = [" ".join(t for t in x["text"][a:z] if t is not None) for a, _, z in found]
+        return x["j"][first], x["j"][last], x["start_ms"][first], x["end_ms"][last], x["natural"][last], texts
 
-def candidate_windows(arrays: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named in keep, j0, j1, start_ms, end_ms, natural, text: a row for each window of documents with segs (segment_arrays or gathered)."""
-    return unpacked(window_arrays(arrays), ["doc_id", *keep], F.col("windows"), "j0")
+    return of_arrays(arrays, ["doc_id", *keep], "j0 long, j1 long, start_ms long, end_ms long, natural boolean, text string", windows, ("j", "start_ms", "end_ms", "natural", "text"))
 
 
 def with_target(arrays: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Outside scorers: batches, all or nothing, repeated rows; literal markers, ids of replies."""
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import functions as F
 
-from momentloom.operators import registry, scoring
+from momentloom.operators import registry, scoring, segments
 
 
 class Counting(scoring.Scorer):
@@ -74,3 +77,21 @@ def test_a_titles_capital_is_one_letter(spark):
     texts = ["| ßab | cd und.", "ﬁne Words.", "éTÉ là.", "?!"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", scoring.title_of(F.col("text")).alias("title")).collect()
     assert [r.title for r in sorted(rows)] == ["ẞab | cd und", "ﬁne words", "Été là", "Untitled moment"]
+
+
+def test_counts_of_sentences_add_up():
+    lexicon = scoring.Lexicon(emotion=("ab",), opinion=("c.",), story=("aa", "b. a"), practical=("", "?"))
+    count = scoring.counter(lexicon)
+    for text in ("", " ", "ab b. aab aaaa c. b? ?\x0b x", "aaa.  a a a a. ab b. ab b. ab", "b. b. ab"):
+        tokens = [w for w in re.split(r"[ \t-\r]+", text) if w]
+        parts = [p for p in re.split(r"(?<=[.!?])[ \t-\r]+", text) if p.strip(" \t\x0b")]
+        short = sum(4 <= len([w for w in re.split(r"[ \t-\r]+", p) if w]) <= 12 for p in parts)
+        assert count(text) == [len(tokens), tokens.count("ab"), tokens.count("c."), text.count("aa") + text.count("b. a"), text.count("?"), text.count("?"), short]
+
+
+def test_windows_and_batches_take_no_group_or_array_function_each(spark):
+    plan = lambda df: df._jdf.queryExecution().toString()
+    df = spark.createDataFrame([(d, j, "One two. Three?") for d in (1, 2, None) for j in range(23)], "doc_id long, j0 long, text string")
+    said = scoring.batch_scores(Counting(), df)
+    assert "FlatMapGroups" not in plan(said) and sorted(Counter((r.doc_id or 0, r.batch) for r in said.collect()).values()) == [3] * 3 + [10] * 6
+    assert "aggregate(" not in plan(segments.candidate_windows(segments.segment_arrays(df))) and "transform(split" not in plan(scoring.lexical_features(df))
