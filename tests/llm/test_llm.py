@@ -208,6 +208,23 @@ def test_quality_verdicts_against_plain_counting(spark):
     assert quality.fit_bands(docs, labels.filter("false")) == {} and quality.fit_bands(docs.filter("false"), labels) == {}
 
 
+def test_bands_come_from_all_good_documents(spark):
+    import inspect
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    assert "most_rows" not in inspect.signature(quality.fit_bands).parameters
+    measured = quality.quality_rules(docs, keep=("lang",)).cache()
+    bands = quality.bands_of(measured, labels, hold_out=(2, 0))
+    good = {r.doc_id for r in labels.filter("quality = 1").collect() if zlib.crc32(str(r.doc_id).encode()) % 2}
+    own = [r for r in measured.collect() if r.doc_id in good and not r.base_failed and r.lang == "en"]
+    x, e = (np.array([f(r) for r in own]) for f in (lambda r: math.log2(r.byte_tokens), lambda r: r.byte_entropy))
+    assert np.allclose(np.polyfit(x, e, 2)[::-1], bands["en"][1].rise, atol=1e-5) and np.allclose(bands["en"][1].lengths, (x.min(), x.max()))
+    low, middle, high = np.quantile([r.byte_chars_per_token for r in own], [0.05, 0.5, 0.95])
+    assert np.allclose(bands["en"][1].chars, (middle - max(0.05, 3.5 * (middle - low)), middle + max(0.05, 3.5 * (high - middle))), atol=0.01)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, quality.judged(measured, bands).drop("lang").collect())) == sorted(map(key, quality.quality_rules(docs, bands=bands).collect()))
+
+
 def test_quality_keeps_good_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0")
     rows = queries.op6_quality_rules(spark, SF).join(labels, "doc_id").filter("not base_failed").collect()
