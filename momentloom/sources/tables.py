@@ -11,9 +11,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files have fewer splits than that (a small table is one row group); larger tables stay as they are."""
+    """df dealt over all cores where its files leave some idle; tables whose rows lie evenly in their splits stay as they are.
+
+    A small table has fewer splits than there are cores. In a larger one all rows of a row group go to one split, and the
+    other splits of its bytes are empty: a table of one row group would be the work of one task, whatever its size. How
+    many rows a split has is read from the files' footers.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    rows = [r["count"] for r in df.select(F.spark_partition_id().alias("split")).groupBy("split").count().collect()]
+    if max(rows, default=0) * cores <= 2 * sum(rows):
+        return df
+    return df.repartition(cores * min(4, 1 + sum(rows) // (cores * ROWS_EACH)))
+
+
+#: Rows of documents that are worth a task of their own.
+ROWS_EACH = 5_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
