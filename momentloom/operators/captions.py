@@ -1,11 +1,12 @@
 """Caption events: words of a clip, lines, slots on the screen that don't overlap, and subtitle text.
 
 Documents without clips or without text, and clips without words, have no rows; null ids join nothing. Rows
-that repeat a document repeat its clips' words.
+that repeat a document repeat its clips' words, lines and events.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -18,6 +19,8 @@ from .segments import WORD_LENGTH, bound, rows_of_texts, timed, unpacked
 LINE_WORDS, LINE_CHARS, LINE_PAUSE, MARGIN, SHORTEST = 4, 18, 600, 200, 20
 
 
+#: Marks that end a line of two words or more, and what a subtitle renderer would act on (see subtitle_text).
+LINE_STOPS, REPLACED = frozenset(".!?,"), str.maketrans("{}\\", "()/")
 #: Clips are keyed so.
 KEY = ["doc_id", "clip"]
 
@@ -50,18 +53,103 @@ def touching(at: np.ndarray, first: int, last: int) -> tuple[int, int]:
     return int(np.searchsorted(at, first - WORD_LENGTH, "left")), int(np.searchsorted(at, last, "right"))
 
 
+def words_inside(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of a clip (with a margin) and when they start and end in it, clamped."""
+    a = int(np.searchsorted(at, t0 - MARGIN, "left"))
+    z = max(a, int(np.searchsorted(at, t1 + MARGIN - WORD_LENGTH, "right")))
+    clamp = lambda x: np.minimum(np.maximum(x - t0, 0), t1 - t0)
+    return own[a:z], clamp(at[a:z]), clamp(at[a:z] + WORD_LENGTH)
+
+
 def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
     """doc_id, clip, i, w, s_ms, e_ms: words inside each clip (with a margin), in capitals, numbered, times relative to it and clamped."""
 
     def words(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-        a = int(np.searchsorted(at, t0 - MARGIN, "left"))
-        z = max(a, int(np.searchsorted(at, t1 + MARGIN - WORD_LENGTH, "right")))
-        clamp = lambda x: np.minimum(np.maximum(x - t0, 0), t1 - t0)
-        return np.arange(z - a), own[a:z], clamp(at[a:z]), clamp(at[a:z] + WORD_LENGTH)
+        w, start, end = words_inside(own, at, t0, t1)
+        return np.arange(len(w)), w, start, end
 
     return rows_of_clips(docs, clips, "i long, w string, s_ms long, e_ms long", words).withColumn("w", F.upper("w"))
 
 
+def line_numbers(words: list[str], start: list[int], end: list[int]) -> list[int]:
+    """The line of each word of a clip (see caption_lines)."""
+    out, line, n, chars, before, stop = [], -1, 0, 0, 0, False
+    for w, s, e in zip(words, start, end, strict=True):
+        if not n or s - before > LINE_PAUSE or n >= LINE_WORDS or chars + 1 + len(w) > LINE_CHARS or (stop and n >= 2):
+            line, n, chars = line + 1, 1, len(w)
+        else:
+            n, chars = n + 1, chars + 1 + len(w)
+        before, stop = e, w.rstrip('"')[-1:] in LINE_STOPS
+        out.append(line)
+    return out
+
+
+def marked_lines(words: list[str], line: np.ndarray) -> list[str]:
+    """For each word the text of its line, with it marked."""
+    shown = [w.translate(REPLACED) for w in words]
+    plain, marked = [PLAIN + w for w in shown], [MARKED + w for w in shown]
+    edges = [0, *(np.flatnonzero(np.diff(line)) + 1).tolist(), len(words)]
+    return [" ".join([*plain[a:i], marked[i], *plain[i + 1 : z]]) for a, z in itertools.pairwise(edges) for i in range(a, z)]
+
+
+def slots(line: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of a clip have a slot, and where the slots of all would end (see caption_events)."""
+    after = np.append(start[1:], 0)
+    last = np.arange(len(start)) == len(start) - 1
+    own = np.where(~last & (np.append(line[1:], -1) == line), after, end)
+    own = np.where(last, own, np.minimum(own, after))
+    short = own - start < SHORTEST
+    return ~short | last | (after - start >= SHORTEST), np.where(short, start + SHORTEST, own)
+
+
+def lined_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
+    """caption_lines of clip_words, worked out in a document's row: nothing is shuffled but texts and clips, and rows that repeat a document repeat its clips' lines."""
+
+    def rows(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
+        w, start, end = words_inside(own, at, t0, t1)
+        w = list(map(str.upper, w))
+        line = np.array(line_numbers(w, start.tolist(), end.tolist()), np.int64)
+        return np.arange(len(w)), w, start, end, line, marked_lines(w, line)
+
+    return rows_of_clips(docs, clips, "i long, w string, s_ms long, e_ms long, line long, text string", rows)
+
+
+def _events(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[np.ndarray, ...]:
+    """The words with slots of a clip: their line, number, the word, start and end of the slot, and the text."""
+    w, start, end = words_inside(own, at, t0, t1)
+    w = list(map(str.upper, w))
+    line = np.array(line_numbers(w, start.tolist(), end.tolist()), np.int64)
+    there, until = slots(line, start, end)
+    kept = np.flatnonzero(there)
+    text = marked_lines(w, line)
+    return line[kept], kept, [w[k] for k in kept.tolist()], start[kept], until[kept], [text[k] for k in kept.tolist()]
+
+
+def events_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
+    """caption_events of caption_lines of clip_words, in a document's row (see lined_words)."""
+    return rows_of_clips(docs, clips, "line long, i long, w string, start_ms long, end_ms long, text string", _events)
+
+
+def _dialogue(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[np.ndarray, list[str]]:
+    _, i, _, start, end, text = _events(own, at, t0, t1)
+    return i, [dialogue(*x) for x in zip(start.tolist(), end.tolist(), text, strict=True)]
+
+
+def subtitles_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
+    """subtitle_lines of events_of_clips, in a document's row."""
+    return rows_of_clips(docs, clips, "i long, line string", _dialogue)
+
+
+def files_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
+    """subtitle_files of subtitles_of_clips, in a document's row: a clip's file is put together where its words are."""
+
+    def rows(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
+        _, lines = _dialogue(own, at, t0, t1)
+        return [["\ufeff" + HEADER + "\n".join(lines) + "\n"]] if lines else [[]]
+
+    return rows_of_clips(docs, clips, "content string", rows)
+
+
 def caption_lines(words: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Adds line and text, the line with this word marked: a fold over a clip's few hundred words with the open line's size, length and last word as state.
 
@@ -116,6 +204,13 @@ def clock(ms: Column) -> Column:
     return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100)
 
 
+def dialogue(start: int, end: int, text: str) -> str:
+    """A line of subtitle_lines."""
+    (a, b) = (round(ms / 10) for ms in (start, end))
+    at = lambda cs: f"{cs // 360000}:{cs // 6000 % 60:02d}:{cs // 100 % 60:02d}.{cs % 100:02d}"
+    return f"Dialogue: 0,{at(a)},{at(b)},Cap,,0,0,0,,{text}"
+
+
 def seconds_clock(seconds: Column) -> Column:
     s = seconds.cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)

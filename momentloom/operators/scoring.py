@@ -7,7 +7,7 @@ import itertools
 import logging
 import operator
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .segments import SENTENCE_END, WHITE, WORD, bound, sentences, unpacked, words_of
+from .segments import SENTENCE_END, WHITE, bound, rows_of_texts, sentence_places, sentences, timed, unpacked, window_places, words_of
 
 
 @dataclass(frozen=True)
@@ -45,41 +45,62 @@ def _capped(x: Column) -> Column:
 COUNTS = ("n", "emotion", "opinion", "story", "practical", "questions", "short")
 
 
-#: Where a sentence of a text ends with its white space; counts of sentences are remembered up to a number of them.
-SENTENCE, REMEMBERED = re.compile(r"[.!?][ \t-\r]+"), 50_000
+#: Words whose counts are remembered, some more than that while a text is read.
+REMEMBERED = 200_000
 
 
-def counter(lexicon: Lexicon) -> Callable[[str], list[int]]:
-    """Gives COUNTS of texts in small letters: tokens, those in word lists, marks (side by side, letter for letter; an empty one nowhere), question marks, and sentences of 4 to 12 words.
+class WordCounts(dict):
+    """Numbers of words; table holds beside each what a lexicon counts of it in small letters: emotion, opinion, story and practical marks without white space, question marks.
 
-    Windows share sentences, so a sentence's counts are remembered. Only marks with white space can reach over its end; these are looked for in the whole text.
+    Such marks lie within words, so that a text's counts are sums over its words. An empty mark is nowhere.
     """
-    emotion, opinion = frozenset(lexicon.emotion), frozenset(lexicon.opinion)
-    story, practical = ([m for m in names if m and not WHITE.search(m)] for names in (lexicon.story, lexicon.practical))
-    wide = [(at, m) for at, names in ((3, lexicon.story), (4, lexicon.practical)) for m in names if WHITE.search(m)]
-    known: dict[str, tuple[int, ...]] = {}
-
-    def of_sentence(s: str) -> tuple[int, ...]:
-        tokens = WORD.findall(s)
-        marks = (sum(map(s.count, names)) for names in (story, practical))
-        return len(tokens), sum(t in emotion for t in tokens), sum(t in opinion for t in tokens), *marks, s.count("?"), 4 <= len(tokens) <= 12
-
-    def counted(low: str) -> list[int]:
-        ends = [m.end() for m in SENTENCE.finditer(low)]
-        found = []
-        for a, z in zip([0, *ends], [*ends, len(low)], strict=True):
-            s = low[a:z]
-            own = known.get(s)
-            if own is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                own = known[s] = of_sentence(s)
-            found.append(own)
-        out = list(map(sum, zip(*found, strict=True)))
-        for at, m in wide:
-            out[at] += low.count(m)
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.names = frozenset(lexicon.emotion), frozenset(lexicon.opinion)
+        self.marks = [[m for m in names if m and not WHITE.search(m)] for names in (lexicon.story, lexicon.practical)]
+        #: Marks with white space, which are looked for in whole texts, and where they count in COUNTS.
+        self.wide = [(at, m) for at, names in ((3, lexicon.story), (4, lexicon.practical)) for m in names if WHITE.search(m)]
+        self.table = np.zeros((1 << 12, 5), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        k = len(self)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        low = word.lower()
+        self.table[k] = [*(low in names for names in self.names), *(sum(map(low.count, marks)) for marks in self.marks), low.count("?")]
+        self[word] = k
+        return k
+
+    def spans(self, words: list[str], first: np.ndarray, end: np.ndarray, a: np.ndarray, z: np.ndarray, text: Callable[[int, int], str]) -> np.ndarray:
+        """COUNTS of spans of sentences, a row each: sentences are words from first up to end, spans are sentences from a up to z; text gives the text from a word up to another."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        sums = np.zeros((len(words) + 1, 5), np.int64)
+        np.cumsum(self.table[at], 0, out=sums[1:])
+        size = end - first
+        short = np.append(0, np.cumsum((size >= 4) & (size <= 12)))
+        edges = np.append(first, len(words))
+        low, high = edges[a], edges[z]
+        out = np.column_stack([high - low, sums[high] - sums[low], short[z] - short[a]])
+        if self.wide:
+            for row, x, y in zip(out, low.tolist(), high.tolist(), strict=True):
+                own = text(x, y).lower()
+                for k, m in self.wide:
+                    row[k] += own.count(m)
         return out
 
+
+def counter(lexicon: Lexicon) -> Callable[[str], list[int]]:
+    """Gives COUNTS of texts: tokens, those in word lists, marks (side by side, letter for letter; an empty one nowhere), question marks, and sentences of 4 to 12 words."""
+    known = WordCounts(lexicon)
+
+    def counted(text: str) -> list[int]:
+        words, j, at = timed(text)
+        first, end, *_ = sentence_places(words, j, at)
+        return known.spans(words, first, end, np.array([0]), np.array([len(first)]), lambda a, z: text)[0].tolist()
+
     return counted
 
 
@@ -88,7 +109,7 @@ def text_counts(text: Column, lexicon: Lexicon) -> Column:
 
     @F.arrow_udf("struct<" + ", ".join(f"{c}: int" for c in COUNTS) + ">")
     def counted(texts: pa.Array) -> pa.Array:
-        rows = list(map(counter(lexicon), ((x or "").lower() for x in texts.to_pylist())))
+        rows = list(map(counter(lexicon), (x or "" for x in texts.to_pylist())))
         fields = [pa.array([r[k] for r in rows], pa.int32()) for k in range(len(COUNTS))]
         return pa.StructArray.from_arrays(fields, list(COUNTS), mask=texts.is_null())
 
@@ -99,16 +120,47 @@ def lexical_features(windows: DataFrame, text: str = "text", lexicon: Lexicon =
     """Adds hook, emotion, opinion, story, practical, questions and quotable, from 0 to 1. Null texts have null features, empty ones 0."""
     # Blank sentences are at a text's end only, so that its opening is in its first two pieces.
     pieces = F.filter(F.slice(F.split(F.col(text), SENTENCE_END, 3), 1, 2), lambda s: s.rlike(r"\S"))
-    found = windows.withColumns({"_counts": text_counts(F.col(text), lexicon), "_opening": F.lower(F.array_join(pieces, " "))})
-    of = lambda k: F.col(f"_counts.{k}").cast("double")
+    return _features(windows.withColumns({"_counts": text_counts(F.col(text), lexicon), "_opening": F.array_join(pieces, " ")}), lexicon, "_counts.").drop("_counts", "_opening")
+
+
+def _features(found: DataFrame, lexicon: Lexicon, prefix: str) -> DataFrame:
+    """The features from COUNTS in columns of that prefix and _opening, the first two sentences."""
+    of = lambda k: F.col(f"{prefix}{k}").cast("double")
     n = F.greatest(of("n"), F.lit(1.0))
+    opening = found.withColumn("_opening", F.lower("_opening"))
     hooks = sum((F.col("_opening").rlike(p).cast("int") for p in lexicon.hooks), F.lit(0)).cast("double")
-    return found.withColumns(
+    return opening.withColumns(
         {
             "hook": _capped(hooks / 2), "emotion": _capped(of("emotion") / (n / 60)), "opinion": _capped(of("opinion") / (n / 80)), "story": _capped(of("story") / 3),
             "practical": _capped(of("practical") / 3), "questions": _capped(of("questions") / 3), "quotable": _capped(of("short") / 4),
         }
-    ).drop("_counts", "_opening")
+    )
+
+
+def featured_windows(docs: DataFrame, lexicon: Lexicon, texts: bool = False) -> DataFrame:
+    """The windows of documents (doc_id, text; see segments.candidate_windows) with duration_ms (the end of the last sentence) and the features of their texts; the text only if it is asked for.
+
+    All of it within a document's row: windows overlap, so a word is counted once and a window is a difference of sums.
+    """
+    known: list[WordCounts] = []
+
+    def windows(text: str | None) -> Iterable:
+        if not known:
+            known.append(WordCounts(lexicon))
+        words, j, at = timed(text)
+        first, end, start, ends, _, natural = sentence_places(words, j, at)
+        places = window_places(np.arange(len(first)), start, ends, natural)
+        if not places:
+            return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool), np.zeros(0, np.int64), []] + [np.zeros(0, np.int64)] * len(COUNTS) + [[]] * texts
+        a, last, z = np.array(places, np.int64).T
+        of = lambda x, y: " ".join(words[x:y])
+        counts = known[0].spans(words, first, end, a, z, of)
+        opening = [of(x, y) for x, y in zip(first[a].tolist(), end[np.minimum(a + 1, z - 1)].tolist(), strict=True)]
+        whole = [[of(x, y) for x, y in zip(first[a].tolist(), end[z - 1].tolist(), strict=True)]] if texts else []
+        return a, last, start[a], ends[last], natural[last], np.full(len(a), ends[-1]), opening, *counts.T, *whole
+
+    fields = "j0 long, j1 long, start_ms long, end_ms long, natural boolean, duration_ms long, _opening string, " + ", ".join(f"_{c} long" for c in COUNTS) + ", text string" * texts
+    return _features(rows_of_texts(docs, ["doc_id"], fields, windows), lexicon, "_").drop("_opening", *(f"_{c}" for c in COUNTS))
 
 
 def weighted_score(features: DataFrame, energy: Column) -> DataFrame:
@@ -203,12 +255,23 @@ def window_energies(df: DataFrame, windows: str = "windows", bins: str = "bins",
     return df.withColumn("energies", bound(bound(F.col(bins), laid_out), energies))
 
 
+def quantile_of(values: np.ndarray, p: float) -> float:
+    """numpy's linear quantile of values (one at least), from the two that it lies between; its own takes many steps for few values."""
+    at = p * (len(values) - 1)
+    k = int(at)
+    own = np.partition(values, [k, min(k + 1, len(values) - 1)])
+    low, high, part = float(own[k]), float(own[min(k + 1, len(values) - 1)]), at - k
+    return high - (high - low) * (1 - part) if part >= 0.5 else low + (high - low) * part
+
+
 def energies_of(bins: np.ndarray, rms: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The same for one document as numpy arrays: its bins in order, and where its windows start and end, in bins."""
+    if not len(start):
+        return np.zeros(0)
     loud = rms[rms > 0.001]
-    base = (float(np.quantile(loud, 0.5)) if len(loud) else 0.01) + 1e-9
+    base = (quantile_of(loud, 0.5) if len(loud) else 0.01) + 1e-9
     inside = zip(np.searchsorted(bins, start).tolist(), np.searchsorted(bins, end).tolist(), strict=True)
-    raw = [min(1.0, max(0.0, (float(np.quantile(rms[a:z], 0.95)) / base - 1) / 3)) if z > a else NEUTRAL_ENERGY for a, z in inside]
+    raw = [min(1.0, max(0.0, (quantile_of(rms[a:z], 0.95) / base - 1) / 3)) if z > a else NEUTRAL_ENERGY for a, z in inside]
     return np.floor(np.array(raw, float) * 1e6 + 0.5) / 1e6
 
 

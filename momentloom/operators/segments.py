@@ -117,14 +117,24 @@ def timed_words(docs: DataFrame) -> DataFrame:
     return rows_of_texts(docs, ["doc_id"], "k long, j long, w string, s_ms long, e_ms long", words)
 
 
-def sentence_columns(text: str | None) -> tuple[Any, ...]:
-    """Columns j, start_ms, end_ms, n_words, text, gap_ms and natural of a text's sentences."""
-    words, j, at = timed(text)
+def sentence_places(words: list[str], j: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each sentence of timed words: its first word and the one behind its last, start_ms, end_ms, gap_ms and natural.
+
+    Only a text's last sentence may end without a stop.
+    """
     first = np.flatnonzero(np.diff(j, prepend=-1))
     end = np.append(first[1:], len(words)) if len(first) else first
     starts, ends = at[first], at[end - 1] + WORD_LENGTH
     gap = np.append(starts[1:] - ends[:-1], 999_000)[: len(first)]
-    natural = np.fromiter((TERMINAL_WORD.search(words[z - 1]) is not None for z in end.tolist()), bool, len(end)) & (gap >= PAUSE)
+    natural = gap >= PAUSE
+    natural[-1:] &= TERMINAL_WORD.search(words[-1] if words else "") is not None
+    return first, end, starts, ends, gap, natural
+
+
+def sentence_columns(text: str | None) -> tuple[Any, ...]:
+    """Columns j, start_ms, end_ms, n_words, text, gap_ms and natural of a text's sentences."""
+    words, j, at = timed(text)
+    first, end, starts, ends, gap, natural = sentence_places(words, j, at)
     texts = [" ".join(words[a:z]) for a, z in zip(first.tolist(), end.tolist(), strict=True)]
     return np.arange(len(first)), starts, ends, end - first, texts, gap, natural
 

@@ -43,12 +43,12 @@ def caption_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {CL} SELECT doc_id, clip, i, w, s_ms, e_ms, line, text FROM lt")
 def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.caption_lines(caption_words(spark, sf_dir))
+    return K.lined_words(docs(spark, sf_dir), clips(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {CE} SELECT doc_id, clip, line, i, w, start_ms, end_ms, text FROM ce")
 def caption_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.caption_events(caption_lines(spark, sf_dir))
+    return K.events_of_clips(docs(spark, sf_dir), clips(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {CE}, late AS (SELECT doc_id, clip, start_ms, end_ms + CASE WHEN i % 4 = 3 THEN 200 ELSE 0 END AS end_ms FROM ce),
@@ -63,13 +63,13 @@ def caption_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {AL} SELECT doc_id, clip, i, line FROM al")
 def ass_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.subtitle_lines(caption_events(spark, sf_dir))
+    return K.subtitles_of_clips(docs(spark, sf_dir), clips(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {AL} SELECT doc_id, clip, chr(65279) || '{K.HEADER}' || string_agg(line, chr(10) ORDER BY i) || chr(10) AS content FROM al GROUP BY doc_id, clip")
 def ass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole subtitle files, one for each approved clip."""
-    return K.subtitle_files(ass_lines(spark, sf_dir))
+    return K.files_of_clips(docs(spark, sf_dir), clips(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {CE} SELECT doc_id, clip, i, round_even(start_ms / 10.0::DOUBLE, 0)::BIGINT * 10 AS start_ms, round_even(end_ms / 10.0::DOUBLE, 0)::BIGINT * 10 AS end_ms FROM ce")
