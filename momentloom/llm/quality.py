@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -76,7 +76,7 @@ class Fertility:
     def _measure(own: list[bytes], times: np.ndarray, single: np.ndarray, chars: int) -> tuple[int, float, float, float]:
         times = np.repeat(times, np.fromiter(map(len, own), np.int64, len(own)) // 2)
         ids = np.frombuffer(b"".join(own), np.uint16)
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")  # for numbers of 16 bits a radix sort
         ids, times = ids[order], times[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         n = int(times.sum())
@@ -95,12 +95,21 @@ def fertility(paths: tuple[str, ...]) -> Fertility:
     return _made[paths]
 
 
+def numbered(words: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of distinct words in the order in which they come, and each word's number."""
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    return number, np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
 def repeated_window_words(words: list[str], width: int = 3) -> int:
     """Words that lie in windows of width words which the text holds twice or more."""
-    if len(words) <= width:
+    return _in_repeated_windows(*numbered(words), width)
+
+
+def _in_repeated_windows(number: dict[str, int], x: np.ndarray, width: int = 3) -> int:
+    if len(x) <= width or len(number) == len(x):
         return 0
-    number: dict[str, int] = {}
-    x = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
     window = x[: len(x) - width + 1]
     for k in range(1, width):
         # Numbers of the windows so far, then of those with one word more: both stay below the text's length.
@@ -124,11 +133,18 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def counts(text: str) -> tuple[list[str], int, int, int, int]:
     """(words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
+    return counted(text)[1:]
+
+
+def counted(text: str) -> tuple[dict[str, int], list[str], int, int, int, int]:
+    """How often each word occurs, and counts of the text; words are numbered once for both."""
     words = WORD.findall(text)
-    chars = sum(map(len, words))
+    number, x = numbered(words)
+    times = dict(zip(number, np.bincount(x, minlength=len(number)).tolist(), strict=True))
+    chars = len("".join(words))
     symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in text.split("\n") if x.strip(ASCII_SPACE)]
-    return words, chars, symbols, len(lines) - len(set(lines)), repeated_window_words(words)
+    lines = [s for s in text.split("\n") if s.strip(ASCII_SPACE)]
+    return times, words, chars, symbols, len(lines) - len(set(lines)), _in_repeated_windows(number, x)
 
 
 def script(text: str) -> str:
@@ -208,8 +224,8 @@ def _measured(vocabularies: tuple[tuple[str, str], ...], bands: Bands | None, na
         for b in slices(batches, "t"):
             rows = []
             for t, language in zip(as_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-                words, *own = counts(t)
-                found = measures(Counter(words), own[0])
+                times, words, *own = counted(t)
+                found = measures(times, own[0])
                 failed = len(words) < 50 or 100 * own[3] > 50 * len(words)
                 kind = language if bands and language in bands else script(t)
                 kept = not failed and all(band.holds(*m) for band, m in zip((bands or {}).get(kind, ()), found, strict=False))
