@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_texts, crc_mod, materialise, slices
+from .common import as_texts, crc_mod, kept_in_worker, materialise, slices
 
 #: The letters that the language model knows; 0 is a word's border, the last number any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
@@ -186,6 +187,8 @@ class Restorer:
             c, d = map(_number, y[:2].ljust(2))
             together = log[a, b, c] + log[b, c, d]
             apart = log[a, b, 0] + log[b, 0, c] + log[0, c, d]
+            if len(self.joins) >= CACHE:
+                self.joins.clear()
             found = self.joins[side] = bool(together - COST_BLANK > apart)
         return found
 
@@ -237,13 +240,26 @@ class Restorer:
         return found
 
 
+_restorers: dict[bytes, Restorer] = {}
+
+
+def restorer_of(letters: CharacterModel) -> Restorer:
+    """The worker's own restorer for these letters: words that a task has restored are known to the next ones, of all stages."""
+    key = hashlib.sha1(np.ascontiguousarray(letters.log, np.float32).tobytes()).digest()
+    if key not in _restorers:
+        kept_in_worker(_restorers.clear)
+        _restorers.clear()
+        _restorers[key] = Restorer(letters)
+    return _restorers[key]
+
+
 def features(word: str) -> list[str]:
     return [word] + [word[:n] + "-" for n in PREFIXES if len(word) > n]
 
 
 def _feature_counts(model: CharacterModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad, restorer = Counter(), Counter(), Restorer(model)
+        good, bad, restorer = Counter(), Counter(), restorer_of(model)
         for b in slices(batches, "t"):
             for t, label in zip(as_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
                 (bad if label else good).update({f for w in restorer.words(t) for f in features(w)})
@@ -306,7 +322,7 @@ def _sums(broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
-        restorer = Restorer(m.letters)
+        restorer = restorer_of(m.letters)
         for b in slices(batches, "t"):
             labels = b.column(1).to_pylist()
             sums = [sum(m.word_weight(w, label) for w in restorer.words(t)) for t, label in zip(as_texts(b.column(0)), labels, strict=True)]
@@ -359,7 +375,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, ids: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
-        restorer = Restorer(m.letters)
+        restorer = restorer_of(m.letters)
         weight: dict[str, float] = {}
         for b in slices(batches, "t"):
             score, hits = [], []
