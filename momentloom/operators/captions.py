@@ -6,8 +6,11 @@ that repeat a document repeat its clips' words, lines and events.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import re
 from collections.abc import Callable, Iterable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +23,7 @@ LINE_WORDS, LINE_CHARS, LINE_PAUSE, MARGIN, SHORTEST = 4, 18, 600, 200, 20
 
 
 #: Marks that end a line of two words or more, and what a subtitle renderer would act on (see subtitle_text).
-LINE_STOPS, REPLACED = frozenset(".!?,"), str.maketrans("{}\\", "()/")
+LINE_STOPS, REPLACED, SHOWN_ELSE = frozenset(".!?,"), str.maketrans("{}\\", "()/"), re.compile(r"[{}\\]")
 #: Clips are keyed so.
 KEY = ["doc_id", "clip"]
 
@@ -61,14 +64,18 @@ def words_inside(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[list
     return own[a:z], clamp(at[a:z]), clamp(at[a:z] + WORD_LENGTH)
 
 
-def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
-    """doc_id, clip, i, w, s_ms, e_ms: words inside each clip (with a margin), in capitals, numbered, times relative to it and clamped."""
+def _words(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
+    w, start, end = words_inside(own, at, t0, t1)
+    return np.arange(len(w)), w, start, end
+
+
+#: Fields and what makes them of a clip, as rows_of_clips wants them.
+WORDS = "i long, w string, s_ms long, e_ms long", _words
 
-    def words(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-        w, start, end = words_inside(own, at, t0, t1)
-        return np.arange(len(w)), w, start, end
 
-    return rows_of_clips(docs, clips, "i long, w string, s_ms long, e_ms long", words).withColumn("w", F.upper("w"))
+def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
+    """doc_id, clip, i, w, s_ms, e_ms: words inside each clip (with a margin), in capitals, numbered, times relative to it and clamped."""
+    return rows_of_clips(docs, clips, *WORDS).withColumn("w", F.upper("w"))
 
 
 def line_numbers(words: list[str], start: list[int], end: list[int]) -> list[int]:
@@ -86,10 +93,16 @@ def line_numbers(words: list[str], start: list[int], end: list[int]) -> list[int
 
 def marked_lines(words: list[str], line: np.ndarray) -> list[str]:
     """For each word the text of its line, with it marked."""
-    shown = [w.translate(REPLACED) for w in words]
-    plain, marked = [PLAIN + w for w in shown], [MARKED + w for w in shown]
+    shown = [w.translate(REPLACED) for w in words] if SHOWN_ELSE.search(" ".join(words)) else words
+    out = []
     edges = [0, *(np.flatnonzero(np.diff(line)) + 1).tolist(), len(words)]
-    return [" ".join([*plain[a:i], marked[i], *plain[i + 1 : z]]) for a, z in itertools.pairwise(edges) for i in range(a, z)]
+    for a, z in itertools.pairwise(edges):
+        plain, at = PLAIN + f" {PLAIN}".join(shown[a:z]), 0
+        for w in shown[a:z]:
+            end = at + len(PLAIN) + len(w)
+            out.append(f"{plain[:at]}{MARKED}{w}{plain[end:]}")
+            at = end + 1
+    return out
 
 
 def slots(line: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,52 +115,100 @@ def slots(line: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return ~short | last | (after - start >= SHORTEST), np.where(short, start + SHORTEST, own)
 
 
+def _lined(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a clip in capitals, when they start and end, and their lines."""
+    w, start, end = words_inside(own, at, t0, t1)
+    w = list(map(str.upper, w))
+    return w, start, end, np.array(line_numbers(w, start.tolist(), end.tolist()), np.int64)
+
+
+def _lines(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
+    w, start, end, line = _lined(own, at, t0, t1)
+    return np.arange(len(w)), w, start, end, line, marked_lines(w, line)
+
+
+LINES = "i long, w string, s_ms long, e_ms long, line long, text string", _lines
+
+
 def lined_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
     """caption_lines of clip_words, worked out in a document's row: nothing is shuffled but texts and clips, and rows that repeat a document repeat its clips' lines."""
+    return rows_of_clips(docs, clips, *LINES)
 
-    def rows(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-        w, start, end = words_inside(own, at, t0, t1)
-        w = list(map(str.upper, w))
-        line = np.array(line_numbers(w, start.tolist(), end.tolist()), np.int64)
-        return np.arange(len(w)), w, start, end, line, marked_lines(w, line)
 
-    return rows_of_clips(docs, clips, "i long, w string, s_ms long, e_ms long, line long, text string", rows)
+def _slots(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a clip, their lines, which of them have slots, and when all start and their slots end."""
+    w, start, end, line = _lined(own, at, t0, t1)
+    there, until = slots(line, start, end)
+    return w, line, np.flatnonzero(there), start, until
 
 
-def _events(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[np.ndarray, ...]:
+def _events(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[Any, ...]:
     """The words with slots of a clip: their line, number, the word, start and end of the slot, and the text."""
-    w, start, end = words_inside(own, at, t0, t1)
-    w = list(map(str.upper, w))
-    line = np.array(line_numbers(w, start.tolist(), end.tolist()), np.int64)
-    there, until = slots(line, start, end)
-    kept = np.flatnonzero(there)
+    w, line, kept, start, until = _slots(own, at, t0, t1)
     text = marked_lines(w, line)
-    return line[kept], kept, [w[k] for k in kept.tolist()], start[kept], until[kept], [text[k] for k in kept.tolist()]
+    if len(kept) < len(w):
+        w, text = ([x[k] for k in kept.tolist()] for x in (w, text))
+    return line[kept], kept, w, start[kept], until[kept], text
+
+
+EVENTS = "line long, i long, w string, start_ms long, end_ms long, text string", _events
 
 
 def events_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
     """caption_events of caption_lines of clip_words, in a document's row (see lined_words)."""
-    return rows_of_clips(docs, clips, "line long, i long, w string, start_ms long, end_ms long, text string", _events)
+    return rows_of_clips(docs, clips, *EVENTS)
+
+
+def overlaps_of(start: np.ndarray, end: np.ndarray, slack: int = 11, most: int = 3) -> tuple[np.ndarray, list[str]]:
+    """n and flag of overlap_flags, of the events of one key."""
+    order = np.lexsort((end, start))
+    start, end = start[order], end[order]
+    found = np.flatnonzero(end[:-1] - start[1:] > slack)[: most + 1].tolist()
+    return np.arange(1, len(found) + 1), [f"{end[k]}-{start[k + 1]}" if n < most else "suppressed" for n, k in enumerate(found)]
+
+
+def late_overlaps(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
+    """overlaps_of a clip's slots with every fourth end put 200 ms too late."""
+    _, _, kept, start, until = _slots(own, at, t0, t1)
+    return overlaps_of(start[kept], until[kept] + np.where(kept % 4 == 3, 200, 0))
 
 
 def _dialogue(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[np.ndarray, list[str]]:
     _, i, _, start, end, text = _events(own, at, t0, t1)
-    return i, [dialogue(*x) for x in zip(start.tolist(), end.tolist(), text, strict=True)]
+    return i, dialogues(start, end, text)
+
+
+SUBTITLES = "i long, line string", _dialogue
 
 
 def subtitles_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
     """subtitle_lines of events_of_clips, in a document's row."""
-    return rows_of_clips(docs, clips, "i long, line string", _dialogue)
+    return rows_of_clips(docs, clips, *SUBTITLES)
+
+
+def _file(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
+    _, lines = _dialogue(own, at, t0, t1)
+    return [["\ufeff" + HEADER + "\n".join(lines) + "\n"]] if lines else [[]]
+
+
+FILES = "content string", _file
 
 
 def files_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
     """subtitle_files of subtitles_of_clips, in a document's row: a clip's file is put together where its words are."""
+    return rows_of_clips(docs, clips, *FILES)
+
+
+def _read_back(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
+    i, lines = _dialogue(own, at, t0, t1)
+    found = [(k, *map(int, m.groups())) for k, m in zip(i.tolist(), map(DIALOGUE.match, lines), strict=True) if m]
+    x = np.array(found, np.int64).reshape(-1, 9).T
+    of = lambda k: ((x[k] * 60 + x[k + 1]) * 60 + x[k + 2]) * 1000 + x[k + 3] * 10
+    return x[0], of(1), of(5)
 
-    def rows(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-        _, lines = _dialogue(own, at, t0, t1)
-        return [["\ufeff" + HEADER + "\n".join(lines) + "\n"]] if lines else [[]]
 
-    return rows_of_clips(docs, clips, "content string", rows)
+#: parse_subtitles of subtitles_of_clips: lines are read where they are made.
+READ_BACK = "i long, start_ms long, end_ms long", _read_back
 
 
 def caption_lines(words: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -204,11 +265,16 @@ def clock(ms: Column) -> Column:
     return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100)
 
 
-def dialogue(start: int, end: int, text: str) -> str:
-    """A line of subtitle_lines."""
-    (a, b) = (round(ms / 10) for ms in (start, end))
-    at = lambda cs: f"{cs // 360000}:{cs // 6000 % 60:02d}:{cs // 100 % 60:02d}.{cs % 100:02d}"
-    return f"Dialogue: 0,{at(a)},{at(b)},Cap,,0,0,0,,{text}"
+@functools.lru_cache(1 << 16)
+def clock_of(cs: int) -> str:
+    """clock, of hundredths."""
+    return f"{cs // 360000}:{cs // 6000 % 60:02d}:{cs // 100 % 60:02d}.{cs % 100:02d}"
+
+
+def dialogues(start: np.ndarray, end: np.ndarray, texts: list[str]) -> list[str]:
+    """The lines of subtitle_lines."""
+    (a, b) = (map(clock_of, np.rint(ms / 10).astype(np.int64).tolist()) for ms in (start, end))
+    return [f"Dialogue: 0,{x},{y},Cap,,0,0,0,,{text}" for x, y, text in zip(a, b, texts, strict=True)]
 
 
 def seconds_clock(seconds: Column) -> Column:
@@ -253,10 +319,14 @@ def write_subtitles(lines: DataFrame, path: str, key: list[str] = KEY) -> None:
     subtitle_files(lines, key).withColumnRenamed("content", "value").write.partitionBy(*key).option("lineSep", "\n").text(path)
 
 
+#: A line of subtitle_lines: hours, minutes, seconds and hundredths of its start and of its end.
+_TIME = r"(\d+):(\d\d):(\d\d)\.(\d\d)"
+DIALOGUE = re.compile(rf"Dialogue: \d+,{_TIME},{_TIME},", re.ASCII)
+
+
 def parse_subtitles(lines: DataFrame, line: str = "line") -> DataFrame:
     """start_ms and end_ms of Dialogue lines; other lines are dropped."""
-    time = r"(\d+):(\d\d):(\d\d)\.(\d\d)"
-    pattern = rf"^Dialogue: \d+,{time},{time},"
+    pattern = "^" + DIALOGUE.pattern
     part = lambda k: F.regexp_extract(line, pattern, k).cast("long")
     at = lambda k: ((part(k) * 60 + part(k + 1)) * 60 + part(k + 2)) * 1000 + part(k + 3) * 10
     return lines.filter(F.col(line).rlike(pattern)).withColumns({"start_ms": at(1), "end_ms": at(5)})

@@ -13,11 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .segments import SENTENCE_END, WHITE, bound, rows_of_texts, sentence_places, sentences, timed, unpacked, window_places, words_of
+from .moments import Texts, rows_of_slices
+from .segments import SENTENCE_END, WHITE, bound, sentence_places, sentences, timed, unpacked, words_of
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,8 @@ COUNTS = ("n", "emotion", "opinion", "story", "practical", "questions", "short")
 
 #: Words whose counts are remembered, some more than that while a text is read.
 REMEMBERED = 200_000
+#: Fewer words than that are not worth a column.
+FEW = 100
 
 
 class WordCounts(dict):
@@ -63,19 +67,36 @@ class WordCounts(dict):
         self.wide = [(at, m) for at, names in ((3, lexicon.story), (4, lexicon.practical)) for m in names if WHITE.search(m)]
         self.table = np.zeros((1 << 12, 5), np.int64)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
+        self.learn([word])
+        return self[word]
+
+    def learn(self, words: list[str] | list[bytes]) -> None:
+        """Counts words that are not known yet, each once: many by columns, few one by one."""
         k = len(self)
-        if k == len(self.table):
+        while k + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        low = word.lower()
-        self.table[k] = [*(low in names for names in self.names), *(sum(map(low.count, marks)) for marks in self.marks), low.count("?")]
-        self[word] = k
-        return k
-
-    def spans(self, words: list[str], first: np.ndarray, end: np.ndarray, a: np.ndarray, z: np.ndarray, text: Callable[[int, int], str]) -> np.ndarray:
+        # Words hold no white space, and small letters don't hang on what is beyond it.
+        whole = b"\n".join(words).decode() if isinstance(words[0], bytes) else "\n".join(words)
+        low = whole.lower().split("\n")
+        own = self.table[k : k + len(words)]
+        if len(words) < FEW:
+            own[:] = [[*(w in names for names in self.names), *(sum(map(w.count, marks)) for marks in self.marks), w.count("?")] for w in low]
+        else:
+            column = pa.array(low, pa.string())
+            for at, names in enumerate(self.names):
+                own[:, at] = pc.is_in(column, pa.array(sorted(names), pa.string())).to_numpy(zero_copy_only=False)
+            for at, marks in enumerate([*self.marks, ["?"]], 2):
+                own[:, at] = sum((pc.count_substring(column, m).to_numpy() for m in marks), np.zeros(len(low), np.int64))
+        self.update(zip(words, range(k, k + len(words)), strict=True))
+
+    def spans(self, words: list[str] | list[bytes], first: np.ndarray, end: np.ndarray, a: np.ndarray, z: np.ndarray, text: Callable[[int, int], str]) -> np.ndarray:
         """COUNTS of spans of sentences, a row each: sentences are words from first up to end, spans are sentences from a up to z; text gives the text from a word up to another."""
         if len(self) > REMEMBERED:
             self.clear()
+        new = list(set(words).difference(self))
+        if new:
+            self.learn(new)
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         sums = np.zeros((len(words) + 1, 5), np.int64)
         np.cumsum(self.table[at], 0, out=sums[1:])
@@ -137,30 +158,54 @@ def _features(found: DataFrame, lexicon: Lexicon, prefix: str) -> DataFrame:
     )
 
 
+#: What WindowFeatures gives, in order.
+FEATURES = ("hook", "emotion", "opinion", "story", "practical", "questions", "quotable")
+
+
+class WindowFeatures:
+    """The features of the windows of texts, from 0 to 1, a column each: windows overlap, so a word is counted once and a window is a difference of sums.
+
+    Hooks are searched by RE2, as DuckDB does; what it can't express (a look behind or ahead) raises.
+    """
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.known: WordCounts | None = None
+
+    def __call__(self, texts: Texts) -> dict[str, np.ndarray]:
+        if self.known is None:  # made where texts are, as it grows
+            self.known = WordCounts(self.lexicon)
+        a, last = texts.windows
+        n, emotion, opinion, story, practical, questions, short = self.known.spans(texts.words, texts.first, texts.end, a, last + 1, texts.text).T.astype(float)
+        low, high = texts.first[a].tolist(), texts.end[np.minimum(a + 1, last)].tolist()
+        opening = pa.array([texts.text(x, y).lower() for x, y in zip(low, high, strict=True)], pa.string())
+        hooks = sum((pc.match_substring_regex(opening, p).to_numpy(zero_copy_only=False).astype(float) for p in self.lexicon.hooks), np.zeros(len(a)))
+        n = np.maximum(n, 1.0)
+        raw = (hooks / 2, emotion / (n / 60), opinion / (n / 80), story / 3, practical / 3, questions / 3, short / 4)
+        return {name: np.minimum(1.0, x) for name, x in zip(FEATURES, raw, strict=True)}
+
+
+def total_score(features: dict[str, np.ndarray], energy: float) -> np.ndarray:
+    """The score of weighted_score, as numpy."""
+    total = sum(((features[k] if k != "energy" else energy) * w for k, w in WEIGHTS.items()), np.zeros(len(features["hook"]))) * 100
+    return np.minimum(np.floor(total * 10 + 0.5) / 10, 99.0)
+
+
 def featured_windows(docs: DataFrame, lexicon: Lexicon, texts: bool = False) -> DataFrame:
     """The windows of documents (doc_id, text; see segments.candidate_windows) with duration_ms (the end of the last sentence) and the features of their texts; the text only if it is asked for.
 
-    All of it within a document's row: windows overlap, so a word is counted once and a window is a difference of sums.
+    All of it within a document's row.
     """
-    known: list[WordCounts] = []
+    features = WindowFeatures(lexicon)
 
-    def windows(text: str | None) -> Iterable:
-        if not known:
-            known.append(WordCounts(lexicon))
-        words, j, at = timed(text)
-        first, end, start, ends, _, natural = sentence_places(words, j, at)
-        places = window_places(np.arange(len(first)), start, ends, natural)
-        if not places:
-            return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool), np.zeros(0, np.int64), []] + [np.zeros(0, np.int64)] * len(COUNTS) + [[]] * texts
-        a, last, z = np.array(places, np.int64).T
-        of = lambda x, y: " ".join(words[x:y])
-        counts = known[0].spans(words, first, end, a, z, of)
-        opening = [of(x, y) for x, y in zip(first[a].tolist(), end[np.minimum(a + 1, z - 1)].tolist(), strict=True)]
-        whole = [[of(x, y) for x, y in zip(first[a].tolist(), end[z - 1].tolist(), strict=True)]] if texts else []
-        return a, last, start[a], ends[last], natural[last], np.full(len(a), ends[-1]), opening, *counts.T, *whole
+    def windows(t: Texts) -> tuple:
+        a, last = t.windows
+        d = t.doc[a]
+        whole = [[t.text(x, y) for x, y in zip(t.first[a].tolist(), t.end[last].tolist(), strict=True)]] if texts else []
+        return d, a - t.sentence_edges[d], last - t.sentence_edges[d], t.start[a], t.stop[last], t.natural[last], t.duration[d], *features(t).values(), *whole
 
-    fields = "j0 long, j1 long, start_ms long, end_ms long, natural boolean, duration_ms long, _opening string, " + ", ".join(f"_{c} long" for c in COUNTS) + ", text string" * texts
-    return _features(rows_of_texts(docs, ["doc_id"], fields, windows), lexicon, "_").drop("_opening", *(f"_{c}" for c in COUNTS))
+    fields = "j0 long, j1 long, start_ms long, end_ms long, natural boolean, duration_ms long, " + ", ".join(f"{c} double" for c in FEATURES) + ", text string" * texts
+    return rows_of_slices(docs, fields, windows)
 
 
 def weighted_score(features: DataFrame, energy: Column) -> DataFrame:
@@ -255,12 +300,12 @@ def window_energies(df: DataFrame, windows: str = "windows", bins: str = "bins",
     return df.withColumn("energies", bound(bound(F.col(bins), laid_out), energies))
 
 
-def quantile_of(values: np.ndarray, p: float) -> float:
-    """numpy's linear quantile of values (one at least), from the two that it lies between; its own takes many steps for few values."""
+def quantile_of(values: np.ndarray, p: float, of: Callable = float) -> float:
+    """numpy's linear quantile of values (one at least), from the two that it lies between; its own takes many steps for few values. of is a rising function that is applied to these two."""
     at = p * (len(values) - 1)
     k = int(at)
     own = np.partition(values, [k, min(k + 1, len(values) - 1)])
-    low, high, part = float(own[k]), float(own[min(k + 1, len(values) - 1)]), at - k
+    low, high, part = float(of(own[k])), float(of(own[min(k + 1, len(values) - 1)])), at - k
     return high - (high - low) * (1 - part) if part >= 0.5 else low + (high - low) * part
 
 
@@ -275,6 +320,16 @@ def energies_of(bins: np.ndarray, rms: np.ndarray, start: np.ndarray, end: np.nd
     return np.floor(np.array(raw, float) * 1e6 + 0.5) / 1e6
 
 
+def energies_of_squares(squares: np.ndarray, samples: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    """The same from each bin's sum of squares of so many samples, for windows that are spans of bins. Roots are taken of quantiles' neighbours only."""
+    root = lambda x: np.sqrt(x / samples + 1e-9)
+    quantile = lambda own, p: quantile_of(own, p, root)
+    loud = squares[root(squares) > 0.001]
+    base = (quantile(loud, 0.5) if len(loud) else 0.01) + 1e-9
+    raw = [min(1.0, max(0.0, (quantile(squares[a:z], 0.95) / base - 1) / 3)) if z > a else NEUTRAL_ENERGY for a, z in spans]
+    return np.floor(np.array(raw, float) * 1e6 + 0.5) / 1e6
+
+
 def window_energy(windows: DataFrame, bins: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, j0 and energy for windows and bins (bin, rms) that come as rows: both are gathered by key, one shuffle each, and measured in a row (see window_energies)."""
     w = windows.groupBy(key).agg(F.collect_list(F.struct("j0", "start_ms", "end_ms")).alias("windows"))

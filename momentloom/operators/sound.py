@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
+from .scoring import quantile_of
+
 
 def frame_levels(samples: np.ndarray, hop: int, most: int) -> np.ndarray:
     """rms of each hop samples, for at most `most` frames; a last hop that isn't full has none."""
     n = min(most, len(samples) // hop)
-    return np.sqrt((samples[: n * hop].reshape(n, hop).astype(float) ** 2).mean(1) + 1e-9)
+    own = samples[: n * hop].reshape(n, hop).astype(float)
+    return np.sqrt(np.einsum("ij,ij->i", own, own) / hop + 1e-9)
 
 
 def word_frames(start: np.ndarray, end: np.ndarray, n: int, fps: int) -> np.ndarray:
@@ -27,5 +30,5 @@ def speech_mask(start: np.ndarray, end: np.ndarray, samples: np.ndarray, n: int,
     mask = word_frames(start, end, n, fps)
     level = frame_levels(samples, max(1, rate // fps), n)
     if len(level):
-        mask[: len(level)] |= level > max(0.01, float(np.percentile(level, 25)) * 1.8)
+        mask[: len(level)] |= level > max(0.01, quantile_of(level, 0.25) * 1.8)
     return mask

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from momentloom.operators import captions as K
 from momentloom.sources.tables import table
 
-from .candidate_queries import CLIPS, clips, docs
+from .candidate_queries import CLIPS, of_clips
 
 QUERIES, SQL = {}, {}
 
@@ -38,17 +38,17 @@ AL = CE + f", al AS (SELECT doc_id, clip, i, 'Dialogue: 0,' || {CLOCK.format('st
 
 @query(f"WITH RECURSIVE {CW} SELECT doc_id, clip, i, w, s_ms, e_ms FROM cw")
 def caption_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.clip_words(docs(spark, sf_dir), clips(spark, sf_dir))
+    return of_clips(spark, sf_dir, *K.WORDS).withColumn("w", F.upper("w"))
 
 
 @query(f"WITH RECURSIVE {CL} SELECT doc_id, clip, i, w, s_ms, e_ms, line, text FROM lt")
 def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.lined_words(docs(spark, sf_dir), clips(spark, sf_dir))
+    return of_clips(spark, sf_dir, *K.LINES)
 
 
 @query(f"WITH RECURSIVE {CE} SELECT doc_id, clip, line, i, w, start_ms, end_ms, text FROM ce")
 def caption_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.events_of_clips(docs(spark, sf_dir), clips(spark, sf_dir))
+    return of_clips(spark, sf_dir, *K.EVENTS)
 
 
 @query(f"""WITH RECURSIVE {CE}, late AS (SELECT doc_id, clip, start_ms, end_ms + CASE WHEN i % 4 = 3 THEN 200 ELSE 0 END AS end_ms FROM ce),
@@ -57,24 +57,28 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, clip ORDER BY start_ms,
 SELECT doc_id, clip, n, CASE WHEN n > 3 THEN 'suppressed' ELSE end_ms || '-' || nx END AS flag FROM f WHERE n <= 4""")
 def caption_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with every fourth end put 200 ms too late."""
-    late = caption_events(spark, sf_dir).withColumn("end_ms", F.col("end_ms") + F.when(F.col("i") % 4 == 3, 200).otherwise(0))
-    return K.overlap_flags(late, K.KEY)
+
+    def together(docs, clips):
+        late = K.events_of_clips(docs, clips).withColumn("end_ms", F.col("end_ms") + F.when(F.col("i") % 4 == 3, 200).otherwise(0))
+        return K.overlap_flags(late, K.KEY)
+
+    return of_clips(spark, sf_dir, "n long, flag string", K.late_overlaps, together)
 
 
 @query(f"WITH RECURSIVE {AL} SELECT doc_id, clip, i, line FROM al")
 def ass_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.subtitles_of_clips(docs(spark, sf_dir), clips(spark, sf_dir))
+    return of_clips(spark, sf_dir, *K.SUBTITLES)
 
 
 @query(f"WITH RECURSIVE {AL} SELECT doc_id, clip, chr(65279) || '{K.HEADER}' || string_agg(line, chr(10) ORDER BY i) || chr(10) AS content FROM al GROUP BY doc_id, clip")
 def ass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole subtitle files, one for each approved clip."""
-    return K.files_of_clips(docs(spark, sf_dir), clips(spark, sf_dir))
+    return of_clips(spark, sf_dir, *K.FILES)
 
 
 @query(f"WITH RECURSIVE {CE} SELECT doc_id, clip, i, round_even(start_ms / 10.0::DOUBLE, 0)::BIGINT * 10 AS start_ms, round_even(end_ms / 10.0::DOUBLE, 0)::BIGINT * 10 AS end_ms FROM ce")
 def ass_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.parse_subtitles(ass_lines(spark, sf_dir)).select("doc_id", "clip", "i", "start_ms", "end_ms")
+    return of_clips(spark, sf_dir, *K.READ_BACK)
 
 
 @query("SELECT conv_id, turn, (t // 3600) || ':' || lpad((t // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') AS at FROM (SELECT conv_id, turn, conv_id * 97 + turn * 13 AS t FROM conversations)")
