@@ -8,6 +8,7 @@ around good texts, for each language or else script, decide which texts are reje
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
 from collections import Counter, defaultdict
@@ -63,25 +64,34 @@ class Fertility:
 
     def measures(self, words: dict[str, int], chars: int) -> list[tuple[int, float, float, float]]:
         """For each vocabulary (tokens, characters a token, single-byte share, entropy in bits) of words and how often they occur; of no words 0."""
-        if not words:
-            return [(0, 0.0, 0.0, 0.0)] * len(self.encoders)
+        return self.measures_of([words], [chars])[0]
+
+    def measures_of(self, texts: list[dict[str, int]], chars: list[int]) -> list[list[tuple[int, float, float, float]]]:
+        """measures of several texts at once: words that are not known are encoded in one call of each vocabulary, and tokens of all texts are sorted together."""
         if len(self.known) > CACHE:
             self.known, self.before = {}, self.known
-        found = remembered(words, self.known, self.before, self.ids)
-        own = list(map(found.__getitem__, words))
-        times = np.fromiter(words.values(), np.int64, len(words))
-        return [self._measure([x[k] for x in own], times, single, chars) for k, (single, _) in enumerate(self.encoders)]
+        found = remembered(set().union(*texts), self.known, self.before, self.ids)
+        own = [found[w] for words in texts for w in words]
+        times = np.fromiter(itertools.chain.from_iterable(words.values() for words in texts), np.int64, len(own))
+        text = np.repeat(np.arange(len(texts)), list(map(len, texts)))
+        return list(zip(*(self._measure([x[k] for x in own], times, text, single, chars) for k, (single, _) in enumerate(self.encoders)), strict=True))
 
     @staticmethod
-    def _measure(own: list[bytes], times: np.ndarray, single: np.ndarray, chars: int) -> tuple[int, float, float, float]:
-        times = np.repeat(times, np.fromiter(map(len, own), np.int64, len(own)) // 2)
+    def _measure(own: list[bytes], times: np.ndarray, text: np.ndarray, single: np.ndarray, chars: list[int]) -> list[tuple[int, float, float, float]]:
+        each = np.fromiter(map(len, own), np.int64, len(own)) // 2
         ids = np.frombuffer(b"".join(own), np.uint16)
-        order = np.argsort(ids, kind="stable")  # for numbers of 16 bits a radix sort
-        ids, times = ids[order], times[order]
-        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        n = int(times.sum())
-        p = np.add.reduceat(times, first) / n
-        return n, chars / n, float(times[single[ids]].sum() / n), max(0.0, float(-(p * np.log2(p)).sum()))
+        times, key = np.repeat(times, each), np.repeat(text, each) << 16 | ids
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        sums = np.add.reduceat(times, first) if len(first) else times
+        text, ids = key[first] >> 16, key[first] & 0xFFFF
+        n = np.bincount(text, sums, len(chars)).astype(np.int64)
+        bytes_ = np.bincount(text, sums * single[ids], len(chars))
+        p = sums / n[text]
+        terms = p * np.log2(p)
+        edges = np.searchsorted(text, np.arange(len(chars) + 1)).tolist()
+        return [(k, c / k, x / k, max(0.0, -float(terms[a:z].sum()))) if k else (0, 0.0, 0.0, 0.0) for k, c, x, (a, z) in zip(n.tolist(), chars, bytes_.tolist(), itertools.pairwise(edges), strict=True)]
 
 
 _made: dict[tuple[str, ...], Fertility] = {}
@@ -220,16 +230,16 @@ def _measured(vocabularies: tuple[tuple[str, str], ...], bands: Bands | None, na
     kinds = [pa.int64()] * 5 + [pa.int64(), pa.float64(), pa.float64(), pa.float64()] * len(paths) + [pa.string(), pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measures = fertility(paths).measures
+        known = fertility(paths)
         for b in slices(batches, "t"):
-            rows = []
-            for t, language in zip(as_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-                times, words, *own = counted(t)
-                found = measures(times, own[0])
-                failed = len(words) < 50 or 100 * own[3] > 50 * len(words)
+            rows, texts = [], as_texts(b.column(1))
+            of = [(times, len(words), own) for times, words, *own in map(counted, texts)]
+            measures = known.measures_of([times for times, *_ in of], [own[0] for *_, own in of])
+            for t, language, (_, n, own), found in zip(texts, b.column(2).to_pylist(), of, measures, strict=True):
+                failed = n < 50 or 100 * own[3] > 50 * n
                 kind = language if bands and language in bands else script(t)
                 kept = not failed and all(band.holds(*m) for band, m in zip((bands or {}).get(kind, ()), found, strict=False))
-                rows.append((len(words), *own, *(x for m in found for x in m), kind, failed, kept))
+                rows.append((n, *own, *(x for m in found for x in m), kind, failed, kept))
             arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays, *(b.column(3 + k) for k in range(extra))], names)
 

@@ -2,7 +2,7 @@
 
 import pickle
 
-from momentloom.llm import toxicity
+from momentloom.llm import quality, toxicity
 from momentloom.llm.common import free_caches
 
 
@@ -15,3 +15,14 @@ def test_a_worker_keeps_one_restorer_for_its_letters():
     assert other is not first and not other.known and len(toxicity._restorers) == 1
     free_caches()
     assert not toxicity._restorers
+
+
+def test_words_of_several_texts_are_encoded_in_one_call(monkeypatch):
+    paths = quality._paths(quality.VOCABULARIES)
+    own, plain = quality.Fertility(paths), quality.Fertility(paths)
+    texts = [dict(quality.counted(t)[0]) for t in ("alpha beta beta", "", "gamma " + "z" * 70 + " beta", "δέλτα alpha")]
+    calls = []
+    encode = own.ids
+    monkeypatch.setattr(own, "ids", lambda words: calls.append(words) or encode(words))
+    assert own.measures_of(texts, [14, 0, 79, 10]) == [tuple(plain.measures(t, n)) for t, n in zip(texts, [14, 0, 79, 10], strict=True)]
+    assert [sorted(c) for c in calls] == [["alpha", "beta", "gamma", "z" * 70, "δέλτα"]]
