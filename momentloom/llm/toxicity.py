@@ -152,24 +152,30 @@ def disguised(word: str) -> bool:
 
 
 class Restorer:
-    """Words of a text, restored; a worker remembers short words that it has seen."""
+    """Words of a text, restored; a worker remembers short words that it has seen, in two generations, so that frequent ones stay known."""
 
     def __init__(self, model: CharacterModel):
         self.model = model
         self.known: dict[str, str] = {}
+        self.before: dict[str, str] = {}
         self.joins: dict[tuple[str, str], bool] = {}
 
     def word(self, raw: str) -> str:
         found = self.known.get(raw)
         if found is None:
-            found = stripped(raw)
-            if disguised(found):
-                found = restore(found, self.model)
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[raw] = found
+            found = self.before.get(raw)
+            if found is None:
+                found = stripped(raw)
+                if disguised(found):
+                    found = restore(found, self.model)
+            self.remember(raw, found)
         return found
 
+    def remember(self, raw: str, found: str) -> None:
+        if len(self.known) >= CACHE:
+            self.known, self.before = {}, self.known
+        self.known[raw] = found
+
     def pieces(self, raw: str) -> set[str]:
         return {self.word(raw[k : k + PIECE]) for k in range(0, len(raw), PIECE)}
 
@@ -232,9 +238,10 @@ class Restorer:
         for stretch in stretches:
             own = self.known.get(stretch)
             if own is None:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                own = self.known[stretch] = restore(stretch, self.model)
+                own = self.before.get(stretch)
+                if own is None:
+                    own = restore(stretch, self.model)
+                self.remember(stretch, own)
             found.update(own.split(" "))
         found.discard("")
         return found

@@ -26,3 +26,13 @@ def test_words_of_several_texts_are_encoded_in_one_call(monkeypatch):
     monkeypatch.setattr(own, "ids", lambda words: calls.append(words) or encode(words))
     assert own.measures_of(texts, [14, 0, 79, 10]) == [tuple(plain.measures(t, n)) for t, n in zip(texts, [14, 0, 79, 10], strict=True)]
     assert [sorted(c) for c in calls] == [["alpha", "beta", "gamma", "z" * 70, "δέλτα"]]
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE", 4)
+    worked = []
+    restore = toxicity.restore
+    monkeypatch.setattr(toxicity, "restore", lambda word, model: worked.append(word) or restore(word, model))
+    own = toxicity.Restorer(toxicity.CharacterModel({5: 3, 70: 1}))
+    found = {own.word("letter") for k in range(40) if own.word(f"w{k}") is not None}
+    assert len(found) == 1 and worked.count("letter") == 1 and len(own.known) <= 4 >= len(own.before)
