@@ -7,23 +7,26 @@ that repeat a document repeat its clips' words, lines and events.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .segments import WORD_LENGTH, bound, rows_of_texts, timed, unpacked
+from .moments import Texts, places, without_blanks
+from .segments import SPARK_KINDS, WORD_LENGTH, bound, column, cut_by_size, unpacked
 
 #: Words and characters of a line, the pause that ends one, how far words may stick out of a clip, the shortest slot (ms).
 LINE_WORDS, LINE_CHARS, LINE_PAUSE, MARGIN, SHORTEST = 4, 18, 600, 200, 20
 
 
 #: Marks that end a line of two words or more, and what a subtitle renderer would act on (see subtitle_text).
-LINE_STOPS, REPLACED, SHOWN_ELSE = frozenset(".!?,"), str.maketrans("{}\\", "()/"), re.compile(r"[{}\\]")
+_STOPS, REPLACED = np.isin(np.arange(256), [ord(c) for c in ".!?,"]), bytes.maketrans(b"{}\\", b"()/")
 #: Clips are keyed so.
 KEY = ["doc_id", "clip"]
 
@@ -39,37 +42,129 @@ def with_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
     return docs.repartition(n, "doc_id").join(own, "doc_id")
 
 
-def rows_of_clips(docs: DataFrame, clips: DataFrame, fields: str, make: Callable[..., Iterable]) -> DataFrame:
-    """doc_id, clip and fields: make(words, starts, t0, t1) gives the fields' columns for each clip of a document, from its words and when they start. Worked out in a document's row."""
-
-    def rows(text: str | None, own: list[dict]) -> Iterable:
-        words, _, at = timed(text)
-        made = [[*make(words, at, c["t0"], c["t1"])] for c in own]
-        numbers = np.repeat(np.array([c["clip"] for c in own], np.int64), [len(x[0]) for x in made])
-        return numbers, *([y for x in made for y in x[k]] if isinstance(made[0][k], list) else np.concatenate([x[k] for x in made]) for k in range(len(made[0])))
-
-    return rows_of_texts(with_clips(docs, clips), ["doc_id"], f"clip long, {fields}", rows, others=("clips",))
-
-
-def touching(at: np.ndarray, first: int, last: int) -> tuple[int, int]:
-    """Places (from, up to) of the words that start or end between first and last."""
-    return int(np.searchsorted(at, first - WORD_LENGTH, "left")), int(np.searchsorted(at, last, "right"))
-
-
-def words_inside(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of a clip (with a margin) and when they start and end in it, clamped."""
-    a = int(np.searchsorted(at, t0 - MARGIN, "left"))
-    z = max(a, int(np.searchsorted(at, t1 + MARGIN - WORD_LENGTH, "right")))
-    clamp = lambda x: np.minimum(np.maximum(x - t0, 0), t1 - t0)
-    return own[a:z], clamp(at[a:z]), clamp(at[a:z] + WORD_LENGTH)
-
-
-def _words(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-    w, start, end = words_inside(own, at, t0, t1)
-    return np.arange(len(w)), w, start, end
-
-
-#: Fields and what makes them of a clip, as rows_of_clips wants them.
+def rows_of_clips(docs: DataFrame, clips: DataFrame, fields: str, make: Callable[..., tuple]) -> DataFrame:
+    """doc_id, clip and fields of clips, from a few MB of texts at once, in the documents' rows: make(texts, doc, t0, t1) gives the fields' columns of all their clips (each clip's text, start and end), and before these each row's clip."""
+    names, kinds = zip(*(x.split() for x in fields.split(", ")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in cut_by_size(batch, np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))):
+                own = b.column(2)
+                doc = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
+                clip, t0, t1 = own.flatten().flatten()
+                place, *columns = make(Texts(b.column(1).cast(pa.binary()).to_pylist()), doc, t0.to_numpy(), t1.to_numpy())
+                place = pa.array(place, pa.int64())
+                made = [column(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)).take(place), clip.take(place), *made], ["doc_id", "clip", *names])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("clip", T.LongType()), *(T.StructField(n, SPARK_KINDS[k]) for n, k in zip(names, kinds, strict=True))])
+    own = F.transform("clips", lambda c: F.struct(*(c[x].cast("long").alias(x) for x in ("clip", "t0", "t1"))))
+    return with_clips(docs, clips).select("doc_id", F.col("text").cast("string").alias("_text"), own.alias("_clips")).mapInArrow(run, schema)
+
+
+def rows_between(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from a up to z of each pair, one pair after the other, and before them the pair of each."""
+    pair = np.repeat(np.arange(len(a)), z - a)
+    return pair, np.arange(len(pair)) + (z - np.cumsum(z - a))[pair]
+
+
+class ClipWords:
+    """The words of clips of texts (with a margin), one clip after the other: their clip, number in it, place in the texts, and when they start and end in the clip, clamped."""
+
+    def __init__(self, texts: Texts, doc: np.ndarray, t0: np.ndarray, t1: np.ndarray):
+        self.texts = texts
+        self.clip, self.word = rows_between(*texts.between(doc, t0 - MARGIN, t1 + MARGIN - WORD_LENGTH))
+        self.i = places(self.clip)
+        t0, length = t0[self.clip], (t1 - t0)[self.clip]
+        clamp = lambda x: np.minimum(np.maximum(x - t0, 0), length)
+        self.start, self.end = clamp(texts.at[self.word]), clamp(texts.at[self.word] + WORD_LENGTH)
+        self.first = self.i == 0
+
+    @functools.cached_property
+    def capitals(self) -> pa.Array:
+        """All words of the texts in capitals."""
+        return without_blanks(*self.texts.capitals)
+
+    def strings(self, at: np.ndarray | slice = slice(None)) -> pa.Array:
+        return self.capitals.take(pa.array(self.word[at]))
+
+    @functools.cached_property
+    def heads(self) -> np.ndarray:
+        """The first words of lines (see caption_lines). How long a line is follows from where it begins, LINE_WORDS at most; so lines follow each other from the first word on."""
+        text, blanks = self.texts.capitals
+        data = np.frombuffer(text, np.uint8)
+        chars = np.diff(np.cumsum((data & 0xC0) != 0x80)[blanks])[self.word] - 1
+        last = blanks[1:] - 1
+        while (quoted := data[last] == ord('"')).any():
+            last = last - quoted
+        stop = _STOPS[data[last]][self.word]
+        apart = self.first.copy()
+        apart[1:] |= self.start[1:] - self.end[:-1] > LINE_PAUSE
+        n = len(chars)
+        size, goes_on, whole = np.ones(n, np.int64), np.ones(n, bool), chars.copy()
+        for k in range(1, LINE_WORDS):
+            goes_on[n - k :] = False
+            whole[: n - k] += 1 + chars[k:]
+            goes_on[: n - k] &= ~apart[k:] & (whole[: n - k] <= LINE_CHARS)
+            if k >= 2:
+                goes_on[: n - k] &= ~stop[k - 1 : n - 1]
+            size += goes_on
+        after, at, out = (np.arange(n) + size).tolist(), 0, []
+        while at < n:
+            out.append(at)
+            at = after[at]
+        return np.array(out, np.int64)
+
+    @functools.cached_property
+    def row(self) -> np.ndarray:
+        """Which of all lines each word is in."""
+        turns = np.zeros(len(self.clip), np.int64)
+        turns[self.heads] = 1
+        return np.cumsum(turns) - 1
+
+    @functools.cached_property
+    def line(self) -> np.ndarray:
+        """Which line of its clip each word is in."""
+        return self.row - self.row[np.maximum.accumulate(np.where(self.first, np.arange(len(self.first)), 0))]
+
+    def marked(self, at: np.ndarray) -> list[pa.Array]:
+        """For each of these words the parts of the text of its line, with it marked."""
+        text, blanks = self.texts.capitals
+        shown = without_blanks(text.translate(REPLACED), blanks)
+        # How a word in a line is begun: plain and marked, without a blank before it and with one.
+        begun = pa.array([PLAIN, MARKED, " " + PLAIN, " " + MARKED], pa.large_string())
+        head = self.heads[self.row[at]]
+        size = np.diff(np.append(self.heads, len(self.word)))[self.row[at]]
+        out = []
+        for k in range(LINE_WORDS):
+            gone = k >= size
+            out.append(begun.take(pa.array((head + k == at) + 2 * (k > 0), mask=gone)))
+            out.append(shown.take(pa.array(self.word[np.where(gone, 0, head + k)], mask=gone)))
+        return out
+
+    @functools.cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words with slots, and where the slots of all would end (see caption_events)."""
+        last = np.append(self.first[1:], True)[: len(self.first)]
+        after = np.append(self.start[1:], 0)[: len(last)]
+        own = np.where(~last & (np.append(self.row[1:], -1)[: len(last)] == self.row), after, self.end)
+        own = np.where(last, own, np.minimum(own, after))
+        short = own - self.start < SHORTEST
+        return np.flatnonzero(~short | last | (after - self.start >= SHORTEST)), np.where(short, self.start + SHORTEST, own)
+
+
+def together(*parts: pa.Array | str) -> pa.Array:
+    """Texts of parts, one behind the other, without those that are null."""
+    wide = [pa.scalar(x, pa.large_string()) if isinstance(x, str) else x.cast(pa.large_string()) for x in (*parts, "")]
+    return pc.binary_join_element_wise(*wide, null_handling="skip")
+
+
+def _words(*clips: Any) -> tuple:
+    x = ClipWords(*clips)
+    return x.clip, x.i, x.texts.words.take(pa.array(x.word)), x.start, x.end
+
+
+#: Fields and what makes them of clips, as rows_of_clips wants them.
 WORDS = "i long, w string, s_ms long, e_ms long", _words
 
 
@@ -78,53 +173,9 @@ def clip_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
     return rows_of_clips(docs, clips, *WORDS).withColumn("w", F.upper("w"))
 
 
-def line_numbers(words: list[str], start: list[int], end: list[int]) -> list[int]:
-    """The line of each word of a clip (see caption_lines)."""
-    out, line, n, chars, before, stop = [], -1, 0, 0, 0, False
-    for w, s, e in zip(words, start, end, strict=True):
-        if not n or s - before > LINE_PAUSE or n >= LINE_WORDS or chars + 1 + len(w) > LINE_CHARS or (stop and n >= 2):
-            line, n, chars = line + 1, 1, len(w)
-        else:
-            n, chars = n + 1, chars + 1 + len(w)
-        before, stop = e, w.rstrip('"')[-1:] in LINE_STOPS
-        out.append(line)
-    return out
-
-
-def marked_lines(words: list[str], line: np.ndarray) -> list[str]:
-    """For each word the text of its line, with it marked."""
-    shown = [w.translate(REPLACED) for w in words] if SHOWN_ELSE.search(" ".join(words)) else words
-    out = []
-    edges = [0, *(np.flatnonzero(np.diff(line)) + 1).tolist(), len(words)]
-    for a, z in itertools.pairwise(edges):
-        plain, at = PLAIN + f" {PLAIN}".join(shown[a:z]), 0
-        for w in shown[a:z]:
-            end = at + len(PLAIN) + len(w)
-            out.append(f"{plain[:at]}{MARKED}{w}{plain[end:]}")
-            at = end + 1
-    return out
-
-
-def slots(line: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of a clip have a slot, and where the slots of all would end (see caption_events)."""
-    after = np.append(start[1:], 0)
-    last = np.arange(len(start)) == len(start) - 1
-    own = np.where(~last & (np.append(line[1:], -1) == line), after, end)
-    own = np.where(last, own, np.minimum(own, after))
-    short = own - start < SHORTEST
-    return ~short | last | (after - start >= SHORTEST), np.where(short, start + SHORTEST, own)
-
-
-def _lined(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a clip in capitals, when they start and end, and their lines."""
-    w, start, end = words_inside(own, at, t0, t1)
-    w = list(map(str.upper, w))
-    return w, start, end, np.array(line_numbers(w, start.tolist(), end.tolist()), np.int64)
-
-
-def _lines(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-    w, start, end, line = _lined(own, at, t0, t1)
-    return np.arange(len(w)), w, start, end, line, marked_lines(w, line)
+def _lines(*clips: Any) -> tuple:
+    x = ClipWords(*clips)
+    return x.clip, x.i, x.strings(), x.start, x.end, x.line, together(*x.marked(np.arange(len(x.i))))
 
 
 LINES = "i long, w string, s_ms long, e_ms long, line long, text string", _lines
@@ -135,20 +186,10 @@ def lined_words(docs: DataFrame, clips: DataFrame) -> DataFrame:
     return rows_of_clips(docs, clips, *LINES)
 
 
-def _slots(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a clip, their lines, which of them have slots, and when all start and their slots end."""
-    w, start, end, line = _lined(own, at, t0, t1)
-    there, until = slots(line, start, end)
-    return w, line, np.flatnonzero(there), start, until
-
-
-def _events(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[Any, ...]:
-    """The words with slots of a clip: their line, number, the word, start and end of the slot, and the text."""
-    w, line, kept, start, until = _slots(own, at, t0, t1)
-    text = marked_lines(w, line)
-    if len(kept) < len(w):
-        w, text = ([x[k] for k in kept.tolist()] for x in (w, text))
-    return line[kept], kept, w, start[kept], until[kept], text
+def _events(*clips: Any) -> tuple:
+    x = ClipWords(*clips)
+    at, until = x.slots
+    return x.clip[at], x.line[at], x.i[at], x.strings(at), x.start[at], until[at], together(*x.marked(at))
 
 
 EVENTS = "line long, i long, w string, start_ms long, end_ms long, text string", _events
@@ -159,23 +200,23 @@ def events_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
     return rows_of_clips(docs, clips, *EVENTS)
 
 
-def overlaps_of(start: np.ndarray, end: np.ndarray, slack: int = 11, most: int = 3) -> tuple[np.ndarray, list[str]]:
-    """n and flag of overlap_flags, of the events of one key."""
-    order = np.lexsort((end, start))
-    start, end = start[order], end[order]
-    found = np.flatnonzero(end[:-1] - start[1:] > slack)[: most + 1].tolist()
-    return np.arange(1, len(found) + 1), [f"{end[k]}-{start[k + 1]}" if n < most else "suppressed" for n, k in enumerate(found)]
-
+def late_overlaps(*clips: Any, slack: int = 11, most: int = 3) -> tuple:
+    """overlap_flags of clips' slots with every fourth end put 200 ms too late."""
+    x = ClipWords(*clips)
+    at, until = x.slots
+    clip, start, end = x.clip[at], x.start[at], until[at] + np.where(x.i[at] % 4 == 3, 200, 0)
+    order = np.lexsort((end, start, clip))
+    clip, start, end = clip[order], start[order], end[order]
+    found = np.flatnonzero((clip[:-1] == clip[1:]) & (end[:-1] - start[1:] > slack))
+    n = places(clip[found])
+    found, n = found[n <= most], n[n <= most]
+    return clip[found], n + 1, [f"{e}-{s}" if k < most else "suppressed" for k, e, s in zip(n.tolist(), end[found].tolist(), start[found + 1].tolist(), strict=True)]
 
-def late_overlaps(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-    """overlaps_of a clip's slots with every fourth end put 200 ms too late."""
-    _, _, kept, start, until = _slots(own, at, t0, t1)
-    return overlaps_of(start[kept], until[kept] + np.where(kept % 4 == 3, 200, 0))
 
-
-def _dialogue(own: list[str], at: np.ndarray, t0: int, t1: int) -> tuple[np.ndarray, list[str]]:
-    _, i, _, start, end, text = _events(own, at, t0, t1)
-    return i, dialogues(start, end, text)
+def _dialogue(*clips: Any) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    x = ClipWords(*clips)
+    at, until = x.slots
+    return x.clip[at], x.i[at], together("Dialogue: 0,", clocks(x.start[at]), ",", clocks(until[at]), ",Cap,,0,0,0,,", *x.marked(at))
 
 
 SUBTITLES = "i long, line string", _dialogue
@@ -186,12 +227,14 @@ def subtitles_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
     return rows_of_clips(docs, clips, *SUBTITLES)
 
 
-def _file(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-    _, lines = _dialogue(own, at, t0, t1)
-    return [["\ufeff" + HEADER + "\n".join(lines) + "\n"]] if lines else [[]]
+def _files(*clips: Any) -> tuple[np.ndarray, pa.Array]:
+    clip, _, lines = _dialogue(*clips)
+    first = np.flatnonzero(np.diff(clip, prepend=-1))
+    own = pa.LargeListArray.from_arrays(pa.array(np.append(first, len(clip))), lines)
+    return clip[first], together("\ufeff" + HEADER, pc.binary_join(own, pa.scalar("\n", pa.large_string())), "\n")
 
 
-FILES = "content string", _file
+FILES = "content string", _files
 
 
 def files_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
@@ -199,12 +242,39 @@ def files_of_clips(docs: DataFrame, clips: DataFrame) -> DataFrame:
     return rows_of_clips(docs, clips, *FILES)
 
 
-def _read_back(own: list[str], at: np.ndarray, t0: int, t1: int) -> Iterable:
-    i, lines = _dialogue(own, at, t0, t1)
-    found = [(k, *map(int, m.groups())) for k, m in zip(i.tolist(), map(DIALOGUE.match, lines), strict=True) if m]
-    x = np.array(found, np.int64).reshape(-1, 9).T
-    of = lambda k: ((x[k] * 60 + x[k + 1]) * 60 + x[k + 2]) * 1000 + x[k + 3] * 10
-    return x[0], of(1), of(5)
+def times_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines that parse_subtitles keeps, and their start_ms and end_ms. Times are fields of a line, of which many are equal: each is read once."""
+    parts = pc.split_pattern(lines, ",", max_splits=3)
+    n = np.diff(parts.offsets.to_numpy())
+    at = np.flatnonzero(n == 4)
+    first = parts.offsets.to_numpy()[at]
+    there, found = np.ones(len(at), bool), []
+    for k, read in enumerate((_read_kind, _read_time, _read_time)):
+        own = parts.values.take(pa.array(first + k)).dictionary_encode()
+        value = np.array(list(map(read, own.dictionary.to_pylist())), np.int64)[own.indices.to_numpy()]
+        there &= value >= 0
+        found.append(value)
+    return at[there], found[1][there], found[2][there]
+
+
+def _read_kind(text: str) -> int:
+    """0 for what a line of subtitle_lines begins with, else -1."""
+    return 0 if DIALOGUE_KIND.fullmatch(text) else -1
+
+
+def _read_time(text: str) -> int:
+    """Milliseconds of a time; -1 of anything else."""
+    m = DIALOGUE_TIME.fullmatch(text)
+    if not m:
+        return -1
+    hours, minutes, seconds, hundredths = map(int, m.groups())
+    return ((hours * 60 + minutes) * 60 + seconds) * 1000 + hundredths * 10
+
+
+def _read_back(*clips: Any) -> tuple:
+    clip, i, lines = _dialogue(*clips)
+    at, start, end = times_of(lines)
+    return clip[at], i[at], start, end
 
 
 #: parse_subtitles of subtitles_of_clips: lines are read where they are made.
@@ -265,16 +335,15 @@ def clock(ms: Column) -> Column:
     return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100)
 
 
-@functools.lru_cache(1 << 16)
 def clock_of(cs: int) -> str:
     """clock, of hundredths."""
     return f"{cs // 360000}:{cs // 6000 % 60:02d}:{cs // 100 % 60:02d}.{cs % 100:02d}"
 
 
-def dialogues(start: np.ndarray, end: np.ndarray, texts: list[str]) -> list[str]:
-    """The lines of subtitle_lines."""
-    (a, b) = (map(clock_of, np.rint(ms / 10).astype(np.int64).tolist()) for ms in (start, end))
-    return [f"Dialogue: 0,{x},{y},Cap,,0,0,0,,{text}" for x, y, text in zip(a, b, texts, strict=True)]
+def clocks(ms: np.ndarray) -> pa.Array:
+    """clock, of many times, each of them once."""
+    cs = pa.array(np.rint(ms / 10).astype(np.int64)).dictionary_encode()
+    return pa.array(list(map(clock_of, cs.dictionary.to_pylist())), pa.large_string()).take(cs.indices)
 
 
 def seconds_clock(seconds: Column) -> Column:
@@ -322,6 +391,7 @@ def write_subtitles(lines: DataFrame, path: str, key: list[str] = KEY) -> None:
 #: A line of subtitle_lines: hours, minutes, seconds and hundredths of its start and of its end.
 _TIME = r"(\d+):(\d\d):(\d\d)\.(\d\d)"
 DIALOGUE = re.compile(rf"Dialogue: \d+,{_TIME},{_TIME},", re.ASCII)
+DIALOGUE_KIND, DIALOGUE_TIME = re.compile(r"Dialogue: \d+", re.ASCII), re.compile(_TIME, re.ASCII)
 
 
 def parse_subtitles(lines: DataFrame, line: str = "line") -> DataFrame:

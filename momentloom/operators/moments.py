@@ -34,14 +34,17 @@ class Texts:
     """
 
     def __init__(self, texts: list[bytes | None]):
-        joined = b" ".join([x or b"" for x in texts])
-        data = np.frombuffer(joined, np.uint8)
+        data = np.frombuffer(b" ".join([x or b"" for x in texts]) + b" ", np.uint8)
         ink = ~_SPACE[data]
-        turns = np.flatnonzero(np.diff(ink, prepend=False, append=False))
+        turns = np.flatnonzero(np.diff(ink, prepend=False))
         #: The words, in bytes of all texts, from first up to behind the last.
         self.low, self.high = turns[::2], turns[1::2]
-        self.words = joined.split()
         self.data = data
+        kept = ink.copy()
+        kept[1:] |= ink[:-1]
+        #: The same bytes with one blank behind each word and nothing else between words, and where words begin there.
+        self.packed = np.where(ink, data, 32).astype(np.uint8)[kept].tobytes()
+        self.offsets = np.append(0, np.cumsum(self.high - self.low + 1))
         begin = np.cumsum([0, *(len(x or b"") + 1 for x in texts)])
         self.edges = np.searchsorted(self.low, begin)
         n = np.diff(self.edges)
@@ -64,15 +67,39 @@ class Texts:
         self.duration = np.zeros(len(texts), np.int64)
         self.duration[n > 0] = self.stop[lasts]
         for d in np.flatnonzero(self.duration >= G.WINDOW_LEAST).tolist():  # shorter ones have no windows
-            self.natural[self.sentence_edges[d + 1] - 1] &= G.TERMINAL_WORD.search(self.words[self.edges[d + 1] - 1].decode()) is not None
+            self.natural[self.sentence_edges[d + 1] - 1] &= G.TERMINAL_WORD.search(self.text(self.edges[d + 1] - 1, self.edges[d + 1])) is not None
 
     def text(self, a: int, z: int) -> str:
-        return b" ".join(self.words[a:z]).decode()
+        return self.packed[self.offsets[a] : max(self.offsets[a], self.offsets[z] - 1)].decode()
 
-    def words_of(self, d: int) -> tuple[list[str], np.ndarray]:
-        """A text's words and when they start."""
-        a, z = self.edges[d : d + 2].tolist()
-        return (self.text(a, z).split(" ") if z > a else []), self.at[a:z]
+    @functools.cached_property
+    def small(self) -> tuple[bytes, np.ndarray]:
+        """All words in small letters, with a blank before, between and behind them, and the places of these blanks."""
+        return self._changed(str.lower)
+
+    @functools.cached_property
+    def capitals(self) -> tuple[bytes, np.ndarray]:
+        """The same in capitals."""
+        return self._changed(str.upper)
+
+    def _changed(self, change: Callable[[str], str]) -> tuple[bytes, np.ndarray]:
+        # What becomes of a letter hangs on no letter beyond a blank, and no letter becomes a blank.
+        made = (" " + change(self.packed.decode())).encode()
+        return made, np.flatnonzero(np.frombuffer(made, np.uint8) == 32)
+
+    @functools.cached_property
+    def words(self) -> pa.Array:
+        return without_blanks(b" " + self.packed, self.offsets)
+
+    @functools.cached_property
+    def _apart(self) -> np.ndarray:
+        return self.at + np.repeat(np.arange(len(self.duration)) * APART, np.diff(self.edges))
+
+    def between(self, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (from, up to) of the words of these texts that start from first to last (ms)."""
+        place = lambda at, side: np.searchsorted(self._apart, np.clip(at, -1, self.duration[doc] + 1) + doc * APART, side)
+        a = place(first, "left")
+        return a, np.maximum(a, place(last, "right"))
 
     def lengths(self) -> np.ndarray:
         """Code points of each word."""
@@ -100,15 +127,21 @@ class Texts:
         return at[there], np.where(stop >= low, stop, high - 1)[there]
 
 
+def without_blanks(text: bytes, blanks: np.ndarray) -> pa.Array:
+    """The words between the blanks of text, a blank before and behind each, as an Arrow array."""
+    data = text.translate(None, b" ")
+    return pa.LargeStringArray.from_buffers(len(blanks) - 1, pa.py_buffer(blanks - np.arange(len(blanks))), pa.py_buffer(data))
+
+
 def rows_of_slices(df: DataFrame, fields: str, make: Callable[[Texts], tuple], keep: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (keep and fields) that follow from texts, a few MB of them at once: make gives for each row the text's place and then the fields' columns, numpy arrays or lists."""
+    """Rows (keep and fields) that follow from texts, a few MB of them at once: make gives for each row the text's place and then the fields' columns, numpy arrays, lists or Arrow arrays."""
     names, kinds = zip(*(x.split() for x in fields.split(", ")), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in G.cut_by_size(batch, np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))):
                 at, *columns = make(Texts(b.column(1).cast(pa.binary()).to_pylist()))
-                made = [pa.array(c, G.KINDS[kind]) for c, kind in zip(columns, kinds, strict=True)]
+                made = [G.column(c, kind) for c, kind in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *made], [keep, *names])
 
     schema = T.StructType([df.schema[keep]] + [T.StructField(n, G.SPARK_KINDS[k]) for n, k in zip(names, kinds, strict=True)])
@@ -194,15 +227,10 @@ class Moments:
         return zip(*(x.tolist() for x in (self.doc[at[own]], rank[own], self.start[at[own]], self.end[at[own]])), strict=True)
 
 
-def rows_of_ranked_clips(moments: Moments, ranks: Iterable[int], make: Callable[..., Iterable], fields: int) -> tuple[Any, ...]:
-    """Columns as rows_of_slices wants them, clip and so many fields: make(words, starts, t0, t1) gives the fields' columns for each clip (see captions.rows_of_clips)."""
-    docs, clips, made = [], [], []
-    for d, own in itertools.groupby(moments.clips(ranks), key=lambda x: x[0]):
-        words, at = moments.texts.words_of(d)
-        for _, clip, t0, t1 in own:
-            docs.append(d)
-            clips.append(clip)
-            made.append(tuple(make(words, at, t0, t1)))
-    n = [len(x[0]) for x in made]
-    columns = [list(itertools.chain.from_iterable(x)) if isinstance(x[0], list) else np.concatenate(x) for x in zip(*made, strict=True)] if made else [[]] * fields
-    return np.repeat(np.array(docs, np.int64), n), np.repeat(np.array(clips, np.int64), n), *columns
+def rows_of_ranked_clips(moments: Moments, ranks: Iterable[int], make: Callable[..., tuple]) -> tuple[Any, ...]:
+    """Columns as rows_of_slices wants them, clip and what make(texts, doc, t0, t1) gives of all clips at once: the clip's place for each row, and then columns (see captions.rows_of_clips)."""
+    at, rank = moments.ranked
+    own = np.isin(rank, list(ranks))
+    at, rank = at[own], rank[own]
+    place, *columns = make(moments.texts, moments.doc[at], moments.start[at], moments.end[at])
+    return moments.doc[at][place], rank[place], *columns

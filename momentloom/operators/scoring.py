@@ -162,28 +162,58 @@ def _features(found: DataFrame, lexicon: Lexicon, prefix: str) -> DataFrame:
 FEATURES = ("hook", "emotion", "opinion", "story", "practical", "questions", "quotable")
 
 
+def found_at(text: bytes, mark: bytes) -> np.ndarray:
+    """Where mark is in text, side by side as bytes.count counts."""
+    if any(mark.endswith(mark[:k]) for k in range(1, len(mark))):
+        return np.array([m.start() for m in re.finditer(re.escape(mark), text)], np.int64)
+    data = np.frombuffer(text, np.uint8)
+    n = max(0, len(data) - len(mark) + 1)
+    there = data[:n] == mark[0]
+    for k in range(1, len(mark)):
+        there &= data[k : k + n] == mark[k]
+    return np.flatnonzero(there)
+
+
 class WindowFeatures:
-    """The features of the windows of texts, from 0 to 1, a column each: windows overlap, so a word is counted once and a window is a difference of sums.
+    """The features of the windows of texts, from 0 to 1, a column each: windows overlap, so words and marks are looked for once in all texts and a window has those that lie in it.
 
     Hooks are searched by RE2, as DuckDB does; what it can't express (a look behind or ahead) raises.
     """
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.known: WordCounts | None = None
+        inside = lambda names: [m for m in names if m and not WHITE.search(m)]
+        # A whole word is sought with the blank before it, and the one behind it is another's as well.
+        self.names = [[f" {w}".encode() for w in {*inside(names)}] for names in (lexicon.emotion, lexicon.opinion)]
+        self.marks = [[m.encode() for m in inside(names)] for names in (lexicon.story, lexicon.practical, ("?",))]
+        self.wide = [[m for m in names if WHITE.search(m)] for names in (lexicon.story, lexicon.practical)]
 
     def __call__(self, texts: Texts) -> dict[str, np.ndarray]:
-        if self.known is None:  # made where texts are, as it grows
-            self.known = WordCounts(self.lexicon)
         a, last = texts.windows
-        n, emotion, opinion, story, practical, questions, short = self.known.spans(texts.words, texts.first, texts.end, a, last + 1, texts.text).T.astype(float)
-        low, high = texts.first[a].tolist(), texts.end[np.minimum(a + 1, last)].tolist()
-        opening = pa.array([texts.text(x, y).lower() for x, y in zip(low, high, strict=True)], pa.string())
+        small, blanks = texts.small
+        low, high = texts.first[a], texts.end[last]
+        size = texts.end - texts.first
+        short = np.append(0, np.cumsum((size >= 4) & (size <= 12)))
+        inside = lambda at: np.searchsorted(at, blanks[high]) - np.searchsorted(at, blanks[low])
+        counted = lambda places: sum(map(inside, places), np.zeros(len(a), np.int64))
+        emotion, opinion = (counted(self.whole(small, w) for w in names) for names in self.names)
+        story, practical, questions = (counted(found_at(small, m) for m in marks) for marks in self.marks)
+        for counts, marks in zip((story, practical), self.wide, strict=True):
+            for k, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True) if marks else ()):
+                own = texts.text(x, y).lower()
+                counts[k] += sum(map(own.count, marks))
+        ends = blanks[texts.end[np.minimum(a + 1, last)]]
+        opening = pa.array([small[x:y] for x, y in zip((blanks[low] + 1).tolist(), ends.tolist(), strict=True)], pa.binary()).cast(pa.string())
         hooks = sum((pc.match_substring_regex(opening, p).to_numpy(zero_copy_only=False).astype(float) for p in self.lexicon.hooks), np.zeros(len(a)))
-        n = np.maximum(n, 1.0)
-        raw = (hooks / 2, emotion / (n / 60), opinion / (n / 80), story / 3, practical / 3, questions / 3, short / 4)
+        n = np.maximum(high - low, 1.0)
+        raw = (hooks / 2, emotion / (n / 60), opinion / (n / 80), story / 3, practical / 3, questions / 3, (short[last + 1] - short[a]) / 4)
         return {name: np.minimum(1.0, x) for name, x in zip(FEATURES, raw, strict=True)}
 
+    @staticmethod
+    def whole(small: bytes, word: bytes) -> np.ndarray:
+        at = found_at(small, word)
+        return at[np.frombuffer(small, np.uint8)[at + len(word)] == 32]
+
 
 def total_score(features: dict[str, np.ndarray], energy: float) -> np.ndarray:
     """The score of weighted_score, as numpy."""

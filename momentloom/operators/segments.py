@@ -69,6 +69,11 @@ def cut_by_size(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = SLICE) ->
             yield batch.slice(a, z - a)
 
 
+def column(values: Any, kind: str) -> pa.Array:
+    """A list, a numpy array or an Arrow array as an Arrow array of this kind."""
+    return values.cast(KINDS[kind]) if isinstance(values, pa.Array) else pa.array(values, KINDS[kind])
+
+
 def joined(parts: list[Any], kind: pa.DataType) -> pa.Array:
     """Lists or numpy arrays, one after the other, as an Arrow array."""
     if parts and isinstance(parts[0], np.ndarray):

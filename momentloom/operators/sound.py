@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 from .scoring import quantile_of
@@ -14,21 +16,27 @@ def frame_levels(samples: np.ndarray, hop: int, most: int) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", own, own) / hop + 1e-9)
 
 
-def word_frames(start: np.ndarray, end: np.ndarray, n: int, fps: int) -> np.ndarray:
-    """Frames from that in which a word (ms from the clip's start) begins to the one after it ends; words outside the n frames touch none."""
-    first = np.maximum(0, np.trunc(start * fps / 1000).astype(np.int64))
-    last = np.minimum(n, -(-end * fps // 1000) + 1)
+def word_frames(clip: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray, fps: int) -> np.ndarray:
+    """Frames from that in which a word (ms from its clip's start) begins to the one after it ends; words outside their clip's n frames touch none. A clip's frames follow the last one's, with one more that is never touched."""
+    edges = np.append(0, np.cumsum(n + 1))
+    first = np.maximum(0, start * fps // 1000)
+    last = np.minimum(n[clip], -(-end * fps // 1000) + 1)
     there = first < last
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, first[there], 1)
-    np.add.at(edges, last[there], -1)
-    return np.cumsum(edges)[:n] > 0
+    turns = lambda x: np.bincount(edges[clip[there]] + x[there], minlength=edges[-1])
+    return np.cumsum(turns(first) - turns(last)) > 0
+
+
+def speech_masks(clip: np.ndarray, start: np.ndarray, end: np.ndarray, levels: np.ndarray, n_levels: np.ndarray, n: np.ndarray, fps: int) -> np.ndarray:
+    """speech_mask of many clips at once, laid out as word_frames are: words with their clips' numbers, and the levels of the first n_levels (n at most) of the n frames of each clip."""
+    mask = word_frames(clip, start, end, n, fps)
+    edges = np.append(0, np.cumsum(n_levels))
+    floor = np.array([max(0.01, quantile_of(levels[a:z], 0.25) * 1.8) if z > a else 0.0 for a, z in itertools.pairwise(edges.tolist())])
+    loud = np.flatnonzero(levels > np.repeat(floor, n_levels))
+    mask[np.repeat(np.cumsum(n + 1) - n - 1 - edges[:-1], n_levels)[loud] + loud] = True
+    return mask
 
 
 def speech_mask(start: np.ndarray, end: np.ndarray, samples: np.ndarray, n: int, fps: int, rate: int) -> np.ndarray:
     """Whether someone speaks in each of n frames: a word touches it, or its level is over 1.8 times the first quartile of all (0.01 at least). Without samples the words decide."""
-    mask = word_frames(start, end, n, fps)
-    level = frame_levels(samples, max(1, rate // fps), n)
-    if len(level):
-        mask[: len(level)] |= level > max(0.01, quantile_of(level, 0.25) * 1.8)
-    return mask
+    levels = frame_levels(samples, max(1, rate // fps), n)
+    return speech_masks(np.zeros(len(start), np.int64), start, end, levels, np.array([len(levels)]), np.array([n]), fps)[:n]
