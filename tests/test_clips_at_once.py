@@ -45,6 +45,13 @@ def events_of(words):
             yield i, w, s, end if end - s >= 20 else s + 20, " ".join((captions.MARKED if q == k else captions.PLAIN) + x for q, x in enumerate(shown))
 
 
+def test_lines_and_times_of_clips_at_once(clips):
+    clip, _, i, _, start, end, text = captions.EVENTS[1](*clips)
+    clock = lambda ms: captions.clock_of(round(ms / 10))
+    want = [f"Dialogue: 0,{clock(s)},{clock(e)},Cap,,0,0,0,,{t}" for s, e, t in zip(start.tolist(), end.tolist(), text.to_pylist(), strict=True)]
+    assert captions.SUBTITLES[1](*clips)[2].to_pylist() == want
+
+
 def test_speech_of_clips_at_once_is_that_of_their_samples():
     r = np.random.default_rng(7)
     n = np.array([0, 7, 400, 90])
