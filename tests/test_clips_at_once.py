@@ -52,6 +52,17 @@ def test_lines_and_times_of_clips_at_once(clips):
     assert captions.SUBTITLES[1](*clips)[2].to_pylist() == want
 
 
+def test_each_time_of_lines_is_read_once(monkeypatch):
+    read, found = captions._read_time, []
+    monkeypatch.setattr(captions, "_read_time", lambda x: found.append(x) or read(x))
+    good = ["Dialogue: 0,0:00:01.00,0:00:02.50,x,y", "Dialogue: 12,100:02:03.04,0:00:01.00,"]
+    bad = ["Dialogue: 0,0:00:01.00,0:00:02.50", "Dialogue: 0,0:00:01.00,0:0:02.50,x", " Dialogue: 0,0:00:01.00,0:00:02.50,x", "", "Dialogue: ٣,0:00:01.00,0:00:02.50,x", "a,b,c,d"]
+    lines = pa.array([*good, *bad, *good * 500])
+    at, start, end = captions.times_of(lines)
+    want = [(k, m) for k, m in enumerate(map(captions.DIALOGUE.match, lines.to_pylist())) if m]
+    assert at.tolist() == [k for k, _ in want] and start[:2].tolist() == [1000, 360_123_040] and end[:2].tolist() == [2500, 1000] and len(found) < 20
+
+
 def test_speech_of_clips_at_once_is_that_of_their_samples():
     r = np.random.default_rng(7)
     n = np.array([0, 7, 400, 90])
