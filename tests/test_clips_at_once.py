@@ -87,3 +87,18 @@ def test_frames_have_the_squares_of_their_samples():
         samples[own] = ((x + own * 13) % 200) ** 2
     want = [samples[f + h * 5 : f + h * 5 + 5].sum() for f, n in zip(first, hops, strict=True) for h in range(n)]
     assert candidate_queries._frame_squares(clip, s, v, first, hops).tolist() == want
+
+
+def test_marks_are_counted_in_all_texts_at_once():
+    lexicon = scoring.Lexicon(emotion=("aaa", "İN".lower(), "", "a b"), opinion=("όσος", "aaa"), story=("aa", "a a", "b", ""), practical=("ς", "ab"), hooks=())
+    texts = moments.Texts([("AAA aaaa ÓΣΟΣ όΣος İN ab? " * 60).encode(), None, ("Aaa AAA. " * 500).encode(), b"aaa"])
+    a, last = texts.windows
+    got = scoring.WindowFeatures(lexicon)(texts)
+    assert len(a) > 4
+    for k, (x, z) in enumerate(zip(texts.first[a], texts.end[last], strict=True)):
+        low = texts.text(x, z).lower()
+        words, n = low.split(" "), z - x
+        emotion, opinion = (sum(map(words.count, {*own} - {""})) for own in (lexicon.emotion, lexicon.opinion))
+        story = sum(low.count(m) for m in ("aa", "a a", "b"))
+        want = emotion / (n / 60), opinion / (n / 80), story / 3, (low.count("ς") + low.count("ab")) / 3, low.count("?") / 3
+        assert [got[f][k] for f in ("emotion", "opinion", "story", "practical", "questions")] == [min(1.0, x) for x in want]
