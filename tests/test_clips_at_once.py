@@ -52,6 +52,13 @@ def test_lines_and_times_of_clips_at_once(clips):
     assert captions.SUBTITLES[1](*clips)[2].to_pylist() == want
 
 
+def test_files_of_clips_at_once(clips):
+    clip, _, lines = captions.SUBTITLES[1](*clips)
+    want = {c: "﻿" + captions.HEADER + "\n".join(x for x, k in zip(lines.to_pylist(), clip.tolist(), strict=True) if k == c) + "\n" for c in clip.tolist()}
+    files = captions.FILES[1](*clips)
+    assert dict(zip(files[0].tolist(), files[1].to_pylist(), strict=True)) == want and len(want) == 4
+
+
 def test_each_time_of_lines_is_read_once(monkeypatch):
     read, found = captions._read_time, []
     monkeypatch.setattr(captions, "_read_time", lambda x: found.append(x) or read(x))
