@@ -45,6 +45,12 @@ def events_of(words):
             yield i, w, s, end if end - s >= 20 else s + 20, " ".join((captions.MARKED if q == k else captions.PLAIN) + x for q, x in enumerate(shown))
 
 
+def test_events_of_clips_at_once(clips):
+    want = [(c, i, w, s, e, text) for c, own in enumerate(zip(*clips[1:], strict=True)) for i, w, s, e, text in events_of(own_words(clips[0], *map(int, own)))]
+    clip, _, i, w, start, end, text = captions.EVENTS[1](*clips)
+    assert list(zip(clip.tolist(), i.tolist(), w.to_pylist(), start.tolist(), end.tolist(), text.to_pylist(), strict=True)) == want and len(want) > 250
+
+
 def test_lines_and_times_of_clips_at_once(clips):
     clip, _, i, _, start, end, text = captions.EVENTS[1](*clips)
     clock = lambda ms: captions.clock_of(round(ms / 10))
