@@ -65,6 +65,17 @@ def test_files_of_clips_at_once(clips):
     assert dict(zip(files[0].tolist(), files[1].to_pylist(), strict=True)) == want and len(want) == 4
 
 
+def test_overlaps_of_clips_at_once(clips):
+    clip, _, i, _, start, end, _ = captions.EVENTS[1](*clips)
+    want = []
+    for c in sorted(set(clip.tolist())):
+        own = sorted((s, e + 200 * (k % 4 == 3)) for x, k, s, e in zip(clip.tolist(), i.tolist(), start.tolist(), end.tolist(), strict=True) if x == c)
+        found = [(e, s) for (_, e), (s, _) in zip(own, own[1:], strict=False) if e - s > 11]
+        want += [(c, n + 1, f"{e}-{s}" if n < 3 else "suppressed") for n, (e, s) in enumerate(found[:4])]
+    got = captions.late_overlaps(*clips)
+    assert list(zip(got[0].tolist(), got[1].tolist(), got[2], strict=True)) == want and len(want) > 6
+
+
 def test_each_time_of_lines_is_read_once(monkeypatch):
     read, found = captions._read_time, []
     monkeypatch.setattr(captions, "_read_time", lambda x: found.append(x) or read(x))
