@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -40,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+#: Those of this thread since settled began; None outside it.
+_own: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("_own", default=None)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -63,21 +66,55 @@ def remove_written() -> None:
         _remove(*_written.pop())
 
 
+#: With it a query's shuffle files go when the query ends; else when the driver happens to collect its garbage, and until then those of all queries add up.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared checkpoint folder and read it back.
 
-    Cuts lineage: a lost executor costs a re-read instead of the computation. The
-    folder is removed by remove_written, or when the driver's process ends.
+    Cuts lineage: a lost executor costs a re-read instead of the computation. What was
+    shuffled for the table is removed once it is written. The
+    folder is removed by remove_table, remove_written, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/momentloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     if not _written:
         atexit.register(remove_written)
     _written.append((spark, path))
+    if (own := _own.get()) is not None:
+        own.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of make as a written table; the tables that make has written on the way are removed."""
+    token = _own.set(own := [])
+    try:
+        found = materialise(make())
+    finally:
+        _own.reset(token)
+    for way in own[:-1]:
+        if way in _written:
+            _remove(*way)
+            _written.remove(way)
+    if (outer := _own.get()) is not None:
+        outer.append(own[-1])
+    return found
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -111,6 +148,16 @@ def free_caches() -> None:
     release_memory()
 
 
+def after_free_caches(df: DataFrame) -> DataFrame:
+    """The same rows; the workers that pass them on have dropped their caches, so that what follows on these executors has the memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
+        yield from batches
+
+    return df.mapInArrow(run, df.schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about limit bytes of column (one row at least)."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove_table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps until the links are stars around each
     component's smallest node; the number of rounds grows with the logarithm of a
     component's size. Minima are combined before the shuffle, and only joins that
-    adaptive execution can split meet a hub's links. Every round is a written table.
+    adaptive execution can split meet a hub's links. Every round is a written table, the last one stays.
     Loops, repeated and null links count for nothing; no links give an empty table.
     """
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, both["a"] == least["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, large["a"] == least["u"]).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialise(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        older, edges = edges, materialise(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        remove_table(older)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -5,7 +5,9 @@ bands; within a band (and between neighbours) two sets that reach the threshold
 in at most d elements. Each set is cut by hash into more than d parts, so two similar
 sets agree in a whole part: they meet in that part's tile. Pairs from the tiles are
 bounded from above by the bit counts of hashed parity bitmaps, and what passes is
-decided by the intersection of the sorted arrays.
+decided by the intersection of the sorted arrays. A bitmap has a bit for each element at
+least: in a smaller one every pair of long sets would pass, and their number, each with two
+whole sets, grows with the square of the input.
 
 Tiles don't emit their pairs. First every member is compared with its tile's leader, the
 member that lies in most tiles of all, and links are contracted to components. Only tiles
@@ -23,15 +25,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, as_bytes, free_caches, materialise, slices
+from .common import ASCII_SPACE, as_bytes, free_caches, materialise, remove_table, slices
 from .components import components
 
+#: Fewest bits of a set's bitmap.
 BITS = 1024
+#: Most bits that go with a set to each of its blocks; a pair that leaves a block is held against the whole bitmaps.
+BLOCK_BITS = 4096
 #: Members of a tile in a block, on average; larger tiles are compared block by block.
 BLOCK = 2000
 #: Most bits of the filter that tells which texts are wanted (8 MB).
@@ -178,9 +184,15 @@ def tiles(shingles: np.ndarray, threshold: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def parity_bitmap(shingles: np.ndarray) -> bytes:
-    """BITS bits: whether an odd number of elements hash to each. Two bitmaps differ in no more bits than their sets in elements."""
-    return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def parity_bitmap(shingles: np.ndarray, size: int = BITS) -> bytes:
+    """size bits, a power of two: whether an odd number of elements hash to each. Two bitmaps differ in no more bits than their sets in elements."""
+    return np.packbits(np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def set_bits(shingles: np.ndarray) -> bytes:
+    """A parity bitmap with a bit for each element at least; of a long set, BLOCK_BITS bits and the whole bitmap behind them."""
+    size = max(BITS, 1 << max(0, len(shingles) - 1).bit_length())
+    return parity_bitmap(shingles, min(size, BLOCK_BITS)) + (parity_bitmap(shingles, size) if size > BLOCK_BITS else b"")
 
 
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -256,11 +268,39 @@ def parity_bound(x: np.ndarray, y: np.ndarray, total: np.ndarray, threshold: int
     return (100 + threshold) * (total - differ) >= 2 * threshold * total
 
 
+def _folded(bits: np.ndarray, n: int) -> np.ndarray:
+    """Parity bitmaps in n words each: half the bits are the two halves' exclusive or."""
+    while bits.shape[-1] > n:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def set_bound(x: np.ndarray, y: np.ndarray, total: np.ndarray, threshold: int) -> np.ndarray:
+    """parity_bound of what set_bits makes, in the smaller one's size."""
+    short = BLOCK_BITS // 64
+    x, y = (z[..., short:] if z.shape[-1] > short else z for z in (x, y))
+    n = min(x.shape[-1], y.shape[-1])
+    return parity_bound(_folded(x, n), _folded(y, n), total, threshold)
+
+
 def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A binary column of equal lengths as rows of 64-bit words."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
+def _least_words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of bitmaps as rows of 64-bit words, folded to the smallest one's size."""
+    sizes = pc.binary_length(column).to_numpy()
+    if sizes.min() == sizes.max():
+        return _words(column)
+    out = np.empty((len(column), sizes.min() // 8), np.uint64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        out[at] = _folded(_words(column.take(pa.array(at))), out.shape[1])
+    return out
+
+
 def _bounded(threshold: int, may_link: MayLink):
     """Keeps the pairs that may link by their bits."""
 
@@ -268,9 +308,13 @@ def _bounded(threshold: int, may_link: MayLink):
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 b = batch.slice(k, 4096)
-                x, y = (_words(b.column(b.schema.get_field_index(c))) for c in ("bits_a", "bits_b"))
+                x, y = (b.column(b.schema.get_field_index(c)) for c in ("bits_a", "bits_b"))
                 total = sum(b.column(b.schema.get_field_index(c)).to_numpy() for c in ("n_a", "n_b"))
-                keep = may_link(x, y, total, threshold)
+                keep = np.zeros(b.num_rows, bool)
+                sizes = np.stack([pc.binary_length(z).to_numpy() for z in (x, y)], 1)
+                for size in np.unique(sizes, axis=0):
+                    at = np.flatnonzero((sizes == size).all(1))
+                    keep[at] = may_link(*(_words(z.take(pa.array(at))) for z in (x, y)), total[at], threshold)
                 yield b.select(["a", "b", "h1_a", "h2_a", "h1_b", "h2_b"]).filter(pa.array(keep))
 
     return run
@@ -285,7 +329,7 @@ def _close_in_blocks(threshold: int, may_link: MayLink):
     def close(rows: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         t = pa.Table.from_batches(rows).combine_chunks()
         own, node, n, label = (t[c].to_numpy() for c in ("own", "node", "n", "label"))
-        bits = _words(t["bits"])
+        bits = _least_words(t["bits"])
         crossed = t["bi"][0].as_py() != t["bj"][0].as_py()
         for k in range(len(n) - 1):
             keep = label[k + 1 :] != label[k]
@@ -362,13 +406,13 @@ def jaccard_components(df: DataFrame, ids: str = "doc_id", text: str = "text", w
     nothing and have no component. Other columns of df are not read.
 
     Equal sets are one node, so copies cost a profile each and nothing more. Written
-    tables: the profiles (about 170 bytes a document), the tiles with several members, the
+    tables: the profiles (about 170 bytes a document, and up to two bits a shingle), the tiles with several members, the
     links. A block of a tile is compared in one task, at most a few thousand bitmaps. No set of texts is shuffled but those of candidates.
     """
-    base, profiles = profile_table(df, ids, text, width, parity_bitmap)
+    base, profiles = profile_table(df, ids, text, width, set_bits)
     nodes = set_nodes(profiles)
     rows = base.filter("i is not null").select("t").mapInArrow(_tile_rows(width, threshold), "tile long, node long")
-    return components_of_tiles(base, profiles, nodes, rows, width, threshold, block, parity_bound).select(F.col("i").alias(ids), "n_shingles", "component_id")
+    return components_of_tiles(base, profiles, nodes, rows, width, threshold, block, set_bound, BLOCK_BITS // 8).select(F.col("i").alias(ids), "n_shingles", "component_id")
 
 
 def profile_table(df: DataFrame, ids: str, text: str, width: int, bits: Callable[[np.ndarray], bytes]) -> tuple[DataFrame, DataFrame]:
@@ -384,8 +428,11 @@ def set_nodes(profiles: DataFrame) -> DataFrame:
     return materialise(named.groupBy("h1", "h2", "n").agg(F.min("i").alias("rep"), F.first("bits").alias("bits")))
 
 
-def components_of_tiles(base: DataFrame, profiles: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, threshold: int, block: int, may_link: MayLink) -> DataFrame:
-    """(i, n_shingles, component_id) of each profile, given rows (tile, node) in which all pairs that link share a tile."""
+def components_of_tiles(base: DataFrame, profiles: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, threshold: int, block: int, may_link: MayLink, block_bytes: int | None = None) -> DataFrame:
+    """(i, n_shingles, component_id) of each profile, given rows (tile, node) in which all pairs that link share a tile.
+
+    block_bytes: so many of a set's bits go to its blocks, if not all. Tables that the result doesn't read are removed.
+    """
     w = Window.partitionBy("tile").orderBy("node")
     members = rows.select("tile", "node", F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("before"))
     # One row for each member but the first: what tiles of one member had is gone here.
@@ -397,8 +444,8 @@ def components_of_tiles(base: DataFrame, profiles: DataFrame, nodes: DataFrame,
     pairs = held.select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct()
     # Different sets under one 64-bit node value are candidates too.
     clash = nodes.groupBy("h1").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("h1").alias("x"), F.col("h1").alias("y"))
-    links = materialise(exact_links(base, nodes, pairs.unionByName(clash), width, threshold, may_link))
-    named = nodes.select(F.col("h1").alias("node"), "n", "bits", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    links = exact_links(base, nodes, pairs.unionByName(clash), width, threshold, may_link)
+    named = nodes.select(F.col("h1").alias("node"), "n", F.substring("bits", 1, block_bytes).alias("bits") if block_bytes else "bits", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     named = materialise(named.select("node", "n", "bits", F.xxhash64(F.coalesce("label", "rep")).alias("label")))
     # The leader has been compared with all: what is left of a tile is the rest, if it has several components.
     rest = held.filter("size > 2").select("tile", "node", "size").join(named.select("node", "label"), "node")
@@ -408,8 +455,10 @@ def components_of_tiles(base: DataFrame, profiles: DataFrame, nodes: DataFrame,
     rest = rest.join(named, "node").select("tile", "bi", "bj", "own", "node", "n", "label", "bits")
     rest = rest.repartition("tile", "bi", "bj").sortWithinPartitions("tile", "bi", "bj")
     pairs = rest.mapInArrow(_close_in_blocks(threshold, may_link), "x long, y long").distinct()
-    links = links.unionByName(materialise(exact_links(base, nodes, pairs, width, threshold, may_link)))
-    labels = components(links)
+    more = exact_links(base, nodes, pairs, width, threshold, may_link)
+    labels = components(links.unionByName(more))
+    for done in (others, leaders, named, links, more):
+        remove_table(done)
     label = labels.select(F.col("node").alias("rep"), "label")
     classes = nodes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), "rep").join(label, "rep", "left")
     found = profiles.join(classes, (profiles["h1"] == classes["c1"]) & (profiles["h2"] == classes["c2"]) & (profiles["n"] == classes["cn"]) & profiles["i"].isNotNull(), "left")
@@ -417,7 +466,7 @@ def components_of_tiles(base: DataFrame, profiles: DataFrame, nodes: DataFrame,
 
 
 def exact_links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, threshold: int, may_link: MayLink) -> DataFrame:
-    """(a, b): the representatives of the pairs (x, y) of node values whose sets link; most others go by their bits."""
+    """(a, b), a written table: the representatives of the pairs (x, y) of node values whose sets link; most others go by their bits."""
 
     def side(s: str, key: str) -> DataFrame:
         return nodes.select(F.col("h1").alias(key), F.col("h2").alias(f"h2_{s}"), F.col("n").alias(f"n_{s}"), F.col("rep").alias(s), F.col("bits").alias(f"bits_{s}"))
@@ -438,4 +487,6 @@ def exact_links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int,
     a = sets.select(F.col("h1").alias("h1_a"), F.col("h2").alias("h2_a"), F.col("s").alias("s_a"))
     b = sets.select(F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b"), F.col("s").alias("s_b"))
     held = close.join(a, ["h1_a", "h2_a"]).join(b, ["h1_b", "h2_b"]).select("a", "b", "s_a", "s_b")
-    return held.mapInArrow(_verified(threshold), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    links = materialise(held.mapInArrow(_verified(threshold), T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
+    remove_table(close)
+    return links

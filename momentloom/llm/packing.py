@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import ChunkCache, RankEncoder
-from .common import as_texts, materialise, slices
+from .common import as_texts, free_caches, kept_in_worker, materialise, slices
 
 #: Pieces that one task packs; more pieces make more shards, of this size at most on average.
 SHARD = 50_000
@@ -54,7 +54,10 @@ _made: dict[tuple, DocumentTokens] = {}
 
 
 def document_tokens(path: str, ranks: str | None) -> DocumentTokens:
+    """The worker's own tokens, made once a process, or again after free_caches."""
     if (path, ranks) not in _made:
+        free_caches()
+        kept_in_worker(_made.clear)
         _made[path, ranks] = DocumentTokens(path, ranks)
     return _made[path, ranks]
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import RankEncoder, read_ranks
-from .common import ASCII_SPACE, as_texts, crc_mod, kept_in_worker, materialise, remembered, slices
+from .common import ASCII_SPACE, as_texts, crc_mod, free_caches, kept_in_worker, materialise, remembered, slices
 
 SYMBOLS = "#*$%&|<>"
 #: Words of a generation whose ids a worker remembers.
@@ -100,6 +100,7 @@ _made: dict[tuple[str, ...], Fertility] = {}
 def fertility(paths: tuple[str, ...]) -> Fertility:
     """The worker's own measures, made once a process."""
     if paths not in _made:
+        free_caches()
         kept_in_worker(_made.clear)
         _made[paths] = Fertility(paths)
     return _made[paths]
